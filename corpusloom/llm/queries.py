@@ -35,6 +35,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -49,17 +55,43 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    out = media.store(_table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokenfile
 
     return tokenfile.store(_table(spark, sf_dir, "documents"), end_id=2)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(_table(spark, sf_dir, "documents"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_warc, op4_benchmark_decontamination, op6_token_files, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_warc,
+        op3_language_id,
+        op4_benchmark_decontamination,
+        op5_media_columns,
+        op6_token_files,
+        op7_html_extraction,
+        op10_packing,
+    )
+}
 SQL: dict[str, str] = {}
