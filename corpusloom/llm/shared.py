@@ -40,9 +40,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, mb: int = 32) -> int:
-    """Partitions of about mb each, by the size estimate; never fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, plan_bytes(df) // (mb << 20) + 1))
+    """Partitions of about mb each, by the size estimate (where there is one); never fewer than the session's shuffle partitions."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return least if size >= 1 << 60 else max(least, min(200_000, size // (mb << 20) + 1))
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
