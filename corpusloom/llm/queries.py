@@ -81,6 +81,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.find(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -98,6 +104,7 @@ QUERIES = {
         op6_token_files,
         op7_html_extraction,
         op8_ngram_jaccard,
+        op9_suffix_array_dedup,
         op10_packing,
     )
 }
