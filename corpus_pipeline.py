@@ -1,11 +1,106 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near duplicates, repeated passages, benchmark decontamination, packing.
+
+Each stage takes all documents that the stage before kept (written as Parquet and read again) and returns those it keeps,
+with the columns of ``documents``; the last returns the packed pieces. No stage can be said in SQL as a whole (the first and
+last need a trained model and a tokenizer), so ORACLE_SQL is None and the tests hold run() against brute force.
+
+Nulls: a document with null text has no language and goes in the first stage; null doc_id, lang, source and n_chars are
+carried along. Repeated rows are near duplicates: one stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.llm import decontam, jaccard, langid, packing, shared, suffix
+from corpusloom.session import ship
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text of which no language's value stands out has a smaller score.
+LEAST_SCORE = 0.3
+
+_tables = {"from": None}
+
+
+def _begin(spark: SparkSession) -> None:
+    """Remove the tables of the stage before: its result has been written since."""
+    ship(spark)
+    now = shared.made()
+    if _tables["from"] is not None:
+        shared.remove_made(spark, _tables["from"], now)
+    _tables["from"] = now
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: not ``und``, with a score of LEAST_SCORE or more. Learns from the labelled ones."""
+    _begin(spark)
+    out = langid.annotate(docs.select(*COLUMNS), langid.fit(docs))
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document of the smallest doc_id; documents without words stay."""
+    _begin(spark)
+    docs = docs.select(*COLUMNS)
+    found = shared.materialise(jaccard.join_components(docs), "near")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    twice = shared.materialise(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1 and component_id is not null").select("doc_id"), "near-ids")
+    if not twice.isEmpty():  # rows of one id in one component
+        marked = kept.join(twice.distinct().withColumn("more", F.lit(True)), "doc_id", "left")
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last(), "lang", "source")
+        one = marked.where("more").withColumn("k", F.row_number().over(first)).where("k = 1").select(*COLUMNS)
+        kept = marked.where("more is null").select(*COLUMNS).unionByName(one)
+    return kept.select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that start earlier; those of which nothing is left go."""
+    _begin(spark)
+    out = suffix.annotate(docs.select(*COLUMNS))
+    out = out.where((F.size("spans") == 0) | (F.char_length("kept_text") > 0))
+    rest = [F.col(f"row.{c}").alias(c) for c in ("doc_id", "lang", "source")]
+    length = F.when(F.size("spans") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return out.select(*rest, F.col("kept_text").alias("text"), length.alias("n_chars")).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    _begin(spark)
+    out = decontam.annotate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.where(F.size("found.spans") == 0).select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    _begin(spark)
+    return packing.pack(docs, end_id=1)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_languages),
+    ("ngram_jaccard", keep_one_of_each),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    _tables["from"] = None
+    path = shared.fresh_path(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{path}/{k}-{name}")
+        docs = spark.read.parquet(f"{path}/{k}-{name}")
     return docs

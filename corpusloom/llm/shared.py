@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many paths have been given out."""
+    return len(_made)
+
+
+def remove_made(spark: SparkSession, first: int, last: int) -> None:
+    """Delete what was written at the paths given out from ``first`` to before ``last``: for a caller that has stored the results
+    that were read from them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _made[first:last]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

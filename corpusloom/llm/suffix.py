@@ -430,11 +430,12 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row (all columns of docs, as a struct), spans (of bytes to remove, merged) and kept (the other bytes)."""
+    """row (all columns of docs but the text, as a struct), spans (of bytes to remove, merged), kept (the
+    other bytes) and kept_text (those as text; parts of characters that a cut leaves are left out)."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     keyed = docs.select(key.alias("key"), F.col(text).alias("text"))
     twice = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-ids")
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), key.alias("key"), F.col(text).alias("text"))
     one = F.lit(0).cast("long")
     if twice.isEmpty():
         rows = rows.withColumn("version", one)
@@ -453,7 +454,7 @@ def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
         for batch in batches:
             raw, at = utf8(batch.column(1))
             raw = raw.tobytes()
-            out, kept = [], []
+            out, kept, texts = [], [], []
             for a, b, found in zip(at.tolist(), at[1:].tolist(), batch.column(2).to_pylist()):
                 body = raw[a:b]
                 merged: list[list[int]] = []
@@ -466,11 +467,13 @@ def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
                 for low, high in merged:
                     parts.append(body[place:low])
                     place = high
-                kept.append(b"".join([*parts, body[place:]]))
+                parts.append(body[place:])
+                kept.append(b"".join(parts))
+                texts.append("".join(x.decode(errors="ignore") for x in parts))
                 out.append([{"low": x, "high": y} for x, y in merged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span)), pa.array(kept, pa.binary())], ["row", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span)), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], ["row", "spans", "kept", "kept_text"])
 
-    schema = T.StructType([joined.schema["row"], T.StructField("spans", T.ArrayType(T.StructType.fromDDL("low long, high long"))), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([joined.schema["row"], T.StructField("spans", T.ArrayType(T.StructType.fromDDL("low long, high long"))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(cut, schema)
 
 
