@@ -11,14 +11,18 @@ to count as rare, which costs candidates and loses none). The order of tokens is
 Prefixes. With t = |x| - ceil(.9 |x|), a partner lacks at most t tokens of x. Tokens are taken in order until
 sum over token classes of max(0, taken - k + 1) > t, where k is 1 for rare, 2 for frequent, 3 for very frequent tokens:
 then at least k tokens of one class are shared by any partner, whose own prefix holds them too if it ends later (and
-the other way round if it ends sooner). So single rare tokens and all k-combinations of frequent ones are indexed.
+the other way round if it ends sooner). An entry's mark says from which t on it is in the prefix, so that two sets meet
+on the prefixes that a link of just their sizes needs. So single rare tokens and all k-combinations of frequent ones are indexed.
 Frequent classes are cut by hash into subclasses, more for larger sets, so that combinations stay few; a pair
 meets on the level of the larger of its sizes. Sets under 9 shingles link with equal sets only.
 
-Candidates. First each index entry links its least class with the others (a star: as many pairs as entries), and
-components are formed of what is verified. Then entries that still hold several components give all their pairs
-across components, kept if the sizes and the number of shared prefix tokens allow a link. So a group of near copies is
-never paired out, and no link between components is lost. Candidates are verified on whole sets of both texts.
+Candidates. In STARS rounds each index entry that holds several components links one class with those of the other
+components (a star: as many pairs as entries): the class that shares most with others, so the original of a group of
+copies where there is one; components are formed of what is verified. Then entries that still hold several components
+give all their pairs across components. So a group of near copies is not paired out, and no link between components
+is lost. Pairs are kept if their sizes and the number of prefix tokens they share allow a link, and are then verified on the
+whole sets of both texts. Texts are fetched for classes in such pairs: a bitmap of fixed size of the documents asked
+for is sent first, so that few others are moved.
 
 Nulls: a null or empty text, or one without words, has no shingles and links with nothing; a null doc_id is carried
 along and is no one's component unless it is alone. Repeated rows each give a row. Extra columns are ignored. An empty
@@ -43,9 +47,15 @@ PERCENT = 90
 #: Least df and combination size of the frequent classes.
 CLASSES = ((32, 2), (1024, 3))
 TABLE = 1 << 20
+#: Bits of a shingle's hash by which it is counted; others of equal bits only make it look more frequent.
+TOKEN_BITS = 40
+STARS = 3
+#: Bits of the bitmap of documents whose texts are asked for, 64 to a row.
+BITMAP = 1 << 24
 _BLOCK = 4 << 20
 _TALLY = 6_000_000
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_NO_ID = -(1 << 63)
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -97,12 +107,12 @@ def set_number(s: np.ndarray) -> int:
     return int(mix(s.sum(dtype=np.uint64, keepdims=True) * _ODD[1] + np.uint64(len(s))).view(np.int64)[0])
 
 
-# Counting: each task's tokens, 48 bits of each, sorted and written as differences, in packets by range.
+# Counting: each task's tokens, TOKEN_BITS bits of each, sorted and written as differences, in packets by range.
 
 
 def _packets(tokens: np.ndarray, n_parts: int) -> Iterator[tuple[int, bytes]]:
-    tokens, counts = np.unique(tokens >> np.uint64(16), return_counts=True)
-    width = -(-(1 << 48) // n_parts)
+    tokens, counts = np.unique(tokens >> np.uint64(64 - TOKEN_BITS), return_counts=True)
+    width = -(-(1 << TOKEN_BITS) // n_parts)
     edges = np.searchsorted(tokens, (np.arange(n_parts + 1, dtype=np.float64) * width).astype(np.uint64))
     for p in range(n_parts):
         t, c = tokens[edges[p] : edges[p + 1]], counts[edges[p] : edges[p + 1]]
@@ -126,7 +136,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent(docs: DataFrame, text: str, words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(48-bit tokens, sorted, and their df) of df >= least over all documents, at most TABLE: the most frequent."""
+    """(tokens of TOKEN_BITS bits, sorted, and their df) of df >= least over all documents, at most TABLE: the most frequent."""
     rows = docs.select(text)
     n_parts = parts_for(rows)
 
@@ -183,7 +193,7 @@ class Prefixes:
         self.tokens, self.percent, self.classes = tokens, percent, classes
         self.kind = np.searchsorted([c[0] for c in classes], df, "right").astype(np.int64)
         self.seen = np.zeros(1 << 22, bool)
-        self.seen[(tokens >> np.uint64(26)).astype(np.int64)] = True
+        self.seen[(tokens >> np.uint64(TOKEN_BITS - 22)).astype(np.int64)] = True
         #: Sets below this size have no partner but equal sets.
         self.smallest = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
 
@@ -192,41 +202,42 @@ class Prefixes:
         out = np.zeros(len(s), np.int64)
         maybe = np.flatnonzero(self.seen[(s >> np.uint64(42)).astype(np.int64)])
         if len(maybe):
-            t = s[maybe] >> np.uint64(16)
+            t = s[maybe] >> np.uint64(64 - TOKEN_BITS)
             at = np.minimum(np.searchsorted(self.tokens, t), len(self.tokens) - 1)
             hit = self.tokens[at] == t
             out[maybe[hit]] = self.kind[at[hit]]
         return out
 
-    def entries(self, s: np.ndarray) -> tuple[np.ndarray, int, int, int]:
-        """(entries, prefix length, order of its last token, frequent tokens in it) of a set. Combinations are odd, rare tokens even."""
+    def entries(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(entries, marks, order of the prefix's last token) of a set. Combinations are odd, rare tokens even. A mark says how
+        much the sum over classes was before the entry's last token: for a partner of which at most t tokens may be
+        lacking, the prefix is the entries of marks up to t."""
         n = len(s)
         if n < self.smallest:
-            return np.zeros(0, np.int64), 0, 0, 0
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), 0
         need = n - -(-self.percent * n // 100) + 1
         kinds = self.kinds(s)
         rare = s[kinds == 0]
         one = np.uint64(1)
         if len(rare) >= need:
             rare = rare[:need]
-            return (rare & ~one).view(np.int64), need, int(rare[-1] >> np.uint64(2)), 0
+            return (rare & ~one).view(np.int64), np.arange(need, dtype=np.int32), int(rare[-1] >> np.uint64(2))
         order = np.lexsort((s, kinds))
         kind = kinds[order].tolist()
         token = s[order]
-        out = [(rare & ~one)]
-        taken_most, last, frequent_most = len(rare), 0, 0
+        out, marks, last = [(rare & ~one)], [np.arange(len(rare), dtype=np.int32)], 0
         for level in {n.bit_length(), (100 * n // self.percent).bit_length()}:
             cuts = max(1, (1 << level) // 40)
             groups: dict[tuple[int, int], list[int]] = {}
-            have, i = len(rare), len(rare)
+            have, i, before = len(rare), len(rare), np.zeros(n, np.int32)
             sub = ((token >> np.uint64(5)) % np.uint64(cuts)).tolist()
             while have < need and i < n:
                 g = groups.setdefault((kind[i], sub[i]), [])
                 g.append(i)
+                before[i] = have
                 have += len(g) >= self.classes[kind[i] - 1][1]
                 i += 1
-            taken_most, frequent_most = max(taken_most, i), max(frequent_most, i - len(rare))
-            last = max(last, kind[i - 1] << 62 | int(token[i - 1] >> np.uint64(2)) if i > 0 else 0)
+            last = max(last, kind[i - 1] << 62 | int(token[i - 1] >> np.uint64(2)))
             for (k, g), members in groups.items():
                 size = self.classes[k - 1][1]
                 if len(members) >= size:
@@ -235,7 +246,8 @@ class Prefixes:
                     for c in range(size):
                         h = mix(h * _ODD[2] + token[which[:, c]])
                     out.append(h | one)
-        return np.concatenate(out).view(np.int64), taken_most, min(last, (1 << 63) - 1), frequent_most
+                    marks.append(before[which[:, -1]])
+        return np.concatenate(out).view(np.int64), np.concatenate(marks), min(last, (1 << 63) - 1)
 
 
 def index(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, classes: tuple) -> DataFrame:
@@ -246,44 +258,86 @@ def index(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, cla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = sent.value
         for batch in batches:
-            n, names, taken, last, often, entries = [], [], [], [], [], []
+            n, names, last, entries, marks = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
-                e, t, z, o = prefixes.entries(s)
+                e, m, z = prefixes.entries(s)
                 n.append(len(s))
                 names.append(set_number(s))
-                taken.append(t)
                 last.append(z)
-                often.append(o)
                 entries.append(e)
-            at = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int64), *entries]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(taken, pa.int32()), pa.array(last, pa.int64()), pa.array(often, pa.int32()), pa.ListArray.from_arrays(pa.array(at), values)],
-                ["doc_id", "n", "class", "taken", "last", "often", "entries"],
-            )
+                marks.append(m)
+            at = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, x), *y]))) for x, y in ((np.int64, entries), (np.int32, marks))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(last, pa.int64()), *lists], ["doc_id", "n", "class", "last", "entries", "marks"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(run, "doc_id long, n long, class long, taken int, last long, often int, entries array<long>"), "jaccard")
+    return materialise(rows.mapInArrow(run, "doc_id long, n long, class long, last long, entries array<long>, marks array<int>"), "jaccard")
 
 
-def _sizes_fit(x, y, percent: int):
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y))
+class Texts:
+    """The texts of classes, fetched when they are first asked for."""
 
+    def __init__(self, docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int):
+        key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
+        self.docs, self.members, self.words = docs.select(key.alias("key"), F.col(text).alias("text")), members, words
+        self.table: DataFrame | None = None
 
-def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """a, b of those pairs of classes that link. members: class, key (of a document of the class)."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(members, "class")
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
-    found = docs.select(key.alias("key"), F.col(text).alias("text")).join(wanted, "key")
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """class, text, for all classes of pairs(a, b) at least."""
+        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        if self.table is not None:
+            wanted = wanted.join(self.table.select("class"), "class", "left_anti")
+        wanted = materialise(wanted.join(self.members, "class"), "jaccard-wanted")
+        if self.table is None or not wanted.isEmpty():
+            more = self._fetch(wanted)
+            self.table = more if self.table is None else self.table.unionByName(more)
+        return self.table
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of documents with equal ids, those of the class."""
-        for batch in batches:
-            good = pa.array([set_number(s) == c for s, c in zip(shingle_sets(batch.column(1), words), batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(good)
+    def _fetch(self, wanted: DataFrame) -> DataFrame:
+        words = self.words
+        spot = F.pmod(F.xxhash64("key"), F.lit(BITMAP))
+        bit = F.shiftright(spot, 6).cast("int").alias("row"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {BITMAP}) % 64 as int))").alias("bit")
+        bitmap = wanted.select(*bit).groupBy("row").agg(F.bit_or("bit").alias("bits"))  # BITMAP / 64 rows at most
+        near = self.docs.select("key", "text", *bit).join(F.broadcast(bitmap), "row").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        found = near.select("key", "text").join(wanted, "key")
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of documents with equal ids, those of the class."""
+            for batch in batches:
+                good = [set_number(s) == c for s, c in zip(shingle_sets(batch.column(1), words), batch.column(0).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        texts = found.select("class", "text").mapInArrow(own, "class long, text string").dropDuplicates(["class"])
+        return materialise(texts, "jaccard-texts")
+
+
+def _need(x, y, percent: int):
+    """The overlap of a link: ceil(p (x + y) / (100 + p))."""
+    return F.ceil(F.lit(percent) * (x + y) / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
+def _meet(x: tuple, y: tuple, percent: int):
+    """Whether an entry with (set size, mark) on either side is in both prefixes for a partner of that size."""
+    need = _need(x[0], y[0], percent)
+    return (x[1] <= x[0] - need) & (y[1] <= y[0] - need)
 
-    texts = found.select("class", "text").mapInArrow(own, "class long, text string").dropDuplicates(["class"])
-    texts = materialise(texts, "jaccard-texts")
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose prefixes leave room for a link.
+
+    Up to where the first of the two prefixes ends, a rare token of one that the other lacks is not shared at all."""
+    of = lambda s: nodes.select(F.col("c").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("n", "last", "entries")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    is_rare = lambda e: e % 2 == 0
+    both = both.withColumn("rare", F.size(F.filter(F.array_intersect("entries_a", "entries_b"), is_rare))).withColumn("ends", F.least("last_a", "last_b"))
+    lacks = lambda s: F.size(F.filter(f"entries_{s}", lambda e: is_rare(e) & (F.shiftrightunsigned(e, 2) <= F.col("ends")))) - F.col("rare")
+    need = _need(F.col("n_a"), F.col("n_b"), percent)
+    return both.where((F.col("n_a") - lacks("a") >= need) & (F.col("n_b") - lacks("b") >= need)).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """a, b of those pairs of classes that link."""
+    words = texts.words
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,48 +347,59 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, doc_id: str,
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
+    table = texts.of(pairs)
+    left, right = table.select(F.col("class").alias("a"), F.col("text").alias("ta")), table.select(F.col("class").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return materialise(joined.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
-_NO_ID = -(1 << 63)
-
-
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (of other classes linked by candidates that were verified)."""
     table = index(docs, doc_id, text, words, percent, classes)
     classes = table.where("n > 0").groupBy("class").agg(
-        F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("key"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("taken").alias("taken"), F.first("last").alias("last"), F.first("often").alias("often")
+        F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("key"), F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("n", "last", "entries", "marks"))
     )
     classes = materialise(classes, "jaccard-classes")
-    members = classes.select("class", "key")
-    # An entry for each class, not for each copy.
-    entries = table.where(F.size("entries") > 0).select(F.col("class").alias("c"), "n", F.explode("entries").alias("e"))
-    ends = entries.groupBy("e").agg(F.min(F.struct("c", "n")).alias("p"), F.max("c").alias("q")).where("p.c <> q")
-    shared = materialise(entries.join(ends.select("e", F.col("p.c").alias("p"), F.col("p.n").alias("pn")), "e").distinct(), "jaccard-shared")
-    star = shared.where((F.col("c") != F.col("p")) & _sizes_fit(F.col("n"), F.col("pn"), percent)).select(F.col("p").alias("a"), F.col("c").alias("b")).distinct()
-    star = materialise(star, "jaccard-star")
-    links = verified(star, members, docs, doc_id, text, words, percent)
-    roots = components(links)
+    texts = Texts(docs, classes.select("class", "key"), doc_id, text, words)
+    # Entries of several classes.
+    entries = classes.select(F.col("class").alias("c"), "n", F.explode(F.arrays_zip("entries", "marks")).alias("x")).select("c", "n", F.col("x.entries").alias("e"), F.col("x.marks").alias("mark"))
+    several = entries.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    shared = materialise(entries.join(several, "e"), "jaccard-shared")
+    weights = materialise(shared.groupBy("c").agg(F.sum("df").alias("weight")), "jaccard-weights")
+    nodes = classes.select(F.col("class").alias("c"), "n", "last", "entries").join(weights.select("c"), "c", "left_semi")
+    shared = materialise(shared.join(weights, "c"), "jaccard-entries")
+    tried = links = roots = None
+    for k in range(STARS):
+        placed = shared.withColumn("root", F.col("c")) if roots is None else shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        # The class that shares most, then others in an order of each round's own.
+        lead = F.struct(F.col("weight") if k == 0 else F.xxhash64("c", F.lit(k)), "c", "n", "mark", "root")
+        ends = placed.groupBy("e").agg(F.max(lead).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e", "p")
+        star = placed.join(ends, "e").where((F.col("root") != F.col("p.root")) & _meet((F.col("n"), F.col("mark")), (F.col("p.n"), F.col("p.mark")), percent))
+        star = star.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        star = materialise(star, "jaccard-star")
+        if star.isEmpty():
+            break
+        tried = star if tried is None else tried.unionByName(star)
+        found = verified(materialise(possible(star, nodes, percent), "jaccard-possible"), texts, percent)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
     # Entries that still hold several components give the pairs across them.
-    placed = shared.select("e", "c", "n").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("e", "c", "n", F.coalesce("root", "c").alias("root"))
-    placed = materialise(placed, "jaccard-placed")
-    mixed = placed.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
-    rest = placed.join(mixed, "e")
-    x = rest.select("e", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = rest.select("e", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = x.join(y, "e").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb"), percent))
-    across = across.groupBy("a", "b").agg(F.sum(F.when(F.col("e") % 2 == 0, 1).otherwise(0)).alias("rare"), F.max(F.col("e") % 2 != 0).alias("combined"))
-    of = lambda s: classes.select(F.col("class").alias(s), *(F.col(k).alias(f"{k}_{s}") for k in ("n", "taken", "last", "often")))
-    across = across.join(of("a"), "a").join(of("b"), "b")
-    # The prefix that ends first holds all of its shared tokens: with those beyond it they must reach the overlap.
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    most = lambda s: F.col("rare") + F.col("often_a") + F.col("often_b") + F.col(f"n_{s}") - F.col(f"taken_{s}")
-    bound = F.when(F.col("last_a") < F.col("last_b"), most("a")).when(F.col("last_b") < F.col("last_a"), most("b")).otherwise(F.greatest(most("a"), most("b")))
-    across = across.where(F.col("combined") | (bound >= need)).select("a", "b")
-    across = materialise(across.join(star, ["a", "b"], "left_anti"), "jaccard-across")
-    more = verified(across, members, docs, doc_id, text, words, percent)
+    if tried is None:
+        links = shared.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
+        more = links
+    else:
+        placed = shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).select("e", "c", "n", "mark", "root")
+        placed = materialise(placed, "jaccard-placed")
+        mixed = placed.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
+        rest = placed.join(mixed, "e")
+        x, y = (rest.select("e", *(F.col(k).alias(f"{k}_{s}") for k in ("c", "n", "mark", "root"))) for s in "ab")
+        meet = _meet((F.col("n_a"), F.col("mark_a")), (F.col("n_b"), F.col("mark_b")), percent)
+        across = x.join(y, "e").where((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & meet)
+        across = across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-across")
+        more = verified(materialise(possible(across, nodes, percent), "jaccard-possible"), texts, percent)
     every = links.unionByName(more)
     roots = components(every)
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
