@@ -1,4 +1,760 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries over the driver tables, and the same results as SQL for DuckDB."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import models
+from .functions import text as X
+from .functions import trust
+from .operators import cluster, evaluate, fusion, search, storage, vector
+from .plans import cache as answers
+from .plans import query as plans
+from .schema import FRAGMENTS_SQL, fragment_id, fragments, table
+from .sources import chunking, files, messages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Ids, checksums, sources.
+
+
+@query("SELECT doc_id, substr(sha256('filesystem:' || source || '/' || doc_id || '.txt:0'), 1, 16) AS fragment_id FROM documents")
+def fragment_ids(spark, sf):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf, "documents").select("doc_id", fragment_id(F.lit("filesystem"), path, F.lit(0)).alias("fragment_id"))
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, source_type, source_name, source_path, content_date, author, file_type, checksum, round(confidence_adj, 6) AS confidence_adj FROM fragments")
+def fragments_view(spark, sf):
+    return fragments(spark, sf).select("id", "source_type", "source_name", "source_path", "content_date", "author", "file_type", "checksum", F.round("confidence_adj", 6).alias("confidence_adj"))
+
+
+@query("SELECT doc_id, sha256(text) AS checksum FROM documents")
+def doc_checksums(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+
+
+@query("SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT 'filesystem/' || source AS source, count(*) AS n FROM documents GROUP BY 1")
+def source_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.concat_ws("/", F.lit("filesystem"), "source").alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+def source_sizes(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query("""SELECT s.source, s.n, s.chars, coalesce(l.labelled, 0) AS labelled, s.langs FROM
+  (SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY 1) s LEFT JOIN
+  (SELECT source, count(*) AS labelled FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) l ON s.source IS NOT DISTINCT FROM l.source""")
+def source_overview(spark, sf):
+    docs = table(spark, sf, "documents")
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("lang").alias("langs"))
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col("source").alias("s")).agg(F.count("*").alias("labelled"))
+    return sizes.join(labelled, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", "chars", F.coalesce("labelled", F.lit(0)).alias("labelled"), "langs")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def table_count(spark, sf):
+    return table(spark, sf, "documents").agg(F.count("*").alias("n"))
+
+
+# Change detection, upserts, deletes, the registry.
+
+
+def _scans(spark, sf):
+    docs = table(spark, sf, "documents")
+    row = lambda d, checksum: d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"), checksum.alias("checksum"))
+    known = row(docs.where("doc_id % 10 <> 0"), F.sha2("text", 256))
+    changed = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256))
+    return row(docs.where("doc_id % 11 <> 0"), changed), known
+
+
+@query("""WITH known AS (SELECT source || '/' || doc_id AS p, sha256(text) AS c FROM documents WHERE doc_id % 10 <> 0),
+  seen AS (SELECT source || '/' || doc_id AS p, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS c FROM documents WHERE doc_id % 11 <> 0)
+  SELECT s.p AS source_path, CASE WHEN k.c = s.c THEN 'unchanged' ELSE 'changed' END AS state FROM seen s LEFT JOIN known k ON s.p = k.p
+  UNION ALL SELECT p, 'deleted' FROM known WHERE p NOT IN (SELECT p FROM seen)""")
+def changed_deleted_unchanged(spark, sf):
+    return storage.changes(*_scans(spark, sf))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || ' v2' ELSE text END AS content FROM documents
+  UNION ALL SELECT doc_id + 100000000, text FROM documents WHERE doc_id % 50 = 1""")
+def upsert_merge(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    new = docs.where("id % 5 = 0").withColumn("content", F.concat("content", F.lit(" v2")))
+    return storage.upsert(docs, new.unionByName(docs.where("id % 50 = 1").withColumn("id", F.col("id") + 100000000)))
+
+
+@query("""SELECT source || '/' || (doc_id // 4) AS source_path, doc_id AS version, n_chars FROM documents WHERE doc_id % 4 <> 3 AND (doc_id // 4) % 6 <> 0
+  UNION ALL SELECT DISTINCT source || '/' || (doc_id // 4), -1, 0 FROM documents WHERE doc_id % 4 <> 3 AND (doc_id // 4) % 6 = 0""")
+def replace_changed_paths(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id % 4 <> 3")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 4).cast("string"))
+    rows = docs.select(path.alias("source_path"), F.col("doc_id").alias("version"), "n_chars")
+    new = docs.where(F.floor(F.col("doc_id") / 4) % 6 == 0).select(path.alias("source_path"), F.lit(-1).cast("long").alias("version"), F.lit(0).cast("long").alias("n_chars")).distinct()
+    return storage.replace_paths(rows, new)
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, source_path FROM fragments WHERE NOT (doc_id % 3 = 0 AND source_name = 'src1') AND NOT (doc_id % 13 = 0)")
+def delete_by_paths(spark, sf):
+    rows = fragments(spark, sf, labels=False)
+    gone = rows.where("doc_id % 3 = 0 AND source_name = 'src1'").select("source_type", "source_name", "source_path")
+    every = rows.where("doc_id % 13 = 0").select("source_type", F.lit("").alias("source_name"), "source_path")
+    return storage.delete_paths(rows, gone.unionByName(every)).select("id", "source_path")
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, source_name FROM fragments WHERE NOT (source_type = 'filesystem' AND source_name = 'src0')")
+def delete_by_source(spark, sf):
+    return storage.delete_source(fragments(spark, sf, labels=False), "filesystem", "src0").select("id", "source_name")
+
+
+@query("""WITH a AS (SELECT DISTINCT 'filesystem' AS source_type, source AS source_name, 'all of ' || source AS description FROM documents WHERE source IS NOT NULL),
+  b AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'filesystem' ELSE 'web' END AS source_type, source AS source_name FROM documents WHERE source IS NOT NULL AND doc_id < 60),
+  c AS (SELECT *, CASE WHEN source_name < 'src2' THEN '' ELSE 'new ' || source_name END AS description FROM b)
+  SELECT coalesce(c.source_type, a.source_type) AS source_type, coalesce(c.source_name, a.source_name) AS source_name, coalesce(nullif(c.description, ''), a.description, '') AS description
+  FROM a FULL JOIN c ON a.source_type = c.source_type AND a.source_name = c.source_name""")
+def source_registry_upsert(spark, sf):
+    docs = table(spark, sf, "documents").where("source IS NOT NULL")
+    config = F.create_map(F.lit("root"), F.col("source_name")).alias("config")
+    old = docs.select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name")).distinct().select("*", F.concat(F.lit("all of "), "source_name").alias("description"), config)
+    new = docs.where("doc_id < 60").select(F.when(F.col("doc_id") % 2 == 0, "filesystem").otherwise("web").alias("source_type"), F.col("source").alias("source_name")).distinct()
+    new = new.select("*", F.when(F.col("source_name") < "src2", "").otherwise(F.concat(F.lit("new "), "source_name")).alias("description"), config)
+    return storage.register(old, new).drop("config")
+
+
+@query("""SELECT source_type, source_name, CASE WHEN bool_or(kept) THEN 'stored' ELSE 'file' END AS came_from FROM
+  (SELECT 'filesystem' AS source_type, source AS source_name, true AS kept FROM documents WHERE source < 'src15'
+   UNION ALL SELECT 'filesystem', source, false FROM documents WHERE source > 'src12') WHERE source_name IS NOT NULL GROUP BY 1, 2""")
+def sources_merge(spark, sf):
+    docs = table(spark, sf, "documents").select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name")).distinct()
+    return storage.merge_sources(docs.where("source_name < 'src15'").withColumn("came_from", F.lit("stored")), docs.where("source_name > 'src12'").withColumn("came_from", F.lit("file")))
+
+
+@query("SELECT source, arg_max(sha256(text), doc_id) AS checksum FROM documents GROUP BY 1")
+def checksum_map(spark, sf):
+    return storage.latest(table(spark, sf, "documents").withColumn("checksum", F.sha2("text", 256)), ["source"], "checksum", ["doc_id"])
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, source_path, row_number() OVER (ORDER BY source_path, id) AS place FROM fragments WHERE source_name = 'src3'")
+def fragments_by_source(spark, sf):
+    rows = fragments(spark, sf, labels=False).where("source_name = 'src3'")
+    return rows.select("id", "source_path", F.row_number().over(Window.partitionBy("source_name").orderBy("source_path", "id")).cast("long").alias("place"))
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, source_path FROM fragments WHERE id IN (SELECT substr(sha256('filesystem:' || source || '/' || doc_id || '.md:0'), 1, 16) FROM documents WHERE doc_id % 50 = 0)")
+def fragments_by_ids(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id % 50 = 0")
+    ids = docs.select(fragment_id(F.lit("filesystem"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")), F.lit(0)).alias("id"))
+    return fragments(spark, sf, labels=False).join(ids, "id", "left_semi").select("id", "source_path")
+
+
+@query("SELECT vec_id, label, len(embedding)::BIGINT AS dim, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS squared FROM embeddings WHERE embedding IS NOT NULL")
+def export_embeddings(spark, sf):
+    rows = table(spark, sf, "embeddings").where("embedding IS NOT NULL")
+    squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return rows.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(squared, 5).alias("squared"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), chr(9)) AS line FROM embeddings")
+def tsv_export(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", storage.tsv_line(F.col("embedding")).alias("line"))
+
+
+@query("SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM documents")
+def tsv_metadata(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", storage.tsv_text(F.col("text")).alias("text"))
+
+
+@query()
+def json_export(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return rows.select("vec_id", F.to_json(F.struct("vec_id", "label", "embedding")).alias("json"))
+
+
+# Trust.
+
+_EXT = "['.md', '.GO', '.txt', '.yaml', '.html', '.pdf', ''][event_id % 7 + 1]"
+_DATE = "CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END"
+_ADJ = "(event_id % 15 - 7) * 0.1::DOUBLE"
+
+
+@query(
+    f"SELECT event_id, f AS freshness, c AS corroboration, s AS consistency, a AS authority, {trust.overall_sql('f', 'c', 's', 'a')} AS overall FROM (SELECT event_id, "
+    f"{trust.freshness_sql(f'({_DATE})', _EXT)} AS f, {trust.corroboration_sql('(event_id % 7)')} AS c, {trust.consistency_sql(_ADJ)} AS s, {trust.authority_sql(_EXT)} AS a FROM events)"
+)
+def trust_matrix(spark, sf):
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".GO", ".txt", ".yaml", ".html", ".pdf", ""))), (F.col("event_id") % 7 + 1).cast("int"))
+    date = F.when(F.col("event_id") % 17 != 0, F.col("ts").cast("timestamp"))
+    out = table(spark, sf, "events").select(
+        "event_id",
+        trust.freshness(date, F.lit(None).cast("timestamp"), ext).alias("freshness"),
+        trust.corroboration(F.col("event_id") % 7).alias("corroboration"),
+        trust.consistency((F.col("event_id") % 15 - 7) * F.lit(0.1)).alias("consistency"),
+        trust.authority(ext).alias("authority"),
+    )
+    return out.withColumn("overall", trust.overall(*map(F.col, out.columns[1:])))
+
+
+# Vectors.
+
+_NEAR = """near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"""
+
+
+def _vector_queries(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {_NEAR} SELECT query_id, vec_id, distance, rank FROM near WHERE rank <= 10")
+def knn_topk(spark, sf):
+    return vector.knn(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10)
+
+
+@query(f"WITH {_NEAR}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM near WHERE rank <= 50 AND label IN (1, 2)) SELECT query_id, vec_id, distance, r AS rank FROM kept WHERE r <= 10")
+def knn_filtered_overfetch(spark, sf):
+    return vector.knn_filtered(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10, F.col("label").isin(1, 2))
+
+
+@query(f"WITH {_NEAR}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM near WHERE label IN (1, 2)) SELECT query_id, vec_id, distance, r AS rank FROM kept WHERE r <= 10")
+def knn_filtered_exact(spark, sf):
+    return vector.knn_filtered(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10, F.col("label").isin(1, 2), exact=True)
+
+
+@query("""WITH topic AS (SELECT embedding::DOUBLE[] AS t FROM embeddings WHERE vec_id = 0),
+  q AS (SELECT vec_id AS query_id, list_transform(range(1, len(t) + 1), lambda i: embedding[i]::DOUBLE + 0.3::DOUBLE * t[i]) AS raw FROM embeddings, topic WHERE vec_id % 50 = 0),
+  b AS (SELECT query_id, list_transform(raw, lambda x: x / sqrt(list_sum(list_transform(raw, lambda y: y * y)))) AS v FROM q),
+  d AS (SELECT query_id, vec_id, round(list_distance(b.v, e.embedding::DOUBLE[]), 6) AS distance FROM b, embeddings e)
+  SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
+def topic_blend_knn(spark, sf):
+    topic = table(spark, sf, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("topic")).limit(1)
+    asked = _vector_queries(spark, sf).crossJoin(F.broadcast(topic)).select("query_id", vector.blend(F.col("embedding"), F.col("topic"), 0.3).alias("embedding"))
+    return vector.knn(table(spark, sf, "embeddings"), asked, 5)
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))), 6) AS total FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def vector_normalised(spark, sf):
+    v = vector.normalise(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+# Full text.
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+
+
+def _bm25_sql(words: int, keep: str, limit: int, name: str = "bm25") -> str:
+    """CTEs that end in ``name``(query_id, doc_id, score, rank)."""
+    return f"""q AS (SELECT item_id AS query_id, list_distinct(list_slice({_TOKENS}, 1, {words})) AS w FROM benchmark),
+  qt AS (SELECT query_id, len(w) AS n_phrases, unnest(w) AS term FROM q WHERE len(w) > 0),
+  d AS (SELECT doc_id, source, {_TOKENS} AS t FROM documents),
+  tot AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM d),
+  p AS (SELECT doc_id, source, len(t) AS dl, unnest(t) AS term FROM d),
+  tf AS (SELECT doc_id, source, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  s AS (SELECT query_id, doc_id, n_phrases, count(*) AS n, round(sum(CASE WHEN ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END
+    * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+    FROM qt JOIN tf USING (term) JOIN df USING (term), tot WHERE {keep} GROUP BY ALL),
+  {name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE n = n_phrases QUALIFY rank <= {limit})"""
+
+
+def _text_queries(spark, sf, words: int):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, words), " ").alias("query"))
+
+
+@query(f"WITH {_bm25_sql(2, 'true', 10)} SELECT * FROM bm25")
+def bm25_topk(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf, 2), 10)
+
+
+_KEEP = "source IN ('src1', 'src2', 'src3')"
+
+
+@query(f"WITH {_bm25_sql(1, _KEEP, 10)} SELECT * FROM bm25")
+def bm25_filtered(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf, 1), 10, keep=F.coalesce(F.col("source").isin("src1", "src2", "src3"), F.lit(False)))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, max(dl)::BIGINT AS longest FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)) GROUP BY 1")
+def inverted_index_terms(spark, sf):
+    return search.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("dl").alias("longest"))
+
+
+@query("""SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim('say "' || text || '" now'), '\\s+'), lambda w: replace(w, '"', '')), lambda w: w <> ''), '|') AS words FROM benchmark""")
+def query_sanitised(spark, sf):
+    asked = F.concat(F.lit('say "'), "text", F.lit('" now'))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(search.query_words(asked), "|").alias("words"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IN ('src1', 'src5') AND 'filesystem' IN ('filesystem', 'web') GROUP BY 1")
+def source_filtered(spark, sf):
+    rows = fragments(spark, sf, labels=False).where(search.source_filter(["src1", "src5"], ["filesystem", "web"]))
+    return rows.groupBy(F.col("source_name").alias("source")).agg(F.count("*").alias("n"))
+
+
+# Fusion and queries.
+
+_VEC = """vec AS (SELECT q.item_id AS query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.item_id
+  ORDER BY round(list_distance(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v QUALIFY rank <= 20)"""
+_FUSED = f"""{_bm25_sql(2, 'true', 20)}, {_VEC},
+  rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM vec) GROUP BY 1, 2),
+  fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rrf QUALIFY rank <= 20)"""
+
+
+def _hybrid(spark, sf, limit: int = 20):
+    asked = _text_queries(spark, sf, 2).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    docs = table(spark, sf, "documents").withColumnRenamed("text", "raw_content")
+    return plans.hybrid(docs, asked, limit, vectors=table(spark, sf, "embeddings"))
+
+
+@query(f"WITH {_FUSED} SELECT query_id, doc_id, score, rank FROM fused")
+def rrf_hybrid(spark, sf):
+    return _hybrid(spark, sf)
+
+
+_TRUSTED = f"""{_FUSED}, {FRAGMENTS_SQL},
+  r AS (SELECT f.query_id, f.rank, g.* FROM fused f JOIN fragments g ON f.doc_id = g.doc_id),
+  sig AS (SELECT r.*, {trust.freshness_sql('content_date', 'file_type')} AS freshness, n.c AS corroboration, {trust.consistency_sql('confidence_adj')} AS consistency, {trust.authority_sql('file_type')} AS authority
+    FROM r JOIN (SELECT query_id, {trust.corroboration_sql('count(DISTINCT source_name)')} AS c FROM r GROUP BY 1) n ON r.query_id = n.query_id),
+  trusted AS (SELECT *, {trust.overall_sql('freshness', 'corroboration', 'consistency', 'authority')} AS overall FROM sig)"""
+
+
+def _trusted(spark, sf):
+    return plans.trusted(_hybrid(spark, sf), fragments(spark, sf))
+
+
+@query(f"WITH {_TRUSTED} SELECT query_id, rank, id, source_path, freshness, corroboration, consistency, authority, overall FROM trusted")
+def raw_query_trust(spark, sf):
+    return _trusted(spark, sf).select("query_id", "rank", "id", "source_path", "freshness", "corroboration", "consistency", "authority", "overall")
+
+
+@query(SQL["raw_query_trust"])
+def hybrid_query(spark, sf):
+    return raw_query_trust(spark, sf)
+
+
+@query(f"""WITH {_TRUSTED}, m AS (SELECT query_id, round(round(avg(freshness), 9) * 100) / 100 AS freshness, max(corroboration) AS corroboration, round(round(avg(consistency), 9) * 100) / 100 AS consistency,
+  round(round(avg(authority), 9) * 100) / 100 AS authority FROM trusted GROUP BY 1) SELECT *, {trust.overall_sql('freshness', 'corroboration', 'consistency', 'authority')} AS overall FROM m""")
+def answer_confidence(spark, sf):
+    return plans.answer_confidence(_trusted(spark, sf))
+
+
+@query(f"""WITH {_TRUSTED}, m AS (SELECT query_id, max(freshness) AS freshness, {trust.corroboration_sql('count(DISTINCT source_name)')} AS corroboration, round(round(avg(consistency), 9) * 100) / 100 AS consistency,
+  max(authority) AS authority FROM trusted WHERE rank <= 5 GROUP BY 1) SELECT *, {trust.overall_sql('freshness', 'corroboration', 'consistency', 'authority')} AS overall FROM m""")
+def local_query(spark, sf):
+    return plans.local(_trusted(spark, sf))
+
+
+@query()
+def answered_query(spark, sf):
+    """Answers of an offline model that cites the first two fragments of its prompt, with the fragments it cites."""
+    rows = _trusted(spark, sf)
+
+    def model(prompt: str) -> str:
+        import re
+
+        return "From " + " ".join(re.findall(r"\[[a-f0-9]{16}\]", prompt)[:2])
+
+    return plans.cited(plans.answered(rows, model), rows)
+
+
+@query(f"WITH {_TRUSTED} SELECT query_id, substr(sha256(string_agg(id || ':' || checksum || chr(10), '' ORDER BY rank)), 1, 32) AS sig FROM trusted GROUP BY 1")
+def result_signature(spark, sf):
+    rows = _trusted(spark, sf).join(fragments(spark, sf, labels=False).select("doc_id", "checksum"), "doc_id")
+    return plans.signature(rows)
+
+
+@query(f"""WITH {_FUSED}, l AS (SELECT query_id, doc_id, 0 AS list_id, rank FROM vec WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, 1, rank FROM bm25 WHERE rank <= 5),
+  f AS (SELECT query_id, doc_id, min(list_id * 1000 + rank) AS place FROM l GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS rank FROM f QUALIFY rank <= 5)
+  SELECT k.query_id, k.rank, '[' || source || '/' || d.doc_id || '] ' || substr(text, 1, 500) AS hint FROM k JOIN documents d ON k.doc_id = d.doc_id""")
+def vocabulary_hints(spark, sf):
+    asked = _text_queries(spark, sf, 2)
+    near = vector.knn(table(spark, sf, "embeddings"), table(spark, sf, "embeddings").join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id"), 5)
+    lists = near.select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("list_id"), "rank")
+    lists = lists.unionByName(search.bm25(table(spark, sf, "documents"), asked, 5).select("query_id", "doc_id", F.lit(1).alias("list_id"), "rank"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("] "), F.substring("text", 1, 500)).alias("hint"))
+    return fusion.distinct_in_order(lists, 5).join(docs, "doc_id").select("query_id", "rank", "hint")
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split('1. ' || left(text, 40) || chr(10) || '- two' || chr(10) || '*x' || chr(10) || chr(10) || 'plain', chr(10)), lambda x: trim(x)), lambda x: x <> ''),
+  lambda x: trim(CASE WHEN length(x) > 2 AND regexp_matches(x, '^[1-9][.)]') THEN substr(x, 3) WHEN length(x) > 2 AND regexp_matches(x, '^[-*]') THEN substr(x, 2) ELSE x END)), lambda x: x <> '')[1:5], '|') AS lines FROM documents""")
+def query_expansions(spark, sf):
+    reply = F.concat(F.lit("1. "), F.substring("text", 1, 40), F.lit("\n- two\n*x\n\nplain"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.expansions(reply), "|").alias("lines"))
+
+
+@query("""WITH c AS (SELECT doc_id, substr(sha256(doc_id::VARCHAR), 1, 16) AS a, substr(sha256((doc_id + 1)::VARCHAR), 1, 8) AS b FROM documents)
+  SELECT doc_id, array_to_string([a, b], ',') AS cited FROM c""")
+def citation_ids(spark, sf):
+    a, b = (F.substring(F.sha2((F.col("doc_id") + k).cast("string"), 256), 1, n) for k, n in ((0, 16), (1, 8)))
+    answer = F.concat(F.lit("x ["), a, F.lit("] y ["), b, F.lit("] ["), a, F.lit("] [abc] "), F.lit(f"{X.META} [ffffffffff]"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.citations(X.strip_meta(answer)), ",").alias("cited"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1")
+def last_user_message(spark, sf):
+    return storage.latest(table(spark, sf, "conversations").where("role = 'user'").withColumnRenamed("text", "question"), ["conv_id"], "question", ["turn"])
+
+
+@query("SELECT item_id, substr(sha256(text || ':' || (item_id % 2 = 0)::VARCHAR), 1, 32) AS key FROM benchmark")
+def cache_keys(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", X.cache_key(F.col("text"), F.col("item_id") % 2 == 0).alias("key"))
+
+
+@query("""SELECT d.item_id AS request, CASE WHEN d.item_id % 3 <> 0 AND d.item_id % 4 <> 0 THEN 'answer ' || d.item_id END AS answer FROM benchmark d""")
+def cache_lookup(spark, sf):
+    rows = table(spark, sf, "benchmark")
+    key = X.cache_key(F.col("text"), F.lit(False))
+    stored = rows.select(key.alias("cache_key"), F.when(F.col("item_id") % 4 == 0, "old").otherwise("same").alias("fragment_sigs"), F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("answer_json"),
+                         (F.lit(trust.AS_OF).cast("timestamp") - F.make_dt_interval(secs=F.when(F.col("item_id") % 3 == 0, 601).otherwise(600))).alias("created_at"))
+    found = answers.lookup(stored, rows.select("item_id", key.alias("cache_key"), F.lit("same").alias("fragment_sigs")), trust.AS_OF)
+    return found.select(F.col("item_id").alias("request"), F.col("answer_json").alias("answer"))
+
+
+# Documents from messages, and chunks.
+
+
+@query("""SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS content, arg_min(role, turn) AS author, count(*) AS n FROM conversations GROUP BY 1""")
+def thread_documents(spark, sf):
+    return messages.threads(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, sha256(string_agg(strftime(ts, '%H:%M:%S') || ' ' || coalesce(event_type, '') || ': ' || coalesce(props, '') || chr(10), '' ORDER BY ts, event_id)) AS digest, count(*) AS n, max(ts) AS last FROM events GROUP BY 1""")
+def daily_digest(spark, sf):
+    out = messages.daily(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "props", "event_id")
+    return out.select("day", F.sha2("content", 256).alias("digest"), "n", "last")
+
+
+@query("SELECT event_type, count(*) AS n, min(ts) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-19 00:00:00' GROUP BY 1")
+def scan_window(spark, sf):
+    start = messages.window_start(F.lit("2024-01-20 00:00:00").cast("timestamp"), F.lit(trust.AS_OF).cast("timestamp"))
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") >= start)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+
+
+@query("SELECT page_id, page_id::VARCHAR AS path, url AS source_uri, sha256(html) AS checksum, TIMESTAMP '2024-01-05 06:07:08' AS content_date FROM pages")
+def wiki_documents(spark, sf):
+    stamp = F.element_at(F.array(F.lit("2024-01-05T06:07:08.000Z"), F.lit("2024-01-05T08:07:08+02:00"), F.lit("2024-01-05 06:07:08")), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.col("url").alias("source_uri"), F.sha2("html", 256).alias("checksum"), messages.wiki_time(stamp).alias("content_date"))
+
+
+_MD = "'## Head ' || doc_id || chr(10) || text || chr(10) || '### Tail' || chr(10) || 'end'"
+
+
+@query(f"SELECT doc_id, len(list_filter(string_split({_MD}, chr(10)), lambda l: starts_with(trim(l), '## ') OR starts_with(trim(l), '### ')))::BIGINT AS headings FROM documents")
+def markdown_headings(spark, sf):
+    text = F.concat(F.lit("## Head "), F.col("doc_id").cast("string"), F.lit("\n"), "text", F.lit("\n### Tail\nend"))
+    heads = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("## ") | F.trim(x).startswith("### "))
+    return table(spark, sf, "documents").select("doc_id", F.size(heads).cast("long").alias("headings"))
+
+
+@query("SELECT doc_id, i AS idx, trim(p) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(p) <> ''")
+def paragraph_split(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "p"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim("p").alias("paragraph")).where("paragraph <> ''")
+
+
+@query()
+def chunked_fragments(spark, sf):
+    """All documents cut into chunks by their extension."""
+    return chunking.to_fragments(fragments(spark, sf, labels=False)).select("id", "source_path", "idx", "raw_content", "metadata")
+
+
+def _sample_files(spark, sf, ext: str, head: str, line: str):
+    """Each document's first words as a small file of a kind."""
+    word = F.regexp_extract("text", r"(\p{L}+)", 1)
+    body = F.format_string(head + line * 2, *[F.coalesce(word, F.lit("x")), F.col("doc_id")] * 2)
+    return table(spark, sf, "documents").select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("source_path"), body.alias("raw_content"), F.lit("").alias("checksum"))
+
+
+@query()
+def chunk_code(spark, sf):
+    return chunking.to_fragments(_sample_files(spark, sf, ".py", "import os\n\n", "def f():\n    return '%s%d'\n\n")).select("id", "source_path", "idx", "raw_content", "metadata")
+
+
+@query()
+def chunk_config(spark, sf):
+    return chunking.to_fragments(_sample_files(spark, sf, ".ini", "[a]\nk=1\n", "[b]\n%s=%d\n")).select("id", "source_path", "idx", "raw_content", "metadata")
+
+
+@query()
+def chunk_jupyter(spark, sf):
+    return chunking.to_fragments(_sample_files(spark, sf, ".ipynb", '{"cells":[', '{"cell_type":"code","source":["%s = %d"]},').withColumn("raw_content", F.concat(F.regexp_replace("raw_content", ",$", ""), F.lit("]}")))).select("id", "source_path", "idx", "raw_content", "metadata")
+
+
+@query("""WITH c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents WHERE text IS NOT NULL))
+  SELECT count(DISTINCT doc_id) AS files, count(*) AS chunks, round(count(*) / count(DISTINCT doc_id)::DOUBLE, 6) AS per_file, round(avg(words), 6) AS mean_words, quantile_cont(words::DOUBLE, 0.5) AS median_words, quantile_disc(words, 0.95)::BIGINT AS p95_words FROM c""")
+def chunk_stats(spark, sf):
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
+    return evaluate.chunk_stats(rows, "doc_id", "p")
+
+
+# Enrichment.
+
+
+@query("""SELECT conv_id, turn, coalesce(string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS previous,
+  coalesce(string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING), '') AS following FROM conversations""")
+def context_window(spark, sf):
+    return models.context(table(spark, sf, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "previous", "following")
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'E ' || author END AS enriched_content FROM fragments")
+def enrichment_reuse(spark, sf):
+    rows = fragments(spark, sf, labels=False)
+    old = rows.where("doc_id % 3 = 0").select("id", F.when(F.col("doc_id") % 2 == 0, F.col("raw_content")).otherwise("other").alias("raw_content"), F.concat(F.lit("E "), "author").alias("enriched_content"), F.lit("m").alias("enrichment_model"), F.lit("v2").alias("enrichment_version"))
+    return models.reuse(rows.select("id", "raw_content"), old, "m", "v2").select("id", "enriched_content")
+
+
+@query("SELECT doc_id, text || chr(10) || chr(10) || 'note on ' || lang AS content FROM documents WHERE lang <> 'fr' UNION ALL SELECT doc_id, text FROM documents WHERE lang = 'fr'")
+def enriched_content(spark, sf):
+    answer = F.when(F.col("lang") != "fr", F.concat(F.lit("note on "), "lang"))
+    return table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", models.enriched(F.col("text"), answer).alias("content"))
+
+
+@query()
+def hash_embeddings(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", models.embed(F.col("text"), models.HashEmbedder(64)).alias("embedding"))
+
+
+# Clusters: labels of ``embeddings`` are clusters, ``documents`` of the same number their fragments.
+
+_MEMBERS = f"{FRAGMENTS_SQL}, members AS (SELECT label::BIGINT AS cluster, g.* FROM embeddings e JOIN fragments g ON e.vec_id = g.doc_id)"
+
+
+def _members(spark, sf):
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("cluster"))
+    return fragments(spark, sf).join(labels, "doc_id")
+
+
+@query("SELECT label::BIGINT AS label, pos - 1 AS pos, round(avg(x), 6) AS value FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY 1, 2")
+def centroids(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("label", F.col("label").cast("long"))
+    return cluster.centroids_of(rows, "label", "embedding").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("""WITH s AS (SELECT label, arg_min(embedding::DOUBLE[], vec_id) AS c FROM embeddings GROUP BY 1), k AS (SELECT c, row_number() OVER (ORDER BY label) - 1 AS cluster FROM s),
+  d AS (SELECT vec_id, cluster, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM embeddings, k)
+  SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster FROM d GROUP BY 1""")
+def kmeans_assign(spark, sf):
+    import numpy as np
+
+    rows = table(spark, sf, "embeddings")
+    seeds = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").collect()
+    return cluster.assign(rows, np.array([r["c"] for r in seeds], float))
+
+
+@query()
+def kmeans_full(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return cluster.kmeans(rows, 10)[0]
+
+
+@query()
+def pca_2d(spark, sf):
+    out = cluster.pca(table(spark, sf, "embeddings"), 2)
+    return out.select("vec_id", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+
+
+@query(f"WITH {_MEMBERS}, n AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
+def cluster_sizes(spark, sf):
+    return _members(spark, sf).groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+_TOPIC = f"""{_MEMBERS}, total AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1),
+  dirs AS (SELECT cluster, regexp_replace(source_path, '/[^/]*$', '') AS dir, count(*) AS c FROM members GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY c DESC, dir) = 1),
+  exts AS (SELECT cluster, file_type AS ext, count(*) AS c FROM members GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY c DESC, ext) = 1),
+  srcs AS (SELECT cluster, source_name AS src, count(*) AS c, count(*) OVER (PARTITION BY cluster) AS kinds FROM members GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY c DESC, src) = 1)"""
+
+
+@query(f"""WITH {_TOPIC} SELECT t.cluster, CASE WHEN s.kinds = 1 OR s.c >= floor(t.n * 7 / 10) THEN src || ': ' ELSE '' END || dir || CASE WHEN d.c < floor(t.n * 7 / 10) THEN ' ' || ext ELSE '' END AS topic
+  FROM total t JOIN dirs d USING (cluster) JOIN exts e USING (cluster) JOIN srcs s USING (cluster)""")
+def cluster_topic(spark, sf):
+    return cluster.topics(_members(spark, sf))
+
+
+@query(f"""WITH {_MEMBERS}, m AS (SELECT cluster, round(round(avg({trust.freshness_sql('content_date', 'file_type')}), 9) * 100) / 100 AS freshness, {trust.corroboration_sql('count(DISTINCT source_name)')} AS corroboration,
+  round(round(avg({trust.consistency_sql('confidence_adj')}), 9) * 100) / 100 AS consistency, round(round(avg({trust.authority_sql('file_type')}), 9) * 100) / 100 AS authority FROM members GROUP BY 1)
+  SELECT *, {trust.overall_sql('freshness', 'corroboration', 'consistency', 'authority')} AS overall FROM m""")
+def cluster_confidence(spark, sf):
+    return cluster.confidence(_members(spark, sf))
+
+
+@query(f"""WITH {_MEMBERS}, p AS (SELECT cluster, list_sort(list_distinct(list(source_path))) AS l FROM members GROUP BY 1)
+  SELECT cluster, CASE WHEN len(l) > 5 THEN 'Covers ' || len(l) || ' files including ' ELSE 'Covers ' END || array_to_string(l[1:5], ', ') AS summary FROM p""")
+def cluster_summary(spark, sf):
+    return cluster.summaries(_members(spark, sf))
+
+
+@query(f"WITH {_MEMBERS} SELECT cluster, substr(sha256('unit:' || cluster || ':' || string_agg(id, ',' ORDER BY id)), 1, 16) AS unit_id, count(*) AS n FROM members GROUP BY 1")
+def knowledge_unit_ids(spark, sf):
+    return cluster.unit_ids(_members(spark, sf))
+
+
+@query("""WITH c AS (SELECT label::BIGINT AS unit, list(a ORDER BY pos) AS v FROM (SELECT label, pos, round(avg(x), 6) AS a FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+  d AS (SELECT q.vec_id AS query_id, unit, round(list_distance(q.embedding::DOUBLE[], c.v), 5) AS distance FROM embeddings q, c WHERE q.vec_id % 50 = 0)
+  SELECT query_id, unit, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit) AS rank FROM d) WHERE rank <= 5""")
+def unit_search(spark, sf):
+    means = centroids(spark, sf).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("centroid"))
+    out = vector.knn(means.withColumnRenamed("centroid", "embedding"), _vector_queries(spark, sf), 10, vec_id="label")
+    by = Window.partitionBy("query_id").orderBy(F.round("distance", 5), "vec_id")
+    return out.withColumn("rank", F.row_number().over(by).cast("long")).where("rank <= 5").select("query_id", F.col("vec_id").alias("unit"), "rank")
+
+
+# Evaluation: a result is relevant if its label is the query's.
+
+_RANKED = f"""{_NEAR}, ranked AS (SELECT n.query_id, n.rank, n.label = q.label AS relevant, q.label FROM near n JOIN embeddings q ON n.query_id = q.vec_id WHERE n.rank <= 21 AND n.vec_id <> n.query_id),
+  rk AS (SELECT query_id, label, relevant, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked)"""
+_EACH = f"""{_RANKED}, each AS (SELECT query_id, (label % 3)::VARCHAR AS category,
+  {', '.join(f'max(CASE WHEN relevant AND rank <= {k} THEN 1.0 ELSE 0.0 END)::DOUBLE AS recall_{k}' for k in evaluate.KS)},
+  {', '.join(f'round(sum(CASE WHEN relevant AND rank <= {k} THEN 1 ELSE 0 END)::DOUBLE / sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END), 6) AS precision_{k}' for k in evaluate.KS)},
+  round(coalesce(1.0::DOUBLE / min(CASE WHEN relevant THEN rank END), 0), 6) AS mrr,
+  {', '.join(f'max(CASE WHEN relevant AND rank <= {k} THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_{k}' for k in evaluate.HITS)} FROM rk GROUP BY query_id, label)"""
+
+
+def _each(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    labels = vectors.select("vec_id", "label")
+    near = vector.knn(vectors, _vector_queries(spark, sf), 21).where("vec_id <> query_id")
+    asked = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    by = Window.partitionBy("query_id").orderBy("rank")
+    ranked = near.withColumn("rank", F.row_number().over(by)).join(labels, "vec_id").join(asked, "query_id").select("query_id", "rank", (F.col("label") == F.col("wanted")).alias("relevant"), F.col("wanted").alias("found"))
+    queries = asked.select("query_id", (F.col("wanted") % 3).cast("string").alias("category"), F.lit(1).alias("n_expected"))
+    return evaluate.per_query(ranked, queries)
+
+
+@query(f"WITH {_EACH} SELECT * FROM each")
+def eval_per_query(spark, sf):
+    return _each(spark, sf)
+
+
+_METRICS = [*(f"recall_{k}" for k in evaluate.KS), *(f"precision_{k}" for k in evaluate.KS), "mrr", *(f"hit_{k}" for k in evaluate.HITS)]
+
+
+@query(f"WITH {_EACH} SELECT coalesce(category, 'overall') AS category, count(*) AS n, {', '.join(f'round(round(avg({m}), 9) * 100) / 100 AS {m}' for m in _METRICS)} FROM each GROUP BY GROUPING SETS ((category), ())")
+def eval_summary(spark, sf):
+    return evaluate.summary(_each(spark, sf)).withColumn("category", F.coalesce("category", F.lit("overall")))
+
+
+@query(f"""WITH {_EACH}, a AS (SELECT category, round(round(avg(mrr), 9) * 100) / 100 AS v FROM each GROUP BY GROUPING SETS ((category), ())),
+  b AS (SELECT category, round(round(avg(mrr), 9) * 100) / 100 AS o FROM each WHERE query_id % 100 = 0 GROUP BY GROUPING SETS ((category), ()))
+  SELECT coalesce(a.category, 'overall') AS category, v AS value, round(v - o, 6) AS change, CASE WHEN round(v - o, 6) > 0.005 THEN 'up' WHEN round(v - o, 6) < -0.005 THEN 'down' WHEN o IS NOT NULL THEN 'same' ELSE 'new' END AS sign
+  FROM a LEFT JOIN b ON a.category IS NOT DISTINCT FROM b.category""")
+def eval_delta(spark, sf):
+    each = _each(spark, sf)
+    return evaluate.delta(evaluate.summary(each), evaluate.summary(each.where("query_id % 100 = 0")), "mrr").withColumn("category", F.coalesce("category", F.lit("overall")))
+
+
+@query(f"WITH {FRAGMENTS_SQL} SELECT doc_id AS query_id, id, list_sort(list_filter(['src1/' || doc_id || '.md', doc_id || '.txt', 'x'], lambda e: e = source_path OR ends_with(source_path, '/' || e))) AS matches FROM fragments")
+def source_relevance(spark, sf):
+    rows = fragments(spark, sf, labels=False).select(F.col("doc_id").alias("query_id"), "id", "source_path")
+    d = F.col("query_id").cast("string")
+    expected = rows.select("query_id", F.explode(F.array(F.concat(F.lit("src1/"), d, F.lit(".md")), F.concat(d, F.lit(".txt")), F.lit("x"))).alias("expected"))
+    return evaluate.relevance(rows, expected).select("query_id", "id", "matches")
+
+
+@query("SELECT item_id AS query_id, contains(lower(text), lower(substr(text, 3, 6))) AND NOT item_id % 2 = 0 AS matched FROM benchmark")
+def content_match(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(1).alias("rank"), F.col("text").alias("content"))
+    needles = F.array(F.upper(F.substring("content", 3, 6)), F.when(F.col("query_id") % 2 == 0, F.lit("\u0001none")).otherwise(F.substring("content", 1, 1)))
+    return evaluate.content_match(rows, rows.select("query_id", needles.alias("needles")))
+
+
+# Latest rows, windows, scalars.
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def latest_per_key(spark, sf):
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+@query("SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def dedup_window(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"))
+    return rows.dropDuplicates(["user_id", "event_type", "day"])
+
+
+@query("""SELECT doc_id, CASE WHEN a < 1 THEN 'today' WHEN a < 30 THEN a || ' day' || CASE WHEN a = 1 THEN '' ELSE 's' END || ' ago' WHEN a < 365 THEN (a // 30) || ' month' || CASE WHEN a // 30 = 1 THEN '' ELSE 's' END || ' ago'
+    ELSE (a // 365) || ' year' || CASE WHEN a // 365 = 1 THEN '' ELSE 's' END || ' ago' END AS age,
+  CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%d B', n) END AS size,
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, CASE WHEN length(source) < 8 THEN '****' ELSE left(source, 4) || '****' END AS secret
+  FROM (SELECT *, doc_id % 800 AS a, n_chars * 7 AS n FROM documents)""")
+def formatted_values(spark, sf):
+    days, n = F.col("doc_id") % 800, F.col("n_chars") * 7
+    return table(spark, sf, "documents").select("doc_id", X.age(days).alias("age"), X.size(n).alias("size"), X.words(F.col("text")).cast("long").alias("words"), X.mask(F.col("source")).alias("secret"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split('a, ,' || source || ' ,' || lang, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM documents")
+def split_values(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.split_csv(F.concat(F.lit("a, ,"), "source", F.lit(" ,"), "lang")), "|").alias("parts"))
+
+
+@query("SELECT source, 'data/' || source AS common FROM documents GROUP BY 1 HAVING count(*) > 1")
+def common_directories(spark, sf):
+    path = F.concat(F.lit("data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/f.md"))
+    first = table(spark, sf, "documents").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("k <= 5")
+    return first.groupBy("source").agg(F.collect_list(path).alias("p"), F.count("*").alias("n")).where("n > 1").select("source", X.common_directory(F.col("p")).alias("common"))
+
+
+@query("""SELECT doc_id, NOT (doc_id % 6 IN (1, 2, 3, 4)) AS wanted FROM documents""")
+def scan_predicates(spark, sf):
+    name = F.element_at(F.array(F.lit("src/a.py"), F.lit("node_modules/x.js"), F.lit(".hidden/y.md"), F.lit("lib/z.min.js"), F.lit("img/p.PNG"), F.lit("docs/_idx.md")), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", files.wanted(name, F.lit(100)).alias("wanted"))
+
+
+@query("""SELECT source || '/' || doc_id || '.md' AS path, 'deleted' AS state FROM documents WHERE doc_id % 4 IN (2, 3) UNION ALL SELECT source || '/' || doc_id || '.md', 'changed' FROM documents WHERE doc_id % 4 IN (0, 1)
+  UNION ALL SELECT 'new/' || doc_id || '.md', 'changed' FROM documents WHERE doc_id % 4 = 3""")
+def git_name_status(spark, sf):
+    status = F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R100")), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = F.col("doc_id").cast("string")
+    rows = table(spark, sf, "documents").select(status.alias("status"), F.concat("source", F.lit("/"), d, F.lit(".md")).alias("path"), F.concat(F.lit("new/"), d, F.lit(".md")).alias("new_path"))
+    return files.name_status(rows)
+
+
+@query("SELECT 'f' || (event_id % 100) AS path, max(ts) AS date, arg_max(user_id, (ts, event_id))::VARCHAR AS author FROM events GROUP BY 1")
+def git_last_change(spark, sf):
+    rows = table(spark, sf, "events").select(F.concat(F.lit("f"), (F.col("event_id") % 100).cast("string")).alias("path"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id").alias("date"), F.col("user_id").cast("string").alias("author"))
+    return files.git_log(rows).select("path", F.col("date.ts").alias("date"), "author")
+
+
+# Streams.
+
+
+@query()
+def stream_daily(spark, sf):
+    from .streaming import ingest as streams
+
+    schema = table(spark, sf, "events").schema
+    return streams.run_to_memory(streams.daily_counts(streams.table_stream(spark, sf, "events", schema)), "stream_daily")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id AS root, min(ts) AS "from", max(ts) + INTERVAL 1 HOUR AS "to", count(*) AS n FROM g GROUP BY user_id, k""")
+def debounced_changes(spark, sf):
+    from .streaming import ingest as streams
+
+    return streams.debounced(table(spark, sf, "events"), "user_id", "ts", quiet="1 hour")
