@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +24,9 @@ def query_words(query: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(query), r"\s+"), lambda w: F.replace(w, F.lit('"'), F.lit(""))), lambda w: w != "")
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, text: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """term, doc_id, tf, positions, dl of every term of every document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     rows = rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.posexplode("t").alias("pos", "term"))
     return rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -39,19 +41,19 @@ def source_filter(names: list[str] = (), types: list[str] = ()) -> Column:
     return keep
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """query_id, doc_id, score (rounded), rank of the k best documents that hold every phrase of the query.
 
     A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
     beside others. Only postings of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
-    those of all documents."""
+    those of all documents. ``tokenizer`` makes tokens of texts and query words (``stem.tokens`` for stems)."""
     phrases = queries.select(F.col(query_id).alias("query_id"), F.posexplode(query_words(F.col(query))).alias("n", "word"))
-    phrases = phrases.select("query_id", tokens(F.col("word")).alias("p")).where(F.size("p") > 0).distinct()
+    phrases = phrases.select("query_id", tokenizer(F.col("word")).alias("p")).where(F.size("p") > 0).distinct()
     phrases = phrases.withColumn("n_phrases", F.count("*").over(Window.partitionBy("query_id")))
     each = phrases.select("p").distinct()
     terms = each.select(F.explode("p").alias("term")).distinct()
     few = terms.count() <= SENT_TERMS
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
     total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
     placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
     held = placed.join(F.broadcast(terms) if few else terms, "term")
