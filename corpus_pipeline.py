@@ -23,12 +23,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text of which no language's value stands out has a smaller score.
 LEAST_SCORE = 0.3
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 1000
+
 _tables = {"from": None}
 
 
 def _begin(spark: SparkSession) -> None:
     """Remove the tables of the stage before: its result has been written since."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     now = shared.made()
     if _tables["from"] is not None:
         shared.remove_made(spark, _tables["from"], now)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import utf8
+from .shared import lean, utf8
 
 WINDOW = 10
 SHINGLE = 2
@@ -85,7 +85,7 @@ def count_shingles(docs: DataFrame, text: str, wanted: list[bytes]) -> dict[byte
             [pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["shingle", "n"]
         )
 
-    rows = docs.select(text).mapInArrow(run, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(lean(run), "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
     return {wanted[r["shingle"]]: r["n"] for r in rows}
 
 
@@ -187,7 +187,7 @@ def annotate(docs: DataFrame, bench: DataFrame, *, text: str = "text", item: str
                     found.append({"n_words": len(words), "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in merged(spans)]})
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _FOUND_ARROW)], ["row", "t", "found"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out.select("row", "found")
 
 

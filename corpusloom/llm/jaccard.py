@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, mix, parts_for, segment_hashes, utf8
+from .shared import lean, materialise, mix, parts_for, segment_hashes, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -50,10 +50,12 @@ TABLE = 1 << 20
 #: Bits of a shingle's hash by which it is counted; others of equal bits only make it look more frequent.
 TOKEN_BITS = 40
 STARS = 3
+#: Ranges of tokens to a partition.
+RANGES = 8
 #: Bits of the bitmap of documents whose texts are asked for, 64 to a row.
 BITMAP = 1 << 24
-_BLOCK = 4 << 20
-_TALLY = 6_000_000
+_BLOCK = 1 << 20
+_TALLY = 1_000_000
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _NO_ID = -(1 << 63)
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
@@ -144,7 +146,7 @@ def frequent(docs: DataFrame, text: str, words: int, least: int) -> tuple[np.nda
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            found = [*_packets(np.concatenate(held), 4 * n_parts)]
+            found = [*_packets(np.concatenate(held), RANGES * n_parts)]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "packet"])
 
         for batch in batches:
@@ -158,10 +160,13 @@ def frequent(docs: DataFrame, text: str, words: int, least: int) -> tuple[np.nda
             yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_unpacked(b) for batch in batches for b in batch.column(1).to_pylist()]
-        if found:
+        packets: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packets.setdefault(p, []).append(body)
+        while packets:  # a range at a time: equal tokens are in one range
+            found = [_unpacked(body) for body in packets.popitem()[1]]
             tokens, counts = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            del found
             order = np.argsort(tokens)
             tokens, counts = tokens[order], counts[order]
             first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -169,7 +174,7 @@ def frequent(docs: DataFrame, text: str, words: int, least: int) -> tuple[np.nda
             keep = df >= least
             yield pa.RecordBatch.from_arrays([pa.array(tokens[first][keep].astype(np.int64)), pa.array(df[keep])], ["token", "df"])
 
-    table = rows.mapInArrow(tally, "part int, packet binary").repartition(n_parts, "part").mapInArrow(add, "token long, df long")
+    table = rows.mapInArrow(lean(tally), "part int, packet binary").repartition(n_parts, "part").mapInArrow(lean(add), "token long, df long")
     table = materialise(table, "frequent")
     # The least df at which the table is small enough, from a histogram by powers of 2^(1/4).
     bins = {r["b"]: r["n"] for r in table.groupBy(F.floor(4 * F.log2("df")).alias("b")).agg(F.count("*").alias("n")).collect()}
@@ -271,7 +276,7 @@ def index(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, cla
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(last, pa.int64()), *lists], ["doc_id", "n", "class", "last", "entries", "marks"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(run, "doc_id long, n long, class long, last long, entries array<long>, marks array<int>"), "jaccard")
+    return materialise(rows.mapInArrow(lean(run), "doc_id long, n long, class long, last long, entries array<long>, marks array<int>"), "jaccard")
 
 
 class Texts:
@@ -307,7 +312,7 @@ class Texts:
                 good = [set_number(s) == c for s, c in zip(shingle_sets(batch.column(1), words), batch.column(0).to_pylist(), strict=True)]
                 yield batch.filter(pa.array(good, pa.bool_()))
 
-        texts = found.select("class", "text").mapInArrow(own, "class long, text string").dropDuplicates(["class"])
+        texts = found.select("class", "text").mapInArrow(lean(own), "class long, text string").dropDuplicates(["class"])
         return materialise(texts, "jaccard-texts")
 
 
@@ -350,7 +355,7 @@ def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     table = texts.of(pairs)
     left, right = table.select(F.col("class").alias("a"), F.col("text").alias("ta")), table.select(F.col("class").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return materialise(joined.mapInArrow(check, "a long, b long"), "jaccard-links")
+    return materialise(joined.mapInArrow(lean(check), "a long, b long"), "jaccard-links")
 
 
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:

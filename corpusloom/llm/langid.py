@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import materialise, utf8
+from .shared import lean, materialise, utf8
 
 SAMPLE = 600
 LANDMARKS = 40
@@ -40,7 +40,7 @@ UNKNOWN = "und"
 TABLES = (256, 4096, 16384)
 WIDTH = sum(TABLES)
 _FOLD = np.array([b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)], np.uint8)
-_BATCH_TEXTS, _BATCH_BYTES = 256, 2 << 20
+_BATCH_TEXTS, _BATCH_BYTES = 64, 1 << 19
 
 
 def presence(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
             found = [np.packbits(presence(*_joined([e]))[0] > 0).tobytes() for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for e in _examples(t)[k % 4 : k % 4 + 1] or _examples(t)[:1]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["bits"])
 
-    rows = [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:WIDTH] for r in marks.mapInArrow(bits, "bits binary").collect()]
+    rows = [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:WIDTH] for r in marks.mapInArrow(lean(bits), "bits binary").collect()]
     if not rows:
         return Model([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32))
     z = np.unique(np.array(rows, np.uint8), axis=0).astype(np.float32)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
                 out += [x.tobytes() for x in k.astype("<f4")]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["lang", "k"])
 
-    found = sorted((r["lang"], r["k"]) for r in taken.mapInArrow(values, "lang string, k binary").collect())
+    found = sorted((r["lang"], r["k"]) for r in taken.mapInArrow(lean(values), "lang string, k binary").collect())
     languages = sorted({x[0] for x in found})
     knm = np.array([np.frombuffer(x[1], "<f4") for x in found], np.float64)
     y = np.where(np.array([x[0] for x in found])[:, None] == np.array(languages)[None], 1.0, -1.0)
@@ -169,7 +169,7 @@ def annotate(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import materialise, parts_for, ragged, utf8
+from .shared import lean, materialise, parts_for, ragged, utf8
 from .tokenfile import crcs, ended
 from .tokens import encoder
 
@@ -68,7 +68,7 @@ def tokenised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", so
                     ["part", "source", "doc_id", "first", "n", "ids"],
                 )
 
-    return materialise(rows.mapInArrow(run, "part int, source string, doc_id long, first long, n long, ids binary"), "packing")
+    return materialise(rows.mapInArrow(lean(run), "part int, source string, doc_id long, first long, n long, ids binary"), "packing")
 
 
 def served(totals: np.ndarray, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -187,12 +187,12 @@ def pack(docs: DataFrame, *, length: int = LENGTH, least: int = LEAST, targets:
             sizes = batch.column(3).to_numpy()
             sums = np.concatenate([[0], np.cumsum(sizes)])
             while low < len(sizes):
-                high = max(low + 1, int(np.searchsorted(sums, sums[low] + (1 << 21), "right")) - 1)
+                high = max(low + 1, int(np.searchsorted(sums, sums[low] + (1 << 19), "right")) - 1)
                 yield from _pieces(batch.slice(low, high - low), place, whole, of)
                 low = high
 
     schema = T.StructType.fromDDL("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _pieces(batch: pa.RecordBatch, place: dict, whole: np.ndarray, of) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,23 @@ def remove_made(spark: SparkSession, first: int, last: int) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While an action runs, send texts to Python in batches of at most ``rows``: a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +76,29 @@ def parts_for(df: DataFrame, mb: int = 32) -> int:
     return least if size >= 1 << 60 else max(least, min(200_000, size // (mb << 20) + 1))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    import ctypes
+
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim_heap = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim_heap is not None:
+        trim_heap(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task's function on batches that gives its memory back when it is done."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary array; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import _BASE, _INVERSE, _VALUE, _power, materialise, mix, parts_for, ragged, utf8
+from .shared import _power, lean, materialise, mix, parts_for, ragged, utf8, _BASE, _INVERSE, _VALUE
 
 LENGTH = 100
 GRAM = 40
 #: Bytes of text whose anchors are found at once, contexts held by a task before they are sent, bytes of a suffix array.
-BLOCK, HELD, SHARD = 2 << 20, 1_000_000, 3 << 20
+BLOCK, HELD, SHARD = 1 << 19, 150_000, 1 << 19
+#: Ranges of grams to a partition.
+RANGES = 8
 #: Different names up to which the string of names is sorted by induction again.
 FEW = 1024
 _NO_ID = -(1 << 63)
@@ -253,6 +255,13 @@ def _from_planes(b: memoryview, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
 
 
+def _columns(body: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The arrays of a packet: a byte that tells its kind, then planes."""
+    view = memoryview(body)[1:]
+    step = len(view) // len(kinds)
+    return [_from_planes(view[k * step : (k + 1) * step], kind) for k, kind in enumerate(kinds)]
+
+
 def _merge(doc: np.ndarray, version: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans of documents, those that touch made one."""
     order = np.lexsort((low, version, doc))
@@ -295,9 +304,9 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             every = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
             first, spans = _settle(every, length)
-            part = (first["gram"] >> np.uint64(40)).astype(np.int64) * (4 * n_parts) >> 24
+            part = (first["gram"] >> np.uint64(40)).astype(np.int64) * (RANGES * n_parts) >> 24
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(4 * n_parts + 1))
+            edges = np.searchsorted(part[order], np.arange(RANGES * n_parts + 1))
             parts, bodies = [], []
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 rows = order[edges[p] : edges[p + 1]]
@@ -305,10 +314,10 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 parts.append(p)
                 bodies.append(b"\0" + b"".join(_planes(first[k][rows]) for k in _COLUMNS))
             doc = spans[0]
-            cut = np.linspace(0, len(doc), max(1, min(4 * n_parts, len(doc) // 2000)) + 1).astype(int)
+            cut = np.linspace(0, len(doc), max(1, min(RANGES * n_parts, len(doc) // 2000)) + 1).astype(int)
             for k, (a, b) in enumerate(zip(cut, cut[1:])):
                 if b > a:
-                    parts.append((k * 7 + int(doc[a])) % (4 * n_parts))
+                    parts.append((k * 7 + int(doc[a])) % (RANGES * n_parts))
                     bodies.append(b"\1" + b"".join(_planes(x[a:b]) for x in spans))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], ["part", "body"])
 
@@ -330,25 +339,24 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packets: list[list[np.ndarray]] = []
+        kinds = ["<i8"] * 4 + ["<u8"] * 2
+        packets: dict[int, list[bytes]] = {}
         spans: list[list[np.ndarray]] = []
         for batch in batches:
-            for body in batch.column(1).to_pylist():
-                view = memoryview(body)[1:]
-                n = 6 if body[0] == 0 else 4
-                step = len(view) // n
-                kinds = ["<i8"] * 4 + ["<u8"] * 2
-                (packets if n == 6 else spans).append([_from_planes(view[k * step : (k + 1) * step], kinds[k]) for k in range(n)])
-        if packets:
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if body[0] == 0:
+                    packets.setdefault(p, []).append(body)
+                else:
+                    spans.append(_columns(body, kinds[:4]))
+        while packets:  # a range at a time: equal grams are in one range
+            found = [_columns(body, kinds) for body in packets.popitem()[1]]
             # Grams that come once repeat nothing.
-            grams = np.concatenate([p[4] for p in packets])
+            grams = np.concatenate([p[4] for p in found])
             order = np.argsort(grams)
             same = grams[order][1:] == grams[order][:-1]
             keep = np.zeros(len(grams), bool)
             keep[order[1:][same]] = keep[order[:-1][same]] = True
-            cols = {k: np.concatenate([p[c] for p in packets])[keep] for c, k in enumerate(_COLUMNS)}
-            del packets, grams, order
-            first, settled = _settle(cols, length)
+            first, settled = _settle({k: np.concatenate([p[c] for p in found])[keep] for c, k in enumerate(_COLUMNS)}, length)
             spans.append([*settled])
             order = np.argsort(first["gram"], kind="stable")
             g = first["gram"][order]
@@ -365,7 +373,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             found = _merge(*(np.concatenate([s[k] for s in spans]) for k in range(4)))
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.nulls(len(found[0]), pa.int64())], ["key", "version", "low", "high", "gram"])
 
-    met = docs.select("key", "version", "text").mapInArrow(send, "part int, body binary").repartition(n_parts, "part").mapInArrow(meet, schema)
+    met = docs.select("key", "version", "text").mapInArrow(lean(send), "part int, body binary").repartition(n_parts, "part").mapInArrow(lean(meet), schema)
     met = materialise(met, "suffix-contexts")
     asked = met.where("gram is not null").groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "gram")).alias("asked"))
 
@@ -390,7 +398,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 )
 
     fetched = docs.join(asked, ["key", "version"]).select("key", "version", "text", "asked")
-    fetched = fetched.mapInArrow(fetch, "gram long, key long, version long, low long, context binary").repartition(n_parts, "gram").sortWithinPartitions("gram")
+    fetched = fetched.mapInArrow(lean(fetch), "gram long, key long, version long, low long, context binary").repartition(n_parts, "gram").sortWithinPartitions("gram")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -425,7 +433,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield shard(held)
 
-    decided = materialise(fetched.mapInArrow(decide, "key long, version long, low long, high long"), "suffix-spans")
+    decided = materialise(fetched.mapInArrow(lean(decide), "key long, version long, low long, high long"), "suffix-spans")
     return met.where("gram is null").drop("gram").unionByName(decided)
 
 
@@ -474,7 +482,7 @@ def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span)), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], ["row", "spans", "kept", "kept_text"])
 
     schema = T.StructType([joined.schema["row"], T.StructField("spans", T.ArrayType(T.StructType.fromDDL("low long, high long"))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

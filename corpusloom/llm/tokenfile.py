@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, parts_for
+from .shared import fresh_path, lean, parts_for, small_batches
 from .tokens import encoder
 
 MAGIC = b"CLPFOR01"
@@ -224,7 +224,8 @@ def write(docs: DataFrame, to: str, *, doc_id: str = "doc_id", text: str = "text
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    found = rows.mapInArrow(run, "part int, path string, n_docs long, n_ids long").collect()
+    with small_batches(docs.sparkSession):
+        found = rows.mapInArrow(lean(run), "part int, path string, n_docs long, n_ids long").collect()
     return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(found)]
 
 
@@ -252,7 +253,7 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], base: str) -> D
                         })
 
     listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store(docs: DataFrame, **options) -> DataFrame:

@@ -12,9 +12,11 @@ import pyarrow as pa
 
 from .shared import ragged, segment_hashes, utf8
 
-KEPT = 1_000_000
-BLOCK = 12 << 20
-_JOINED = 2000
+KEPT = 400_000
+BLOCK = 1 << 20
+#: New pieces that are gathered before they are sorted among the others.
+FRESH = 60_000
+_JOINED, _SENT = 2000, 10
 #: Fixed by UTF-8: first and second bytes of the blanks beyond ASCII.
 _WIDE_BLANK = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
 
@@ -37,6 +39,30 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.searchsorted(starts, at))
 
 
+class _Known:
+    """Pieces by hash, sorted, with places in their concatenated ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, whether it is known) of each wanted hash."""
+        start, size, hit = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int32), np.zeros(len(wanted), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            hit = self.hashes[at] == wanted
+            start[hit], size[hit] = self.starts[at[hit]], self.sizes[at[hit]]
+        return start, size, hit
+
+    def add(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])[order]
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class Encoder:
     def __init__(self, path: str | None = None, name: str = "byte_bpe_50k.json"):
         from tokenizers import Tokenizer
@@ -54,7 +80,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        self.tables = [_Known(self.dtype), _Known(self.dtype)]  # many pieces, and those since they were sorted
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,8 +94,8 @@ class Encoder:
         k = int(plain.sum())
         pieces = [data[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
         out: list[np.ndarray] = []
-        for i in range(0, k, 100 * _JOINED):
-            joined = [b"".join(pieces[j : min(j + _JOINED, k)]).decode() for j in range(i, min(i + 100 * _JOINED, k), _JOINED)]
+        for i in range(0, k, _SENT * _JOINED):
+            joined = [b"".join(pieces[j : min(j + _JOINED, k)]).decode() for j in range(i, min(i + _SENT * _JOINED, k), _JOINED)]
             out += self._encode(joined)
         if k:
             ids = np.concatenate(out)
@@ -93,27 +119,25 @@ class Encoder:
         ends = np.append(starts[1:], len(raw))
         hashes = segment_hashes(raw, starts, ends)
         found, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, found)
-        hit = place < len(self.hashes)
-        hit[hit] = self.hashes[place[hit]] == found[hit]
+        many, few = self.tables
+        begin, size, hit = many.find(found)
+        begin_, size_, hit_ = few.find(found)
+        begin[hit_], size[hit_] = begin_[hit_] + len(many.ids), size_[hit_]
+        hit |= hit_
         new = np.sort(first[~hit])
-        begin, size = np.zeros(len(found), np.int64), np.zeros(len(found), np.int32)
-        begin[hit], size[hit] = self.starts[place[hit]], self.sizes[place[hit]]
-        ids = self.ids
+        ids = np.concatenate([many.ids, few.ids])
         if len(new):
             more, sizes = self._pieces(raw, starts[new], ends[new])
             slot = where[new]
-            begin[slot] = len(ids) + np.cumsum(sizes) - sizes
-            size[slot] = sizes
+            place = np.cumsum(sizes) - sizes
+            begin[slot], size[slot] = len(ids) + place, sizes
             ids = np.concatenate([ids, more])
-            if len(self.hashes) + len(new) > KEPT:
+            few.add(found[slot], place, sizes, more)
+            if len(many.hashes) + len(few.hashes) > KEPT:
                 self._forget()
-            else:
-                hashes = np.concatenate([self.hashes, found[~hit]])
-                order = np.argsort(hashes, kind="stable")
-                self.hashes, self.ids = hashes[order], ids
-                self.starts = np.concatenate([self.starts, begin[~hit]])[order]
-                self.sizes = np.concatenate([self.sizes, size[~hit]])[order]
+            elif len(few.hashes) > FRESH:
+                many.add(few.hashes, few.starts, few.sizes, few.ids)
+                self.tables[1] = _Known(self.dtype)
         lengths = size[where].astype(np.int64)
         out = ids[ragged(begin[where], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])

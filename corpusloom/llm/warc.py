@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path
+from .shared import fresh_path, lean
 
 CHUNK = 1 << 16
 LEVEL = 4
@@ -101,7 +101,7 @@ def write(rows: DataFrame, to: str, *, level: int = LEVEL) -> list[str]:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n"])
 
-    return sorted(r["path"] for r in rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n long").collect())
+    return sorted(r["path"] for r in rows.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(run), "path string, n long").collect())
 
 
 def members(stream) -> Iterator[bytes]:
@@ -186,7 +186,7 @@ def read(spark: SparkSession, paths: list[str], base: str, *, payloads: bool = T
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     kind = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return files.mapInArrow(run, kind)
+    return files.mapInArrow(lean(run), kind)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
