@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from .shared import ragged, segment_hashes, utf8
 
-KEPT = 400_000
+KEPT = 1_200_000
 BLOCK = 1 << 20
 #: New pieces that are gathered before they are sorted among the others.
 FRESH = 60_000
