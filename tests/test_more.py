@@ -96,3 +96,30 @@ def test_evaluation_files(spark, tmp_path):
     assert cases.first()["expected_sources"] == ["a.md"]
     results.save(cases.select("id", "query"), f"file://{tmp_path}/out")
     assert results.load(spark, f"file://{tmp_path}/out", "id string, query string").first()["query"] == "q"
+
+
+def test_corpus_from_end_to_end(spark, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    root, store = tmp_path / "docs", f"file://{tmp_path}/store"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.md").write_text("# Retry\n\n## Backoff\nretry with exponential backoff\n")
+    (root / "sub" / "b.py").write_text("def retry():\n    return 1\n\ndef other():\n    return 2\n")
+
+    def run(*args):
+        main([store, *args])
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    assert run("ingest", str(root), "--name", "n") == [{"changed": 2, "deleted": 0}]
+    assert run("ingest", str(root), "--name", "n") == [{"changed": 0, "deleted": 0}]
+    found = run("query", "exponential backoff", "--limit", "3")
+    assert found[0]["source_path"] == "a.md" and 0 < found[0]["overall"] <= 1
+    (root / "a.md").unlink()
+    (root / "sub" / "b.py").write_text("def retry():\n    return 3\n")
+    assert run("ingest", str(root), "--name", "n") == [{"changed": 1, "deleted": 1}]
+    assert [(r["source_name"], r["fragments"]) for r in run("sources")] == [("n", 1)]
+    run("export", f"file://{tmp_path}/out")
+    assert len((next((tmp_path / "out" / "tensors").glob("part-*.txt"))).read_text().split("\t")) == 64
+    run("backup", f"file://{tmp_path}/backup")
+    run("restore", f"file://{tmp_path}/backup")
+    assert [r["fragments"] for r in run("sources")] == [1]
