@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-META = "---KB_META---"
+META = "---META---"
 
 
 def citations(answer: Column) -> Column:

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Distances that are held at once.
+TILE = 2_000_000
 DIGITS = 6
 
 
@@ -35,18 +37,20 @@ def blend(a: Column, b: Column, weight: float = 0.3) -> Column:
     return normalise(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") + F.lit(weight) * y.cast("double")))
 
 
-def _best(held: list, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> list:
-    """(ids, distances) of the k best so far for each query, by distance to DIGITS, then id."""
+def _best(held: list, worst: np.ndarray, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> None:
+    """Bring the k best (ids, distances) of each query up to date, by distance to DIGITS, then id. Only queries for which a row
+    comes as near as their k-th best are looked at, so most batches cost one matrix product."""
     near = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * queries @ vectors.T
-    out = []
-    for q, row in enumerate(near):
-        worst = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-        at = np.flatnonzero(row <= worst + 1e-4)
+    for q in np.flatnonzero(near.min(axis=1) <= worst + 1e-4).tolist():
+        row = near[q]
+        least = min(worst[q], np.partition(row, k - 1)[k - 1]) if len(row) > k else worst[q]
+        at = np.flatnonzero(row <= least + 1e-4)
         d = np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
         i, d = np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], d])
         order = np.lexsort((i, np.round(d, DIGITS)))[:k]
-        out.append((i[order], d[order]))
-    return out
+        held[q] = (i[order], d[order])
+        if len(order) == k:
+            worst[q] = (d[order[-1]] + 10.0**-DIGITS) ** 2
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -68,6 +72,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked = sent.value
             held = {d: [(np.zeros(0, np.int64), np.zeros(0))] * len(q) for d, (q, _) in asked.items()}
+            worst = {d: np.full(len(q), np.inf) for d, (q, _) in asked.items()}
             for batch in batches:
                 ids, column = batch.column(0).to_numpy(), batch.column(1)
                 sizes = np.diff(column.offsets.to_numpy())
@@ -75,9 +80,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
                 starts = np.cumsum(sizes) - sizes
                 for d, (_, q) in asked.items():
                     at = np.flatnonzero(sizes == d)
-                    for i in range(0, len(at), 4096):
-                        part = at[i : i + 4096]
-                        held[d] = _best(held[d], ids[part], flat[starts[part][:, None] + np.arange(d)], q, k)
+                    step = max(64, TILE // max(1, len(q)))
+                    for i in range(0, len(at), step):
+                        part = at[i : i + step]
+                        _best(held[d], worst[d], ids[part], flat[starts[part][:, None] + np.arange(d)], q, k)
             for d, (names, _) in asked.items():
                 for name, (i, dist) in zip(names.tolist(), held[d], strict=True):
                     if len(i):
