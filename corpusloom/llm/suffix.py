@@ -9,7 +9,7 @@ anchor's hash. Neighbouring strings share anchors, so what is sent is not string
 that have one occurrence of an anchor, by place and hash. Of equal contexts in a task the first is sent and the
 others are settled on the spot (all of their strings start earlier), and likewise in a shard: so copies of a document
 or a passage are pre-aggregated, however many. Anchors that occur once repeat nothing. What is left, the different
-contexts of repeated anchors, is fetched from the texts and decided by the shard's suffix array.
+contexts of repeated anchors (those of crowded anchors split by the bytes on their left and right), is fetched from the texts and decided by the shard's suffix array.
 
 Suffix array. ``suffix_array`` classifies suffixes by SA-IS's types, sorts the leftmost-smaller substrings by an
 induced pass, names them, sorts the string of names (by the same routine while it has few different names, else by
@@ -38,8 +38,8 @@ LENGTH = 100
 GRAM = 40
 #: Bytes of text whose anchors are found at once, contexts held by a task before they are sent, bytes of a suffix array.
 BLOCK, HELD, SHARD = 1 << 19, 150_000, 1 << 19
-#: Ranges of grams to a partition.
-RANGES = 8
+#: Ranges of grams to a partition, and contexts of one anchor beyond which they are told apart by the bytes beside it.
+RANGES, CROWD = 8, 64
 #: Different names up to which the string of names is sorted by induction again.
 FEW = 1024
 _NO_ID = -(1 << 63)
@@ -295,7 +295,7 @@ def _settle(cols: dict[str, np.ndarray], length: int) -> tuple[dict[str, np.ndar
 def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans (key, version, low, high) to remove, of docs(key, version, text)."""
     n_parts = parts_for(docs)
-    schema = "key long, version long, low long, high long, gram long"
+    schema = "key long, version long, low long, high long, anchor long, gram long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -366,37 +366,61 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             rows = order[several]
             low = first["low"][rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (first["doc"][rows], first["version"][rows], low, low + (first["shape"][rows] & 0xFFFFF) + length, first["gram"][rows].view(np.int64))],
-                ["key", "version", "low", "high", "gram"],
+                [pa.array(x, pa.int64()) for x in (first["doc"][rows], first["version"][rows], low, low + (first["shape"][rows] & 0xFFFFF) + length, low + (first["shape"][rows] >> 20), first["gram"][rows].view(np.int64))],
+                ["key", "version", "low", "high", "anchor", "gram"],
             )
         if spans:
             found = _merge(*(np.concatenate([s[k] for s in spans]) for k in range(4)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.nulls(len(found[0]), pa.int64())], ["key", "version", "low", "high", "gram"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.int64())], ["key", "version", "low", "high", "anchor", "gram"])
 
     met = docs.select("key", "version", "text").mapInArrow(lean(send), "part int, body binary").repartition(n_parts, "part").mapInArrow(lean(meet), schema)
     met = materialise(met, "suffix-contexts")
-    asked = met.where("gram is not null").groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "gram")).alias("asked"))
+    open_ = met.where("gram is not null")
+    often = open_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("gram", F.lit(True).alias("crowd"))
+    open_ = open_.join(often, "gram", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    asked = open_.groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "crowd", "gram")).alias("asked"))
+    half = (length - gram) // 2
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(2))
-            raw = raw.tobytes()
             asked = batch.column(3)
             edges = asked.offsets.to_numpy()
             flat = asked.values
-            low, high, grams = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            low, high, anchor, crowd, grams = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             many = np.diff(edges)
             row = np.repeat(np.arange(batch.num_rows), many)
             take = ragged(edges[:-1].astype(np.int64), many)
-            begin, end = at[row] + low[take], at[row] + high[take]
+            low, high, anchor, crowd, grams = low[take], high[take], anchor[take], crowd[take], grams[take].view(np.uint64)
+            # The strings of a crowded anchor reach ``half`` bytes to its left, or as many to its right: those that do the one are
+            # kept apart by the bytes there, and so are those that do the other.
+            first = np.where(crowd, np.maximum(low, anchor - half + 1), low)
+            second = crowd & (low <= anchor - half)
+            own = crowd & (first <= high - length)
+            key = grams.copy()
+            key[own] = mix(grams[own] * _ODD + segment(raw, at[row[own]] + anchor[own] + gram, half))
+            left = np.minimum(high, anchor - half + length)
+            keep = ~crowd | own
+            row2, low2, high2 = row[second], low[second], left[second]
+            key2 = mix(grams[second] + segment(raw, at[row2] + anchor[second] - half, half) * _ODD)
+            row, low, high, key = (np.concatenate(x) for x in ((row[keep], row2), (first[keep], low2), (high[keep], high2), (key[keep], key2)))
+            body = raw.tobytes()
+            begin, end = at[row] + low, at[row] + high
             for i in range(0, len(row), 20_000):
                 s = slice(i, i + 20_000)
-                texts = [raw[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)]
+                texts = [body[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[take[s]]), batch.column(0).take(pa.array(row[s])), batch.column(1).take(pa.array(row[s])), pa.array(low[take[s]]), pa.array(texts, pa.binary())],
+                    [pa.array(key[s].view(np.int64)), batch.column(0).take(pa.array(row[s])), batch.column(1).take(pa.array(row[s])), pa.array(low[s]), pa.array(texts, pa.binary())],
                     ["gram", "key", "version", "low", "context"],
                 )
 
+    def segment(raw: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of n bytes from each start."""
+        out = np.full(len(starts), n, np.uint64)
+        for k in range(n):
+            out = mix(out * _BASE + raw[starts + k])
+        return out
+
     fetched = docs.join(asked, ["key", "version"]).select("key", "version", "text", "asked")
     fetched = fetched.mapInArrow(lean(fetch), "gram long, key long, version long, low long, context binary").repartition(n_parts, "gram").sortWithinPartitions("gram")
 
@@ -434,7 +458,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield shard(held)
 
     decided = materialise(fetched.mapInArrow(lean(decide), "key long, version long, low long, high long"), "suffix-spans")
-    return met.where("gram is null").drop("gram").unionByName(decided)
+    return met.where("gram is null").drop("anchor", "gram").unionByName(decided)
 
 
 def annotate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -72,8 +72,9 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram", [(100, 40), (12, 5), (6, 6)])
-def test_removal(spark, length, gram):
+@pytest.mark.parametrize("length,gram,crowd", [(100, 40, 64), (100, 40, 1), (12, 5, 64), (12, 5, 1), (13, 6, 1), (7, 6, 1), (6, 6, 64)])
+def test_removal(spark, monkeypatch, length, gram, crowd):
+    monkeypatch.setattr(suffix, "CROWD", crowd)
     rng = random.Random(length)
     words = ["ab", "é", "cd ", "the ", "\n", "日"]
     text = lambda n: "".join(rng.choice(words) for _ in range(n))
@@ -97,8 +98,10 @@ def test_removal(spark, length, gram):
     assert got == brute(rows, length)
 
 
-def test_small_shards(spark, monkeypatch):
-    """Shards that end inside a batch, and contexts sent in several packets."""
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_small_shards(spark, monkeypatch, crowd):
+    """Contexts of passages in many places, with crowded anchors split and not."""
+    monkeypatch.setattr(suffix, "CROWD", crowd)
     rng = random.Random(8)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(80)) + passage[rng.randint(0, 99) :] + str(i)) for i in range(150)]
