@@ -7,7 +7,7 @@ fixed in size, so that a batch of texts is a matrix of zeros and ones); K(x, z)
 Learner: one-versus-rest kernel ridge regression over Nystroem landmarks. At most SAMPLE documents of each language
 (those of least hash of their id) give examples: the whole text, and a span of each of SPANS bytes from its middle,
 so that short texts are learnt too. LANDMARKS of each language are the landmarks; the weights solve
-(Knm' Knm + ridge n Kmm) a = Knm' Y. These two bounds are the only sampling: everything is predicted from whole texts.
+(Knm' Knm + ridge n Kmm) a = Knm' Y. At most LANGUAGES languages are learnt. These bounds are the only sampling: everything is predicted from whole texts.
 
 Prediction: the presence matrix of a batch times the landmarks' matrix gives kernel values, these times the weights
 the languages' values; the language of the largest is predicted (ties: the first in order of name), with a score
@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 from .shared import lean, materialise, utf8
 
 SAMPLE = 600
+#: Languages that are learnt at most: the commonest values of the column.
+LANGUAGES = 1000
 LANDMARKS = 40
 SPANS = (12, 48, 240)
 RIDGE = 1e-4
@@ -103,8 +105,15 @@ def _examples(text: str) -> list[bytes]:
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Learn from docs, of each language at most ``sample`` documents."""
+    # A language's least hashes are looked for below a bound that a few times ``sample`` of its documents pass, so that no task
+    # gathers more of a common language however many documents there are.
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
+    bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
+    bounds = F.broadcast(counts.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang", bound.alias("bound")))
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = docs.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h"))
+    rows = rows.join(bounds, "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
     taken = materialise(rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("h"), "langid")
     taken = taken.repartition(8)
 
