@@ -374,7 +374,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.nulls(len(found[0]), pa.int64()), pa.nulls(len(found[0]), pa.int64())], ["key", "version", "low", "high", "anchor", "gram"])
 
     met = docs.select("key", "version", "text").mapInArrow(lean(send), "part int, body binary").repartition(n_parts, "part").mapInArrow(lean(meet), schema)
-    met = materialise(met, "suffix-contexts")
+    met = materialise(met, "suffix-contexts", 128)  # packets are larger than texts
     open_ = met.where("gram is not null")
     often = open_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("gram", F.lit(True).alias("crowd"))
     open_ = open_.join(often, "gram", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
