@@ -11,20 +11,23 @@ by a longest common subsequence, and what is shared is deleted as the site's own
 text is that zone, and open lines are template or teasers; where it has none, its text is what is left of the open zone.
 Lines of main zones are not differenced: two copies of one article on a host share every line, and the article would go.
 
-A neighbour is looked for within a range, so a page at the edge of a range has one neighbour. Nulls: a null page
-is empty; a null URL has an empty host and path. Repeated ids and pages each give a row: an exact copy of the page
+Each range is also sent the last page before it and the first after it (found on addresses and ids alone), so that
+neighbours do not depend on the ranges. Nulls: a null page is empty; a null URL has an empty host and path. Repeated ids and pages each give a row: an exact copy of the page
 itself is no neighbour, since all of it would be shared. An empty table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as refs
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,49 +169,87 @@ def main_text(parsed: list[tuple[str, str]], neighbour: list[str] | None) -> str
     return "\n".join(t for i, t in enumerate(lines) if i not in gone)
 
 
+_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+
+class Page(NamedTuple):
+    page_id: int | None
+    url: str | None
+    parsed: list[tuple[str, str]]
+    host: str
+    path: str
+    digest: bytes
+
+
+def _page(page_id: int | None, url: str | None, source: str) -> Page:
+    try:
+        parts = urlsplit(url or "")
+        host, path = parts.netloc.lower(), parts.path
+    except ValueError:
+        host, path = "", url or ""
+    return Page(page_id, url, blocks(source), host, path, hashlib.sha256(source.encode(errors="surrogatepass")).digest())
+
+
+def _done(before: Page | None, here: Page, after: Page | None) -> dict:
+    usable = [x for x in (before, after) if x is not None and x.host == here.host and x.digest != here.digest]
+    pair = max(usable, key=lambda x: len(commonprefix([here.path, x.path])), default=None)
+    text = main_text(here.parsed, [t for z, t in pair.parsed if z == "open"] if pair else None)
+    return {"page_id": here.page_id, "url": here.url, "text": text, "n_chars": len(text)}
+
+
+def _order(place: str, page_id: int | None) -> tuple:
+    """Spark's order of (place, page_id)."""
+    return (place.encode(errors="surrogatepass"), page_id is not None, page_id or 0)
+
+
+def _ranges(places: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
+    """The first and the last (place, page_id) of each of n ranges at most, in order."""
+    key = F.struct("place", "page_id")
+    dealt = places.repartitionByRange(n, "place", "page_id").select(F.spark_partition_id().alias("part"), key.alias("key"))
+    got = dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()  # two addresses a range
+    return sorted(((tuple(r["first"]), tuple(r["last"])) for r in got), key=lambda x: _order(*x[0]))
+
+
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
+    spark = pages.sparkSession
     key = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.split(key, "[?#]")[0].alias("place"))
-    rows = rows.repartitionByRange(parts_for(rows), "place", "page_id").sortWithinPartitions("place", "page_id")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.split(key, "[?#]")[0].alias("place"))
+    n = parts_for(rows)
+    ranges = _ranges(rows.select("place", "page_id"), n)
+    starts = spark.sparkContext.broadcast([_order(*first) for first, _ in ranges])
+
+    @F.pandas_udf("int")
+    def part_of(place: pd.Series, page_id: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(starts.value, _order(p, None if pd.isna(i) else int(i))) - 1 for p, i in zip(place, page_id, strict=True)], dtype="int32")
+
+    across = [(*last, k + 1) for k, (_, last) in enumerate(ranges[:-1])] + [(*first, k) for k, (first, _) in enumerate(ranges[1:])]
+    across = F.broadcast(spark.createDataFrame(across, "its_place string, its_id long, part int"))
+    guests = rows.join(across, (F.col("place") == F.col("its_place")) & F.col("page_id").eqNullSafe(F.col("its_id"))).select(*rows.columns, "part", F.lit(True).alias("guest"))
+    # The id as text: pandas would make doubles of ids among nulls.
+    rows = rows.withColumn("part", part_of("place", F.col("page_id").cast("string"))).withColumn("guest", F.lit(False)).unionByName(guests)
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "place", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
+        def each() -> Iterator[tuple[int | None, bool, Page | None]]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-
-        def near(path: str, other: tuple | None) -> int:
-            return -1 if other is None else len(commonprefix([path, other[3][1]]))
-
-        def done(before: tuple | None, here: tuple, after: tuple | None) -> dict:
-            page, link, parsed, (host, path), source = here
-            usable = [x for x in (before, after) if x is not None and x[3][0] == host and x[4] != source]
-            pair = max(usable, key=lambda x: near(path, x), default=None)
-            text = main_text(parsed, [t for z, t in pair[2] if z == "open"] if pair else None)
-            return {"page_id": page, "url": link, "text": text, "n_chars": len(text)}
-
-        def place(link: str | None) -> tuple[str, str]:
-            try:
-                parts = urlsplit(link or "")
-                return (parts.netloc.lower(), parts.path)
-            except ValueError:
-                return ("", link or "")
+                for page, link, source, part, guest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    yield part, guest, _page(page, link, source)
+            yield None, True, None
 
         before = here = None
+        at, is_guest = None, True
         out, size = [], 0
-        for page, link, source in each():
-            after = (page, link, blocks(source), place(link), source)
-            if here is not None:
-                out.append(done(before, here, after))
+        for part, guest, after in each():
+            if not is_guest:
+                out.append(_done(before, here, after if part == at else None))
                 size += len(out[-1]["text"])
                 if size > 4 << 20 or len(out) > 2000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
                     out, size = [], 0
-            before, here = here, after
-        if here is not None:
-            out.append(done(before, here, None))
+            before = here if part == at else None
+            here, at, is_guest = after, part, guest
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    return rows.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "part", "guest").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -167,6 +167,19 @@ def test_html_pairs(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_pairs_across_ranges(spark):
+    site = lambda own: f"<body><div>Site</div><div>{own}</div><div>Contact</div></body>"
+    rows = [(i, f"http://h.org/a/{i:02d}", site(f"own {i}")) for i in range(12)] + [(50, "http://i.org/", site("alone"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: f"own {i}" for i in range(12)} | {50: "Site\nalone\nContact"}
+    try:
+        for parts in (1, 5, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == want, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_utf8_views():
     a = pa.array(["x", None, "é", ""]).slice(1)
     raw, at = utf8(a)
