@@ -39,17 +39,63 @@ def assign(vectors: DataFrame, centroids: np.ndarray, *, vec_id: str = "vec_id",
     return vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), vector).mapInArrow(run, "vec_id long, cluster long")
 
 
-def _seeds(vectors: DataFrame, k: int, vec_id: str, vector: str, seed: int, sample: int = 4096) -> np.ndarray:
-    """k-means++ over at most ``sample`` vectors, those of least hash of their id."""
-    rows = vectors.orderBy(F.xxhash64(F.col(vec_id), F.lit(seed)), vec_id).limit(sample).select(vector).collect()
-    points = np.array([r[0] for r in rows], float)
+def _gaps(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, squared distance to it) of each point; 0 exactly for equal ones."""
+    c = np.zeros(len(points), np.int64)
+    step = max(1, (1 << 22) // len(centroids))
+    for low in range(0, len(points), step):
+        c[low : low + step] = nearest(points[low : low + step], centroids)
+    return c, ((points - centroids[c]) ** 2).sum(1)
+
+
+def _seeds(vectors: DataFrame, k: int, vec_id: str, vector: str, seed: int, rounds: int = 5) -> np.ndarray:
+    """k-means|| over all vectors: each round draws max(2 k, 64) of them, weighted by the squared distance to those drawn before; of
+    the drawn, weighted by the number of vectors nearest to them, k-means++ takes k. A draw is that of least -log(u) / weight, u
+    being a hash of the id and the vector. Vectors of which fewer than k differ give repeated seeds."""
+    many, spark = max(2 * k, 64), vectors.sparkSession
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
+    drawn, step = None, 0
+    while drawn is None or step <= rounds or len(drawn) < k:
+        n = many if step else 1
+        sent = spark.sparkContext.broadcast(drawn)
+
+        def draw(batches: Iterator[pa.RecordBatch], sent=sent, n=n) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    gap = np.ones(batch.num_rows) if sent.value is None else _gaps(_matrix(batch.column(1)), sent.value)[1]
+                    u = ((batch.column(2).to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                    key = np.divide(-np.log(u), gap, out=np.full(len(gap), np.inf), where=gap > 0)
+                    best = np.argsort(key, kind="stable")[:n]
+                    best = pa.array(best[np.isfinite(key[best])])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(best), batch.column(1).take(best), pa.array(key).take(best)], ["vec_id", "v", "key"])
+
+        hashed = rows.withColumn("h", F.xxhash64("vec_id", "v", F.lit(seed), F.lit(step)))
+        best = hashed.mapInArrow(draw, rows.withColumn("key", F.lit(0.0)).schema).orderBy("key", "vec_id").limit(n).select("v").collect()
+        if not best:
+            break
+        new = np.array([r[0] for r in best], float)
+        drawn = np.unique(new if drawn is None else np.concatenate([drawn, new]), axis=0)
+        step += 1
+    sent = spark.sparkContext.broadcast(drawn)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_gaps(_matrix(batch.column(0)), sent.value)[0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["c", "n"])
+
+    weight = np.zeros(len(drawn))
+    for r in rows.select("v").mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        weight[r["c"]] = r["n"]
     rng = np.random.default_rng(seed)
-    out = [points[rng.integers(len(points))]]
-    d = ((points - out[0]) ** 2).sum(1)
+    pick = lambda w: drawn[min(np.searchsorted(np.cumsum(w), rng.random() * w.sum(), "right"), len(w) - 1)]
+    out = [pick(weight)]
+    d = ((drawn - out[0]) ** 2).sum(1)
     while len(out) < k:
-        total = d.sum()
-        out.append(points[np.searchsorted(np.cumsum(d), rng.random() * total)] if total > 0 else points[len(out) % len(points)])
-        d = np.minimum(d, ((points - out[-1]) ** 2).sum(1))
+        out.append(pick(d * weight) if (d * weight).sum() > 0 else drawn[len(out) % len(drawn)])
+        d = np.minimum(d, ((drawn - out[-1]) ** 2).sum(1))
     return np.array(out)
 
 

@@ -143,6 +143,21 @@ def test_kmeans_and_pca(spark):
     assert same.count() == 3
 
 
+def test_kmeans_seeds_rare_clusters(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(0, 0.1, (20_000, 2)), [[1000, 0], [1000, 90], [1090, 0], [1090, 90]]])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    seen = []
+    for parts in (3, 7):
+        found, _ = cluster.kmeans(df.repartition(parts), 5)
+        labels = {r["vec_id"]: r["cluster"] for r in found.collect()}
+        assert len({labels[i] for i in range(20_000, 20_004)} | {labels[0]}) == 5
+        seen.append(labels)
+    assert seen[0] == seen[1]
+    alike = spark.createDataFrame([(i, [1.0 * (i % 2), 0.3]) for i in range(50)], "vec_id long, embedding array<double>")
+    assert len({(r["cluster"], r["vec_id"] % 2) for r in cluster.kmeans(alike, 4)[0].collect()}) == 2
+
+
 def test_topics(spark):
     rows = [(1, "s", f"docs/api/v{i}.md") for i in range(8)] + [(1, "t", "other/x.go")] * 2 + [(2, "a", "x.go"), (2, "b", "y.go"), (2, "c", "z.md")] + [(3, "a", "m/x.go"), (3, "b", "n/x.md"), (3, "c", "o/y.md")]
     df = spark.createDataFrame(rows, "cluster long, source_name string, source_path string")
