@@ -484,26 +484,39 @@ def chunked_fragments(spark, sf):
     return chunking.to_fragments(fragments(spark, sf, labels=False)).select("id", "source_path", "idx", "raw_content", "metadata")
 
 
-def _sample_files(spark, sf, ext: str, head: str, line: str):
-    """Each document's first words as a small file of a kind."""
-    word = F.regexp_extract("text", r"(\p{L}+)", 1)
-    body = F.format_string(head + line * 2, *[F.coalesce(word, F.lit("x")), F.col("doc_id")] * 2)
-    return table(spark, sf, "documents").select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("source_path"), body.alias("raw_content"), F.lit("").alias("checksum"))
+def _files(spark, sf, ext: str, body: Callable):
+    """Each document's whole text as a file of a kind."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return table(spark, sf, "documents").select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("source_path"), body(text).alias("raw_content"), F.lit("").alias("checksum"))
+
+
+def _paragraphs(text, head: str, before: str, after: str):
+    """Each paragraph, numbered and indented, under a line of its own."""
+    each = F.transform(F.split(text, "\n\n"), lambda p, i: F.concat(F.lit(before), i.cast("string"), F.lit(after), F.replace(p, F.lit("\n"), F.lit("\n    ")), F.lit("\n\n")))
+    return F.concat(F.lit(head), F.array_join(each, ""))
+
+
+def _notebook(text):
+    """A cell of each line, every fourth of text."""
+    kind = lambda i: F.when(i % 4 == 3, "markdown").otherwise("code")
+    return F.to_json(F.struct(F.transform(F.split(text, "\n"), lambda p, i: F.struct(kind(i).alias("cell_type"), F.array(p).alias("source"))).alias("cells")))
 
 
 @query()
 def chunk_code(spark, sf):
-    return chunking.to_fragments(_sample_files(spark, sf, ".py", "import os\n\n", "def f():\n    return '%s%d'\n\n")).select("id", "source_path", "idx", "raw_content", "metadata")
+    rows = _files(spark, sf, ".py", lambda t: _paragraphs(t, "import os\n\n", "def f", "():\n    "))
+    return chunking.to_fragments(rows).select("id", "source_path", "idx", "raw_content", "metadata")
 
 
 @query()
 def chunk_config(spark, sf):
-    return chunking.to_fragments(_sample_files(spark, sf, ".ini", "[a]\nk=1\n", "[b]\n%s=%d\n")).select("id", "source_path", "idx", "raw_content", "metadata")
+    rows = _files(spark, sf, ".ini", lambda t: _paragraphs(t, "[a]\nk=1\n", "[b", "]\ntext = "))
+    return chunking.to_fragments(rows).select("id", "source_path", "idx", "raw_content", "metadata")
 
 
 @query()
 def chunk_jupyter(spark, sf):
-    return chunking.to_fragments(_sample_files(spark, sf, ".ipynb", '{"cells":[', '{"cell_type":"code","source":["%s = %d"]},').withColumn("raw_content", F.concat(F.regexp_replace("raw_content", ",$", ""), F.lit("]}")))).select("id", "source_path", "idx", "raw_content", "metadata")
+    return chunking.to_fragments(_files(spark, sf, ".ipynb", _notebook)).select("id", "source_path", "idx", "raw_content", "metadata")
 
 
 @query("""WITH c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '')) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents WHERE text IS NOT NULL))

@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 import sqlite3
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import models, stem
 from corpusloom.operators import search
 from corpusloom.plans import clusters, results
@@ -123,3 +125,15 @@ def test_corpus_from_end_to_end(spark, tmp_path, capsys):
     run("backup", f"file://{tmp_path}/backup")
     run("restore", f"file://{tmp_path}/backup")
     assert [r["fragments"] for r in run("sources")] == [1]
+
+
+@pytest.mark.parametrize("name", ["chunk_code", "chunk_config", "chunk_jupyter"])
+def test_files_hold_whole_texts(spark, tmp_path, name):
+    text = "w0 \"q\" \\ x\nw1 é\n\n" + " ".join(f"w{i}" for i in range(2, 900)) + "\n\n" + "\n".join(f"w{i} and more" for i in range(900, 1200))
+    spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "one", None)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES[name](spark, str(tmp_path)).orderBy("source_path", "idx").collect()
+    mine = [r for r in got if r["source_path"].startswith("1.")]
+    found = re.findall(r"w\d+", " ".join(r["raw_content"] for r in mine))
+    assert found == [f"w{i}" for i in range(1200)]
+    assert all(len(r["raw_content"].encode()) <= 2000 for r in mine) and any("part" in r["metadata"] for r in mine)
+    assert any("one" in r["raw_content"] for r in got if r["source_path"].startswith("3."))
