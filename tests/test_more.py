@@ -137,3 +137,10 @@ def test_files_hold_whole_texts(spark, tmp_path, name):
     assert found == [f"w{i}" for i in range(1200)]
     assert all(len(r["raw_content"].encode()) <= 2000 for r in mine) and any("part" in r["metadata"] for r in mine)
     assert any("one" in r["raw_content"] for r in got if r["source_path"].startswith("3."))
+
+
+def test_common_directories_of_all_rows(spark, tmp_path):
+    rows = [(1, "s")] * 5 + [(2, "s"), (3, "t"), (4, "u"), (5, "u"), (6, None), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source"]: r["common"] for r in catalog.QUERIES["common_directories"](spark, str(tmp_path)).collect()}
+    assert got == {"s": "data/s", "u": "data/u", None: None}
