@@ -359,7 +359,7 @@ def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (of other classes linked by candidates that were verified)."""
+    """doc_id, n_shingles, component_id. Links inside a component that its forming did not need are not looked for, so there is no count of links."""
     table = index(docs, doc_id, text, words, percent, classes)
     classes = table.where("n > 0").groupBy("class").agg(
         F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("key"), F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("n", "last", "entries", "marks"))
@@ -405,16 +405,13 @@ def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         across = across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-across")
         more = verified(materialise(possible(across, nodes, percent), "jaccard-possible"), texts, percent)
-    every = links.unionByName(more)
-    roots = components(every)
+    roots = components(links.unionByName(more))
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    degree = every.select(F.col("a").alias("class")).unionByName(every.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    named = named.join(least, "root").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(least, "root").select("class", "component_id")
     out = table.select("doc_id", "n", "class").join(named, "class", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

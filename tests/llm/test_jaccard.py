@@ -112,3 +112,9 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in root.items() if k != v}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_only(spark):
+    """No column of links: those inside a component are not all looked for."""
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    assert jaccard.join_components(df).columns == ["doc_id", "n_shingles", "component_id"]
