@@ -10,10 +10,12 @@ words of the run are hit.
 
 The benchmark is joined in blocks of at most ``block_bytes`` of text (or a single item beyond that): each block is
 counted and searched by a pass of its own, and only one block's index is broadcast at a time, so what is sent is
-bounded and all items count. The documents are never shuffled.
+bounded and all items count. Between blocks the documents and what has been found are written to the shared folder, so no
+task holds two indexes. The documents are never shuffled.
 
-Nulls: a text that is null or empty has no words and no hits; an item whose id or text is null is left out. Items
-of one id count as one. Repeated documents each give a row. An empty benchmark hits nothing; other columns of
+Nulls: a text that is null or empty, of a document or an item, has no words and no hits. Items of one id count as one; items
+without an id hit as any others and count as one, whose id is the empty string. Repeated documents each give a row. A document's
+length is not bounded: its words are held one document at a time. An empty benchmark hits nothing; other columns of
 either table are ignored by ``find`` and kept by ``annotate``.
 """
 
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean, utf8
+from .shared import lean, materialise, utf8
 
 WINDOW = 10
 SHINGLE = 2
@@ -148,7 +151,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(bench: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items, block by block."""
-    rows = bench.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("id"), F.col(text).alias("t"))
+    rows = bench.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     for k in range(n):
@@ -169,7 +172,11 @@ def annotate(docs: DataFrame, bench: DataFrame, *, text: str = "text", item: str
     spark = docs.sparkSession
     out = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"), F.lit(None).cast(FOUND).alias("found"))
     schema = T.StructType([out.schema["row"], out.schema["t"], T.StructField("found", out.schema["found"].dataType)])
-    for block in [*_blocks(bench, item, item_text, block_bytes)] or [[]]:
+    for k, block in enumerate(chain(_blocks(bench, item, item_text, block_bytes), [[]])):  # an empty block ends them, or is the only one
+        if k and not block:
+            break
+        if k:
+            out = materialise(out, "decontam")
         wanted = sorted({s for _, words in block for s in _shingles(words)})
         sent = spark.sparkContext.broadcast(Index(block, count_shingles(docs, text, wanted) if wanted else {}, window))
 

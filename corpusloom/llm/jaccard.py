@@ -1,8 +1,9 @@
 r"""N-gram Jaccard join with token-combination prefixes: components of documents whose shingle sets are alike.
 
 Sets. Words are ``[^\x20\x09-\x0D]+`` after A-Z became a-z; a document's set holds its distinct ``WORDS``-word
-shingles (with fewer words, the whole sequence), as 64-bit hashes. Equal sets are one class from the start, whose
-number is a hash of the set; what follows is about classes. Two link when 100 |x & y| >= PERCENT |x | y|.
+shingles (with fewer words, the whole sequence), as 64-bit hashes. Documents of equal words in equal order (by a 128-bit
+cryptographic digest) are one class from the start; what follows is about classes. Two link when
+100 |x & y| >= PERCENT |x | y|; hashes find candidates, and every link is verified on the words themselves.
 
 Tokens. Shingles are counted over all documents. Those of df >= 32 are frequent, those of df >= 1024 very frequent; the
 table that is sent holds the TABLE most frequent ones (its bounded size is the only reason for one of higher df
@@ -14,23 +15,25 @@ then at least k tokens of one class are shared by any partner, whose own prefix
 the other way round if it ends sooner). An entry's mark says from which t on it is in the prefix, so that two sets meet
 on the prefixes that a link of just their sizes needs. So single rare tokens and all k-combinations of frequent ones are indexed.
 Frequent classes are cut by hash into subclasses, more for larger sets, so that combinations stay few; a pair
-meets on the level of the larger of its sizes. Sets under 9 shingles link with equal sets only.
+meets on the level of the larger of its sizes. Sets so small that one shingle less is too little (under 9 at 90 %) link with
+equal sets only and have one entry, a hash of the set.
 
 Candidates. In STARS rounds each index entry that holds several components links one class with those of the other
 components (a star: as many pairs as entries): the class that shares most with others, so the original of a group of
-copies where there is one; components are formed of what is verified. Then entries that still hold several components
-give all their pairs across components. So a group of near copies is not paired out, and no link between components
-is lost. Pairs are kept if their sizes and the number of prefix tokens they share allow a link, and are then verified on the
+copies where there is one; components grow by what is verified. Then entries that still hold several components
+give their pairs across components, dealt by bands of set size so that only sizes that can link meet. So a group of near
+copies is not paired out, and no link between components is lost. Pairs are kept if their sizes and the number of prefix tokens they share allow a link, and are then verified on the
 whole sets of both texts. Texts are fetched for classes in such pairs: a bitmap of fixed size of the documents asked
 for is sent first, so that few others are moved.
 
 Nulls: a null or empty text, or one without words, has no shingles and links with nothing; a null doc_id is carried
-along and is no one's component unless it is alone. Repeated rows each give a row. Extra columns are ignored. An empty
-table gives no rows.
+along and is no one's component unless it is alone. Repeated rows each give a row. A text's length is not bounded: it is read
+in an Arrow batch, and its hashes are held one text at a time. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lean, materialise, mix, parts_for, segment_hashes, utf8
+from .shared import lean, made, materialise, mix, parts_for, remove_made, segment_hashes, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -57,6 +60,7 @@ BITMAP = 1 << 24
 _BLOCK = 1 << 20
 _TALLY = 1_000_000
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_LOWER = _LOW.tobytes()
 _NO_ID = -(1 << 63)
 _SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -72,7 +76,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[at[:-1][full]] = False
     after[at[1:][full] - 1] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    return segment_hashes(raw, starts, ends), np.diff(np.searchsorted(starts, at))
+    return segment_hashes(raw, starts, ends, strong=True), np.diff(np.searchsorted(starts, at))
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -102,6 +106,22 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         low = high
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()  # at 0x20 and 0x09 to 0x0D, as Python splits bytes
+
+
+def digest(text: bytes) -> bytes:
+    """Of the words of a text, in order; empty where there are none."""
+    words = words_of(text)
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else b""
+
+
+def shingles_of(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    w = words_of(text)
+    return {*zip(*(w[k:] for k in range(words)))} if len(w) >= words else {tuple(w)} if w else set()
+
+
 def set_number(s: np.ndarray) -> int:
     """A 64-bit number of a set; equal sets, equal numbers."""
     if not len(s):
@@ -219,7 +239,7 @@ class Prefixes:
         lacking, the prefix is the entries of marks up to t."""
         n = len(s)
         if n < self.smallest:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+            return np.array([set_number(s) & -2][: int(n > 0)], np.int64), np.zeros(int(n > 0), np.int32), 0
         need = n - -(-self.percent * n // 100) + 1
         kinds = self.kinds(s)
         rare = s[kinds == 0]
@@ -232,7 +252,7 @@ class Prefixes:
         token = s[order]
         out, marks, last = [(rare & ~one)], [np.arange(len(rare), dtype=np.int32)], 0
         for level in {n.bit_length(), (100 * n // self.percent).bit_length()}:
-            cuts = max(1, (1 << level) // 40)
+            cuts = max(1, (1 << level) * (100 - self.percent) // 400)
             groups: dict[tuple[int, int], list[int]] = {}
             have, i, before = len(rare), len(rare), np.zeros(n, np.int32)
             sub = ((token >> np.uint64(5)) % np.uint64(cuts)).tolist()
@@ -256,35 +276,40 @@ class Prefixes:
 
 
 def index(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, classes: tuple) -> DataFrame:
-    """A table of doc_id, n, class, taken, last, often, entries."""
+    """A table of doc_id, hash (of the text), n, digest, last, entries, marks; ``own`` of docs' further columns."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Prefixes(*frequent(docs, text, words, classes[0][0]), percent, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = sent.value
         for batch in batches:
-            n, names, last, entries, marks = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            n, last, entries, marks = [], [], [], []
+            for s in shingle_sets(batch.column(2), words):
                 e, m, z = prefixes.entries(s)
                 n.append(len(s))
-                names.append(set_number(s))
                 last.append(z)
                 entries.append(e)
                 marks.append(m)
+            raw, edges = utf8(batch.column(2))
+            raw = raw.tobytes()
+            names = [digest(raw[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
             at = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, x), *y]))) for x, y in ((np.int64, entries), (np.int32, marks))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(last, pa.int64()), *lists], ["doc_id", "n", "class", "last", "entries", "marks"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(last, pa.int64()), *lists],
+                ["doc_id", "hash", "n", "digest", "last", "entries", "marks"],
+            )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(lean(run), "doc_id long, n long, class long, last long, entries array<long>, marks array<int>"), "jaccard")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    return materialise(rows.mapInArrow(lean(run), "doc_id long, hash long, n long, digest binary, last long, entries array<long>, marks array<int>"), "jaccard")
 
 
 class Texts:
-    """The texts of classes, fetched when they are first asked for."""
+    """The texts of classes, fetched when they are first asked for. members: class, key and hash of the row that stands for it, digest."""
 
     def __init__(self, docs: DataFrame, members: DataFrame, doc_id: str, text: str, words: int):
         key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
-        self.docs, self.members, self.words = docs.select(key.alias("key"), F.col(text).alias("text")), members, words
+        self.docs, self.members, self.words = docs.select(key.alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), members, words
         self.table: DataFrame | None = None
 
     def of(self, pairs: DataFrame) -> DataFrame:
@@ -299,20 +324,21 @@ class Texts:
         return self.table
 
     def _fetch(self, wanted: DataFrame) -> DataFrame:
-        words = self.words
-        spot = F.pmod(F.xxhash64("key"), F.lit(BITMAP))
-        bit = F.shiftright(spot, 6).cast("int").alias("row"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {BITMAP}) % 64 as int))").alias("bit")
+        spot = F.pmod(F.xxhash64("key", "hash"), F.lit(BITMAP))
+        bit = F.shiftright(spot, 6).cast("int").alias("row"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key, hash), {BITMAP}) % 64 as int))").alias("bit")
         bitmap = wanted.select(*bit).groupBy("row").agg(F.bit_or("bit").alias("bits"))  # BITMAP / 64 rows at most
-        near = self.docs.select("key", "text", *bit).join(F.broadcast(bitmap), "row").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-        found = near.select("key", "text").join(wanted, "key")
+        near = self.docs.select("key", "hash", "text", *bit).join(F.broadcast(bitmap), "row").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        found = near.select("key", "hash", "text").join(wanted, ["key", "hash"])
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Of documents with equal ids, those of the class."""
+            """Of rows of equal id and hash, those of the class."""
             for batch in batches:
-                good = [set_number(s) == c for s, c in zip(shingle_sets(batch.column(1), words), batch.column(0).to_pylist(), strict=True)]
-                yield batch.filter(pa.array(good, pa.bool_()))
+                raw, at = utf8(batch.column(2))
+                raw = raw.tobytes()
+                good = [digest(raw[a:b]) == c for a, b, c in zip(at.tolist(), at[1:].tolist(), batch.column(1).to_pylist(), strict=False)]
+                yield batch.select([0, 2]).filter(pa.array(good, pa.bool_()))
 
-        texts = found.select("class", "text").mapInArrow(lean(own), "class long, text string").dropDuplicates(["class"])
+        texts = found.select("class", "digest", "text").mapInArrow(lean(own), "class long, text string").dropDuplicates(["class"])
         return materialise(texts, "jaccard-texts")
 
 
@@ -340,16 +366,24 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where((F.col("n_a") - lacks("a") >= need) & (F.col("n_b") - lacks("b") >= need)).select("a", "b")
 
 
+def linked(x: bytes, y: bytes, words: int, percent: int) -> bool:
+    """Whether two texts link, by their shingles themselves."""
+    a, b = shingles_of(x, words), shingles_of(y, words)
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
-    """a, b of those pairs of classes that link."""
+    """a, b of those pairs of classes that link: hashes sort out pairs that don't, words decide on the others."""
     words = texts.words
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (left, i), (right, j) = utf8(batch.column(2)), utf8(batch.column(3))
             good = []
-            for x, y in zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True):
+            for k, (x, y) in enumerate(zip(shingle_sets(batch.column(2), words), shingle_sets(batch.column(3), words), strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(100 * both >= percent * (len(x) + len(y) - both) and linked(left[i[k] : i[k + 1]].tobytes(), right[j[k] : j[k + 1]].tobytes(), words, percent))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     table = texts.of(pairs)
@@ -358,14 +392,34 @@ def verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     return materialise(joined.mapInArrow(lean(check), "a long, b long"), "jaccard-links")
 
 
-def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:
-    """doc_id, n_shingles, component_id. Links inside a component that its forming did not need are not looked for, so there is no count of links."""
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root of every node that is no root: former components joined by further links(a, b) of their nodes."""
+    if roots is None:
+        return components(links)
+    for side in "ab":
+        at = roots.select(F.col("node").alias(side), F.col("root").alias("r"))
+        links = links.join(at, side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+    over = components(links)
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+    return materialise(moved.select("node", F.coalesce("new", "root").alias("root")).unionByName(over), "jaccard-roots")
+
+
+def _bands(n, percent: int):
+    """The bands of set sizes of a set: sizes that can link are in equal or neighbouring ones, so a set stands in its own and the next."""
+    band = F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) - F.lit(1e-9)).cast("int")
+    return F.array(band, band + 1)
+
+
+def members(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:
+    """A table of doc_id, hash (xxhash64 of the text), digest (of its words), n_shingles, component_id (the least doc_id) and root (a number
+    of the component; null without words), a row for each row of docs."""
+    spark, first_made = docs.sparkSession, made()
     table = index(docs, doc_id, text, words, percent, classes)
-    classes = table.where("n > 0").groupBy("class").agg(
-        F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("key"), F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("n", "last", "entries", "marks"))
-    )
-    classes = materialise(classes, "jaccard-classes")
-    texts = Texts(docs, classes.select("class", "key"), doc_id, text, words)
+    lead = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "hash"))
+    found = table.where("n > 0").groupBy("digest").agg(lead.alias("rep"), F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("n", "last", "entries", "marks")))
+    # Numbers are given once, as the table is written.
+    classes = materialise(found.select(F.monotonically_increasing_id().alias("class"), "digest", "rep.key", "rep.hash", "least", "n", "last", "entries", "marks"), "jaccard-classes")
+    texts = Texts(docs, classes.select("class", "key", "hash", "digest"), doc_id, text, words)
     # Entries of several classes.
     entries = classes.select(F.col("class").alias("c"), "n", F.explode(F.arrays_zip("entries", "marks")).alias("x")).select("c", "n", F.col("x.entries").alias("e"), F.col("x.marks").alias("mark"))
     several = entries.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
@@ -373,13 +427,19 @@ def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     weights = materialise(shared.groupBy("c").agg(F.sum("df").alias("weight")), "jaccard-weights")
     nodes = classes.select(F.col("class").alias("c"), "n", "last", "entries").join(weights.select("c"), "c", "left_semi")
     shared = materialise(shared.join(weights, "c"), "jaccard-entries")
-    tried = links = roots = None
+
+    def placed(roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return shared.withColumn("root", F.col("c"))
+        return shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+    tried = roots = None
     for k in range(STARS):
-        placed = shared.withColumn("root", F.col("c")) if roots is None else shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        at = placed(roots)
         # The class that shares most, then others in an order of each round's own.
         lead = F.struct(F.col("weight") if k == 0 else F.xxhash64("c", F.lit(k)), "c", "n", "mark", "root")
-        ends = placed.groupBy("e").agg(F.max(lead).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e", "p")
-        star = placed.join(ends, "e").where((F.col("root") != F.col("p.root")) & _meet((F.col("n"), F.col("mark")), (F.col("p.n"), F.col("p.mark")), percent))
+        ends = at.groupBy("e").agg(F.max(lead).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e", "p")
+        star = at.join(ends, "e").where((F.col("root") != F.col("p.root")) & _meet((F.col("n"), F.col("mark")), (F.col("p.n"), F.col("p.mark")), percent))
         star = star.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
         if tried is not None:
             star = star.join(tried, ["a", "b"], "left_anti")
@@ -387,31 +447,35 @@ def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if star.isEmpty():
             break
         tried = star if tried is None else tried.unionByName(star)
-        found = verified(materialise(possible(star, nodes, percent), "jaccard-possible"), texts, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        roots = _joined(roots, verified(materialise(possible(star, nodes, percent), "jaccard-possible"), texts, percent))
     # Entries that still hold several components give the pairs across them.
-    if tried is None:
-        links = shared.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
-        more = links
-    else:
-        placed = shared.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")).select("e", "c", "n", "mark", "root")
-        placed = materialise(placed, "jaccard-placed")
-        mixed = placed.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
-        rest = placed.join(mixed, "e")
-        x, y = (rest.select("e", *(F.col(k).alias(f"{k}_{s}") for k in ("c", "n", "mark", "root"))) for s in "ab")
+    if tried is not None:
+        at = materialise(placed(roots).select("e", "c", "n", "mark", "root"), "jaccard-placed")
+        mixed = at.groupBy("e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("e")
+        rest = at.join(mixed, "e").withColumn("bands", _bands(F.col("n"), percent))
+        x = rest.select("e", F.col("bands")[1].alias("band"), *(F.col(k).alias(f"{k}_a") for k in ("c", "n", "mark", "root")))
+        # Pairs of one band meet in it from either side; pairs of neighbouring bands once, the smaller set in the next band.
+        y = rest.select("e", F.explode("bands").alias("band"), *(F.col(k).alias(f"{k}_b") for k in ("c", "n", "mark", "root")))
         meet = _meet((F.col("n_a"), F.col("mark_a")), (F.col("n_b"), F.col("mark_b")), percent)
-        across = x.join(y, "e").where((F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & meet)
-        across = across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        across = x.join(y, ["e", "band"]).where((F.col("c_a") != F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & meet)
+        across = across.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b"))
         across = materialise(across.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-        more = verified(materialise(possible(across, nodes, percent), "jaccard-possible"), texts, percent)
-    roots = components(links.unionByName(more))
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
-    out = table.select("doc_id", "n", "class").join(named, "class", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+        if not across.isEmpty():
+            roots = _joined(roots, verified(materialise(possible(across, nodes, percent), "jaccard-possible"), texts, percent))
+    named = classes.select("digest", F.col("class").alias("c"), "least")
+    if roots is None:
+        named = named.select("digest", F.col("c").alias("root"), F.col("least").alias("component_id"))
+    else:
+        named = named.join(roots.withColumnRenamed("node", "c"), "c", "left").select("digest", "least", F.coalesce("root", "c").alias("root"))
+        named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "root", "component_id")
+    out = table.select("doc_id", "hash", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    out = out.select("doc_id", "hash", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+    last_made = made()
+    out = materialise(out, "jaccard-members")
+    remove_made(spark, first_made, last_made)
+    return out
+
+
+def join_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id. Links inside a component that its forming did not need are not looked for, so there is no count of links."""
+    return members(docs, **options).select("doc_id", "n_shingles", "component_id")

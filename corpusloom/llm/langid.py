@@ -6,14 +6,17 @@ fixed in size, so that a batch of texts is a matrix of zeros and ones); K(x, z)
 
 Learner: one-versus-rest kernel ridge regression over Nystroem landmarks. At most SAMPLE documents of each language
 (those of least hash of their id) give examples: the whole text, and a span of each of SPANS bytes from its middle,
-so that short texts are learnt too. LANDMARKS of each language are the landmarks; the weights solve
-(Knm' Knm + ridge n Kmm) a = Knm' Y. At most LANGUAGES languages are learnt. These bounds are the only sampling: everything is predicted from whole texts.
+so that short texts are learnt too. LANDMARKS examples of each language, MOST_LANDMARKS of all, are the landmarks; the weights
+solve (Knm' W Knm + ridge n Kmm) a = Knm' W Y, where W gives all languages the same weight. Every language is learnt, however
+many there are: the sums Knm' W Knm and Knm' W Y are made in the tasks, block by block and language by language, so that the
+driver holds MOST_LANDMARKS squared numbers and MOST_LANDMARKS a language. These bounds on labelled rows are the only
+sampling: everything is predicted from whole texts.
 
 Prediction: the presence matrix of a batch times the landmarks' matrix gives kernel values, these times the weights
 the languages' values; the language of the largest is predicted (ties: the first in order of name), with a score
 from a softmax of the values. A text that is null or has no letter is ``und`` with score 0; so is every text where
 nothing could be learnt. Rows with a null language, null text or no letter teach nothing. Rows of equal id are
-predicted each. Other columns pass through ``annotate`` in a struct.
+predicted each. A text of any length is read whole, in pieces of bounded size. Other columns pass through ``annotate`` in a struct.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from pyspark.sql.window import Window
 from .shared import lean, materialise, utf8
 
 SAMPLE = 600
-#: Languages that are learnt at most: the commonest values of the column.
-LANGUAGES = 1000
-LANDMARKS = 40
+#: Landmarks of a language, and of all languages together.
+LANDMARKS, MOST_LANDMARKS = 40, 2048
+#: Rows of the landmarks' matrix that a task sums at once.
+SUMMED = 256
 SPANS = (12, 48, 240)
 RIDGE = 1e-4
 SHARP = 6.0
@@ -103,21 +107,28 @@ def _examples(text: str) -> list[bytes]:
     return [raw] + [raw[middle : middle + n] for n in SPANS if middle + n < len(raw)]
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Learn from docs, of each language at most ``sample`` documents."""
+def _n_examples(text: Column) -> Column:
+    size = F.octet_length(text)
+    return 1 + sum(F.when(F.floor(size / 2) + n < size, 1).otherwise(0) for n in SPANS)
+
+
+def sampled(docs: DataFrame, *, doc_id: str, text: str, lang: str, sample: int) -> DataFrame:
+    """A table of lang, text and k, the place among the language's documents by the hash of the id: at most ``sample`` of each language."""
+    rows = docs.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h"))
     # A language's least hashes are looked for below a bound that a few times ``sample`` of its documents pass, so that no task
     # gathers more of a common language however many documents there are.
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
-    bounds = F.broadcast(counts.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang", bound.alias("bound")))
+    near = rows.join(counts.select("lang", bound.alias("bound")), "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
     first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = docs.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h"))
-    rows = rows.join(bounds, "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
-    taken = materialise(rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("h"), "langid")
-    taken = taken.repartition(8)
+    return materialise(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("h"), "langid")
 
-    marks = taken.where(F.col("k") <= landmarks).orderBy("lang", "k", "text")
+
+def _landmarks(taken: DataFrame, n_languages: int, landmarks: int) -> np.ndarray:
+    """The landmarks' presence rows, divided by their norms: of each language as many as MOST_LANDMARKS allows, at least one of the first languages."""
+    per = max(1, min(landmarks, MOST_LANDMARKS // max(1, n_languages)))
+    marks = taken.where(F.col("k") <= per).orderBy("k", "lang", "text").limit(MOST_LANDMARKS)
 
     def bits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -126,30 +137,52 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
     rows = [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:WIDTH] for r in marks.mapInArrow(lean(bits), "bits binary").collect()]
     if not rows:
-        return Model([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32))
+        return np.zeros((0, WIDTH), np.float32)
     z = np.unique(np.array(rows, np.uint8), axis=0).astype(np.float32)
-    z /= np.sqrt(np.maximum(z.sum(axis=1, keepdims=True), 1))
-    sent = docs.sparkSession.sparkContext.broadcast(z)
+    return z / np.sqrt(np.maximum(z.sum(axis=1, keepdims=True), 1))
+
 
-    def values(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Learn from docs, of each language at most ``sample`` documents."""
+    taken = sampled(docs, doc_id=doc_id, text=text, lang=lang, sample=sample)
+    counted = {r["lang"]: r["n"] for r in taken.groupBy("lang").agg(F.sum(_n_examples(F.col("text"))).alias("n")).collect()}
+    languages = sorted(counted)
+    z = _landmarks(taken, len(languages), landmarks)
+    if not len(z):
+        return Model([], z, np.zeros((0, 0), np.float32))
+    n, m = sum(counted.values()), len(z)
+    weight = {name: n / len(languages) / k for name, k in counted.items()}
+    sent = docs.sparkSession.sparkContext.broadcast((z, weight))
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's part of Knm' W Knm in blocks of rows (lang null), and of each language's sum of W Knm."""
+        marks, weights = sent.value
+        left, right = np.zeros((m, m)), {}
         for batch in parts:
-            names, out = [], []
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = kernel(np.concatenate([m for _, m in batches(*_joined(_examples(t)))]), sent.value)
-                names += [name] * len(k)
-                out += [x.tobytes() for x in k.astype("<f4")]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["lang", "k"])
-
-    found = sorted((r["lang"], r["k"]) for r in taken.mapInArrow(lean(values), "lang string, k binary").collect())
-    languages = sorted({x[0] for x in found})
-    knm = np.array([np.frombuffer(x[1], "<f4") for x in found], np.float64)
-    y = np.where(np.array([x[0] for x in found])[:, None] == np.array(languages)[None], 1.0, -1.0)
-    # Each language weighs as much as any other.
-    count = (y > 0).sum(axis=0)
-    weight = (1 / count)[[languages.index(x[0]) for x in found]] * len(found) / len(languages)
-    kmm = (z @ z.T).astype(np.float64)
-    left = (knm * weight[:, None]).T @ knm + ridge * len(found) * kmm + 1e-6 * np.eye(len(z))
-    return Model(languages, z, np.linalg.solve(left, (knm * weight[:, None]).T @ y).astype(np.float32))
+                k = kernel(np.concatenate([x for _, x in batches(*_joined(_examples(t)))]), marks).astype(np.float64)
+                left += weights[name] * (k.T @ k)
+                right[name] = right.get(name, 0) + weights[name] * k.sum(axis=0)
+        rows = [(i, None, left[i : i + SUMMED].tobytes()) for i in range(0, m, SUMMED)] + [(-1, name, v.tobytes()) for name, v in right.items()]
+        for block, name, body in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([name], pa.string()), pa.array([body], pa.binary())], ["block", "lang", "body"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in parts:
+            for block, name, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                total[block, name] = total.get((block, name), 0) + np.frombuffer(body, float)
+        for (block, name), v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([name], pa.string()), pa.array([v.tobytes()], pa.binary())], ["block", "lang", "body"])
+
+    schema = "block int, lang string, body binary"
+    found = taken.repartition(8, "lang", "k").mapInArrow(lean(sums), schema).repartition(8, "block", "lang").sortWithinPartitions("block", "lang", "body").mapInArrow(lean(add), schema).collect()
+    left = np.concatenate([np.frombuffer(r["body"], float).reshape(-1, m) for r in sorted((r for r in found if r["lang"] is None), key=lambda r: r["block"])])
+    of = {r["lang"]: np.frombuffer(r["body"], float) for r in found if r["lang"] is not None}
+    own = np.array([of[name] for name in languages]).T
+    y = 2 * own - own.sum(axis=1, keepdims=True)  # 1 for the language's examples, -1 for the others
+    left = left + ridge * n * (z @ z.T).astype(np.float64) + 1e-6 * np.eye(m)
+    return Model(languages, z, np.linalg.solve(left, y).astype(np.float32))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,22 +5,27 @@ filled by rounds over the sources: a source's deficit grows by its target share
 ids while its deficit is at least ``least`` ids, and what is left of the deficit is carried to the next window. Room
 that then remains goes to the sources that are owed most. Only the last window of all is padded.
 
-Windows are dealt to partitions of equal numbers of windows. How many ids of each source a partition gets follows
-from the targets alone (the exact shares, rounded so that nothing is lost between partitions), so its first deficits
-are carried from the partition before without running it; any task can recompute the rounds of a partition. So ids
+Windows are dealt to partitions of equal numbers of windows. How many ids of each source stand before a partition is a
+function of its number and the targets alone (``Shares``: the exact shares, rounded on a binary tree of the sources so that
+they always add up and never fall), so its first deficits are carried from the partition before without running it, and
+any task computes the rounds of a partition by itself; the driver holds a few numbers a source, and none a partition. So ids
 are placed where they are, and never shuffled: the only exchange is that of the texts by ranges of doc_id.
 
 Targets: by default the sources' own shares of all ids, so that they end together; given ``targets`` (source to
-weight) hold until a source runs out, and the others' weights are scaled up from there.
+weight) hold until a source runs out, and the others' weights are scaled up from there. Sources of no weight come last, in
+proportion to their sizes.
 
 Nulls: a null text is empty (its end id is all it has), a null source or doc_id is a value of its own, first in order.
-Repeated ids are kept, ordered by text. An empty table gives no pieces. Other columns are ignored.
+Repeated ids are kept, ordered by text. A text of any length is cut into as many pieces as it needs. An empty table gives no
+pieces. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,14 @@ from .tokenfile import crcs, ended
 from .tokens import encoder
 
 LENGTH = 2048
-LEAST = 64
-#: Windows of a partition; more where there would be more than MOST partitions.
-WINDOWS, MOST = 256, 1 << 16
+LEAST = 256
+#: Windows of a partition.
+WINDOWS = 256
 #: Rows of (file, source) offsets that are broadcast; beyond, they are joined by a shuffle.
 SENT_ROWS = 300_000
 
 
-def tokenised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 1, tokenizer: str | None = None, plain: bool = False) -> DataFrame:
     """A table of part, source, doc_id, first (place in the part's queue of the source), n, ids (bytes)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(parts_for(docs.select(doc_id, source, text)), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
@@ -49,7 +54,7 @@ def tokenised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", so
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, bpe, ahead = TaskContext.get().partitionId(), encoder(tokenizer), {}
+        part, bpe, ahead = TaskContext.get().partitionId(), encoder(tokenizer, plain=plain), {}
         for batch in batches:
             sources = batch.column(1).to_pylist()
             for low, ids, counts in bpe.encode_column(batch.column(2)):
@@ -71,57 +76,108 @@ def tokenised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", so
     return materialise(rows.mapInArrow(lean(run), "part int, source string, doc_id long, first long, n long, ids binary"), "packing")
 
 
-def served(totals: np.ndarray, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Exact shares: how many ids of each source stand before each edge (in ids of all sources), as fractions."""
-    out = np.zeros((len(edges), len(totals)))
-    left, done, before = totals.astype(float), np.zeros(len(totals)), 0.0
-    while True:
-        live = left > 1e-9
-        rate = np.where(live, weights, 0.0)
-        if rate.sum() <= 0:
-            rate = np.where(live, 1.0, 0.0)  # sources of no weight come last, evenly
-        if not live.any():
-            break
-        rate = rate / rate.sum()
-        until = min(left[i] / rate[i] for i in np.flatnonzero(rate > 0))
-        inside = (edges >= before) & (edges <= before + until)
-        out[inside] = done + np.outer(edges[inside] - before, rate)
-        step = until * rate
-        done, left, before = done + step, np.where(left - step < 1e-6, 0.0, left - step), before + until
-    out[edges >= before - 1e-6] = totals
-    return out
+class Shares:
+    """How many ids of each source stand before any place of the packed stream.
+
+    The stream has phases: one ends where a source runs out. In a phase the sources that are left get whole numbers of ids
+    (``amounts``), dealt evenly along it: the sources are the leaves of a binary tree (Huffman's, so that large ones are near the
+    root), and of n ids at a node the lighter child gets its rounded share and the other the rest. Both grow with n, so
+    counts never fall, add up to the place, and are near the exact shares, whichever place is asked for."""
+
+    def __init__(self, totals: np.ndarray, weights: np.ndarray):
+        self.totals, self.phases = totals, []  # (first id, ids of each source before it, amounts, tree)
+        heavy, done, first = weights > 0, np.zeros(len(totals), np.int64), 0
+        # A source of weight w runs out at time total / w.
+        time = np.where(heavy, totals / np.where(heavy, weights, 1.0), np.inf)
+        for until in np.unique(time[heavy & (totals > 0)]):
+            then = np.where(heavy, np.where(time <= until, totals, np.minimum(totals, np.floor(weights * until))), 0).astype(np.int64)
+            first = self._phase(first, done, then)
+            done = then
+        self._phase(first, done, totals)
+
+    def _phase(self, first: int, done: np.ndarray, then: np.ndarray) -> int:
+        amounts = then - done
+        if amounts.any():
+            self.phases.append((first, done, amounts, _tree(amounts)))
+        return first + int(amounts.sum())
+
+    def _at(self, place: int) -> tuple:
+        k = bisect_right(self.phases, place, key=lambda x: x[0]) - 1
+        return self.phases[max(k, 0)]
+
+    def before(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(exact shares, whole ids) of all sources before the place."""
+        if not self.phases:
+            return np.zeros(len(self.totals)), np.zeros(len(self.totals), np.int64)
+        first, done, amounts, (steps, _) = self._at(place)
+        count = {len(steps): place - first}
+        out = done.copy()
+        if not steps:  # one source
+            out[np.flatnonzero(amounts)] += place - first
+        for node in range(len(steps) - 1, -1, -1):
+            light, heavy, share = steps[node]
+            n = count.pop(node + 1)
+            part = _rounded(n, share)
+            for child, k in ((light, part), (heavy, n - part)):
+                if child < 0:
+                    out[~child] += k
+                else:
+                    count[child + 1] = k
+        return done + amounts * ((place - first) / int(amounts.sum())), out
+
+    def of(self, source: int, place: int) -> int:
+        """Whole ids of a source before the place."""
+        if not self.phases:
+            return 0
+        first, done, amounts, (steps, paths) = self._at(place)
+        if not amounts[source]:
+            return int(done[source])
+        n = place - first
+        for node, is_light in paths[source]:
+            part = _rounded(n, steps[node][2])
+            n = part if is_light else n - part
+        return int(done[source]) + n
+
+
+def _rounded(n: int, share: float) -> int:
+    return int(n * share + 0.5)
+
+
+def _tree(amounts: np.ndarray) -> tuple[list[tuple[int, int, float]], dict[int, list[tuple[int, bool]]]]:
+    """(nodes, the root last: lighter child, other child, the lighter one's share; leaves are ~source), and the path to each source."""
+    heap = [(int(amounts[i]), ~i) for i in np.flatnonzero(amounts).tolist()]
+    heapify(heap)
+    nodes: list[tuple[int, int, float]] = []
+    while len(heap) > 1:
+        (a, light), (b, heavy) = heappop(heap), heappop(heap)
+        nodes.append((light, heavy, a / (a + b)))
+        heappush(heap, (a + b, len(nodes) - 1))
+    paths: dict[int, list[tuple[int, bool]]] = {}
+    open_ = [(heap[0][1], [])] if heap else []
+    while open_:
+        node, path = open_.pop()
+        if node < 0:
+            paths[~node] = path
+        else:
+            light, heavy, _ = nodes[node]
+            open_ += [(light, [*path, (node, True)]), (heavy, [*path, (node, False)])]
+    return nodes, paths
 
 
 def quotas(totals: np.ndarray, weights: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """(exact shares, whole ids) of each source before each partition of ``per`` ids."""
-    total = int(totals.sum())
-    edges = np.minimum(np.arange(-(-total // per) + 1, dtype=np.int64) * per, total)
-    exact = served(totals, weights, edges)
-    whole = np.zeros_like(exact, dtype=np.int64)
-    for p in range(1, len(edges)):
-        row = np.minimum(np.maximum(whole[p - 1], np.floor(exact[p] + 1e-9).astype(np.int64)), totals)
-        owed = int(edges[p] - row.sum())
-        order = np.argsort(-(exact[p] - row), kind="stable")
-        k = 0
-        while owed:
-            i = order[k % len(order)] if owed > 0 else order[-1 - k % len(order)]
-            if owed > 0 and row[i] < totals[i]:
-                row[i] += 1
-                owed -= 1
-            elif owed < 0 and row[i] > whole[p - 1][i]:
-                row[i] -= 1
-                owed += 1
-            k += 1
-        whole[p] = row
-    return exact, whole
-
-
-def rounds(p: int, exact: np.ndarray, whole: np.ndarray, windows: int, length: int, least: int) -> list[tuple[np.ndarray, ...]]:
+    """(exact shares, whole ids) of each source before each partition of ``per`` ids and after the last: for a look at a small mixture."""
+    shares, total = Shares(totals, weights), int(totals.sum())
+    found = [shares.before(min(p * per, total)) for p in range(-(-total // per) + 1)]
+    return np.array([x for x, _ in found]), np.array([x for _, x in found])
+
+
+def rounds(p: int, shares: Shares, windows: int, length: int, least: int) -> list[tuple[np.ndarray, ...]]:
     """For each source: places in its queue, windows and offsets of the pieces that partition p serves."""
-    n = whole.shape[1]
-    at, stop = whole[p].tolist(), whole[p + 1].tolist()
-    share = ((exact[p + 1] - exact[p]) / max(1.0, (whole[p + 1] - whole[p]).sum() / length)).tolist()
-    deficit = (exact[p] - whole[p]).tolist()
+    total, n = int(shares.totals.sum()), len(shares.totals)
+    (exact, whole), (exact_, whole_) = (shares.before(min(q * windows * length, total)) for q in (p, p + 1))
+    at, stop = whole.tolist(), whole_.tolist()
+    share = ((exact_ - exact) / max(1.0, (whole_ - whole).sum() / length)).tolist()
+    deficit = (exact - whole).tolist()
     pieces: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     w, left = p * windows, sum(stop) - sum(at)
     while left > 0:
@@ -166,21 +222,27 @@ def pack(docs: DataFrame, *, length: int = LENGTH, least: int = LEAST, targets:
     names = sorted(totals, key=lambda s: (s is not None, s or ""))
     count = np.array([totals[s] for s in names], np.int64)
     weights = count.astype(float) if targets is None else np.array([float(targets.get(s, 0.0)) for s in names])
-    n_windows = -(-int(count.sum()) // length) if names else 0
-    windows = max(WINDOWS, -(-n_windows // MOST))
-    sent = spark.sparkContext.broadcast((names, *quotas(count, weights, windows * length))) if names else spark.sparkContext.broadcast(([], None, None))
+    windows = WINDOWS
+    sent = spark.sparkContext.broadcast((names, Shares(count, weights)))
     few = each.count() <= SENT_ROWS
     offsets = each.select("part", F.col("source").alias("s"), "base")
     joined = table.join(F.broadcast(offsets) if few else offsets, (table["part"] == offsets["part"]) & table["source"].eqNullSafe(offsets["s"]))
     rows = joined.select(table["doc_id"], table["source"], (F.col("base") + F.col("first")).alias("at"), F.col("n"), F.col("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, exact, whole = sent.value
+        names, shares = sent.value
         place = {s: i for i, s in enumerate(names)}
 
         @lru_cache(maxsize=64)
         def of(p: int):
-            return rounds(p, exact, whole, windows, length, least)
+            return rounds(p, shares, windows, length, least)
+
+        last = -(-int(shares.totals.sum()) // (windows * length))
+
+        @lru_cache(maxsize=1024)
+        def holding(s: int, place: int) -> int:
+            """The partition in which a place of a source's queue is."""
+            return bisect_right(range(last), place, key=lambda p: shares.of(s, p * windows * length)) - 1
 
         for batch in batches:
             low = 0
@@ -188,14 +250,14 @@ def pack(docs: DataFrame, *, length: int = LENGTH, least: int = LEAST, targets:
             sums = np.concatenate([[0], np.cumsum(sizes)])
             while low < len(sizes):
                 high = max(low + 1, int(np.searchsorted(sums, sums[low] + (1 << 19), "right")) - 1)
-                yield from _pieces(batch.slice(low, high - low), place, whole, of)
+                yield from _pieces(batch.slice(low, high - low), place, holding, of)
                 low = high
 
     schema = T.StructType.fromDDL("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return rows.mapInArrow(lean(run), schema)
 
 
-def _pieces(batch: pa.RecordBatch, place: dict, whole: np.ndarray, of) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, place: dict, holding, of) -> Iterator[pa.RecordBatch]:
     sources = np.array([place[s] for s in batch.column(1).to_pylist()], np.int64)
     at, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
     blob = batch.column(4)
@@ -207,8 +269,7 @@ def _pieces(batch: pa.RecordBatch, place: dict, whole: np.ndarray, of) -> Iterat
     for s in np.unique(sources).tolist():
         rows = np.flatnonzero(sources == s)
         a, b = at[rows], at[rows] + n[rows]
-        p = np.searchsorted(whole[:, s], [a.min(), b.max() - 1], "right") - 1
-        parts = [of(q)[s] for q in range(int(p[0]), int(p[1]) + 1)]
+        parts = [of(q)[s] for q in range(holding(s, int(a.min())), holding(s, int(b.max()) - 1) + 1)]
         q, w, o = (np.concatenate([x[c] for x in parts]) for c in range(3))
         ends = np.append(q[1:], np.iinfo(np.int64).max)
         i = np.searchsorted(q, a, "right") - 1

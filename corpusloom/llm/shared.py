@@ -16,9 +16,12 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in a single process (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -119,6 +122,26 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A random 64-bit value for each byte, made from a fixed seed.
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
+#: A second polynomial, modulo a prime, for segments that may be made to collide modulo 2 ** 64 (Thue-Morse words).
+_PRIME = (1 << 31) - 1
+_BASE_P = 1_442_695_041
+_VALUE_P = np.random.default_rng(20240301).integers(1, _PRIME, 256, dtype=np.uint64)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, but for a multiple of it that fits 33 bits."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _power_p(base: int, n: int) -> np.ndarray:
+    """base ** (0 .. n-1) modulo the prime."""
+    have = _powers.get(-base)
+    if have is None or len(have) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), _PRIME)) % np.uint64(_PRIME)])
+        have = _powers[-base] = out.astype(np.uint32)
+    return have[:n]
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -138,8 +161,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of raw[s:e] for each of the ascending segments, from prefix sums of a polynomial."""
+def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20, strong: bool = False) -> np.ndarray:
+    """A 64-bit hash of raw[s:e] for each of the ascending segments, from prefix sums of a polynomial modulo 2 ** 64, and, if
+    strong, of one modulo a prime too. Equal hashes don't prove equal segments: callers compare what is behind them."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -153,7 +177,12 @@ def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block:
         np.cumsum(_VALUE[raw[low:high]] * _power(_BASE, n), out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         h = (sums[e] - sums[s]) * _power(_INVERSE, n + 1)[s]
-        out[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        if strong:
+            np.cumsum(_fold(_VALUE_P[raw[low:high]] * _power_p(_BASE_P, n)), out=sums[1:])
+            rest = (sums[e] - sums[s]) % np.uint64(_PRIME) * _power_p(pow(_BASE_P, -1, _PRIME), n + 1)[s] % np.uint64(_PRIME)
+            h = mix(h) + rest * np.uint64(0xC2B2AE3D27D4EB4F)
+        out[i:j] = mix(h)
         i = j
     return out
 

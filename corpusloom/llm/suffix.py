@@ -283,11 +283,15 @@ _COLUMNS = ("doc", "version", "low", "shape", "gram", "whole")
 
 
 def _settle(cols: dict[str, np.ndarray], length: int) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
-    """(the first of all equal contexts, spans of the others)."""
-    order = np.lexsort((cols["low"], cols["version"], cols["doc"], cols["whole"]))
+    """(the first of all equal contexts, spans of the others). Equal are those of equal hash, of equal hash of the anchor and of equal
+    length and place of it."""
+    same = ("whole", "gram", "shape")
+    order = np.lexsort((cols["low"], cols["version"], cols["doc"], *(cols[k] for k in reversed(same))))
     cols = {k: v[order] for k, v in cols.items()}
-    w = cols["whole"]
-    first = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+    first = np.zeros(len(order), bool)
+    first[:1] = True
+    for k in same:
+        first[1:] |= cols[k][1:] != cols[k][:-1]
     rest = {k: v[~first] for k, v in cols.items()}
     return {k: v[first] for k, v in cols.items()}, _merge(rest["doc"], rest["version"], rest["low"], rest["low"] + (rest["shape"] & 0xFFFFF) + length)
 

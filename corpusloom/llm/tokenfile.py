@@ -4,6 +4,8 @@ A file holds the ids of documents in ascending order of id, each document ended
 
     MAGIC | blocks | block starts u64[nb + 1] | document ids i64[nd] | first ids u64[nd + 1] | footer
 
+The footer says, besides the numbers of blocks, documents and ids, how many of the first documents have no id.
+
 A block has BLOCK ids (the last may have fewer): u32 least id, u8 width, u16 ids, u16 exceptions, then
 ``id - least`` packed in ``width`` low bits each, then u16 places and u32 high bits of the exceptions. The width is
 that of the block's PERCENTILE-th widest difference. The index of block starts finds any document without reading
@@ -12,7 +14,8 @@ what stands before it.
 ``write`` deals documents by ranges of doc_id, a file to a range, and returns a line per file; files are named by
 attempt, so a task that runs again leaves no half-written file behind in the list. ``read`` gives each document
 back. Nulls: a null text is empty (its end id is all it has); a null doc_id comes first and is kept. Repeated ids
-are kept, ordered by text. No documents, no files. Other columns are ignored.
+are kept, ordered by text. A text of any length is encoded as a whole, ids of 2 bytes each in memory. No documents, no files.
+Other columns are ignored. Control strings in a text: see ``tokens``.
 """
 
 from __future__ import annotations
@@ -31,12 +34,11 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, lean, parts_for, small_batches
 from .tokens import encoder
 
-MAGIC = b"CLPFOR01"
+MAGIC = b"CLPFOR02"
 BLOCK = 1024
 PERCENTILE = 0.95
 _HEAD = struct.Struct("<IBHH")
-_FOOT = struct.Struct("<QQQQ8s")
-_NULL = -(1 << 63)
+_FOOT = struct.Struct("<QQQQQ8s")
 #: Bits of each 16-bit value.
 _BITS = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
 
@@ -126,7 +128,7 @@ class Writer:
         self.stream.write(MAGIC + bytes([dtype.itemsize]) + bytes(7))
         self.at, self.starts, self.docs, self.counts = 16, [16], [], []
         self.held: list[np.ndarray] = []
-        self.n_held = 0
+        self.n_held = self.n_null = 0
 
     def _flush(self, ids: np.ndarray) -> None:
         for block in pack_blocks(ids, self.percentile):
@@ -134,8 +136,10 @@ class Writer:
             self.at += len(block)
             self.starts.append(self.at)
 
-    def add(self, docs: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, docs: np.ndarray, counts: np.ndarray, ids: np.ndarray, n_null: int = 0) -> None:
+        """Documents of ascending ids; the first ``n_null`` have none (whatever docs says)."""
         self.docs.append(docs)
+        self.n_null += n_null
         self.counts.append(counts)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -152,7 +156,7 @@ class Writer:
         docs = np.concatenate([*self.docs, np.zeros(0, np.int64)]).astype("<i8")
         firsts = np.concatenate([[0], np.cumsum(np.concatenate([*self.counts, np.zeros(0, np.int64)]))]).astype("<u8")
         index = np.array(self.starts, "<u8").tobytes()
-        self.stream.write(index + docs.tobytes() + firsts.tobytes() + _FOOT.pack(self.at, len(self.starts) - 1, len(docs), int(firsts[-1]), MAGIC))
+        self.stream.write(index + docs.tobytes() + firsts.tobytes() + _FOOT.pack(self.at, len(self.starts) - 1, len(docs), int(firsts[-1]), self.n_null, MAGIC))
         self.stream.close()
         return len(docs), int(firsts[-1])
 
@@ -163,7 +167,7 @@ class Reader:
     def __init__(self, stream):
         self.stream = stream
         size = stream.size()
-        at, nb, nd, self.n_ids, magic = _FOOT.unpack(stream.read_at(_FOOT.size, size - _FOOT.size))
+        at, nb, nd, self.n_ids, self.n_null, magic = _FOOT.unpack(stream.read_at(_FOOT.size, size - _FOOT.size))
         head = stream.read_at(16, 0)
         if magic != MAGIC or head[:8] != MAGIC:
             raise ValueError("not a token file")
@@ -203,7 +207,7 @@ def crcs(ids: np.ndarray, edges: np.ndarray) -> list[int]:
     return [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
 
 
-def write(docs: DataFrame, to: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None) -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, to: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, tokenizer: str | None = None, plain: bool = False) -> list[tuple[str, int, int]]:
     """(path, documents, ids) of each file, in ascending order of doc_id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(parts_for(docs.select(doc_id, text)), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
@@ -213,13 +217,13 @@ def write(docs: DataFrame, to: str, *, doc_id: str = "doc_id", text: str = "text
 
         store, root = fs.FileSystem.from_uri(to)
         store.create_dir(root, recursive=True)
-        path, writer, bpe = f"{root}/{uuid.uuid4().hex}.pfor", None, encoder(tokenizer)
+        path, writer, bpe = f"{root}/{uuid.uuid4().hex}.pfor", None, encoder(tokenizer, plain=plain)
         for batch in batches:
-            names = batch.column(0).fill_null(_NULL).to_numpy()
+            null, names = batch.column(0).is_null().to_numpy(zero_copy_only=False), batch.column(0).fill_null(0).to_numpy()
             for low, ids, counts in bpe.encode_column(batch.column(1)):
                 writer = writer or Writer(store.open_output_stream(path, compression=None), bpe.dtype)
                 ids, n = ended(ids, counts, end_id)
-                writer.add(names[low : low + len(n)], n, ids)
+                writer.add(names[low : low + len(n)], n, ids, int(null[low : low + len(n)].sum()))
         if writer is not None:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
@@ -246,7 +250,7 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], base: str) -> D
                         edges = reader.firsts[i : j + 1]
                         names = reader.docs[i:j]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array(names, pa.int64(), mask=names == _NULL),
+                            "doc_id": pa.array(names, pa.int64(), mask=np.arange(i, j) < reader.n_null),
                             "start": pa.array(start + edges[:-1], pa.int64()),
                             "n_tokens": pa.array(np.diff(edges), pa.int64()),
                             "ids_crc32": pa.array(crcs(ids, edges - edges[0]), pa.int64()),

@@ -1,8 +1,12 @@
 """Byte-level BPE ids by the tokenizers library, each distinct word encoded once per block of text.
 
 The tokenizer's own pattern never joins what stands before a space to a non-blank character after it, so a text can
-be cut before each such space and the pieces' ids concatenated. Pieces are told apart by 64-bit hashes; the ids of
-pieces already met are kept in sorted arrays of at most KEPT pieces.
+be cut before each such space and the pieces' ids concatenated. The ids of pieces already met are kept in sorted arrays of
+at most KEPT pieces. Pieces are looked up by 64-bit hashes, and the bytes behind each hit are compared: a piece that
+shares its hash with another is encoded by itself.
+
+Added tokens (control strings as <|endoftext|>) in a text get the ids that the library's own call gives them; a text that
+holds one is not cut, since blanks before it are split in another way. With ``plain=True`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -10,9 +14,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .shared import ragged, segment_hashes, utf8
+from .shared import mix, ragged, segment_hashes, utf8
 
-KEPT = 1_200_000
+KEPT = 1_000_000
 BLOCK = 1 << 20
 #: New pieces that are gathered before they are sorted among the others.
 FRESH = 60_000
@@ -39,32 +43,82 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.searchsorted(starts, at))
 
 
+#: Bytes of a piece that are held in two words; of longer pieces the whole text is held too.
+_SHORT = 16
+
+
+class Pieces:
+    """Byte strings raw[s:e]: a hash of each, and exact comparison by the first two words, the length and, of long ones, the text."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.raw, self.starts, self.lengths = raw, starts, (ends - starts).astype(np.int32)
+        padded = np.concatenate([raw, np.zeros(2 * _SHORT - len(raw) % 8, np.uint8)])
+        words = np.lib.stride_tricks.as_strided(padded.view(np.uint64), (len(raw) + 9,), (1,))  # the 8 bytes from each place
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        self.words = tuple(words[starts + 8 * k] & mask[np.clip(self.lengths - 8 * k, 0, 8)] for k in range(2))
+        self.hashes = mix(self.words[0] ^ mix(self.words[1] + self.lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        long = np.flatnonzero(self.lengths > _SHORT)
+        if len(long):
+            n = self.lengths[long].astype(np.int64)
+            stops = np.cumsum(n)
+            self.hashes[long] ^= segment_hashes(raw[ragged(starts[long], n)], stops - n, stops)
+
+    def differ(self, mine: np.ndarray, other, its: np.ndarray) -> np.ndarray:
+        """Whether my pieces ``mine`` are other strings than the pieces ``its`` of other."""
+        out = (self.lengths[mine] != other.lengths[its]) | (self.words[0][mine] != other.words[0][its]) | (self.words[1][mine] != other.words[1][its])
+        long = np.flatnonzero(~out & (self.lengths[mine] > _SHORT))
+        if len(long):
+            n = self.lengths[mine[long]].astype(np.int64)
+            same = self.raw[ragged(self.starts[mine[long]], n)] == other.raw[ragged(other.starts[its[long]], n)]
+            out[long] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return out
+
+
 class _Known:
-    """Pieces by hash, sorted, with places in their concatenated ids."""
+    """Pieces by hash, sorted, with places in their concatenated ids and texts."""
 
     def __init__(self, dtype: np.dtype):
-        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+        self.hashes, self.at, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+        self.raw, self.starts, self.lengths, self.words = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32), (np.zeros(0, np.uint64),) * 2
 
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, whether it is known) of each wanted hash."""
-        start, size, hit = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int32), np.zeros(len(wanted), bool)
+    def find(self, pieces: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of ids, number of ids, whether it is known, whether another piece has its hash) of each piece."""
+        n = len(which)
+        start, size, hit, clash = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-            hit = self.hashes[at] == wanted
-            start[hit], size[hit] = self.starts[at[hit]], self.sizes[at[hit]]
-        return start, size, hit
-
-    def add(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        hashes = np.concatenate([self.hashes, hashes])
+            at = np.minimum(np.searchsorted(self.hashes, pieces.hashes[which]), len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[at] == pieces.hashes[which])
+            clash[same] = pieces.differ(which[same], self, at[same])
+            hit[same] = ~clash[same]
+            start[hit], size[hit] = self.at[at[hit]], self.sizes[at[hit]]
+        return start, size, hit, clash
+
+    def add(self, other) -> None:
+        """Take in pieces (a _Known) of other hashes."""
+        hashes = np.concatenate([self.hashes, other.hashes])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.starts = np.concatenate([self.starts, starts + len(self.ids)])[order]
-        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, other.at + len(self.ids)])[order]
+        self.starts = np.concatenate([self.starts, other.starts + len(self.raw)])[order]
+        for name in ("sizes", "lengths"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)])[order])
+        self.words = tuple(np.concatenate(x)[order] for x in zip(self.words, other.words, strict=True))
+        self.ids, self.raw = np.concatenate([self.ids, other.ids]), np.concatenate([self.raw, other.raw])
+
+    @classmethod
+    def of(cls, pieces: Pieces, which: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        """The pieces ``which``, whose ids lie one after the other."""
+        out = cls(ids.dtype)
+        n = np.where(pieces.lengths[which] > _SHORT, pieces.lengths[which], 0).astype(np.int64)
+        order = np.argsort(pieces.hashes[which], kind="stable")
+        out.hashes, out.at, out.sizes, out.ids = pieces.hashes[which][order], (np.cumsum(sizes) - sizes)[order], sizes[order].astype(np.int32), ids
+        out.raw, out.starts, out.lengths = pieces.raw[ragged(pieces.starts[which], n)], (np.cumsum(n) - n)[order], pieces.lengths[which][order]
+        out.words = tuple(w[which][order] for w in pieces.words)
+        return out
 
 
 class Encoder:
-    def __init__(self, path: str | None = None, name: str = "byte_bpe_50k.json"):
+    def __init__(self, path: str | None = None, name: str = "byte_bpe_50k.json", plain: bool = False):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -72,7 +126,8 @@ class Encoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
@@ -85,10 +140,10 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each piece). Pieces of one space and no other are encoded many at a time."""
+    def _pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece). Pieces of one space and no other are encoded many at a time, but for those to be encoded alone."""
         spaces = np.concatenate([[0], np.cumsum(raw == 0x20)])
-        plain = (raw[starts] == 0x20) & (spaces[ends] - spaces[starts] == 1) & (ends - starts > 1)
+        plain = (raw[starts] == 0x20) & (spaces[ends] - spaces[starts] == 1) & (ends - starts > 1) & ~alone
         data, sizes = raw.tobytes(), np.zeros(len(starts), np.int64)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         k = int(plain.sum())
@@ -116,34 +171,63 @@ class Encoder:
     def encode_utf8(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each) of the texts raw[at[i]:at[i+1]]."""
         starts, counts = cuts(raw, at)
-        ends = np.append(starts[1:], len(raw))
-        hashes = segment_hashes(raw, starts, ends)
-        found, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        holds = self._holding(raw, at)
+        if holds.any():  # their inner cuts go
+            text = np.repeat(np.arange(len(counts)), counts)
+            keep = ~holds[text] | np.concatenate([[True], text[1:] != text[:-1]])
+            starts, counts = starts[keep], np.where(holds, 1, counts)
+        alone = np.repeat(holds, counts)
+        pieces = Pieces(raw, starts, np.append(starts[1:], len(raw)))
+        found, first, where = np.unique(pieces.hashes, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(pieces.differ(np.arange(len(starts)), pieces, first[where]))  # they share the hash of an earlier piece
         many, few = self.tables
-        begin, size, hit = many.find(found)
-        begin_, size_, hit_ = few.find(found)
+        begin, size, hit, clash = many.find(pieces, first)
+        begin_, size_, hit_, clash_ = few.find(pieces, first)
         begin[hit_], size[hit_] = begin_[hit_] + len(many.ids), size_[hit_]
         hit |= hit_
         new = np.sort(first[~hit])
         ids = np.concatenate([many.ids, few.ids])
         if len(new):
-            more, sizes = self._pieces(raw, starts[new], ends[new])
+            more, sizes = self._pieces(raw, starts[new], pieces.starts[new] + pieces.lengths[new], alone[new])
             slot = where[new]
-            place = np.cumsum(sizes) - sizes
-            begin[slot], size[slot] = len(ids) + place, sizes
+            begin[slot], size[slot] = len(ids) + np.cumsum(sizes) - sizes, sizes
             ids = np.concatenate([ids, more])
-            few.add(found[slot], place, sizes, more)
+            kept = ~(clash | clash_)[slot]
+            if kept.all():
+                few.add(_Known.of(pieces, new, sizes, more))
+            else:
+                few.add(_Known.of(pieces, new[kept], sizes[kept], more[ragged((np.cumsum(sizes) - sizes)[kept], sizes[kept])]))
             if len(many.hashes) + len(few.hashes) > KEPT:
                 self._forget()
             elif len(few.hashes) > FRESH:
-                many.add(few.hashes, few.starts, few.sizes, few.ids)
+                many.add(few)
                 self.tables[1] = _Known(self.dtype)
+        if len(odd):
+            more, sizes = self._pieces(raw, starts[odd], pieces.starts[odd] + pieces.lengths[odd], np.ones(len(odd), bool))
+            where[odd] = len(begin) + np.arange(len(odd))
+            begin, size = np.concatenate([begin, len(ids) + np.cumsum(sizes) - sizes]), np.concatenate([size, sizes.astype(np.int32)])
+            ids = np.concatenate([ids, more])
         lengths = size[where].astype(np.int64)
         out = ids[ragged(begin[where], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         piece = np.concatenate([[0], np.cumsum(counts)])
         return out, np.diff(sums[piece])
 
+    def _holding(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each text holds an added token's string."""
+        out = np.zeros(len(at) - 1, bool)
+        data = raw.tobytes() if self.added else b""
+        for token in self.added:
+            i = data.find(token)
+            while i >= 0:
+                k = int(np.searchsorted(at, i, "right")) - 1
+                if i + len(token) <= at[k + 1]:
+                    out[k] = True
+                    i = data.find(token, int(at[k + 1]))
+                else:  # it goes across two texts
+                    i = data.find(token, i + 1)
+        return out
+
     def encode_column(self, column: pa.Array):
         """(first row, ids, ids of each row) for runs of rows of about BLOCK bytes."""
         raw, at = utf8(column)
@@ -157,8 +241,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None, name: str = "byte_bpe_50k.json") -> Encoder:
+def encoder(path: str | None = None, name: str = "byte_bpe_50k.json", plain: bool = False) -> Encoder:
     """This process's encoder."""
-    if (path, name) not in _encoders:
-        _encoders[path, name] = Encoder(path, name)
-    return _encoders[path, name]
+    key = path, name, plain
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

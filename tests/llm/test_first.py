@@ -67,10 +67,10 @@ def brute_hits(docs, items):
     windows = {}
     for i, t in items:
         w = fold(t)
-        if i is not None and w:
+        if w:
             n = min(10, len(w))
             for a in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[a : a + n]), set()).add(str(i))
+                windows.setdefault(tuple(w[a : a + n]), set()).add("" if i is None else str(i))
     out = {}
     for d, t in docs:
         w, hit, found = fold(t), set(), set()
@@ -88,7 +88,7 @@ def test_decontamination(spark, block):
     rng = random.Random(4)
     words = ["a", "b", "C", "été", "x1", "the", "日本"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
-    items = [(i, text(rng.choice([1, 2, 3, 9, 10, 11, 25]))) for i in range(14)] + [(20, None), (None, "a b"), (21, "..."), (22, "a a a a a a a a a a a a"), (1, text(12))]
+    items = [(i, text(rng.choice([1, 2, 3, 9, 10, 11, 25]))) for i in range(14)] + [(20, None), (None, "a b"), (21, "..."), (22, "a a a a a a a a a a a a"), (1, text(12)), (None, "c the c")]
     docs = [(i, text(rng.randint(0, 60)) + (rng.choice(items)[1] or "") + text(5)) for i in range(60)] + [(100, None), (101, ""), (102, "a " * 3000)]
     d = spark.createDataFrame([(*x, 0) for x in docs], "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -103,11 +103,11 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-ODD = ["", None, " ", "  ", "a ", " a  b   c", "a \n\nb\t x", "it's 12 <|endoftext|> é  z “q” \x1c a\x1cb", "日本 語 😀 " * 50, "word " * 30_000]
+THUE_MORSE = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in range(2)]
+ODD = ["", None, " ", "  ", "a ", " a  b   c", *THUE_MORSE, "<|endoftext|>", " <|endoftext|>", "a \n <|endoftext|> b", "<|endof", "text|>", "a \n\nb\t x", "it's 12 <|endoftext|> é  z “q” \x1c a\x1cb", "日本 語 😀 " * 50, "word " * 30_000]
 
 
 def test_token_files(spark):
@@ -127,6 +127,35 @@ def test_token_files(spark):
     assert tokenfile.store(df.limit(0)).count() == 0
     null = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
     assert [(r["doc_id"], r["start"]) for r in sorted(tokenfile.store(null).collect(), key=lambda r: r["start"])] == [(None, 0), (1, 2), (1, 4)]
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (None, "c")], "doc_id long, text string")
+    assert [r["doc_id"] for r in sorted(tokenfile.store(least).collect(), key=lambda r: r["start"])] == [None, None, -(1 << 63)]
+
+
+def test_plain_control_strings():
+    from corpusloom.llm import tokens
+
+    raw = np.frombuffer(b"a <|endoftext|>", np.uint8)
+    at = np.array([0, len(raw)])
+    assert tokens.encoder().encode_utf8(raw, at)[0].tolist() == reference_ids(["a <|endoftext|>"])[0] and 50256 in reference_ids(["a <|endoftext|>"])[0]
+    assert 50256 not in tokens.encoder(plain=True).encode_utf8(raw, at)[0].tolist()
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    """Pieces whose hashes collide keep their own ids."""
+    from corpusloom.llm import tokens
+
+    class Bad(tokens.Pieces):
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.hashes = self.hashes % np.uint64(7)
+
+    monkeypatch.setattr(tokens, "Pieces", Bad)
+    bpe, rng = tokens.Encoder(), random.Random(6)
+    for _ in range(30):
+        texts = ["".join(rng.choice([" ", "\n", "ab", "c", "word" * 6, "é"]) for _ in range(rng.randint(0, 20))) for _ in range(9)]
+        data = [t.encode() for t in texts]
+        ids, counts = bpe.encode_utf8(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == reference_ids(texts)
 
 
 @pytest.mark.parametrize("dtype", ["<u2", "<u4"])
@@ -182,6 +211,28 @@ def test_packing(spark, targets):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_ids_repeat_and_lack(spark):
+    df = spark.createDataFrame([(None, "a b", "s", 1), (None, "a b", "s", 1), (3, "c", None, 1), (3, "d e f", None, 1), (3, None, "s", 1)], "doc_id long, text string, source string, offset int")
+    out = sorted((tuple(r) for r in packing.pack(df, length=4, least=1).collect()), key=str)
+    assert sum(r[3] for r in out) == sum(len(x) + 1 for x in reference_ids(["a b", "a b", "c", "d e f", None]))
+    assert sorted(r[5] for r in out if r[2] == 0) == [1, 2, 3, 3, 4]
+    assert {r[0] for r in out} == {None, 3}
+
+
+def test_shares_at_any_place():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 60):
+        totals = rng.integers(1, 4000, n)
+        for weights in (totals.astype(float), rng.random(n) * (rng.random(n) < 0.7), np.zeros(n)):
+            shares, before = packing.Shares(totals, weights), np.zeros(n, np.int64)
+            for place in range(0, int(totals.sum()) + 1, 37):
+                exact, whole = shares.before(place)
+                assert whole.sum() == place and (whole >= before).all() and (whole <= totals).all() and np.abs(exact - whole).max() < 3
+                assert [shares.of(i, place) for i in range(n)] == whole.tolist()
+                before = whole
+            assert (shares.before(int(totals.sum()))[1] == totals).all()
+
+
 def test_quotas_lose_nothing():
     rng = np.random.default_rng(3)
     for n in (1, 3, 40):

@@ -10,12 +10,12 @@ from corpusloom.llm import jaccard
 from corpusloom.llm.components import components
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, n=3):
     """doc_id to (set size, least linked doc_id)."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -63,6 +63,14 @@ def test_components_of_documents(spark, seed, n_words, classes):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("classes", [jaccard.CLASSES, ((2, 2), (5, 3))])
+def test_five_words(spark, classes):
+    rows = corpus(4, 3000, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df, words=5, percent=80, classes=classes).collect()}
+    assert got == brute(rows, 80, 5)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (5, "x y z"), (None, None)], "doc_id long, text string")
     out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect()), key=str)
@@ -70,6 +78,30 @@ def test_edges(spark):
     assert jaccard.join_components(df.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out, out.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_decide(spark):
+    """Words that collide modulo 2^64 are other words, and sets of equal shingles in another order are equal sets."""
+    x, y = thue_morse(2048)
+    rows = [(1, x), (2, y), (3, f"{x} b c d e"), (4, f"{y} b c d e"), (5, "p q r p q r"), (6, "p q r p q"), (7, "P  q r p\nq R p q")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect()}
+    assert got == brute(rows)
+    assert got[2] == (1, 2) and got[7] == (3, 5)
+
+
+def test_ids_repeat_and_lack(spark):
+    rows = [(None, "a b c d"), (None, "x y z w"), (4, "a b c d"), (4, "m n o p"), (None, "x y z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df).collect()), key=str)
+    assert got == sorted([(None, 2, 4), (4, 2, 4), (4, 2, 4), (None, 2, None), (None, 2, None)], key=str)
+
+
 def test_every_link_shares_an_entry():
     """The prefixes' guarantee, for random order and classes: linked sets share an index entry."""
     rng = np.random.default_rng(7)

@@ -19,14 +19,14 @@ def near(rows):
     sets = {}
     for r in rows:
         w = _words(r["text"])
-        sets[r["doc_id"]] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     root = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
         for i, x in sets.items():
             for j, y in sets.items():
-                if i < j and x and y and root[i] != root[j] and 100 * len(x & y) >= 90 * len(x | y):
+                if i < j and x and y and root[i] != root[j] and 100 * len(x & y) >= 80 * len(x | y):
                     a, b = sorted((root[i], root[j]))
                     root = {k: a if v == b else v for k, v in root.items()}
                     changed = True
@@ -124,3 +124,33 @@ def test_empty_stages(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_ids_repeat_and_lack(spark):
+    """Rows, not ids, are kept or go."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(rng.choice(SYLLABLES["aa"]) + str(rng.randrange(900)) for _ in range(60)) for _ in range(3))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(rows):
+        docs = spark.createDataFrame([(i, t, "aa", "s", k) for k, (i, t) in enumerate(rows)], schema).repartition(2)
+        return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()), key=str)
+
+    assert left([(5, a), (5, b)]) == sorted([(5, a), (5, b)], key=str)
+    assert left([(3, a), (5, a), (5, b)]) == sorted([(3, a), (5, b)], key=str)
+    assert left([(None, a), (None, a), (7, a)]) == [(7, a)]
+    assert left([(None, a), (None, a), (None, b), (2, c), (2, c)]) == sorted([(None, a), (None, b), (2, c)], key=str)
+    near = a.split(" ")
+    near[20] = "other"
+    assert left([(5, a), (5, " ".join(near)), (6, b)])[-1] == (6, b)
+    assert len(left([(5, a), (5, " ".join(near)), (6, b)])) == 2
+
+
+def test_session_is_left_as_it_was(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the one", "aa", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long, root long")
+    docs.withColumn("hash", docs["root"]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert spark.conf.get(key) == before

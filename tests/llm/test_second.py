@@ -50,6 +50,44 @@ def test_presence_kernel():
     assert langid.presence(big, np.array([0, len(big)])).sum() == langid.presence(big[:20], np.array([0, 20])).sum()
 
 
+def test_direct_ridge_solution(spark):
+    """The weights' values are those of one solution over all examples, with kernels of sets."""
+    rng = random.Random(11)
+    rows = [(i, _prose(rng, SYLLABLES[k], rng.choice([2, 30, 90])), k) for i in range(60) for k in [rng.choice([*SYLLABLES])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, landmarks=6)
+
+    def grams(raw):
+        t = bytes(langid._FOLD[np.frombuffer(raw, np.uint8)])
+        one = {("1", t[k]) for k in range(len(t))}
+        two = {("2", (int.from_bytes(t[k : k + 2], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 20) for k in range(len(t) - 1)}
+        return one | two | {("3", (int.from_bytes(t[k : k + 3], "big") * 0x85EBCA6B & 0xFFFFFFFF) >> 18) for k in range(len(t) - 2)}
+
+    at = np.concatenate([[0], np.cumsum(langid.TABLES)])
+    marks = [{(str(1 + int(np.searchsorted(at, c, "right")) - 1), int(c - at[int(np.searchsorted(at, c, "right")) - 1])) for c in np.flatnonzero(z)} for z in model.landmarks]
+    k = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y)) if x and y else 0.0
+    examples = [(grams(e), name) for _, t, name in rows for e in langid._examples(t)]
+    languages = sorted(SYLLABLES)
+    knm = np.array([[k(x, z) for z in marks] for x, _ in examples])
+    kmm = np.array([[k(x, z) for z in marks] for x in marks])
+    y = np.array([[1.0 if name == lang else -1.0 for lang in languages] for _, name in examples])
+    w = np.array([len(examples) / len(languages) / sum(n == name for _, n in examples) for _, name in examples])[:, None]
+    direct = np.linalg.solve(knm.T @ (w * knm) + langid.RIDGE * len(examples) * kmm + 1e-6 * np.eye(len(marks)), knm.T @ (w * y))
+    assert model.languages == languages
+    tests = [_prose(rng, SYLLABLES[name], 20).encode() for name in languages for _ in range(5)]
+    mine = np.concatenate([model.values(m) for _, m in langid.batches(*langid._joined(tests))])
+    assert np.allclose(mine, np.array([[k(grams(t), z) for z in marks] for t in tests]) @ direct, atol=2e-3)
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, _prose(rng, [f"{chr(97 + i % 26)}{chr(97 + i % 23)}", f"q{chr(97 + i % 26)}"], 30), f"l{i % 40:02d}") for i in range(200)]
+    rows += [(1000 + i, "123", "l00") for i in range(300)]
+    monkeypatch.setattr(langid, "MOST_LANDMARKS", 12)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=4)
+    assert model.languages == [f"l{i:02d}" for i in range(40)] and len(model.landmarks) == 12
+
+
 def _payload(text):
     data = (text or "").encode()
     return data + bytes(-len(data) % 64 or (0 if data else 64))
