@@ -5,7 +5,10 @@ with the columns of ``documents``; the last returns the packed pieces. No stage
 last need a trained model and a tokenizer), so ORACLE_SQL is None and the tests hold run() against brute force.
 
 Nulls: a document with null text has no language and goes in the first stage; null doc_id, lang, source and n_chars are
-carried along. Repeated rows are near duplicates: one stays.
+carried along. Repeated rows are near duplicates: one stays; rows of one id with unlike texts are documents of their own. Texts are
+never cut for a decision, whatever their length. Columns beyond those of ``documents`` are left out by the stages. Empty tables give no rows.
+
+The stages lower ``spark.sql.execution.arrow.maxRecordsPerBatch`` while they run; ``run`` sets it back.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm import decontam, jaccard, langid, packing, shared, suffix
 from corpusloom.session import ship
@@ -23,6 +25,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text of which no language's value stands out has a smaller score.
 LEAST_SCORE = 0.3
 
+#: Near duplicates: words of a shingle, and the least Jaccard similarity of a link in per cent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
 BATCH_ROWS = 1000
 
@@ -49,19 +53,23 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest doc_id; documents without words stay."""
+    """Of each component of near duplicates (five-word shingles, Jaccard 0.8) one row: that of the smallest doc_id (null ids last), of
+    rows with that id the one of the least hash of its text, and of rows equal in both the least. Documents without words stay."""
     _begin(spark)
     docs = docs.select(*COLUMNS)
-    found = shared.materialise(jaccard.join_components(docs), "near")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = shared.materialise(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1 and component_id is not null").select("doc_id"), "near-ids")
-    if not twice.isEmpty():  # rows of one id in one component
-        marked = kept.join(twice.distinct().withColumn("more", F.lit(True)), "doc_id", "left")
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last(), "lang", "source")
-        one = marked.where("more").withColumn("k", F.row_number().over(first)).where("k = 1").select(*COLUMNS)
-        kept = marked.where("more is null").select(*COLUMNS).unionByName(one)
-    return kept.select(*COLUMNS)
+    found = jaccard.members(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("root is not null").select("root", "doc_id", "hash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("first")
+    stays = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("hash") == F.col("first.hash"))
+    marked = found.join(found.groupBy("root").agg(first), "root").select(F.col("doc_id").alias("id"), F.col("hash").alias("h"), stays.alias("stays"))
+    marked = shared.materialise(marked.groupBy("id", "h").agg(F.min("stays").alias("stays"), F.count("*").alias("n")), "near")
+    keyed = docs.withColumn("hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))
+    kept = keyed.join(marked.where("not stays or n > 1").select("id", "h"), same, "left_anti").select(*COLUMNS)
+    twice = marked.where("stays and n > 1").select("id", "h")
+    if not twice.isEmpty():  # repeated rows of one id and text
+        one = keyed.join(twice, same, "left_semi").groupBy("doc_id", "hash").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -103,10 +111,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     _tables["from"] = None
     path = shared.fresh_path(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{path}/{k}-{name}")
-        docs = spark.read.parquet(f"{path}/{k}-{name}")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}-{name}")
+            docs = spark.read.parquet(f"{path}/{k}-{name}")
+    finally:
+        spark.conf.set(key, before)
     return docs
