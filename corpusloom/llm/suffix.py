@@ -8,18 +8,26 @@ ones. It follows from the string alone, so all occurrences of a string have equa
 anchor's hash. Neighbouring strings share anchors, so what is sent is not strings but contexts: the stretch of strings
 that have one occurrence of an anchor, by place and hash. Of equal contexts in a task the first is sent and the
 others are settled on the spot (all of their strings start earlier), and likewise in a shard: so copies of a document
-or a passage are pre-aggregated, however many. Anchors that occur once repeat nothing. What is left, the different
-contexts of repeated anchors (those of crowded anchors split by the bytes on their left and right), is fetched from the texts and decided by the shard's suffix array.
+or a passage are pre-aggregated, however many. An anchor that many different contexts of a task have is dealt by the contexts'
+hashes, not to one task. Anchors that occur once repeat nothing. What is left, the different
+contexts of repeated anchors, is fetched from the texts and decided by the shard's suffix array. Contexts of a crowded anchor are
+cut into stretches of strings that begin at neighbouring distances before the anchor, the more the more crowded it is: those of a
+stretch share a core of bytes, by whose hash they are dealt, so no string is parted from an equal one; of equal stretches
+in a task the first goes on.
+
+Hashes bring together and settle equal contexts (64 bits of the context, 64 of its anchor, its length and place); whatever else goes
+is decided on bytes by a suffix array.
 
 Suffix array. ``suffix_array`` classifies suffixes by SA-IS's types, sorts the leftmost-smaller substrings by an
-induced pass, names them, sorts the string of names (by the same routine while it has few different names, else by
-doubling of names) and induces the whole array. The passes are linear; they go through the buckets in order and move each
-bucket's suffixes at once in numpy. Common prefixes are found in text order: compared at irreducible places, one less than
+induced pass, names them, sorts the string of names by the same routine and induces the whole array. The passes are linear:
+over few symbols they go through the buckets in order and move each bucket's suffixes at once in numpy, over many (strings of
+names, whose buckets are small) suffix by suffix. Common prefixes are found in text order: compared at irreducible places, one less than
 before at the others. Suffixes with ``length`` bytes in common stand together, and all but the first in the corpus go.
 
 Nulls: a null text is empty, a null doc_id comes before all others. Rows of equal doc_id are ordered by a hash of the
 text; rows equal in both are one document and get equal results. Empty tables give no rows; other columns are kept
-by ``annotate`` and ignored by ``find``.
+by ``annotate`` and ignored by ``find``. A text's length is bounded by what an Arrow batch of one row holds; its contexts are found
+BLOCK bytes, or one text, at a time.
 """
 
 from __future__ import annotations
@@ -28,20 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import _power, lean, materialise, mix, parts_for, ragged, utf8, _BASE, _INVERSE, _VALUE
+from .shared import _power, lean, materialise, mix, parts_for, ragged, segment_hashes, utf8, _BASE, _INVERSE, _VALUE
 
 LENGTH = 100
 GRAM = 40
 #: Bytes of text whose anchors are found at once, contexts held by a task before they are sent, bytes of a suffix array.
 BLOCK, HELD, SHARD = 1 << 19, 150_000, 1 << 19
-#: Ranges of grams to a partition, and contexts of one anchor beyond which they are told apart by the bytes beside it.
-RANGES, CROWD = 8, 64
-#: Different names up to which the string of names is sorted by induction again.
+#: Ranges of grams to a partition, and contexts of one anchor beyond which it is crowded; each further SPREAD times as many halve its stretches again.
+RANGES, CROWD, SPREAD = 8, 64, 4
+#: Symbols up to which an induced pass goes bucket by bucket.
 FEW = 1024
+#: Stretches of crowded anchors whose first occurrence a task remembers.
+SEEN = 500_000
 _NO_ID = -(1 << 63)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -59,8 +70,37 @@ def _put(sa: np.ndarray, places: np.ndarray, chars: np.ndarray, at: np.ndarray,
     at += step * many
 
 
+def _induce_each(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffixes, induced from leftmost-smaller ones in the given order, one by one."""
+    n = len(text)
+    count = np.bincount(text, minlength=sigma)
+    ends = np.cumsum(count)
+    chars, smaller, sa = text.tolist(), is_s.tolist(), [-1] * n
+    tail, head = ends.tolist(), (ends - count).tolist()
+    for j in lms[::-1].tolist():
+        c = chars[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    for j in sa:  # reads what it writes further on
+        if j > 0 and not smaller[j - 1]:
+            c = chars[j - 1]
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        j = sa[k]
+        if j > 0 and smaller[j - 1]:
+            c = chars[j - 1]
+            tail[c] -= 1
+            sa[tail[c]] = j - 1
+    sa[0] = n - 1  # the end, which nothing stands before
+    return np.array(sa, np.int64)
+
+
 def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The suffixes, induced from leftmost-smaller ones in the given order."""
+    if sigma > FEW:
+        return _induce_each(text, is_s, lms, sigma)
     n = len(text)
     count = np.bincount(text, minlength=sigma)
     ends = np.cumsum(count)
@@ -97,27 +137,6 @@ def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) ->
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names, by doubling: only groups that are still undecided are sorted again."""
-    n = len(names)
-    rank = (np.cumsum(np.bincount(names)) - np.bincount(names))[names]
-    size = np.bincount(rank, minlength=n)
-    k = 1
-    while len(open_ := np.flatnonzero(size[rank] > 1)):
-        then = np.where(open_ + k < n, rank[np.minimum(open_ + k, n - 1)] + 1, 0)
-        order = np.lexsort((then, rank[open_]))
-        at, then = open_[order], then[order]
-        group = rank[at]
-        fresh = np.concatenate([[True], group[1:] != group[:-1]])
-        new = fresh | np.concatenate([[True], then[1:] != then[:-1]])
-        place = np.arange(len(at))
-        since = np.maximum.accumulate(np.where(fresh, place, 0))
-        rank[at] = group + np.maximum.accumulate(np.where(new, place, 0)) - since
-        size = np.bincount(rank, minlength=n)
-        k *= 2
-    return np.argsort(rank, kind="stable")
-
-
 def suffix_array(text: np.ndarray, sigma: int, apart: int | None = None) -> np.ndarray:
     """The suffixes of text in order. Its last symbol is 0 and stands nowhere else; symbols are below sigma. Suffixes that
     begin with the symbol ``apart`` count as all different."""
@@ -152,10 +171,8 @@ def suffix_array(text: np.ndarray, sigma: int, apart: int | None = None) -> np.n
     kinds = int(new.sum())
     if kinds == len(lms):
         order = found
-    elif kinds <= FEW:
-        order = lms[suffix_array(names, kinds)]
     else:
-        order = lms[_doubled(names)]
+        order = lms[suffix_array(names, kinds)]
     return _induce(text, is_s, order, sigma)
 
 
@@ -309,14 +326,29 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             every = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
             first, spans = _settle(every, length)
             part = (first["gram"] >> np.uint64(40)).astype(np.int64) * (RANGES * n_parts) >> 24
+            order = np.argsort(first["gram"], kind="stable")
+            g = first["gram"][order]
+            begins = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            many = np.diff(np.append(begins, len(g)))
+            hot = order[np.repeat(many > CROWD, many)]  # these go by their contexts, and the anchor's own range gets to know
+            known = g[begins[many > CROWD]]
+            home = (known >> np.uint64(40)).astype(np.int64) * (RANGES * n_parts) >> 24
+            part[hot] = (mix(first["whole"][hot]) % np.uint64(RANGES * n_parts)).astype(np.int64)
+            is_hot = np.zeros(len(part), bool)
+            is_hot[hot] = True
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(RANGES * n_parts + 1))
             parts, bodies = [], []
             for p in np.flatnonzero(np.diff(edges)).tolist():
-                rows = order[edges[p] : edges[p + 1]]
-                rows = rows[np.argsort(first["gram"][rows])]
+                every = order[edges[p] : edges[p + 1]]
+                for kind, rows in ((b"\0", every[~is_hot[every]]), (b"\2", every[is_hot[every]])):
+                    if len(rows):
+                        rows = rows[np.argsort(first["gram"][rows])]
+                        parts.append(p)
+                        bodies.append(kind + b"".join(_planes(first[k][rows]) for k in _COLUMNS))
+            for p in np.unique(home).tolist():
                 parts.append(p)
-                bodies.append(b"\0" + b"".join(_planes(first[k][rows]) for k in _COLUMNS))
+                bodies.append(b"\3" + _planes(known[home == p]))
             doc = spans[0]
             cut = np.linspace(0, len(doc), max(1, min(RANGES * n_parts, len(doc) // 2000)) + 1).astype(int)
             for k, (a, b) in enumerate(zip(cut, cut[1:])):
@@ -348,25 +380,32 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         spans: list[list[np.ndarray]] = []
         for batch in batches:
             for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if body[0] == 0:
-                    packets.setdefault(p, []).append(body)
-                else:
+                if body[0] == 1:
                     spans.append(_columns(body, kinds[:4]))
-        while packets:  # a range at a time: equal grams are in one range
-            found = [_columns(body, kinds) for body in packets.popitem()[1]]
-            # Grams that come once repeat nothing.
+                else:
+                    packets.setdefault(p, []).append(body)
+        while packets:  # a range at a time: equal grams are in one range, but for those of hot anchors
+            bodies = packets.popitem()[1]
+            hot = [_columns(body, kinds) for body in bodies if body[0] == 2]
+            found = [_columns(body, kinds) for body in bodies if body[0] == 0] + hot
+            known = [_columns(body, ["<u8"])[0] for body in bodies if body[0] == 3] + [np.unique(p[4]) for p in hot]
+            del bodies, hot
+            if not found:
+                continue
+            # Grams that come once, here and elsewhere, repeat nothing.
+            known = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
             grams = np.concatenate([p[4] for p in found])
             order = np.argsort(grams)
             same = grams[order][1:] == grams[order][:-1]
-            keep = np.zeros(len(grams), bool)
+            keep = np.isin(grams, known)
             keep[order[1:][same]] = keep[order[:-1][same]] = True
             first, settled = _settle({k: np.concatenate([p[c] for p in found])[keep] for c, k in enumerate(_COLUMNS)}, length)
             spans.append([*settled])
             order = np.argsort(first["gram"], kind="stable")
             g = first["gram"][order]
-            several = np.zeros(len(g), bool)
-            several[1:] = g[1:] == g[:-1]
-            several[:-1] |= several[1:].copy()
+            several = np.isin(g, known)
+            several[1:] |= g[1:] == g[:-1]
+            several[:-1] |= g[1:] == g[:-1]
             rows = order[several]
             low = first["low"][rows]
             yield pa.RecordBatch.from_arrays(
@@ -380,60 +419,84 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     met = docs.select("key", "version", "text").mapInArrow(lean(send), "part int, body binary").repartition(n_parts, "part").mapInArrow(lean(meet), schema)
     met = materialise(met, "suffix-contexts", 128)  # packets are larger than texts
     open_ = met.where("gram is not null")
-    often = open_.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("gram", F.lit(True).alias("crowd"))
-    open_ = open_.join(often, "gram", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    asked = open_.groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "crowd", "gram")).alias("asked"))
-    half = (length - gram) // 2
+    many = F.count("*")
+    often = open_.groupBy("gram").agg(many.alias("n")).where(F.col("n") > CROWD).select("gram", F.ceil(F.log(F.col("n") / CROWD) / F.log(F.lit(float(SPREAD)))).cast("int").alias("level"))
+    open_ = open_.join(often, "gram", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    asked = open_.groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "level", "gram")).alias("asked"))
+    wide = length - gram + 1  # distances before an anchor at which a string may begin
+
+    def stretches(level: int) -> np.ndarray:
+        """The first distance of each stretch, and their end."""
+        return np.unique(np.arange(0, min(1 << min(level, 30), wide) + 1) * wide // min(1 << min(level, 30), wide))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple[int, int, int]] = {}
         for batch in batches:
             raw, at = utf8(batch.column(2))
             asked = batch.column(3)
             edges = asked.offsets.to_numpy()
             flat = asked.values
-            low, high, anchor, crowd, grams = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             many = np.diff(edges)
-            row = np.repeat(np.arange(batch.num_rows), many)
             take = ragged(edges[:-1].astype(np.int64), many)
-            low, high, anchor, crowd, grams = low[take], high[take], anchor[take], crowd[take], grams[take].view(np.uint64)
-            # The strings of a crowded anchor reach ``half`` bytes to its left, or as many to its right: those that do the one are
-            # kept apart by the bytes there, and so are those that do the other.
-            first = np.where(crowd, np.maximum(low, anchor - half + 1), low)
-            second = crowd & (low <= anchor - half)
-            own = crowd & (first <= high - length)
-            key = grams.copy()
-            key[own] = mix(grams[own] * _ODD + segment(raw, at[row[own]] + anchor[own] + gram, half))
-            left = np.minimum(high, anchor - half + length)
-            keep = ~crowd | own
-            row2, low2, high2 = row[second], low[second], left[second]
-            key2 = mix(grams[second] + segment(raw, at[row2] + anchor[second] - half, half) * _ODD)
-            row, low, high, key = (np.concatenate(x) for x in ((row[keep], row2), (first[keep], low2), (high[keep], high2), (key[keep], key2)))
+            row = np.repeat(np.arange(batch.num_rows), many)
+            low, high, anchor, level, grams = (flat.field(k).to_numpy(zero_copy_only=False)[take] for k in range(5))
+            key, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            grams = grams.view(np.uint64)
+            plain = level == 0
+            # (row, first byte, end, key) of each stretch
+            out = [(row[plain], low[plain], high[plain], grams[plain])]
+            for k in np.unique(level[~plain]).tolist():
+                mine, cuts = np.flatnonzero(level == k), stretches(k)
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # strings that begin a to b - 1 bytes before the anchor
+                    begin, end = np.maximum(low[mine], anchor[mine] - b + 1), np.minimum(high[mine], anchor[mine] - a + length)
+                    good = end - begin >= length
+                    of = mine[good]
+                    core = at[row[of]] + anchor[of] - a
+                    order = np.argsort(core, kind="stable")
+                    h = np.empty(len(of), np.uint64)
+                    h[order] = segment_hashes(raw, core[order], core[order] + a + length - b + 1, strong=True)
+                    out.append((row[of], begin[good], end[good], mix(grams[of] * _ODD + h + np.uint64(a + 1))))
+            row_, low_, high_, key_ = (np.concatenate(x) for x in zip(*out, strict=True))
+            # Of equal stretches that this task has met, the first goes on; all strings of the others start earlier.
+            keep = np.ones(len(row_), bool)
+            some = np.arange(int(plain.sum()), len(row_))
+            if len(some):
+                start = at[row_[some]] + low_[some]
+                order = np.argsort(start, kind="stable")
+                h = np.empty(len(some), np.uint64)
+                h[order] = segment_hashes(raw, start[order], start[order] + (high_ - low_)[some[order]], strong=True)
+                for i, name in zip(some.tolist(), zip(key_[some].tolist(), h.tolist(), strict=True), strict=True):
+                    place = int(key[row_[i]]), int(version[row_[i]]), int(low_[i])
+                    before = seen.get(name)
+                    if before is not None and before < place:
+                        keep[i] = False
+                    elif before is not None or len(seen) < SEEN:
+                        seen[name] = place
+            gone = np.flatnonzero(~keep)
+            if len(gone):
+                spans = _merge(key[row_[gone]], version[row_[gone]], low_[gone], high_[gone])
+                doc = pa.array(spans[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([doc, doc, *(pa.array(x, pa.int64()) for x in spans[1:]), pa.nulls(len(spans[0]), pa.binary())], ["gram", "key", "version", "low", "high", "context"])
+            rows = np.flatnonzero(keep)
             body = raw.tobytes()
-            begin, end = at[row] + low, at[row] + high
-            for i in range(0, len(row), 20_000):
-                s = slice(i, i + 20_000)
-                texts = [body[a:b] for a, b in zip(begin[s].tolist(), end[s].tolist(), strict=True)]
+            begin, end = at[row_[rows]] + low_[rows], at[row_[rows]] + high_[rows]
+            for i in range(0, len(rows), 20_000):
+                s = rows[i : i + 20_000]
+                texts = [body[a:b] for a, b in zip(begin[i : i + 20_000].tolist(), end[i : i + 20_000].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[s].view(np.int64)), batch.column(0).take(pa.array(row[s])), batch.column(1).take(pa.array(row[s])), pa.array(low[s]), pa.array(texts, pa.binary())],
-                    ["gram", "key", "version", "low", "context"],
+                    [*(pa.array(x, pa.int64()) for x in (key_[s].view(np.int64), key[row_[s]], version[row_[s]], low_[s], high_[s])), pa.array(texts, pa.binary())],
+                    ["gram", "key", "version", "low", "high", "context"],
                 )
 
-    def segment(raw: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of n bytes from each start."""
-        out = np.full(len(starts), n, np.uint64)
-        for k in range(n):
-            out = mix(out * _BASE + raw[starts + k])
-        return out
-
     fetched = docs.join(asked, ["key", "version"]).select("key", "version", "text", "asked")
-    fetched = fetched.mapInArrow(lean(fetch), "gram long, key long, version long, low long, context binary").repartition(n_parts, "gram").sortWithinPartitions("gram")
+    fetched = fetched.mapInArrow(lean(fetch), "gram long, key long, version long, low long, high long, context binary").repartition(n_parts, "gram").sortWithinPartitions("gram")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts)
             key, version, low = (table.column(k).to_numpy() for k in (1, 2, 3))
             order = np.lexsort((low, version, key))
-            texts = table.column(4).to_pylist()
+            texts = table.column(5).to_pylist()
             gone = repeated([texts[i] for i in order.tolist()], length)
             many = np.array([len(x) for x in gone])
             row = np.repeat(order, many)
@@ -443,9 +506,15 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
+            settled = batch.column(5).is_null()
+            if settled.true_count:
+                yield pa.RecordBatch.from_arrays([batch.filter(settled).column(k) for k in (1, 2, 3, 4)], ["key", "version", "low", "high"])
+                batch = batch.filter(pc.invert(settled))
+                if not batch.num_rows:
+                    continue
             grams = batch.column(0).to_numpy()
             held.append(batch)
-            size += batch.column(4).nbytes
+            size += batch.column(5).nbytes
             if size > SHARD:
                 # The last gram may go on in the next batch: its contexts wait.
                 cut = int(np.searchsorted(grams, grams[-1]))
@@ -457,7 +526,7 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         wait = pa.Table.from_batches([held.pop(), wait]).combine_chunks().to_batches()[0]
                     if held:
                         yield shard(held)
-                    held, size = [wait], wait.column(4).nbytes
+                    held, size = [wait], wait.column(5).nbytes
         if held:
             yield shard(held)
 
