@@ -2,17 +2,19 @@
 
 Writing: of records with equal payloads (equal SHA-1 and length) of at least ``min_bytes``, the one with the
 smallest id becomes a ``response`` and the others ``revisit`` records that name it; smaller payloads are always
-responses. The least id of each digest is found by an aggregation with partial sums per task, and is joined back
-only for digests that occur more than once. Each task writes one archive under a name of its own attempt, so a
-task that runs again after a lost executor can't meet a half-written file; the driver gets one line per archive.
+responses. Payloads are hashed once to a narrow table of ids and digests, from which the list of revisits is made; the payloads
+are then dealt once, by id, to as many tasks as their size asks for. A task writes archives of about ROLL bytes under names
+of its own attempt, so a task that runs again after a lost executor can't meet a half-written file; the driver gets one
+line per archive.
 
 Reading: each archive is inflated incrementally, in pieces of ``CHUNK`` bytes, member by member; a record is its
 header block and exactly Content-Length bytes, and block and payload digests are verified. A broken archive, record
 or digest raises ValueError.
 
-Nulls: a null payload is empty, a null URL is written as ``urn:page:ID``; rows with a null id are refused by
-the contract of ids and raise. Repeated ids are all written; ties in the least id are rows of equal id, of which the
-one written is a response for each. An empty table writes no archive and reads as no rows. Other columns are ignored.
+Nulls: a null payload is empty, a null URL is written as ``urn:page:ID``; a null id counts as larger than all others and is
+written as ``none`` (copies without any id are responses each). Repeated ids are all written; ties in the least id are rows of
+equal id, each of which is a response. A payload of any length is compressed and inflated as one member, in memory. An empty table
+writes no archive and reads as no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, lean
+from .shared import fresh_path, lean, materialise, parts_for, small_batches
 
 CHUNK = 1 << 16
 LEVEL = 4
+#: Bytes of an archive after which the next one begins.
+ROLL = 256 << 20
+_NONE = "none"
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -47,21 +52,19 @@ def with_origins(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"),
     )
     digest = F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload").cast("string"))
-    keyed = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, digest))
-    copies = (
-        keyed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("origin"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", "origin")
-    )
-    # The join needs ids and digests only; what revisits what is then a list of ids.
-    revisits = (
-        keyed.select("page_id", "digest").join(copies, "digest").where("page_id <> origin")
-        .groupBy("page_id", "digest").agg(F.min("origin").alias("refers_to"))
-    )
-    return keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    id_key, no_id = F.coalesce("page_id", F.lit(0)).alias("id_key"), F.col("page_id").isNull().alias("no_id")
+    # Ids and digests only: what revisits what is then a list of ids.
+    names = materialise(rows.where(F.octet_length("payload") >= min_bytes).select("page_id", digest.alias("digest")), "warc-digests")
+    copies = names.groupBy("digest").agg(F.min("page_id").alias("origin"), F.count("*").alias("n")).where("n > 1 and origin is not null").select("digest", "origin")
+    revisits = names.join(copies, "digest").where("not page_id <=> origin").select(id_key, no_id, "digest", F.col("origin").alias("refers_to")).distinct()
+    n, key = parts_for(pages.select(page_id, url, html)), ["id_key", "no_id", "digest"]
+    keyed = rows.select("*", id_key, no_id, digest.alias("digest"))
+    return keyed.repartition(n, *key).join(revisits.repartition(n, *key), key, "left").select("page_id", "url", "payload", "refers_to")
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, not compressed. A revisit has the HTTP headers only."""
+    page_id = _NONE if page_id is None else page_id
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -81,27 +84,34 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> byt
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(rows: DataFrame, to: str, *, level: int = LEVEL) -> list[str]:
+def write(rows: DataFrame, to: str, *, level: int = LEVEL, roll: int = ROLL) -> list[str]:
     """Write the rows of with_origins as archives under the folder ``to``; their paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(to)
         store.create_dir(root, recursive=True)
-        path, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
-        out = None
+        out, done, n = None, [], 0
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4)), strict=True):
                 page_id, url, payload, refers_to = (x.as_py() for x in row)
                 if out is None:
+                    path, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(path, compression=None)
                 packer = zlib.compressobj(level, wbits=31)
                 out.write(packer.compress(record(page_id, url, payload, refers_to)) + packer.flush())
                 n += 1
+                if out.tell() >= roll:
+                    out.close()
+                    out = None
+                    done.append((path, n))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n"])
+            done.append((path, n))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["path", "n"])
 
-    return sorted(r["path"] for r in rows.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(run), "path string, n long").collect())
+    with small_batches(rows.sparkSession):
+        made = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(run), "path string, n long").collect()
+    return sorted(r["path"] for r in made)
 
 
 def members(stream) -> Iterator[bytes]:
@@ -150,7 +160,7 @@ def parse(member: bytes) -> dict:
         raise ValueError("payload digest or length differs")
     to = fields.get("warc-refers-to")
     return {
-        "page_id": int(fields["warc-record-id"].strip("<>").rpartition(":")[2]),
+        "page_id": None if (name := fields["warc-record-id"].strip("<>").rpartition(":")[2]) == _NONE else int(name),
         "url": fields["warc-target-uri"],
         "record_type": fields["warc-type"],
         "payload": payload if fields["warc-type"] == "response" else None,

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpusloom.llm import chat, decontam, packing, tokenfile, warc
+from corpusloom.llm import chat, decontam, packing, shared, tokenfile, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,6 +53,22 @@ def test_warc(spark):
     assert [r["refers_to"] for r in alone.where("page_id in (2, 5, 6)").collect()] == [None] * 4
 
 
+def test_warc_without_ids_and_rolled(spark):
+    rows = [(None, "u", "same"), (9, "u", "same"), (None, "v", "same"), (None, "w", "lone"), (None, "w", "lone"), (0, "w", "zero"), (None, "w", "zero")]
+    rows += [(100 + i, "x", f"{i} " * 300) for i in range(40)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").coalesce(1)
+    base = shared.fresh_path(spark, "warc")
+    paths = warc.write(warc.with_origins(df), base, roll=600)
+    assert len(paths) > 4
+    out = [tuple(r) for r in warc.read(spark, paths, base).select("page_id", "payload_bytes", "record_type", "refers_to", "payload").collect()]
+    assert len(out) == len(rows)
+    assert sorted((str(r[0]), r[2], str(r[3])) for r in out if r[1] == 4) == sorted([
+        ("9", "response", "None"), ("None", "revisit", "9"), ("None", "revisit", "9"), ("None", "response", "None"), ("None", "response", "None"),
+        ("0", "response", "None"), ("None", "revisit", "0"),
+    ])
+    assert {r[0]: r[4].decode() for r in out if (r[0] or 0) >= 100} == {r[0]: r[2] for r in rows if (r[0] or 0) >= 100}
+
+
 def test_warc_refuses_damage():
     good = warc.record(7, "u", b"abc", None)
     assert warc.parse(good)["payload"] == b"abc"
