@@ -36,8 +36,8 @@ from .shared import lean, materialise, utf8
 SAMPLE = 600
 #: Landmarks of a language, and of all languages together.
 LANDMARKS, MOST_LANDMARKS = 40, 2048
-#: Rows of the landmarks' matrix that a task sums at once.
-SUMMED = 256
+#: Rows of the landmarks' matrix that a task sends at once, and languages whose bounds are broadcast.
+SUMMED, SENT_LANGUAGES = 256, 50_000
 SPANS = (12, 48, 240)
 RIDGE = 1e-4
 SHARP = 6.0
@@ -120,7 +120,9 @@ def sampled(docs: DataFrame, *, doc_id: str, text: str, lang: str, sample: int)
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
-    near = rows.join(counts.select("lang", bound.alias("bound")), "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
+    bounds = materialise(counts.select("lang", bound.alias("bound")), "langid-bounds")
+    few = bounds.count() <= SENT_LANGUAGES  # beyond, rows are dealt by language
+    near = rows.join(F.broadcast(bounds) if few else bounds, "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
     first = Window.partitionBy("lang").orderBy("h", "text")
     return materialise(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("h"), "langid")
 
