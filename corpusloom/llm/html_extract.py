@@ -6,13 +6,13 @@ the page, asides, forms, dialogs and whatever a class, id or role names as menu,
 comments, within the main zone too. ``open``: all else.
 
 Pages are dealt by ranges of (host, path) and sorted, and each is paired with that neighbour of its host whose path
-shares the longest beginning with its own (ties: the one before). The lines of the two pages' open zones are aligned
+shares the longest beginning with its own (ties: the one before). The lines of the two pages beside their main zones are aligned
 by a longest common subsequence, and what is shared is deleted as the site's own. Where a page has a main zone, its
 text is that zone, and open lines are template or teasers; where it has none, its text is what is left of the open zone.
 Lines of main zones are not differenced: two copies of one article on a host share every line, and the article would go.
 
 Each range is also sent the last page before it and the first after it (found on addresses and ids alone), so that
-neighbours do not depend on the ranges. Nulls: a null page is empty; a null URL has an empty host and path. Repeated ids and pages each give a row: an exact copy of the page
+neighbours do not depend on the ranges. A page of any length is parsed as a whole. Nulls: a null page is empty; a null URL has an empty host and path. Repeated ids and pages each give a row: an exact copy of the page
 itself is no neighbour, since all of it would be shared. An empty table gives no rows, other columns are ignored.
 """
 
@@ -79,10 +79,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
     def end() -> None:
         if held:
-            if zone != "out":
-                text = " ".join("".join(held).split())
-                if text:
-                    out.append((zone, text))
+            text = " ".join("".join(held).split())
+            if text:
+                out.append((zone, text))
             held.clear()
 
     def leave(k: int) -> None:
@@ -137,13 +136,19 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, found by its matches (Hunt and Szymanski)."""
+    """Places in a of a longest common subsequence of a and b, found by its matches (Hunt and Szymanski) between their common beginning
+    and their common end."""
+    most = min(len(a), len(b))
+    head = next((k for k in range(most) if a[k] != b[k]), most)
+    tail = next((k for k in range(most - head) if a[-1 - k] != b[-1 - k]), most - head)
+    out = {*range(head), *range(len(a) - tail, len(a))}
     where: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
+    for j in range(len(b) - tail - 1, head - 1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
     links: list[tuple] = []
-    for i, line in enumerate(a):
+    for i in range(head, len(a) - tail):
+        line = a[i]
         for j in where.get(line, ()):
             k = bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
@@ -152,7 +157,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 links.append(link)
             elif j < ends[k]:
                 ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
+    link = links[-1] if links else None
     while link:
         out.add(link[0])
         link = link[1]
@@ -160,13 +165,12 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(parsed: list[tuple[str, str]], neighbour: list[str] | None) -> str:
-    """The main text of a parsed page; neighbour: the open lines of the page it is paired with."""
+    """The main text of a parsed page; neighbour: the lines beside the main zone of the page it is paired with."""
     main = [t for z, t in parsed if z == "main"]
     if main:
         return "\n".join(main)
-    lines = [t for z, t in parsed if z == "open"]
-    gone = shared_lines(lines, neighbour) if neighbour else set()
-    return "\n".join(t for i, t in enumerate(lines) if i not in gone)
+    gone = shared_lines([t for _, t in parsed], neighbour) if neighbour else set()
+    return "\n".join(t for i, (z, t) in enumerate(parsed) if z == "open" and i not in gone)
 
 
 _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -193,7 +197,7 @@ def _page(page_id: int | None, url: str | None, source: str) -> Page:
 def _done(before: Page | None, here: Page, after: Page | None) -> dict:
     usable = [x for x in (before, after) if x is not None and x.host == here.host and x.digest != here.digest]
     pair = max(usable, key=lambda x: len(commonprefix([here.path, x.path])), default=None)
-    text = main_text(here.parsed, [t for z, t in pair.parsed if z == "open"] if pair else None)
+    text = main_text(here.parsed, [t for z, t in pair.parsed if z != "main"] if pair else None)
     return {"page_id": here.page_id, "url": here.url, "text": text, "n_chars": len(text)}
 
 

@@ -12,7 +12,7 @@ blocks of a batch in step: step k looks up the next code of every block. Any oth
 components, sampling factors, longer intervals or none) is decoded block by block. The DC coefficients, dequantised,
 are a thumbnail of one luminance value to a block; its differences along 8 rows of 9 values give a 64-bit hash.
 
-Nulls: a null text is empty, 64 bytes of 0. A null picture, or one that is no baseline JPEG, gives null fields.
+A text of any length is one picture of up to 65535 x 65535 samples. Nulls: a null doc_id is kept. A null text is empty, 64 bytes of 0. A null picture, or one that is no baseline JPEG, gives null fields.
 Repeated rows are each handled; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ragged, utf8
+from .shared import materialise, ragged, utf8
 
 BIAS = 96
 BATCH = 1 << 20
@@ -501,6 +501,8 @@ def read_jpeg(media: Column) -> Column:
 
 
 def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the fields of ``describe``: each text stored as a picture, and read back from it."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), read_jpeg(to_jpeg(F.col(text))).alias("m"))
+    """doc_id, n_bytes and the fields of ``describe``: each text stored as a picture in a table of the shared folder, and read back from it."""
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    stored = materialise(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_bytes"), to_jpeg(F.col(text)).alias("media")), "media", compression="zstd")
+    rows = stored.select("doc_id", "n_bytes", read_jpeg(F.col("media")).alias("m"))
     return rows.select("doc_id", "n_bytes", *(F.col(f"m.{n}").alias(n) for n in _NAMES))

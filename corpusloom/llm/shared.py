@@ -60,11 +60,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int = 1000, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage. rows: of an Arrow batch meanwhile."""
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession, rows):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

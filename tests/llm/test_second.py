@@ -105,6 +105,8 @@ def test_media_round_trip(spark):
         assert r["tail_crc32"] == zlib.crc32(data[-64:])
     assert out[0]["media_sha256"] == out[1]["media_sha256"] and out[2]["thumb_hash"] == out[12]["thumb_hash"]
     assert media.store(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a", 1), (None, "a", 1), (7, None, 2)], "doc_id long, text string, media int")
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in media.store(odd).collect()) == [("7", 0), ("None", 1), ("None", 1)]
 
 
 def test_media_any_split():
@@ -218,6 +220,51 @@ def test_html_pairs_across_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_html_differencing_is_brute_force(spark):
+    """Pages without a main zone, on several hosts and whatever the ranges: what a page shares with its nearest neighbour goes."""
+    rng = random.Random(4)
+    rows, lines = [], {}
+    for i in rng.sample(range(300), 60):
+        host, path = f"h{rng.randint(0, 3)}.org", "/".join(rng.choice(["a", "b", "cc", "d"]) for _ in range(rng.randint(1, 3)))
+        body = [rng.choice(["Site", "Menu", "News", "Foot"]) if rng.random() < 0.5 else f"own {i} {k}" for k in range(rng.randint(1, 9))]
+        tags = [rng.choice(["div", "nav", "p"]) for _ in body]
+        rows.append((i, f"https://{host}/{path}", "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(tags, body)) + "</body>"))
+        lines[i] = [*zip(body, tags)]
+
+    def place(r):
+        return r[1].partition("://")[2].encode(), r[0]
+
+    def common(a, b):
+        table = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                table[x + 1][y + 1] = (*table[x][y], x) if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y], key=len)
+        return table[-1][-1]
+
+    order, want = sorted(rows, key=place), {}
+    for k, r in enumerate(order):
+        host = r[1].split("/")[2]
+        near = [x for x in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) if x and x[1].split("/")[2] == host and x[2] != r[2]]
+        alike = lambda x: len(html_extract.commonprefix([r[1].split(host)[1], x[1].split(host)[1]]))
+        mate = max(near, key=alike, default=None)
+        mine = [t for t, _ in lines[r[0]]]
+        want[r[0]] = (sum(tag != "nav" for _, tag in lines[r[0]]), len(common(mine, [t for t, _ in lines[mate[0]]])) if mate else 0, mine)
+    try:
+        results = []
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+            results.append({r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in html_extract.extract(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1]
+    for i, kept in results[0].items():
+        n_open, n_shared, mine = want[i]
+        assert [t for t in kept if t.startswith("own")] == [t for t, tag in lines[i] if tag != "nav" and t.startswith("own")]
+        shown = iter(mine)
+        assert all(t in shown for t in kept) and n_open - n_shared <= len(kept) <= n_open
+
+
 def test_utf8_views():
     a = pa.array(["x", None, "é", ""]).slice(1)
     raw, at = utf8(a)
