@@ -263,6 +263,15 @@ def contexts(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     return text, low - at[text], anchor - low, high - low, grams[anchor], whole
 
 
+def _ranges(n: int, wide: int) -> np.ndarray:
+    """Where to part the hashes of anchors into n ranges of about equally many. An anchor has the least hash of ``wide`` grams on some
+    string, so small hashes are common: the share of anchors below x grows as 1 - exp(-y) (1 + y / 2) with y = wide x."""
+    y = np.concatenate([[0.0], np.geomspace(1e-7, max(wide, 2), 1 << 16)])
+    share = 1 - np.exp(-y) * (1 + y / 2)
+    at = np.interp(np.arange(1, n) / n, share / share[-1], y) / y[-1]
+    return (np.minimum(at, 1 - 2.0**-40) * 2.0**64).astype(np.uint64)
+
+
 def _planes(a: np.ndarray) -> bytes:
     """An array of 8-byte values, byte plane by byte plane, so that planes of little change compress."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -316,6 +325,7 @@ def _settle(cols: dict[str, np.ndarray], length: int) -> tuple[dict[str, np.ndar
 def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Spans (key, version, low, high) to remove, of docs(key, version, text)."""
     n_parts = parts_for(docs)
+    ranges = _ranges(RANGES * n_parts, length - gram)
     schema = "key long, version long, low long, high long, anchor long, gram long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +335,14 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             every = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
             first, spans = _settle(every, length)
-            part = (first["gram"] >> np.uint64(40)).astype(np.int64) * (RANGES * n_parts) >> 24
+            part = np.searchsorted(ranges, first["gram"], "right")
             order = np.argsort(first["gram"], kind="stable")
             g = first["gram"][order]
             begins = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
             many = np.diff(np.append(begins, len(g)))
             hot = order[np.repeat(many > CROWD, many)]  # these go by their contexts, and the anchor's own range gets to know
             known = g[begins[many > CROWD]]
-            home = (known >> np.uint64(40)).astype(np.int64) * (RANGES * n_parts) >> 24
+            home = np.searchsorted(ranges, known, "right")
             part[hot] = (mix(first["whole"][hot]) % np.uint64(RANGES * n_parts)).astype(np.int64)
             is_hot = np.zeros(len(part), bool)
             is_hot[hot] = True
@@ -442,31 +452,31 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             low, high, anchor, level, grams = (flat.field(k).to_numpy(zero_copy_only=False)[take] for k in range(5))
             key, version = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             grams = grams.view(np.uint64)
-            plain = level == 0
-            # (row, first byte, end, key) of each stretch
-            out = [(row[plain], low[plain], high[plain], grams[plain])]
-            for k in np.unique(level[~plain]).tolist():
+            plain = np.flatnonzero(level == 0)
+            # Context, first byte, end, and first byte and end of the core, of each stretch.
+            found = [(plain, low[plain], high[plain], anchor[plain], anchor[plain] + gram)]
+            for k in np.unique(level[level > 0]).tolist():
                 mine, cuts = np.flatnonzero(level == k), stretches(k)
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist()):  # strings that begin a to b - 1 bytes before the anchor
                     begin, end = np.maximum(low[mine], anchor[mine] - b + 1), np.minimum(high[mine], anchor[mine] - a + length)
                     good = end - begin >= length
                     of = mine[good]
-                    core = at[row[of]] + anchor[of] - a
-                    order = np.argsort(core, kind="stable")
-                    h = np.empty(len(of), np.uint64)
-                    h[order] = segment_hashes(raw, core[order], core[order] + a + length - b + 1, strong=True)
-                    out.append((row[of], begin[good], end[good], mix(grams[of] * _ODD + h + np.uint64(a + 1))))
-            row_, low_, high_, key_ = (np.concatenate(x) for x in zip(*out, strict=True))
-            # Of equal stretches that this task has met, the first goes on; all strings of the others start earlier.
-            keep = np.ones(len(row_), bool)
-            some = np.arange(int(plain.sum()), len(row_))
+                    found.append((of, begin[good], end[good], anchor[of] - a, anchor[of] + length - b + 1))
+            of, low_, high_, core, core_end = (np.concatenate(x) for x in zip(*found, strict=True))
+            row_, key_ = row[of], grams[of].copy()
+            keep = np.ones(len(of), bool)
+            some = np.arange(len(plain), len(of))
             if len(some):
-                start = at[row_[some]] + low_[some]
+                base = at[row_[some]]
+                start, end = np.concatenate([base + core[some], base + low_[some]]), np.concatenate([base + core_end[some], base + high_[some]])
                 order = np.argsort(start, kind="stable")
-                h = np.empty(len(some), np.uint64)
-                h[order] = segment_hashes(raw, start[order], start[order] + (high_ - low_)[some[order]], strong=True)
-                for i, name in zip(some.tolist(), zip(key_[some].tolist(), h.tolist(), strict=True), strict=True):
-                    place = int(key[row_[i]]), int(version[row_[i]]), int(low_[i])
+                h = np.empty(len(start), np.uint64)
+                h[order] = segment_hashes(raw, start[order], end[order], strong=True)
+                key_[some] = mix(grams[of[some]] * _ODD + h[: len(some)] + (anchor[of[some]] - core[some]).astype(np.uint64) + np.uint64(1))
+                # Of equal stretches that this task has met, the first goes on; all strings of the others start earlier.
+                names = zip(key_[some].tolist(), h[len(some) :].tolist(), strict=True)
+                places = zip(key[row_[some]].tolist(), version[row_[some]].tolist(), low_[some].tolist(), strict=True)
+                for i, name, place in zip(some.tolist(), names, places, strict=True):
                     before = seen.get(name)
                     if before is not None and before < place:
                         keep[i] = False
