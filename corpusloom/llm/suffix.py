@@ -51,6 +51,7 @@ BLOCK, HELD, SHARD = 1 << 19, 150_000, 1 << 19
 RANGES, CROWD, SPREAD = 8, 64, 4
 #: Symbols up to which an induced pass goes bucket by bucket.
 FEW = 1024
+SALTS = 64
 #: Stretches of crowded anchors whose first occurrence a task remembers.
 SEEN = 500_000
 _NO_ID = -(1 << 63)
@@ -431,7 +432,10 @@ def found_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     open_ = met.where("gram is not null")
     many = F.count("*")
     often = open_.groupBy("gram").agg(many.alias("n")).where(F.col("n") > CROWD).select("gram", F.ceil(F.log(F.col("n") / CROWD) / F.log(F.lit(float(SPREAD)))).cast("int").alias("level"))
-    open_ = open_.join(often, "gram", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    # An anchor's contexts are dealt to SALTS keys, so that a hot one is not joined in one task.
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("key", "low"), F.lit(SALTS)).cast("int"))
+    open_ = open_.join(often, ["gram", "salt"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     asked = open_.groupBy("key", "version").agg(F.collect_list(F.struct("low", "high", "anchor", "level", "gram")).alias("asked"))
     wide = length - gram + 1  # distances before an anchor at which a string may begin
 
