@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-META = "---META---"
+#: Fixed by the data format: what stands before the metadata of older answers.
+META = "---KB_META---"
 
 
 def citations(answer: Column) -> Column:
@@ -14,8 +15,9 @@ def citations(answer: Column) -> Column:
 
 
 def strip_meta(answer: Column, mark: str = META) -> Column:
-    """The answer before its last metadata mark."""
-    return F.regexp_replace(answer, rf"(?s)^(.*){mark}.*$", "$1")
+    """The answer before its last metadata mark, without white space around it; an answer without a mark as it is."""
+    before = F.regexp_replace(answer, rf"(?s)^(.*){mark}.*$", "$1")
+    return F.when(F.contains(answer, F.lit(mark)), F.regexp_replace(before, r"^\s+|\s+$", "")).otherwise(answer)
 
 
 def expansions(reply: Column, most: int = 5) -> Column:
@@ -31,10 +33,10 @@ def expansions(reply: Column, most: int = 5) -> Column:
 
 
 def age(days: Column) -> Column:
-    """Whole days as words."""
-    months, years = F.floor(days / 30), F.floor(days / 365)
-    s = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-    return F.when(days < 1, "today").when(days < 30, s(days, "day")).when(days < 365, s(months, "month")).otherwise(s(years, "year"))
+    """Whole days as words: months of 30 days, years of 12 such months."""
+    months, years = F.floor(days / 30), F.floor(days / 360)
+    s = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"))
+    return F.when(days < 1, "today").when(days < 30, s(days, "day")).when(months < 12, s(months, "month")).otherwise(s(years, "year"))
 
 
 def size(n: Column) -> Column:
@@ -47,7 +49,28 @@ def split_csv(x: Column) -> Column:
 
 
 def mask(secret: Column) -> Column:
-    return F.when(F.length(secret) < 8, "****").otherwise(F.concat(F.substring(secret, 1, 4), F.lit("****")))
+    return F.when(F.length(secret) < 8, "****").otherwise(F.concat(F.substring(secret, 1, 8), F.lit("****")))
+
+
+def is_secret(key: Column) -> Column:
+    """Whether a setting of this name is masked."""
+    return F.upper(key).rlike("KEY|SECRET|TOKEN")
+
+
+def source_label(source_type: Column, source_name: Column) -> Column:
+    """A source in words, by its type."""
+    # Types and their words.
+    words = {"git": "Git repository", "filesystem": "Local directory", "confluence": "Confluence space", "slack": "Slack channels", "github_wiki": "GitHub wiki"}
+    kind = source_type
+    for name, text in words.items():
+        kind = F.when(source_type == name, text).otherwise(kind)
+    return F.concat(kind, F.lit(": "), source_name)
+
+
+def first_bytes(x: Column, n: int) -> Column:
+    """The first n UTF-8 bytes, without a character that is cut."""
+    cut = F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(x) <= n, x).otherwise(F.regexp_replace(cut, "\\x{FFFD}+$", ""))
 
 
 def words(x: Column) -> Column:

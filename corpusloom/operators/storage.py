@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 
 def changes(scanned: DataFrame, known: DataFrame, path: str = "source_path", checksum: str = "checksum") -> DataFrame:
     """path, state: changed (new or of another checksum), unchanged, or deleted (known, no longer there)."""
-    seen, old = scanned.select(path, checksum), known.select(path, checksum)
-    same = seen.join(old, [path, checksum], "left_semi").select(path, F.lit("unchanged").alias("state"))
-    new = seen.join(old, [path, checksum], "left_anti").select(path, F.lit("changed").alias("state"))
-    gone = old.join(seen, path, "left_anti").select(path, F.lit("deleted").alias("state"))
-    return same.unionByName(new).unionByName(gone)
+    seen = scanned.select(path, F.struct(F.col(checksum).alias("c")).alias("new"))
+    old = known.groupBy(path).agg(F.max(F.struct(F.col(checksum).alias("c"))).alias("old"))
+    both = seen.join(old, path, "full_outer")
+    state = F.when(F.col("new").isNull(), "deleted").when(F.col("new").eqNullSafe(F.col("old")), "unchanged").otherwise("changed")
+    return both.select(path, state.alias("state"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

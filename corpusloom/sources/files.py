@@ -18,13 +18,12 @@ SKIPPED_FILES = (
     ".gitignore", ".gitattributes", ".editorconfig", ".DS_Store",
 )
 SKIPPED_ENDINGS = (".min.js", ".min.css", ".map", ".pb.go", ".gen.go")
-BINARY = tuple(
-    f".{x}"
-    for x in (
-        "exe bin o a so dylib dll png jpg jpeg gif ico bmp svg webp woff woff2 ttf otf eot zip tar gz bz2 xz 7z rar tgz doc docx xls xlsx ppt pptx "
-        "db db-shm db-wal db-journal sqlite sqlite3 mp3 mp4 wav avi mov flac ogg webm parquet arrow avro tfrecord lock sum wasm pyc pyo class jar war"
-    ).split()
-)
+BINARY = (
+    ".exe", ".bin", ".o", ".a", ".so", ".dylib", ".dll", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".bmp", ".svg", ".webp", ".woff", ".woff2", ".ttf",
+    ".otf", ".eot", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".tgz", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".db", ".db-shm",
+    ".db-wal", ".db-journal", ".sqlite", ".sqlite3", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".flac", ".ogg", ".webm", ".parquet", ".arrow", ".avro",
+    ".tfrecord", ".lock", ".sum", ".wasm", ".pyc", ".pyo", ".class", ".jar", ".war",
+)
 
 
 def wanted(path: Column, size: Column) -> Column:
@@ -98,5 +97,5 @@ def repository_name(url: Column) -> Column:
 
 
 def wiki_page(path: Column) -> Column:
-    """A wiki page's name: its file's name without the ending."""
-    return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
+    """A wiki page's name: its path without the file's ending."""
+    return F.regexp_replace(path, r"\.[^./]*$", "")

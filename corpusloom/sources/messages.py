@@ -23,7 +23,7 @@ def threads(rows: DataFrame, key: str, order: str, who: str, text: str) -> DataF
 
 
 def daily(rows: DataFrame, ts: str, who: str, text: str, order: str) -> DataFrame:
-    """day, content, n, last of each UTC day. Days are cut by a minute first, so that a day's lines are gathered in parts."""
+    """day, content, n, last of each UTC day. Days are cut by the hour first, so that a day's lines are gathered in parts."""
     day = F.date_format(ts, "yyyy-MM-dd")
     line = F.concat(F.date_format(ts, "HH:mm:ss"), F.lit(" "), F.coalesce(F.col(who), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
     m = F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), line.alias("line"))
@@ -35,7 +35,7 @@ def daily(rows: DataFrame, ts: str, who: str, text: str, order: str) -> DataFram
 
 def wiki_time(text: Column) -> Column:
     """A page's time in any of its three formats."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss")
+    formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXX", "yyyy-MM-dd'T'HH:mm:ssXX")
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
 

@@ -34,7 +34,7 @@ def test_git_rows(spark):
     assert {(r["path"], r["state"]) for r in files.name_status(rows).collect()} == {("a", "changed"), ("b", "deleted"), ("c", "deleted"), ("d", "changed"), ("e", "deleted"), ("f", "changed")}
     one = spark.range(1)
     assert one.select(files.repository_name(F.lit("git@host:owner/name.git"))).first()[0] == "owner/name"
-    assert one.select(files.wiki_page(F.lit("wiki/My-Page.md"))).first()[0] == "My-Page"
+    assert one.select(files.wiki_page(F.lit("wiki/My-Page.md"))).first()[0] == "wiki/My-Page"
 
 
 def test_messages(spark):
