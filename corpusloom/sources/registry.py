@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..operators import storage
 from ..schema import fragment_id
-from . import files
+from . import files, git, remote
 
 
 class Connector(Protocol):
@@ -40,7 +40,12 @@ class Table:
         return rows.select(F.lit("table").alias("source_type"), F.lit(self.name).alias("source_name"), F.col(self.columns["source_path"]).cast("string").alias("source_path"), text.alias("raw_content"), F.sha2(text, 256).alias("checksum"))
 
 
-KINDS: dict[str, Callable[..., Connector]] = {"filesystem": Folder, "table": Table}
+KINDS: dict[str, Callable[..., Connector]] = {"filesystem": Folder, "table": Table, "git": git.Git, "github_wiki": git.Wiki, "slack": remote.Chat, "confluence": remote.Pages}
+
+
+def register(kind: str, make: Callable[..., Connector]) -> None:
+    """Make a kind of source known by name."""
+    KINDS[kind] = make
 
 
 def connector(kind: str, **config) -> Connector:
@@ -56,6 +61,15 @@ def incremental(spark: SparkSession, source: Connector, known: DataFrame) -> tup
     return scanned.join(state.where("state = 'changed'").select("source_path"), "source_path", "left_semi"), state.where("state = 'deleted'").select("source_path")
 
 
+def batches(rows: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
+    """rows with ``batch``: pushes of about most_bytes of JSON each, by the mean size of a row. rows: pos counts from 0."""
+    size = F.octet_length(F.to_json(F.struct(*rows.columns)))
+    total = rows.agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+    mean = F.greatest(F.floor(F.col("bytes") / F.greatest("n", F.lit(1))), F.lit(1))
+    per = F.when(F.col("bytes") <= most_bytes, F.greatest("n", F.lit(1))).otherwise(F.greatest(F.floor(F.lit(most_bytes) / mean), F.lit(1)))
+    return rows.crossJoin(F.broadcast(total.select(per.alias("per")))).withColumn("batch", F.floor(F.col("pos") / F.col("per")).cast("long")).drop("per")
+
+
 def pushed(table: DataFrame, rows: DataFrame, deleted: DataFrame) -> DataFrame:
     """The table after a push: deletions by path, then fragments of documents whose checksum is new. rows: source_type,
     source_name, source_path, raw_content, checksum, pos; ids count the fragments of each document."""
