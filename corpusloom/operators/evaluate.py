@@ -32,9 +32,9 @@ def per_query(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     none = F.col("n_expected") == 0
     cols = {}
     for k in KS:
-        cols[f"found_{k}"] = F.countDistinct(F.when(relevant & (rank <= k), F.col("found")))
-        cols[f"good_{k}"] = F.sum(F.when(relevant & (rank <= k), 1).otherwise(0))
-        cols[f"top_{k}"] = F.sum(F.when(rank <= k, 1).otherwise(0))
+        cols[f"found_{k}"] = F.size(F.collect_set(F.when(relevant & (rank <= k), F.col("found"))))
+        cols[f"good_{k}"] = F.size(F.collect_set(F.when(relevant & (rank <= k), rank)))  # a rank is one result, whatever it matches
+        cols[f"top_{k}"] = F.size(F.collect_set(F.when(rank <= k, rank)))
     out = by.agg(*(c.alias(n) for n, c in cols.items()), F.min(F.when(relevant, rank)).alias("first"))
     metrics = [F.when(none, 1.0).otherwise(F.col(f"found_{k}") / F.col("n_expected")).alias(f"recall_{k}") for k in KS]
     metrics += [F.when(none & (F.col(f"top_{k}") == 0), 1.0).when(F.col(f"top_{k}") == 0, 0.0).otherwise(F.col(f"good_{k}") / F.col(f"top_{k}")).alias(f"precision_{k}") for k in KS]
@@ -66,6 +66,15 @@ def content_match(results: DataFrame, queries: DataFrame, top: int = 5) -> DataF
     return out.select("query_id", F.forall("needles", lambda n: F.contains(F.lower(F.coalesce("t", F.lit(""))), F.lower(n))).alias("matched"))
 
 
+def top_match(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, matched: the path and the text of the first result hold the expected strings, whatever their case; null where nothing is
+    expected, false without results. cases: query_id, source_contains, content_contains."""
+    first = results.where(F.col("rank") == 1).select("query_id", F.lower("source_path").alias("p"), F.lower("content").alias("c"))
+    path, content = (F.coalesce(F.lower(x), F.lit("")) for x in ("source_contains", "content_contains"))
+    holds = F.coalesce(F.contains(F.col("p"), path) & F.contains(F.col("c"), content), F.lit(False))
+    return cases.join(first, "query_id", "left").select("query_id", F.when((path != "") | (content != ""), holds).alias("matched"))
+
+
 def chunk_stats(chunks: DataFrame, path: str, text: str) -> DataFrame:
     """files, chunks, mean chunks a file, and mean, median and 95th percentile (nearest rank) of the words of a chunk."""
     words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))

@@ -41,27 +41,24 @@ def source_filter(names: list[str] = (), types: list[str] = ()) -> Column:
     return keep
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """query_id, doc_id, score (rounded), rank of the k best documents that hold every phrase of the query.
+def _phrases(queries: DataFrame, query_id: str, query: str, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    """query_id, p (the tokens of a query word), n_phrases: each different phrase of each query."""
+    words = queries.select(F.col(query_id).alias("query_id"), F.posexplode(query_words(F.col(query))).alias("n", "word"))
+    phrases = words.select("query_id", tokenizer(F.col("word")).alias("p")).where(F.size("p") > 0).distinct()
+    return phrases.withColumn("n_phrases", F.count("*").over(Window.partitionBy("query_id")))
 
-    A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
-    beside others. Only postings of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
-    those of all documents. ``tokenizer`` makes tokens of texts and query words (``stem.tokens`` for stems)."""
-    phrases = queries.select(F.col(query_id).alias("query_id"), F.posexplode(query_words(F.col(query))).alias("n", "word"))
-    phrases = phrases.select("query_id", tokenizer(F.col("word")).alias("p")).where(F.size("p") > 0).distinct()
-    phrases = phrases.withColumn("n_phrases", F.count("*").over(Window.partitionBy("query_id")))
-    each = phrases.select("p").distinct()
-    terms = each.select(F.explode("p").alias("term")).distinct()
-    few = terms.count() <= SENT_TERMS
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
-    placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    held = placed.join(F.broadcast(terms) if few else terms, "term")
-    # A phrase begins where its first term stands and each next term stands one further.
+
+def _occurrences(held: DataFrame, each: DataFrame, few: bool) -> DataFrame:
+    """The rows of held (doc_id, keep, dl, term, pos) by phrase p: doc_id, keep, dl, p, tf. A phrase begins where its first term stands and
+    each next term stands one further."""
     parts = each.select("p", F.posexplode("p").alias("k", "term"))
     starts = held.join(F.broadcast(parts) if few else parts, "term").select("doc_id", "keep", "dl", "p", (F.col("pos") - F.col("k")).alias("start"), "k")
     whole = starts.groupBy("doc_id", "keep", "dl", "p", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size("p"))
-    tf = whole.groupBy("doc_id", "keep", "dl", "p").agg(F.count("*").alias("tf"))
+    return whole.groupBy("doc_id", "keep", "dl", "p").agg(F.count("*").alias("tf"))
+
+
+def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bool) -> DataFrame:
+    """query_id, doc_id, score, rank from occurrences of phrases and total (one row: n_docs, avgdl)."""
     df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = phrases.join(df, "p").crossJoin(F.broadcast(total)).select("query_id", "p", "n_phrases", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
@@ -71,3 +68,73 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     scored = scored.where(F.col("n") == F.col("n_phrases")).withColumn("rank", F.row_number().over(by).cast("long"))
     return scored.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """query_id, doc_id, score (rounded), rank of the k best documents that hold every phrase of the query.
+
+    A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
+    beside others. Only postings of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
+    those of all documents. ``tokenizer`` makes tokens of texts and query words (``stem.tokens`` for stems)."""
+    phrases = _phrases(queries, query_id, query, tokenizer)
+    each = phrases.select("p").distinct()
+    terms = each.select(F.explode("p").alias("term")).distinct()
+    few = terms.count() <= SENT_TERMS
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
+    placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    held = placed.join(F.broadcast(terms) if few else terms, "term")
+    return _ranked(_occurrences(held, each, few), phrases, total, k, few)
+
+
+class Stored:
+    """An inverted index in a store: postings (term, doc_id, tf, positions, dl) in buckets of terms, and the length of every document, kept
+    current document by document. A search reads the buckets of its terms only, and no texts."""
+
+    BUCKETS = 256
+
+    def __init__(self, store, name: str = "index", tokenizer: Callable[[Column], Column] = tokens):
+        self.store, self.postings, self.lengths, self.tokenizer = store, f"{name}-postings", f"{name}-lengths", tokenizer
+
+    def _cut(self, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+        rows = postings(docs, doc_id, text, self.tokenizer).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(self.tokenizer(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
+        return rows, lengths
+
+    def fill(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> bool:
+        """Index all documents where there is no index yet; whether it was done."""
+        if self.store.exists(self.lengths):
+            return False
+        rows, lengths = self._cut(docs, doc_id, text)
+        self.store.write(self.postings, rows.repartition("bucket").sortWithinPartitions("term", "doc_id"), by="bucket")
+        self.store.write(self.lengths, lengths)
+        return True
+
+    def update(self, changed: DataFrame, deleted: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text") -> None:
+        """Take in new and changed documents, and forget deleted ones (doc_id)."""
+        rows, lengths = self._cut(changed, doc_id, text)
+        gone = changed.select(F.col(doc_id).alias("doc_id"))
+        gone = (gone if deleted is None else gone.unionByName(deleted.select("doc_id"))).distinct()
+        left = self.store.read(self.postings).join(gone, "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
+        self.store.write(self.postings, left.repartition("bucket").sortWithinPartitions("term", "doc_id"), by="bucket")
+        self.store.write(self.lengths, self.store.read(self.lengths).join(gone, "doc_id", "left_anti").select("doc_id", "dl").unionByName(lengths))
+
+    def search(self, queries: DataFrame, k: int, *, query_id: str = "query_id", query: str = "query", keep: DataFrame | None = None) -> DataFrame:
+        """As ``bm25`` over the indexed documents; keep: the doc_id of those that may be found."""
+        phrases = _phrases(queries, query_id, query, self.tokenizer)
+        each = phrases.select("p").distinct()
+        terms = each.select(F.explode("p").alias("term")).distinct()
+        few = terms.count() <= SENT_TERMS
+        wanted = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+        held = self.store.read(self.postings).join(F.broadcast(wanted) if few else wanted, ["bucket", "term"])
+        if keep is None:
+            held = held.withColumn("keep", F.lit(True))
+        else:
+            held = held.join(keep.select("doc_id").distinct().withColumn("keep", F.lit(True)), "doc_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+        one = each.where(F.size("p") == 1).select("p", F.col("p")[0].alias("term"))
+        more = each.where(F.size("p") > 1)
+        counted = held.join(F.broadcast(one) if few else one, "term").select("doc_id", "keep", "dl", "p", "tf")
+        placed = held.select("doc_id", "keep", "dl", "term", F.explode("positions").alias("pos"))
+        tf = counted.unionByName(_occurrences(placed, more, few))
+        total = self.store.read(self.lengths).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        return _ranked(tf, phrases, total, k, few)

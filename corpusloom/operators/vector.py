@@ -96,13 +96,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
     return ranked.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
-def knn_filtered(vectors: DataFrame, queries: DataFrame, k: int, keep: Column, *, exact: bool = False, **names) -> DataFrame:
-    """The k nearest rows that ``keep``. As in the reference, the filter is applied to the max(5 k, 50) nearest of all
-    rows, and may leave fewer than k; ``exact`` filters first."""
-    if exact:
-        return knn(vectors.where(keep), queries, k, **names)
+def knn_filtered(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | DataFrame, *, exact: bool = False, **names) -> DataFrame:
+    """The k nearest rows that ``keep``: a condition on rows of vectors, or a table of vec_id. The filter is applied to the max(5 k, 50)
+    nearest of all rows, and may leave fewer than k; ``exact`` filters first."""
     vec_id = names.get("vec_id", "vec_id")
+    ids = keep if isinstance(keep, DataFrame) else vectors.where(keep).select(F.col(vec_id).alias("vec_id"))
+    if exact:
+        return knn(vectors.join(ids.select(F.col("vec_id").alias(vec_id)), vec_id, "left_semi") if isinstance(keep, DataFrame) else vectors.where(keep), queries, k, **names)
     near = knn(vectors, queries, max(5 * k, 50), **names)
-    kept = near.join(vectors.where(keep).select(F.col(vec_id).alias("vec_id")).distinct(), "vec_id", "left_semi")
+    kept = near.join(ids.distinct(), "vec_id", "left_semi")
     by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return kept.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)

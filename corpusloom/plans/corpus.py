@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models, trust
+from ..functions.text import first_bytes
 from ..operators import storage
 from ..sources import chunking, registry
 from . import query as plans
@@ -44,8 +47,13 @@ def search(store: Store, texts: list[str], embedder: models.Embedder, limit: int
     queries = store.spark.createDataFrame(asked, "query_id long, query string, embedding array<float>")
     vectors = rows.select(F.col("doc_id").alias("vec_id"), "embedding")
     ranked = plans.hybrid(rows, queries, limit, vectors=vectors)
-    full = rows.withColumn("content_date", F.col("ingested_at")).withColumn("confidence_adj", F.lit(0.0))
-    return plans.trusted(ranked, full, as_of)
+    return plans.trusted(ranked, searchable(store), as_of)
+
+
+def searchable(store: Store) -> DataFrame:
+    """The stored fragments with the columns that retrieval and trust need."""
+    rows = store.read(FRAGMENTS).withColumn("doc_id", F.xxhash64("id"))
+    return rows.withColumn("content_date", F.col("ingested_at")).withColumn("confidence_adj", F.lit(0.0))
 
 
 def overview(store: Store) -> DataFrame:
@@ -55,8 +63,67 @@ def overview(store: Store) -> DataFrame:
     return out.select("source_type", "source_name", "description", F.coalesce("fragments", F.lit(0)).alias("fragments"), F.coalesce("chars", F.lit(0)).alias("chars"))
 
 
+def source(store: Store, source_type: str, source_name: str) -> dict | None:
+    """A registered source, None where there is none."""
+    row = store.read(REGISTRY).where((F.col("source_type") == source_type) & (F.col("source_name") == source_name)).first()
+    return None if row is None else row.asDict(True)
+
+
+def describe(store: Store, source_type: str, source_name: str, description: str, force: bool = False) -> None:
+    """Describe a source; a description that is there already is kept unless forced."""
+    old = source(store, source_type, source_name)
+    if old is None:
+        raise KeyError(f"{source_type}/{source_name}")
+    if old["description"] and not force:
+        raise ValueError(f"{source_type}/{source_name} has a description")
+    it = (F.col("source_type") == source_type) & (F.col("source_name") == source_name)
+    store.update(REGISTRY, lambda t: t.withColumn("description", F.when(it, F.lit(description)).otherwise(F.col("description"))))
+
+
+def remove(store: Store, source_type: str, source_name: str) -> None:
+    """Forget a source and its fragments."""
+    store.update(FRAGMENTS, lambda t: storage.delete_source(t, source_type, source_name))
+    store.update(REGISTRY, lambda t: storage.delete_source(t, source_type, source_name))
+
+
+def export_sources(store: Store, to: str) -> None:
+    """The registry as JSON lines, merged with what is at ``to`` already; what is stored wins."""
+    rows, spark = store.read(REGISTRY), store.spark
+    fs, at = store._fs(to)
+    if fs.exists(at):
+        rows = storage.merge_sources(rows, spark.read.schema(rows.schema).json(to))
+    lines = [r["line"] for r in rows.orderBy("source_type", "source_name").select(F.to_json(F.struct(*rows.columns)).alias("line")).collect()]  # a line a source
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(to)
+
+
+def import_sources(store: Store, path: str) -> None:
+    """Take registered sources from a file; they have not been ingested here, so their time of ingestion is cleared."""
+    schema = store.read(REGISTRY).schema if store.exists(REGISTRY) else "source_type string, source_name string, description string, config map<string,string>"
+    new = store.spark.read.schema(schema).json(path)
+    new = new.withColumn("config", F.map_filter("config", lambda k, _: k != "at"))
+    store.write(REGISTRY, storage.merge_sources(store.read(REGISTRY), new) if store.exists(REGISTRY) else new)
+
+
+def info(store: Store, embedder: models.Embedder) -> dict:
+    """What runs here: versions, cores, and how much is stored."""
+    spark = store.spark
+    rows = store.read(FRAGMENTS).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw_content")).alias("bytes")).first() if store.exists(FRAGMENTS) else {"n": 0, "bytes": 0}
+    java = spark._jvm.java.lang.System.getProperty
+    return {"spark": spark.version, "java": java("java.version"), "system": f"{java('os.name')} {java('os.arch')}", "cores": spark.sparkContext.defaultParallelism, "fragments": rows["n"], "bytes": rows["bytes"] or 0, "dimensions": embedder.dim}
+
+
+def watch(store: Store, source: registry.Connector, embedder: models.Embedder, now: Callable[[], str], wait: Callable[[], bool]) -> list[tuple[int, int]]:
+    """Ingest a source again and again until wait() says that it is over: (changed, deleted) of each round with changes."""
+    rounds = []
+    while wait():
+        found = ingest(store, source, embedder, now())
+        if any(found):
+            rounds.append(found)
+    return rounds
+
+
 def export(store: Store, to: str) -> None:
     """tensors and metadata as tab-separated text."""
     rows = store.read(FRAGMENTS).where(F.col("embedding").isNotNull()).orderBy("id")
     rows.select(storage.tsv_line(F.col("embedding"))).write.mode("overwrite").text(f"{to}/tensors")
-    rows.select(F.concat_ws("\t", "id", "source_path", storage.tsv_text(F.substring("raw_content", 1, 100)))).write.mode("overwrite").text(f"{to}/metadata")
+    rows.select(F.concat_ws("\t", "id", "source_path", storage.tsv_text(first_bytes(F.col("raw_content"), 100)))).write.mode("overwrite").text(f"{to}/metadata")

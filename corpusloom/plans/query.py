@@ -7,27 +7,84 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import models, trust
 from ..functions import text as text_functions
-from ..functions import trust
 from ..operators import fusion, search, vector
 
 
-def hybrid(fragments: DataFrame, queries: DataFrame, limit: int = 20, *, vectors: DataFrame | None = None, keep: Column | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank: BM25 and nearest vectors, fused. queries: query_id, query and, with vectors, embedding."""
-    lists = search.bm25(fragments, queries, limit, text="raw_content", keep=keep).select("query_id", "doc_id", "rank")
+#: Phrasings of a question at most: the question and its expansions. A list's id is LISTS * query_id + n.
+LISTS = 8
+TOPIC_WEIGHT = 0.3
+EMPTY = "I don't have any relevant information to answer this question."  # a fixed value of the answers' format
+
+
+def hybrid(fragments: DataFrame, queries: DataFrame, limit: int = 20, *, vectors: DataFrame | None = None, keep: Column | None = None,
+           expansions: DataFrame | None = None, topics: DataFrame | None = None, postings: search.Stored | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank: a list by BM25 and one by nearest vectors for each question and each of its expansions, all fused.
+
+    queries: query_id, query and, with vectors, embedding. expansions: query_id, n (from 1), query, embedding. topics: query_id,
+    embedding, which pulls all embeddings of the question its way. ``keep``, a condition on fragments, holds on either side:
+    BM25 filters before its limit, the vector side after an over-fetch. postings: the stored index of the fragments."""
+    columns = ["query_id", "n", "query", *(["embedding"] if vectors is not None else [])]
+    asked = queries.withColumn("n", F.lit(0)).select(*columns)
+    if expansions is not None:
+        asked = asked.unionByName(expansions.where(F.col("n").between(1, LISTS - 1)).select(*columns))
+    asked = asked.withColumn("list_id", F.col("query_id") * LISTS + F.col("n"))
+    of_query = F.floor(F.col("list_id") / LISTS).cast("long").alias("query_id")
+    if postings is not None:
+        kept = None if keep is None else fragments.where(keep).select("doc_id")
+        words = postings.search(asked, limit, query_id="list_id", keep=kept)
+    else:
+        words = search.bm25(fragments, asked, limit, text="raw_content", query_id="list_id", keep=keep)
+    lists = words.withColumnRenamed("query_id", "list_id").select(of_query, "doc_id", "rank")
     if vectors is not None:
-        near = vector.knn(vectors, queries, limit)
-        lists = lists.unionByName(near.select("query_id", F.col("vec_id").alias("doc_id"), "rank"))
+        if topics is not None:
+            topic = topics.select("query_id", F.col("embedding").alias("topic"))
+            blended = F.when(F.col("topic").isNull(), F.transform("embedding", lambda x: x.cast("double"))).otherwise(vector.blend(F.col("embedding"), F.col("topic"), TOPIC_WEIGHT))
+            asked = asked.join(topic, "query_id", "left").withColumn("embedding", blended)
+        if keep is None:
+            near = vector.knn(vectors, asked, limit, query_id="list_id")
+        else:
+            near = vector.knn_filtered(vectors, asked, limit, fragments.where(keep).select(F.col("doc_id").alias("vec_id")), query_id="list_id")
+        near = near.withColumnRenamed("query_id", "list_id")
+        lists = lists.unionByName(near.select(of_query, F.col("vec_id").alias("doc_id"), "rank"))
     return fusion.fuse(lists, limit)
 
 
+def scouted(fragments: DataFrame, lists: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, rank, hint: the vocabulary shown to a model that rephrases a question: of its nearest and its best fragments (lists:
+    query_id, doc_id, list_id, rank) the first ``most`` different ones, each as its path and the first 500 bytes of its text."""
+    text = F.concat(F.lit("["), "source_path", F.lit("] "), text_functions.first_bytes(F.col("raw_content"), 500))
+    return fusion.distinct_in_order(lists, most).join(fragments.select("doc_id", text.alias("hint")), "doc_id").select("query_id", "rank", "hint")
+
+
+def expanded(queries: DataFrame, hints: DataFrame, model: Callable[[str], str], embedder: models.Embedder) -> DataFrame:
+    """expansions (query_id, n, query, embedding) of questions by a model, which is shown their hints. A failing model gives none."""
+    shown = hints.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "hint"))), lambda x: x["hint"]), "\n").alias("hints"))
+    ask = F.concat(F.lit("Rephrase the search query in three to five ways, one to a line, in other words.\n"), F.when(F.col("hints").isNotNull(), F.concat(F.lit("Excerpts:\n"), "hints", F.lit("\n"))).otherwise(""), F.lit("Query: "), "query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = []
+            for p in batch.column(1).to_pylist():
+                try:
+                    said.append(model(p))
+                except Exception:  # a question without expansions is still asked
+                    said.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], ["query_id", "reply"])
+
+    replies = queries.join(shown, "query_id", "left").select("query_id", ask.alias("p")).mapInArrow(run, "query_id long, reply string")
+    out = replies.select("query_id", F.posexplode(text_functions.expansions(F.col("reply"))).alias("n", "query")).withColumn("n", F.col("n") + 1)
+    return out.withColumn("embedding", models.embed(F.col("query"), embedder))
+
+
 def trusted(ranked: DataFrame, fragments: DataFrame, as_of: str = trust.AS_OF) -> DataFrame:
     """ranked with the fragment's columns and its trust; corroboration is shared by the results of a query."""
     keep = ["doc_id", "id", "source_name", "source_path", "file_type", "content_date", "confidence_adj", "raw_content"]
     rows = ranked.join(fragments.select(*keep), "doc_id")
-    n = rows.groupBy("query_id").agg(F.countDistinct("source_name").alias("n_sources"))
-    rows = rows.join(n, "query_id")
+    rows = rows.withColumn("n_sources", F.size(F.collect_set("source_name").over(Window.partitionBy("query_id"))))
     fresh = trust.freshness(F.col("content_date"), F.lit(None).cast("timestamp"), F.col("file_type"), as_of)
     rows = rows.withColumn("freshness", fresh).withColumn("corroboration", trust.corroboration(F.col("n_sources")))
     rows = rows.withColumn("consistency", trust.consistency(F.col("confidence_adj"))).withColumn("authority", trust.authority(F.col("file_type")))
@@ -37,7 +94,7 @@ def trusted(ranked: DataFrame, fragments: DataFrame, as_of: str = trust.AS_OF) -
 def answer_confidence(rows: DataFrame) -> DataFrame:
     """query_id with the mean signals of its results and the overall trust of these."""
     mean = lambda c: trust.round2(F.round(F.avg(c), 9)).alias(c)
-    out = rows.groupBy("query_id").agg(mean("freshness"), F.max("corroboration").alias("corroboration"), mean("consistency"), mean("authority"))
+    out = rows.groupBy("query_id").agg(mean("freshness"), trust.corroboration(F.countDistinct("source_name")).alias("corroboration"), mean("consistency"), mean("authority"))
     return out.withColumn("overall", trust.overall(*map(F.col, ("freshness", "corroboration", "consistency", "authority"))))
 
 
@@ -73,14 +130,42 @@ def cited(answers: DataFrame, rows: DataFrame) -> DataFrame:
     return used.unionByName(rest)
 
 
-def answered(rows: DataFrame, model: Callable[[str], str], concise: bool = False) -> DataFrame:
+def local_prompt(rows: DataFrame, as_of: str = trust.AS_OF, most: int = 5) -> DataFrame:
+    """query_id, prompt for a small model: the first ``most`` results, numbered, each with path, source, type, date, age, author and text."""
+    days = F.floor((F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("content_date")) / 86400)
+    source = F.when(F.coalesce("source_name", F.lit("")) != "", F.concat(F.lit(" ("), "source_name", F.lit(")"))).otherwise("")
+    dated = F.concat(F.date_format("content_date", "yyyy-MM-dd"), F.lit(" ("), text_functions.age(days), F.lit(" ago)"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "source_path", source, F.lit("\nType: "), "file_type", F.lit(" | Date: "), F.coalesce(dated, F.lit("unknown")), F.lit("\n\n"), "raw_content", F.lit("\n\n---\n\n"))
+    got = rows.where(F.col("rank") <= most).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    ask = "Answer the question from the numbered sources below, in plain text. Cite them as [1], [2]. Name both claims where sources differ, and say so where they tell too little.\n\n## Sources\n\n"
+    return got.select("query_id", F.concat(F.lit(ask), F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("prompt"))
+
+
+def answered(rows: DataFrame, model: Callable[[str], str], concise: bool = False, local: bool = False) -> DataFrame:
     """query_id, answer: each query's prompt given to a model, by the tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [model(p) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], ["query_id", "answer"])
 
-    return prompt(rows, concise).select("query_id", "prompt").mapInArrow(run, "query_id long, answer string")
+    asked = (local_prompt(rows) if local else prompt(rows, concise)).select("query_id", "prompt")
+    return asked.mapInArrow(run, "query_id long, answer string")
+
+
+def assembled(queries: DataFrame, rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """query_id, content, sources (id, path, name, in order of citation), freshness, corroboration, consistency, authority, overall: a
+    model's answer with its trust. Both are of the fragments it cites, of all that were found where it cites none of them. A
+    question for which nothing was found has the EMPTY answer, no sources and no trust."""
+    used = cited(answers, rows)
+    of = rows.join(used, ["query_id", "id"])
+    refs = F.struct("pos", F.struct("id", "source_path", "source_name").alias("ref"))
+    sources = of.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(refs)), lambda x: x["ref"]).alias("sources"))
+    said = answers.select("query_id", text_functions.strip_meta(F.col("answer")).alias("content"))
+    out = queries.select("query_id").join(said, "query_id", "left").join(sources, "query_id", "left").join(answer_confidence(of), "query_id", "left")
+    signals = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("freshness", "corroboration", "consistency", "authority", "overall")]
+    none = F.col("sources").isNull()
+    return out.select("query_id", F.when(none, EMPTY).otherwise(F.col("content")).alias("content"), F.coalesce("sources", F.expr("array()").cast(sources.schema["sources"].dataType)).alias("sources"), *signals)
 
 
 def signature(rows: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ class Store:
             raise KeyError(name)
         return self.spark.read.parquet(f"{self.root}/{name}/{version or found[-1]}")
 
-    def write(self, name: str, df: DataFrame) -> str:
-        """A new version; readers see the old one until it is whole."""
+    def write(self, name: str, df: DataFrame, by: str | None = None) -> str:
+        """A new version, in folders ``by`` a column; readers see the old one until it is whole."""
         version = f"v{len(self._versions(name)):08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.root}/{name}/{version}")
         fs, p = self._fs(f"{self.root}/{name}/_current/{version}")
         fs.create(p, False).close()
         return version

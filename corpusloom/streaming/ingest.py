@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import models
 from ..operators import storage
 from ..plans.store import Store
+from ..sources import chunking, files
 
 
 def ingest(changes: DataFrame, store: Store, name: str, checkpoint: str, key: str = "id"):
@@ -25,6 +29,34 @@ def ingest(changes: DataFrame, store: Store, name: str, checkpoint: str, key: st
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def folder_stream(spark: SparkSession, root: str, name: str, source_type: str = "filesystem") -> DataFrame:
+    """The documents of a tree as they come: files that are new there, by the rules of ``files.wanted``. Files that change later are found
+    by ``corpus.ingest``, which compares checksums."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
+    base = root if "://" in root else f"file:{root}"
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{re.escape(re.sub('^file:/+', '/', base).rstrip('/'))}/", "")
+    rows = found.withColumn("source_path", below).where(files.wanted(F.col("source_path"), F.col("length")))
+    rows = rows.where(F.lower("source_path").endswith(".pdf") | ~F.contains(F.substring("content", 1, 8192), F.lit(b"\0")))
+    return rows.select(
+        F.lit(source_type).alias("source_type"), F.lit(name).alias("source_name"), "source_path", F.col("content").alias("raw_content"), F.sha2("content", 256).alias("checksum"),
+        F.col("modificationTime").alias("content_date"),
+    )
+
+
+def ingest_documents(documents: DataFrame, store: Store, embedder: models.Embedder, checkpoint: str, as_of: str, name: str = "fragments"):
+    """Chunk, embed and store a stream of documents batch by batch; returns the query. A document's fragments replace those it had."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        rows = chunking.to_fragments(batch.withColumn("raw_content", F.col("raw_content").cast("string"))).drop("metadata", "idx")
+        rows = rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
+        if store.exists(name):
+            store.update(name, lambda t: storage.replace_paths(t.select(*rows.columns), rows))
+        else:
+            store.write(name, rows)
+
+    return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
