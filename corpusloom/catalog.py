@@ -13,6 +13,7 @@ from .functions import text as X
 from .functions import trust
 from .operators import cluster, evaluate, fusion, search, storage, vector
 from .plans import cache as answers
+from .plans import enrichment, evaluation
 from .plans import query as plans
 from .schema import FRAGMENTS_SQL, fragment_id, fragments, table
 from .sources import chunking, files, messages
@@ -133,7 +134,7 @@ def delete_by_source(spark, sf):
 
 
 @query("""WITH a AS (SELECT DISTINCT 'filesystem' AS source_type, source AS source_name, 'all of ' || source AS description FROM documents WHERE source IS NOT NULL),
-  b AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'filesystem' ELSE 'web' END AS source_type, source AS source_name FROM documents WHERE source IS NOT NULL AND doc_id < 60),
+  b AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'filesystem' ELSE 'web' END AS source_type, source AS source_name FROM documents WHERE source IS NOT NULL),
   c AS (SELECT *, CASE WHEN source_name < 'src2' THEN '' ELSE 'new ' || source_name END AS description FROM b)
   SELECT coalesce(c.source_type, a.source_type) AS source_type, coalesce(c.source_name, a.source_name) AS source_name, coalesce(nullif(c.description, ''), a.description, '') AS description
   FROM a FULL JOIN c ON a.source_type = c.source_type AND a.source_name = c.source_name""")
@@ -141,7 +142,7 @@ def source_registry_upsert(spark, sf):
     docs = table(spark, sf, "documents").where("source IS NOT NULL")
     config = F.create_map(F.lit("root"), F.col("source_name")).alias("config")
     old = docs.select(F.lit("filesystem").alias("source_type"), F.col("source").alias("source_name")).distinct().select("*", F.concat(F.lit("all of "), "source_name").alias("description"), config)
-    new = docs.where("doc_id < 60").select(F.when(F.col("doc_id") % 2 == 0, "filesystem").otherwise("web").alias("source_type"), F.col("source").alias("source_name")).distinct()
+    new = docs.select(F.when(F.col("doc_id") % 2 == 0, "filesystem").otherwise("web").alias("source_type"), F.col("source").alias("source_name")).distinct()
     new = new.select("*", F.when(F.col("source_name") < "src2", "").otherwise(F.concat(F.lit("new "), "source_name")).alias("description"), config)
     return storage.register(old, new).drop("config")
 
@@ -189,10 +190,32 @@ def tsv_metadata(spark, sf):
     return table(spark, sf, "documents").select("doc_id", storage.tsv_text(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, json_object('doc_id', doc_id, 'source', source, 'text', text)::VARCHAR AS json FROM documents WHERE source IS NOT NULL AND text IS NOT NULL")
 def json_export(spark, sf):
-    rows = table(spark, sf, "embeddings")
-    return rows.select("vec_id", F.to_json(F.struct("vec_id", "label", "embedding")).alias("json"))
+    rows = table(spark, sf, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    return rows.select("doc_id", F.to_json(F.struct("doc_id", "source", "text")).alias("json"))
+
+
+@query("SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE embedding IS NOT NULL")
+def vector_round_trip(spark, sf):
+    """Vectors as 32-bit floats in bytes, in JSON, and back."""
+    from pyspark.sql import types as T
+
+    rows = table(spark, sf, "embeddings").where("embedding IS NOT NULL")
+    rows = rows.select("vec_id", F.to_json(F.struct("label", F.base64(models.vector_bytes(F.col("embedding"))).alias("v"))).alias("json"))
+    back = F.from_json("json", T.StructType([rows.sparkSession.read.parquet(f"{sf}/embeddings.parquet").schema["label"], T.StructField("v", T.StringType())]))
+    rows = rows.select("vec_id", back.alias("r")).select("vec_id", "r.label", models.bytes_vector(F.unbase64("r.v")).alias("v"))
+    return rows.select("vec_id", "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@query(r"""SELECT DISTINCT source, CASE WHEN k % 6 = 0 THEN 'Git repository: ' WHEN k % 6 = 1 THEN 'Local directory: ' WHEN k % 6 = 2 THEN 'Confluence space: ' WHEN k % 6 = 3 THEN 'Slack channels: ' WHEN k % 6 = 4 THEN 'GitHub wiki: ' ELSE 'web: ' END || source AS label,
+  regexp_matches(upper(t), 'KEY|SECRET|TOKEN') AS masked, regexp_replace('sub/' || source || '.page.md', '\.[^./]*$', '') AS page FROM (SELECT source, doc_id % 6 AS k, CASE WHEN doc_id % 2 = 0 THEN 'api_key_' || source ELSE 'path' END AS t FROM documents WHERE source IS NOT NULL)""")
+def source_labels(spark, sf):
+    kinds = F.array(*map(F.lit, ("git", "filesystem", "confluence", "slack", "github_wiki", "web")))
+    docs = table(spark, sf, "documents").where("source IS NOT NULL")
+    key = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("api_key_"), "source")).otherwise("path")
+    page = files.wiki_page(F.concat(F.lit("sub/"), "source", F.lit(".page.md")))
+    return docs.select("source", X.source_label(F.element_at(kinds, (F.col("doc_id") % 6 + 1).cast("int")), F.col("source")).alias("label"), X.is_secret(key).alias("masked"), page.alias("page")).distinct()
 
 
 # Trust.
@@ -267,9 +290,12 @@ def vector_normalised(spark, sf):
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
 
-def _bm25_sql(words: int, keep: str, limit: int, name: str = "bm25") -> str:
-    """CTEs that end in ``name``(query_id, doc_id, score, rank)."""
-    return f"""q AS (SELECT item_id AS query_id, list_distinct(list_slice({_TOKENS}, 1, {words})) AS w FROM benchmark),
+_ASKED = f"SELECT item_id AS query_id, {_TOKENS} AS t FROM benchmark"
+
+
+def _bm25_sql(keep: str, limit: int, name: str = "bm25", asked: str = _ASKED) -> str:
+    """CTEs that end in ``name``(query_id, doc_id, score, rank). asked: query_id and all tokens t of each query."""
+    return f"""q AS (SELECT query_id, list_distinct(t) AS w FROM ({asked})),
   qt AS (SELECT query_id, len(w) AS n_phrases, unnest(w) AS term FROM q WHERE len(w) > 0),
   d AS (SELECT doc_id, source, {_TOKENS} AS t FROM documents),
   tot AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM d),
@@ -282,21 +308,21 @@ def _bm25_sql(words: int, keep: str, limit: int, name: str = "bm25") -> str:
   {name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE n = n_phrases QUALIFY rank <= {limit})"""
 
 
-def _text_queries(spark, sf, words: int):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, words), " ").alias("query"))
+def _text_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(search.tokens(F.col("text")), " ").alias("query"))
 
 
-@query(f"WITH {_bm25_sql(2, 'true', 10)} SELECT * FROM bm25")
+@query(f"WITH {_bm25_sql('true', 10)} SELECT * FROM bm25")
 def bm25_topk(spark, sf):
-    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf, 2), 10)
+    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf), 10)
 
 
 _KEEP = "source IN ('src1', 'src2', 'src3')"
 
 
-@query(f"WITH {_bm25_sql(1, _KEEP, 10)} SELECT * FROM bm25")
+@query(f"WITH {_bm25_sql(_KEEP, 10)} SELECT * FROM bm25")
 def bm25_filtered(spark, sf):
-    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf, 1), 10, keep=F.coalesce(F.col("source").isin("src1", "src2", "src3"), F.lit(False)))
+    return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf), 10, keep=F.coalesce(F.col("source").isin("src1", "src2", "src3"), F.lit(False)))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, max(dl)::BIGINT AS longest FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)) GROUP BY 1")
@@ -320,15 +346,15 @@ def source_filtered(spark, sf):
 
 _VEC = """vec AS (SELECT q.item_id AS query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.item_id
   ORDER BY round(list_distance(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v QUALIFY rank <= 20)"""
-_FUSED = f"""{_bm25_sql(2, 'true', 20)}, {_VEC},
+_FUSED = f"""{_bm25_sql('true', 20)}, {_VEC},
   rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM vec) GROUP BY 1, 2),
   fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rrf QUALIFY rank <= 20)"""
 
 
-def _hybrid(spark, sf, limit: int = 20):
-    asked = _text_queries(spark, sf, 2).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    docs = table(spark, sf, "documents").withColumnRenamed("text", "raw_content")
-    return plans.hybrid(docs, asked, limit, vectors=table(spark, sf, "embeddings"))
+def _hybrid(spark, sf, limit: int = 20, **options):
+    asked = _text_queries(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    docs = table(spark, sf, "documents").withColumnRenamed("text", "raw_content").withColumnRenamed("source", "source_name")
+    return plans.hybrid(docs, asked, limit, vectors=table(spark, sf, "embeddings"), **options)
 
 
 @query(f"WITH {_FUSED} SELECT query_id, doc_id, score, rank FROM fused")
@@ -369,17 +395,97 @@ def local_query(spark, sf):
     return plans.local(_trusted(spark, sf))
 
 
-@query()
+_VEC_KEPT = _VEC.replace("rank <= 20)", "rank <= 100)").replace("vec AS", "far AS") + f""",
+  near AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS place FROM far WHERE doc_id IN (SELECT doc_id FROM documents WHERE {_KEEP})),
+  vec AS (SELECT query_id, doc_id, place AS rank FROM near WHERE place <= 20)"""
+
+
+@query(f"""WITH {_bm25_sql(_KEEP, 20)}, {_VEC_KEPT}, rrf AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM vec) GROUP BY 1, 2)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rrf QUALIFY rank <= 20""")
+def hybrid_filtered(spark, sf):
+    """Hybrid retrieval among some sources: the filter holds for words and for vectors."""
+    return _hybrid(spark, sf, keep=search.source_filter(["src1", "src2", "src3"]) & F.col("source_name").isNotNull())
+
+
+_EXPANDED = f"""lists AS (SELECT item_id, 0 AS n, {_TOKENS} AS t, item_id AS vec FROM benchmark UNION ALL SELECT item_id, 1, t[len(t) // 2 + 1:], item_id + 1 FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark)),
+  topic AS (SELECT embedding::DOUBLE[] AS t FROM embeddings WHERE vec_id = 0),
+  raw AS (SELECT item_id * 8 + n AS query_id, list_transform(range(1, len(topic.t) + 1), lambda i: embedding[i]::DOUBLE + 0.3::DOUBLE * topic.t[i]) AS r FROM lists JOIN embeddings ON vec_id = vec, topic),
+  asked AS (SELECT query_id, list_transform(r, lambda x: x / sqrt(list_sum(list_transform(r, lambda y: y * y)))) AS v FROM raw),
+  near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(v, embedding::DOUBLE[]), 6), vec_id) AS rank FROM asked, embeddings QUALIFY rank <= 20)"""
+
+
+@query(f"""WITH {_EXPANDED}, {_bm25_sql('true', 20, asked='SELECT item_id * 8 + n AS query_id, t FROM lists')}, rrf AS (SELECT query_id // 8 AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL SELECT * FROM near) GROUP BY 1, 2)
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rrf QUALIFY rank <= 20""")
+def hybrid_expanded(spark, sf):
+    """Hybrid retrieval of each question and its second half, with a topic."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    words = search.tokens(F.col("text"))
+    half = F.array_join(F.slice(words, (F.floor(F.size(words) / 2) + 1).cast("int"), F.greatest(F.size(words), F.lit(1))), " ")
+    more = table(spark, sf, "benchmark").select(F.col("item_id").alias("asked"), (F.col("item_id") + 1).alias("query_id"), half.alias("query"))
+    more = more.join(vectors, "query_id", "left").select(F.col("asked").alias("query_id"), F.lit(1).alias("n"), "query", "embedding")
+    topic = vectors.where("query_id = 0").select("embedding").limit(1)
+    topics = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).distinct().crossJoin(F.broadcast(topic))
+    return _hybrid(spark, sf, expansions=more, topics=topics)
+
+
+_USED = f"""{_TRUSTED}, used AS (SELECT * FROM trusted WHERE query_id % 3 = 0 OR rank IN (1, 3)), m AS (SELECT query_id, round(round(avg(freshness), 9) * 100) / 100 AS freshness, {trust.corroboration_sql('count(DISTINCT source_name)')} AS corroboration,
+  round(round(avg(consistency), 9) * 100) / 100 AS consistency, round(round(avg(authority), 9) * 100) / 100 AS authority, string_agg(id, ',' ORDER BY CASE WHEN query_id % 3 = 0 THEN rank ELSE -rank END) AS sources FROM used GROUP BY 1)"""
+
+
+def _said(rows):
+    """Answers that cite the third and the first result, before older metadata; of every third question such that cite nothing known."""
+    by = rows.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("rank") == 3, F.col("id"))).alias("b"))
+    ids = F.concat(F.lit("["), F.coalesce("b", F.lit("")), F.lit("] and ["), "a", F.lit("] ---KB_META--- {} [ffffffffffffffff]"))
+    return by.select("query_id", F.concat(F.lit(" See "), F.when(F.col("query_id") % 3 == 0, "[0123456789abcdef]").otherwise(ids)).alias("answer"))
+
+
+@query(f"""WITH {_USED}, c AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ' See [0123456789abcdef]' ELSE 'See [' || coalesce(max(CASE WHEN rank = 3 THEN id END), '') || '] and [' || max(CASE WHEN rank = 1 THEN id END) || ']' END AS content FROM trusted GROUP BY 1)
+  SELECT item_id AS query_id, CASE WHEN m.query_id IS NULL THEN 'I don''t have any relevant information to answer this question.' ELSE content END AS content, coalesce(sources, '') AS sources, coalesce(freshness, 0) AS freshness, coalesce(corroboration, 0) AS corroboration,
+  coalesce(consistency, 0) AS consistency, coalesce(authority, 0) AS authority, CASE WHEN m.query_id IS NULL THEN 0 ELSE {trust.overall_sql('freshness', 'corroboration', 'consistency', 'authority')} END AS overall
+  FROM benchmark LEFT JOIN m ON item_id = m.query_id LEFT JOIN c ON item_id = c.query_id""")
+def answer_assembled(spark, sf):
+    """Answers with sources and trust: of the cited fragments, of all where none is cited, and of nothing."""
+    rows = _trusted(spark, sf)
+    out = plans.assembled(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), rows, _said(rows))
+    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x["id"]), ","))
+
+
+@query(f"""WITH {_TRUSTED}, g AS (SELECT query_id, source_name, count(*) AS n, min(rank) AS first, list(id ORDER BY rank) AS l FROM trusted GROUP BY 1, 2), shown AS (SELECT query_id, flatten(list(l ORDER BY -n, first)) AS l FROM g GROUP BY 1)
+  SELECT query_id, unnest(l[1:2]) AS id, unnest(range(len(l[1:2]))) AS pos FROM shown""")
 def answered_query(spark, sf):
     """Answers of an offline model that cites the first two fragments of its prompt, with the fragments it cites."""
-    rows = _trusted(spark, sf)
+    rows = _trusted(spark, sf).persist()
 
     def model(prompt: str) -> str:
         import re
 
-        return "From " + " ".join(re.findall(r"\[[a-f0-9]{16}\]", prompt)[:2])
+        return "From " + " ".join(re.findall(r"^\[[a-f0-9]{16}\]", prompt, re.M)[:2])
+
+    return plans.cited(plans.answered(rows, model), rows).withColumn("pos", F.col("pos").cast("long"))
+
 
-    return plans.cited(plans.answered(rows, model), rows)
+_RUN = f"""{_TRUSTED}, cases AS (SELECT item_id AS query_id, 'c' || (item_id % 3) AS category, [a.doc_id || a.file_type, b.source_path] AS e, CASE WHEN item_id % 2 = 0 THEN 'SRC1' ELSE '' END AS top FROM benchmark JOIN fragments a ON a.doc_id = item_id JOIN fragments b ON b.doc_id = item_id + 1),
+  m AS (SELECT c.query_id, t.rank, x.e, coalesce(t.source_path = x.e OR ends_with(t.source_path, '/' || x.e), false) AS hit FROM (SELECT query_id, unnest(e) AS e FROM cases) x JOIN cases c ON c.query_id = x.query_id LEFT JOIN trusted t ON t.query_id = c.query_id),
+  results AS (SELECT query_id, rank, bool_or(hit) AS hit FROM m GROUP BY 1, 2),
+  k AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS first, {', '.join(f'sum(CASE WHEN hit AND rank <= {k} THEN 1 ELSE 0 END) AS good_{k}, sum(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS top_{k}' for k in evaluate.KS)} FROM results GROUP BY 1),
+  f AS (SELECT query_id, {', '.join(f'count(DISTINCT CASE WHEN hit AND rank <= {k} THEN e END) AS found_{k}' for k in evaluate.KS)}, coalesce(string_agg(DISTINCT CASE WHEN hit THEN e END, ',' ORDER BY CASE WHEN hit THEN e END), '') AS hits FROM m GROUP BY 1),
+  trust AS (SELECT query_id, round(round(avg(freshness), 9) * 100) / 100 AS avg_freshness, round(round(avg(again), 9) * 100) / 100 AS avg_confidence FROM (SELECT *, {trust.overall_sql('freshness', 'corroboration', trust.consistency_sql('overall'), 'authority')} AS again FROM trusted) GROUP BY 1),
+  one AS (SELECT query_id, lower(source_path) AS p FROM trusted WHERE rank = 1)"""
+
+
+@query(f"""WITH {_RUN} SELECT c.query_id, category, {', '.join(f'round(found_{k} / 2.0::DOUBLE, 6) AS recall_{k}, CASE WHEN top_{k} = 0 THEN 0 ELSE round(good_{k}::DOUBLE / top_{k}, 6) END AS precision_{k}' for k in evaluate.KS)},
+  round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, {', '.join(f'CASE WHEN first <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit_{k}' for k in evaluate.HITS)}, hits, coalesce(avg_freshness, 0) AS avg_freshness, coalesce(avg_confidence, 0) AS avg_confidence,
+  CASE WHEN top <> '' THEN coalesce(contains(p, lower(top)), false) END AS top_match FROM cases c JOIN k USING (query_id) JOIN f USING (query_id) LEFT JOIN trust USING (query_id) LEFT JOIN one USING (query_id)""")
+def eval_run(spark, sf):
+    """An evaluation run: every benchmark item as a case, with the files it expects."""
+    rows = fragments(spark, sf, labels=False)
+    name = F.concat(F.col("doc_id").cast("string"), "file_type")
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    cases = cases.join(rows.select(F.col("doc_id").alias("query_id"), name.alias("a")), "query_id").join(rows.select((F.col("doc_id") - 1).alias("query_id"), F.col("source_path").alias("b")), "query_id")
+    top = F.struct(F.when(F.col("query_id") % 2 == 0, "SRC1").otherwise("").alias("source_contains"), F.lit("").alias("content_contains"))
+    cases = cases.select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 3).cast("string")).alias("category"), F.array("a", "b").alias("expected_sources"), F.expr("cast(array() as array<string>)").alias("expected_content_contains"), top.alias("expected_top_result"))
+    out = evaluation.run(cases, _trusted(spark, sf)).drop("content_match")
+    return out.withColumn("hits", F.array_join("hits", ","))
 
 
 @query(f"WITH {_TRUSTED} SELECT query_id, substr(sha256(string_agg(id || ':' || checksum || chr(10), '' ORDER BY rank)), 1, 32) AS sig FROM trusted GROUP BY 1")
@@ -390,20 +496,20 @@ def result_signature(spark, sf):
 
 @query(f"""WITH {_FUSED}, l AS (SELECT query_id, doc_id, 0 AS list_id, rank FROM vec WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, 1, rank FROM bm25 WHERE rank <= 5),
   f AS (SELECT query_id, doc_id, min(list_id * 1000 + rank) AS place FROM l GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS rank FROM f QUALIFY rank <= 5)
-  SELECT k.query_id, k.rank, '[' || source || '/' || d.doc_id || '] ' || substr(text, 1, 500) AS hint FROM k JOIN documents d ON k.doc_id = d.doc_id""")
+  SELECT k.query_id, k.rank, '[' || source || '/' || d.doc_id || '] ' || substr(text, 1, list_max(list_filter(range(0, 501), lambda i: strlen(substr(text, 1, i)) <= 500))) AS hint FROM k JOIN documents d ON k.doc_id = d.doc_id""")
 def vocabulary_hints(spark, sf):
-    asked = _text_queries(spark, sf, 2)
+    asked = _text_queries(spark, sf)
     near = vector.knn(table(spark, sf, "embeddings"), table(spark, sf, "embeddings").join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id"), 5)
     lists = near.select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("list_id"), "rank")
     lists = lists.unionByName(search.bm25(table(spark, sf, "documents"), asked, 5).select("query_id", "doc_id", F.lit(1).alias("list_id"), "rank"))
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("] "), F.substring("text", 1, 500)).alias("hint"))
-    return fusion.distinct_in_order(lists, 5).join(docs, "doc_id").select("query_id", "rank", "hint")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"), F.col("text").alias("raw_content"))
+    return plans.scouted(docs, lists)
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split('1. ' || left(text, 40) || chr(10) || '- two' || chr(10) || '*x' || chr(10) || chr(10) || 'plain', chr(10)), lambda x: trim(x)), lambda x: x <> ''),
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split('1. ' || text || chr(10) || '- two' || chr(10) || '*x' || chr(10) || chr(10) || 'plain', chr(10)), lambda x: trim(x)), lambda x: x <> ''),
   lambda x: trim(CASE WHEN length(x) > 2 AND regexp_matches(x, '^[1-9][.)]') THEN substr(x, 3) WHEN length(x) > 2 AND regexp_matches(x, '^[-*]') THEN substr(x, 2) ELSE x END)), lambda x: x <> '')[1:5], '|') AS lines FROM documents""")
 def query_expansions(spark, sf):
-    reply = F.concat(F.lit("1. "), F.substring("text", 1, 40), F.lit("\n- two\n*x\n\nplain"))
+    reply = F.concat(F.lit("1. "), "text", F.lit("\n- two\n*x\n\nplain"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.expansions(reply), "|").alias("lines"))
 
 
@@ -411,7 +517,7 @@ def query_expansions(spark, sf):
   SELECT doc_id, array_to_string([a, b], ',') AS cited FROM c""")
 def citation_ids(spark, sf):
     a, b = (F.substring(F.sha2((F.col("doc_id") + k).cast("string"), 256), 1, n) for k, n in ((0, 16), (1, 8)))
-    answer = F.concat(F.lit("x ["), a, F.lit("] y ["), b, F.lit("] ["), a, F.lit("] [abc] "), F.lit(f"{X.META} [ffffffffff]"))
+    answer = F.concat(F.lit("x ["), a, F.lit("] y ["), b, F.lit("] ["), a, F.lit("] [abc] "), F.lit(" ---KB_META--- [ffffffffff]"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.citations(X.strip_meta(answer)), ",").alias("cited"))
 
 
@@ -456,26 +562,67 @@ def scan_window(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
 
 
-@query("SELECT page_id, page_id::VARCHAR AS path, url AS source_uri, sha256(html) AS checksum, TIMESTAMP '2024-01-05 06:07:08' AS content_date FROM pages")
+@query("""SELECT page_id, page_id::VARCHAR AS path, url AS source_uri, sha256(html) AS checksum, TIMESTAMP '2024-01-05 00:00:00' + to_minutes((page_id % 600)::BIGINT) - CASE page_id % 5 WHEN 1 THEN INTERVAL 2 HOUR WHEN 3 THEN INTERVAL '-210' MINUTE ELSE INTERVAL 0 HOUR END AS content_date
+  FROM pages WHERE page_id % 5 <> 4 UNION ALL SELECT page_id, page_id::VARCHAR, url, sha256(html), NULL FROM pages WHERE page_id % 5 = 4""")
 def wiki_documents(spark, sf):
-    stamp = F.element_at(F.array(F.lit("2024-01-05T06:07:08.000Z"), F.lit("2024-01-05T08:07:08+02:00"), F.lit("2024-01-05 06:07:08")), (F.col("page_id") % 3 + 1).cast("int"))
+    minutes = F.date_format(F.lit("2024-01-05 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("page_id") % 600).cast("int")), "yyyy-MM-dd'T'HH:mm:ss")
+    ends = F.array(F.lit(".000Z"), F.lit("+02:00"), F.lit(".000+0000"), F.lit(".000-0330"), F.lit(" local"))
+    stamp = F.concat(minutes, F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")))
     return table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.col("url").alias("source_uri"), F.sha2("html", 256).alias("checksum"), messages.wiki_time(stamp).alias("content_date"))
 
 
 _MD = "'## Head ' || doc_id || chr(10) || text || chr(10) || '### Tail' || chr(10) || 'end'"
 
 
-@query(f"SELECT doc_id, len(list_filter(string_split({_MD}, chr(10)), lambda l: starts_with(trim(l), '## ') OR starts_with(trim(l), '### ')))::BIGINT AS headings FROM documents")
+#: White space of the chunkers.
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({c})" for c in (*range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+#: Chunks are not split further.
+_WHOLE = 1 << 40
+
+
+def _chunked(docs, most: int):
+    return chunking.chunks(docs, most=most).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("chunk.content").alias("content"), F.col("chunk.metadata").alias("metadata"))
+
+
+def _texts(spark, sf, ext: str, text):
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("source_path"), text.alias("raw_content"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split({_MD}, chr(10))) AS line, unnest(range(len(string_split({_MD}, chr(10))))) AS i FROM documents),
+  h AS (SELECT doc_id, line, i, trim(line, {_WS}) AS bare, starts_with(bare, '## ') OR starts_with(bare, '### ') AS head FROM l),
+  g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h),
+  s AS (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN bare END), '') AS heading, trim(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), {_WS}) AS body FROM g GROUP BY 1, 2)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS idx, ltrim(heading, '# ') AS heading, heading || CASE WHEN heading <> '' AND body <> '' THEN chr(10) || chr(10) ELSE '' END || body AS content FROM s WHERE heading <> '' OR body <> ''""")
 def markdown_headings(spark, sf):
+    """Sections under headings, of the markdown chunker."""
     text = F.concat(F.lit("## Head "), F.col("doc_id").cast("string"), F.lit("\n"), "text", F.lit("\n### Tail\nend"))
-    heads = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("## ") | F.trim(x).startswith("### "))
-    return table(spark, sf, "documents").select("doc_id", F.size(heads).cast("long").alias("headings"))
+    return _chunked(_texts(spark, sf, ".md", text).where("raw_content IS NOT NULL"), _WHOLE).select("doc_id", "idx", F.col("metadata")["heading"].alias("heading"), "content")
 
 
-@query("SELECT doc_id, i AS idx, trim(p) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(p) <> ''")
+@query(f"""SELECT doc_id, 0::BIGINT AS idx, array_to_string(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p, {_WS})), lambda p: p <> ''), chr(10) || chr(10)) AS content FROM documents WHERE text IS NOT NULL""")
 def paragraph_split(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "p"))
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim("p").alias("paragraph")).where("paragraph <> ''")
+    """Paragraphs without blanks around them, gathered into one chunk by the plain text chunker."""
+    return _chunked(_texts(spark, sf, ".txt", F.col("text")).where("raw_content IS NOT NULL"), _WHOLE).select("doc_id", "idx", "content")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(f, chr(10))) AS line, unnest(range(len(string_split(f, chr(10))))) AS i FROM (SELECT doc_id, 'top=1' || chr(10) || '[s' || doc_id || ']' || chr(10) || text || chr(10) || '[[t]]' || chr(10) || 'k=v' AS f FROM documents WHERE text IS NOT NULL)),
+  h AS (SELECT *, trim(line, {_WS}) AS bare, starts_with(bare, '[') AND ends_with(bare, ']') AND length(bare) > 2 AS head FROM l),
+  g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM h),
+  s AS (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN CASE WHEN starts_with(bare, '[[') AND ends_with(bare, ']]') THEN bare[2:-3] ELSE bare[2:-2] END END), '') AS name, trim(string_agg(line, chr(10) ORDER BY i), {_WS}) AS body FROM g GROUP BY 1, 2)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS idx, name, body AS content FROM s WHERE body <> ''""")
+def chunk_sections(spark, sf):
+    """Sections of configuration files."""
+    text = F.concat(F.lit("top=1\n[s"), F.col("doc_id").cast("string"), F.lit("]\n"), "text", F.lit("\n[[t]]\nk=v"))
+    return _chunked(_texts(spark, sf, ".toml", text).where("raw_content IS NOT NULL"), _WHOLE).select("doc_id", "idx", F.col("metadata")["section"].alias("name"), "content")
+
+
+@query(f"""WITH g AS (SELECT doc_id, unnest(x) AS body, unnest(range(len(x))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array('A=' || doc_id || chr(10) || '# note' || chr(10) || chr(10) || text || chr(10) || ' ' || chr(10) || 'Z: end', '\n[ \t]*\n'), lambda b: trim(b, {_WS})), lambda b: b <> '') AS x FROM documents WHERE text IS NOT NULL)),
+  k AS (SELECT *, list_filter(string_split(body, chr(10)), lambda l: trim(l, {_WS}) <> '' AND NOT starts_with(trim(l, {_WS}), '#') AND NOT starts_with(trim(l, {_WS}), '!')) AS lines FROM g)
+  SELECT doc_id, i AS idx, CASE WHEN len(lines) = 0 THEN '' ELSE trim(regexp_split_to_array(lines[1], '[=:]')[1], {_WS}) END AS key, body AS content FROM k""")
+def chunk_pairs(spark, sf):
+    """Groups of key-value lines."""
+    text = F.concat(F.lit("A="), F.col("doc_id").cast("string"), F.lit("\n# note\n\n"), "text", F.lit("\n \nZ: end"))
+    return _chunked(_texts(spark, sf, ".env", text).where("raw_content IS NOT NULL"), _WHOLE).select("doc_id", "idx", F.col("metadata")["key"].alias("key"), "content")
 
 
 @query()
@@ -548,6 +695,33 @@ def enriched_content(spark, sf):
     return table(spark, sf, "documents").where("lang IS NOT NULL").select("doc_id", models.enriched(F.col("text"), answer).alias("content"))
 
 
+_NOTE_HEAD, _, _NOTE_TAIL = models.ASK[2].partition("{}")
+#: Characters of a prompt besides its texts: the whole, and those of a side that is there.
+_NOTE_REST, _NOTE_SIDE = len(_NOTE_HEAD) + len(_NOTE_TAIL) + len("Chunk:\n\n\n"), (len("Before:\n\n\n"), len("After:\n\n\n"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(string_agg(coalesce(text, ''), chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS p,
+  coalesce(string_agg(coalesce(text, ''), chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING), '') AS f FROM conversations),
+  n AS (SELECT *, {_NOTE_REST} + length(text) + CASE WHEN p = '' THEN 0 ELSE length(p) + {_NOTE_SIDE[0]} END + CASE WHEN f = '' THEN 0 ELSE length(f) + {_NOTE_SIDE[1]} END AS size FROM w),
+  d AS (SELECT *, bool_or(size % 50 = 7) OVER (PARTITION BY conv_id) AS failed FROM n)
+  SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'kept' WHEN NOT failed THEN text || chr(10) || chr(10) || 'note ' || size END AS enriched_content, CASE WHEN conv_id % 4 = 0 OR NOT failed THEN 'm' END AS model FROM d""")
+def enrichment_run(spark, sf):
+    """Conversations as documents: those with stored enrichments keep them, those on which the model fails stay as they are."""
+    rows = table(spark, sf, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("chat").alias("source_type"), F.col("conv_id").cast("string").alias("source_path"),
+        F.coalesce("text", F.lit("")).alias("raw_content"), F.col("turn").cast("long").alias("idx"), "conv_id", "turn",
+    )
+    stored = rows.where("conv_id % 4 = 0").select("id", "raw_content", F.lit("kept").alias("enriched_content"), F.lit("m").alias("enrichment_model"), F.lit("v2").alias("enrichment_version"))
+
+    def model(prompt: str) -> str:
+        if len(prompt) % 50 == 7:
+            raise RuntimeError("no answer")
+        return f"note {len(prompt)}"
+
+    out = enrichment.run(rows, model, "m", stored=stored)
+    return out.select("conv_id", "turn", "enriched_content", F.col("enrichment_model").alias("model"))
+
+
 @query()
 def hash_embeddings(spark, sf):
     return table(spark, sf, "documents").select("doc_id", models.embed(F.col("text"), models.HashEmbedder(64)).alias("embedding"))
@@ -711,14 +885,14 @@ def dedup_window(spark, sf):
     return rows.dropDuplicates(["user_id", "event_type", "day"])
 
 
-@query("""SELECT doc_id, CASE WHEN a < 1 THEN 'today' WHEN a < 30 THEN a || ' day' || CASE WHEN a = 1 THEN '' ELSE 's' END || ' ago' WHEN a < 365 THEN (a // 30) || ' month' || CASE WHEN a // 30 = 1 THEN '' ELSE 's' END || ' ago'
-    ELSE (a // 365) || ' year' || CASE WHEN a // 365 = 1 THEN '' ELSE 's' END || ' ago' END AS age,
+@query("""SELECT doc_id, CASE WHEN a < 1 THEN 'today' WHEN a < 30 THEN a || ' day' || CASE WHEN a = 1 THEN '' ELSE 's' END WHEN a // 30 < 12 THEN (a // 30) || ' month' || CASE WHEN a // 30 = 1 THEN '' ELSE 's' END
+    ELSE (a // 30 // 12) || ' year' || CASE WHEN a // 30 // 12 = 1 THEN '' ELSE 's' END END AS age,
   CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%d B', n) END AS size,
-  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, CASE WHEN length(source) < 8 THEN '****' ELSE left(source, 4) || '****' END AS secret
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words, CASE WHEN length(lang || source || lang) < 8 THEN '****' ELSE left(lang || source || lang, 8) || '****' END AS secret
   FROM (SELECT *, doc_id % 800 AS a, n_chars * 7 AS n FROM documents)""")
 def formatted_values(spark, sf):
     days, n = F.col("doc_id") % 800, F.col("n_chars") * 7
-    return table(spark, sf, "documents").select("doc_id", X.age(days).alias("age"), X.size(n).alias("size"), X.words(F.col("text")).cast("long").alias("words"), X.mask(F.col("source")).alias("secret"))
+    return table(spark, sf, "documents").select("doc_id", X.age(days).alias("age"), X.size(n).alias("size"), X.words(F.col("text")).cast("long").alias("words"), X.mask(F.concat("lang", "source", "lang")).alias("secret"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split('a, ,' || source || ' ,' || lang, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM documents")
@@ -758,7 +932,7 @@ def git_last_change(spark, sf):
 # Streams.
 
 
-@query()
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events, (SELECT max(ts) AS last FROM events) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= last - INTERVAL 1 HOUR GROUP BY 1, 2""")
 def stream_daily(spark, sf):
     from .streaming import ingest as streams
 
