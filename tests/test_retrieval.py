@@ -109,12 +109,12 @@ def test_citations_and_text(spark):
     assert get(X.citations(F.lit("none"))) == []
     assert get(X.strip_meta(F.lit(f"a {X.META} b {X.META} c"))) == f"a {X.META} b"
     assert get(X.expansions(F.lit("1. one\n2) two\n- three\n* four\n\n-x\nsix\nseven"))) == ["one", "two", "three", "four", "-x"]  # a mark alone with one letter is text
-    assert [get(X.age(F.lit(d))) for d in (0, 1, 29, 30, 364, 365, 800)] == ["today", "1 day ago", "29 days ago", "1 month ago", "12 months ago", "1 year ago", "2 years ago"]
+    assert [get(X.age(F.lit(d))) for d in (0, 1, 29, 30, 364, 365, 800)] == ["today", "1 day", "29 days", "1 month", "1 year", "1 year", "2 years"]
     assert [get(X.size(F.lit(n))) for n in (5, 2048, 3 << 20)] == ["5 B", "2.0 KB", "3.0 MB"]
     paths = lambda *p: F.array(*map(F.lit, p))
     assert get(X.common_directory(paths("a/b/c.md", "a/b/d/e.md"))) == "a/b"
     assert get(X.common_directory(paths("a/x.md", "b/y.md"))) == "" and get(X.common_directory(paths("x.md"))) == ""
-    assert get(X.mask(F.lit("secret-token"))) == "secr****" and get(X.split_csv(F.lit(" a,,b "))) == ["a", "b"]
+    assert get(X.mask(F.lit("secret-token"))) == "secret-t****" and get(X.split_csv(F.lit(" a,,b "))) == ["a", "b"]
 
 
 def test_cited_fragments(spark):
