@@ -447,7 +447,7 @@ def answer_assembled(spark, sf):
     """Answers with sources and trust: of the cited fragments, of all where none is cited, and of nothing."""
     rows = _trusted(spark, sf)
     out = plans.assembled(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), rows, _said(rows))
-    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x["id"]), ","))
+    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x["id"]), ",")).drop("contradictions")
 
 
 @query(f"""WITH {_TRUSTED}, g AS (SELECT query_id, source_name, count(*) AS n, min(rank) AS first, list(id ORDER BY rank) AS l FROM trusted GROUP BY 1, 2), shown AS (SELECT query_id, flatten(list(l ORDER BY -n, first)) AS l FROM g GROUP BY 1)

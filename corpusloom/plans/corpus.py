@@ -27,7 +27,7 @@ def ingest(store: Store, source: registry.Connector, embedder: models.Embedder,
     stored = store.read(FRAGMENTS).join(names, ["source_type", "source_name"], "left_semi") if have else None
     known = stored.select("source_path", "checksum").distinct() if have else none
     changed, deleted = registry.incremental(spark, source, known)
-    rows = chunking.to_fragments(changed.withColumn("raw_content", F.col("raw_content").cast("string"))).drop("metadata", "idx")
+    rows = chunking.to_fragments(changed).drop("metadata", "idx")
     rows = rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
     n_changed, n_deleted = changed.count(), deleted.count()
     if have and n_changed + n_deleted:

@@ -154,7 +154,8 @@ def answered(rows: DataFrame, model: Callable[[str], str], concise: bool = False
 
 
 def assembled(queries: DataFrame, rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """query_id, content, sources (id, path, name, in order of citation), freshness, corroboration, consistency, authority, overall: a
+    """query_id, content, sources (id, path, name, in order of citation), contradictions (a place for them, empty as in the reference),
+    freshness, corroboration, consistency, authority, overall: a
     model's answer with its trust. Both are of the fragments it cites, of all that were found where it cites none of them. A
     question for which nothing was found has the EMPTY answer, no sources and no trust."""
     used = cited(answers, rows)
@@ -165,7 +166,7 @@ def assembled(queries: DataFrame, rows: DataFrame, answers: DataFrame) -> DataFr
     out = queries.select("query_id").join(said, "query_id", "left").join(sources, "query_id", "left").join(answer_confidence(of), "query_id", "left")
     signals = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("freshness", "corroboration", "consistency", "authority", "overall")]
     none = F.col("sources").isNull()
-    return out.select("query_id", F.when(none, EMPTY).otherwise(F.col("content")).alias("content"), F.coalesce("sources", F.expr("array()").cast(sources.schema["sources"].dataType)).alias("sources"), *signals)
+    return out.select("query_id", F.when(none, EMPTY).otherwise(F.col("content")).alias("content"), F.coalesce("sources", F.expr("array()").cast(sources.schema["sources"].dataType)).alias("sources"), F.expr("cast(array() as array<struct<claim: string, fragment_ids: array<string>>>)").alias("contradictions"), *signals)
 
 
 def signature(rows: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def ingest_documents(documents: DataFrame, store: Store, embedder: models.Embedd
     """Chunk, embed and store a stream of documents batch by batch; returns the query. A document's fragments replace those it had."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = chunking.to_fragments(batch.withColumn("raw_content", F.col("raw_content").cast("string"))).drop("metadata", "idx")
+        rows = chunking.to_fragments(batch).drop("metadata", "idx")
         rows = rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
         if store.exists(name):
             store.update(name, lambda t: storage.replace_paths(t.select(*rows.columns), rows))

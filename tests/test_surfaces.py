@@ -408,3 +408,76 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "t.json").write_text(json.dumps([{"id": "1", "query": "alpha", "expected_sources": ["a.md"], "category": "c"}]))
     assert json.loads(run("eval", tmp_path / "t.json", tmp_path / "r"))["hit_1"] == 1.0
     assert run("version").strip() == serve.VERSION and "CORPUSLOOM_LIMIT" in run("config") and json.loads(run("info"))["fragments"] == 1
+
+
+def _pdf(objects, streams=()):
+    """A file of objects by number; streams: numbers whose content is compressed."""
+    import zlib
+
+    out = b"%PDF-1.5\n"
+    for number, (info, content) in objects.items():
+        out += f"{number} 0 obj\n".encode()
+        if content is None:
+            out += info
+        else:
+            body = zlib.compress(content) if number in streams else content
+            more = b" /Filter /FlateDecode" if number in streams else b""
+            out += b"<< " + info + b" /Length " + str(len(body)).encode() + more + b" >>\nstream\n" + body + b"\nendstream"
+        out += b"\nendobj\n"
+    return out + b"trailer << /Root 1 0 R /Info 9 0 R >>\n%%EOF"
+
+
+def test_pdf(spark):
+    from corpusloom.sources import pdf
+
+    cmap = b"begincmap 1 beginbfchar <0041> <00E9> endbfchar 1 beginbfrange <0042> <0044> <0062> <0050> <0051> [<0078> <0079>] endbfrange endcmap"
+    first = b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"
+    second = b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>"
+    packed = f"3 0 10 {len(first) + 1} ".encode() + first + b" " + second
+    offset = packed.index(first)
+    objects = {
+        1: (b"<< /Type /Catalog /Pages 2 0 R >>", None),
+        2: (b"<< /Type /Pages /Kids [3 0 R 10 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 7 0 R >> >> >>", None),
+        4: (b"", b"BT /F1 12 Tf 72 700 Td (Hello \\(one\\) \\101) Tj 0 -14 Td [(Se) 20 (cond) -300 (line)] TJ ET"),
+        5: (b"<< /Type /Font /Subtype /Type1 >>", None),
+        6: (b"", b"BT /F2 9 Tf <00410042004400500051> Tj T* (AB) Tj ET"),
+        7: (b"<< /Type /Font /Subtype /Type0 /ToUnicode 8 0 R >>", None),
+        8: (b"", cmap),
+        9: (b"<< /CreationDate (D:20230102030405Z) /ModDate (D:20240506) >>", None),
+        11: (f"/Type /ObjStm /N 2 /First {offset}".encode(), packed),
+    }
+    data = _pdf(objects, (4, 6, 11))
+    assert pdf.pages(data) == ["Hello (one) A\nSecond line\n", "ébdxy\n"]
+    assert pdf.stamp(data) == "D:20240506"
+    assert [(t, m) for t, m in chunking.pdf_pages(data, "x.pdf")] == [("Hello (one) A\nSecond line", {"page": "1"}), ("ébdxy", {"page": "2"})]
+    for bad in (b"", b"text", b"%PDF-1.4\n", data.replace(b"/Info", b"/Encrypt 12 0 R /Info")):
+        if bad.startswith(b"%PDF-1.4"):
+            assert pdf.pages(bad) == []
+        else:
+            with pytest.raises(ValueError):
+                pdf.pages(bad)
+    docs = spark.createDataFrame([("f", "n", "a.pdf", bytearray(data), "1"), ("f", "n", "b.md", bytearray(b"## H\ntext"), "2")], "source_type string, source_name string, source_path string, raw_content binary, checksum string")
+    assert sorted((r["source_path"], r["idx"], r["raw_content"]) for r in chunking.to_fragments(docs).collect()) == [("a.pdf", 0, "Hello (one) A\nSecond line"), ("a.pdf", 1, "ébdxy"), ("b.md", 0, "## H\n\ntext")]
+
+
+def test_clients():
+    from corpusloom.functions import clients
+
+    seen = []
+
+    def post(lines, status=200):
+        def send(url, headers, body):
+            seen.append((url, headers, json.loads(body)))
+            return status, lines
+
+        return send
+
+    events = [b"event: x", b'data: {"type": "content_block_delta", "delta": {"text": "a "}}', b"", b'data: {"type": "content_block_delta", "delta": {"text": "b"}}', b'data: {"type": "message_stop"}']
+    assert clients.Messages("https://h/", "m", "k", post=post(events))("hi") == "a b"
+    assert seen[-1][0] == "https://h/v1/messages" and seen[-1][1]["x-api-key"] == "k" and "system" not in seen[-1][2]
+    lines = [b'data: {"choices": [{"delta": {"content": "x"}}]}', b'data: {"choices": [{"delta": {}}]}', b"data: [DONE]"]
+    assert [*clients.Completions("https://h", "m", "k", post=post(lines)).stream("sys", [{"role": "user", "content": "q"}])] == ["x"]
+    assert seen[-1][2]["messages"][0] == {"role": "system", "content": "sys"} and seen[-1][1] == {"Authorization": "Bearer k"}
+    assert clients.Local("http://l", "m", post=post([b'{"message": {"content": "y"}}', b'{"done": true}']))("q") == "y"
+    with pytest.raises(RuntimeError):
+        clients.Local("http://l", "m", post=post([b"no"], 500))("q")
