@@ -12,7 +12,8 @@ and ``parse`` restores the very turns. ``loss_spans`` (start, length in code poi
 text of each turn of the trained role.
 
 Nulls: a null text or role counts as empty, a null turn sorts first, a null conv_id is a conversation of its own.
-Equal turn numbers sort by role, then text; repeated rows are all kept. An empty table gives no rows, and
+Equal turn numbers sort by role, then text; repeated rows are all kept. A conversation is one row, of any number of turns and length of
+texts that a row holds. An empty table gives no rows, and
 other columns are ignored.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: Turns whose places are summed together.
+BLOCK = 256
 
 
 def _escape(c: Column) -> Column:
@@ -92,22 +95,33 @@ def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
             ),
         )
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-    spans = F.aggregate(
-        steps,
+    # Places are sums of what stands before. An array that grows is copied at each step, so it grows within blocks, and the blocks' first
+    # places in an array of their own.
+    none = F.expr("cast(array() as array<bigint>)")
+    chats = chats.select("conv_id", formatted.alias("formatted"), steps.alias("steps"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / BLOCK).cast("int")), lambda k: F.slice("steps", k * BLOCK + 1, F.lit(BLOCK)))
+    chats = chats.select("conv_id", "formatted", blocks.alias("blocks"))
+    size = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, x: n + x["before"] + x["length"])
+    firsts = F.aggregate(
+        "blocks", F.struct(F.lit(0).cast("long").alias("at"), none.alias("firsts")),
+        lambda acc, block: F.struct((acc["at"] + size(block)).alias("at"), F.concat(acc["firsts"], F.array(acc["at"])).alias("firsts")), lambda acc: acc["firsts"],
+    )
+    places = F.transform(F.arrays_zip(F.col("blocks").alias("block"), firsts.alias("first")), lambda x: _spans(x["block"], x["first"]))
+    return chats.select("conv_id", "formatted", F.flatten(places).alias("loss_spans"))
+
+
+def _spans(block: Column, first: Column) -> Column:
+    """The loss spans of the steps of a block that begins at a place."""
+    start = F.struct(first.alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+    return F.aggregate(
+        block,
         start,
         lambda acc, x: F.struct(
             (acc["at"] + x["before"] + x["length"]).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["before"]).alias("start"), x["length"].alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+            F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["before"]).alias("start"), x["length"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
-    return chats.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:

@@ -36,6 +36,9 @@ def test_chat_round_trip(spark):
         assert r["loss"] == "".join(w[3] for w in want if w[2] == "assistant")
     assert out[1]["formatted"].count("<|im_start|>") == 2
     assert chats(spark, []) == {}
+    long = [(1, k, "assistant" if k % 3 else "user", f"<|{k}é", 1) for k in range(1500)]
+    r = chats(spark, long)[1]
+    assert r["loss"] == "".join(x[3] for x in long if x[2] == "assistant") and [t["text"] for t in r["turns"]] == [x[3] for x in long]
 
 
 def test_warc(spark):
