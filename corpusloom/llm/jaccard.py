@@ -57,7 +57,7 @@ STARS = 3
 RANGES = 8
 #: Bits of the bitmap of documents whose texts are asked for, 64 to a row.
 BITMAP = 1 << 24
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _TALLY = 1_000_000
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _LOWER = _LOW.tobytes()

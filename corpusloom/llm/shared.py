@@ -161,7 +161,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20, strong: bool = False) -> np.ndarray:
+def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17, strong: bool = False) -> np.ndarray:
     """A 64-bit hash of raw[s:e] for each of the ascending segments, from prefix sums of a polynomial modulo 2 ** 64, and, if
     strong, of one modulo a prime too. Equal hashes don't prove equal segments: callers compare what is behind them."""
     out = np.empty(len(starts), np.uint64)
