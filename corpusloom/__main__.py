@@ -41,6 +41,12 @@ def arguments() -> argparse.ArgumentParser:
     one.add_argument("--k", type=int)
     one.add_argument("--picture")
     one.add_argument("--dims", type=int, default=2)
+    one = add("enrich")
+    one.add_argument("model")
+    one.add_argument("--base", default="http://localhost:11434")
+    one.add_argument("--client", default="Local", choices=("Local", "Completions", "Messages"))
+    one.add_argument("--key", default="")
+    one.add_argument("--version", type=int, default=2, choices=(1, 2))
     one = add("eval")
     one.add_argument("testset")
     one.add_argument("results")
@@ -126,6 +132,11 @@ def main(argv: list[str] | None = None) -> None:
         results.save(each, f"{args.results}/cases")
         results.save_summary(evaluation.summary(each), f"{args.results}/summary", now())
         print(results.summary_line(evaluation.summary(each), now()))
+    elif args.command == "enrich":
+        from .functions import clients
+
+        n = corpus.enrich(store, getattr(clients, args.client)(args.base, args.model, args.key), args.model, embedder, args.version)
+        print(json.dumps({"enriched": n}))
     elif args.command == "serve":
         host, _, port = chosen["CORPUSLOOM_LISTEN"].value.rpartition(":")
         serve.http(service, host or "0.0.0.0", int(port)).serve_forever()

@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from ..functions import trust
 
 
+#: Tasks that sum the matrices of all tasks.
+SUMMED = 8
+
+
 def default_k(n: int) -> int:
     return max(1, min(n, int((n / 2) ** 0.5)))
 
@@ -228,12 +232,22 @@ def pca(vectors: DataFrame, dims: int = 2, *, vec_id: str = "vec_id", vector: st
                 total = m.sum(0) if total is None else total + m.sum(0)
                 products = m.T @ m if products is None else products + m.T @ m
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "products": [products.reshape(-1).tolist()]})
+            yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tobytes()], "products": [products.tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, 0.0, 0.0
+        for batch in batches:
+            for k, t, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n, total, products = n + k, total + np.frombuffer(t), products + np.frombuffer(p)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tobytes()], "products": [products.tobytes()]})
 
-    got = rows.mapInArrow(sums, "n long, total array<double>, products array<double>").toLocalIterator()
+    # The tasks' matrices are summed in a few tasks first, so that the driver adds SUMMED of them, however many tasks there are.
+    schema = "n long, total binary, products binary"
+    parts = rows.mapInArrow(sums, schema).repartition(SUMMED).mapInArrow(add, schema).collect()
     n, total, products = 0, 0.0, 0.0
-    for r in got:
-        n, total, products = n + r["n"], total + np.array(r["total"]), products + np.array(r["products"])
+    for r in sorted(parts, key=lambda r: (r["n"], r["total"])):
+        n, total, products = n + r["n"], total + np.frombuffer(r["total"]), products + np.frombuffer(r["products"])
     out = ", ".join(f"x{i} double" for i in range(dims))
     if not n:
         return rows.select("vec_id", *(F.lit(0.0).alias(f"x{i}") for i in range(dims)))

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import models, trust
 from ..functions.text import first_bytes
 from ..operators import storage
+from ..schema import content
 from ..sources import chunking, registry
+from . import enrichment
 from . import query as plans
 from .store import Store
 
 FRAGMENTS, REGISTRY = "fragments", "sources"
+ENRICHED = ("enriched_content", "enrichment_model", "enrichment_version")
 
 
 def ingest(store: Store, source: registry.Connector, embedder: models.Embedder, as_of: str) -> tuple[int, int]:
@@ -27,12 +30,11 @@ def ingest(store: Store, source: registry.Connector, embedder: models.Embedder,
     stored = store.read(FRAGMENTS).join(names, ["source_type", "source_name"], "left_semi") if have else None
     known = stored.select("source_path", "checksum").distinct() if have else none
     changed, deleted = registry.incremental(spark, source, known)
-    rows = chunking.to_fragments(changed).drop("metadata", "idx")
-    rows = rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
+    rows = fragments_of(changed, embedder, as_of)
     n_changed, n_deleted = changed.count(), deleted.count()
     if have and n_changed + n_deleted:
         gone = stored.join(deleted, "source_path", "left_semi").select("source_type", "source_name", "source_path").distinct()
-        store.update(FRAGMENTS, lambda t: storage.replace_paths(storage.delete_paths(t, gone).select(*rows.columns), rows))
+        store.update(FRAGMENTS, lambda t: storage.replace_paths(fitted(storage.delete_paths(t, gone), rows), rows))
     elif not have:
         store.write(FRAGMENTS, rows)
     new = names.select("source_type", "source_name", F.lit("").alias("description"), F.create_map(F.lit("at"), F.lit(as_of)).alias("config"))
@@ -40,9 +42,31 @@ def ingest(store: Store, source: registry.Connector, embedder: models.Embedder,
     return n_changed, n_deleted
 
 
+def fragments_of(documents: DataFrame, embedder: models.Embedder, as_of: str) -> DataFrame:
+    """The stored fragments of documents: chunked and embedded, not enriched yet."""
+    rows = chunking.to_fragments(documents).drop("metadata").withColumn("idx", F.col("idx").cast("long"))
+    for name in ENRICHED:
+        rows = rows.withColumn(name, F.lit(None).cast("string"))
+    return rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
+
+
+def fitted(table: DataFrame, like: DataFrame) -> DataFrame:
+    """table with the columns of another; those that it lacks are null."""
+    return table.select(*(F.col(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema))
+
+
+def enrich(store: Store, model: Callable[[str], str | None], name: str, embedder: models.Embedder, version: int = 2) -> int:
+    """Enrich what no current enrichment has, embed it anew and store it; how many fragments were stale."""
+    table = store.read(FRAGMENTS)
+    n = enrichment.stale(table, name, version).count()
+    if n:
+        store.write(FRAGMENTS, enrichment.again(table, model, name, embedder, version=version))
+    return n
+
+
 def search(store: Store, texts: list[str], embedder: models.Embedder, limit: int = 20, as_of: str = trust.AS_OF) -> DataFrame:
     """Hybrid results of each text, with trust."""
-    rows = store.read(FRAGMENTS).withColumn("doc_id", F.xxhash64("id"))
+    rows = store.read(FRAGMENTS).withColumn("doc_id", F.xxhash64("id")).withColumn("raw_content", content())
     asked = [(i, t, v) for i, (t, v) in enumerate(zip(texts, embedder.embed(texts), strict=True))]
     queries = store.spark.createDataFrame(asked, "query_id long, query string, embedding array<float>")
     vectors = rows.select(F.col("doc_id").alias("vec_id"), "embedding")

@@ -50,10 +50,11 @@ def walk(root: str) -> Iterator[tuple[str, int, float]]:
                 yield os.path.relpath(full, root).replace(os.sep, "/"), os.path.getsize(full), os.path.getmtime(full)
 
 
-def scan(spark: SparkSession, root: str, name: str | None = None, source_type: str = "filesystem") -> DataFrame:
-    """raw_documents of a tree. Names are listed on the driver; files are read by the tasks. Text with a byte 0 in its first
+def scan(spark: SparkSession, root: str, name: str | None = None, source_type: str = "filesystem", only: list[str] | None = None) -> DataFrame:
+    """raw_documents of a tree, or of the files of it in ``only``, by the same rules. Names are listed on the driver; files are read by the tasks. Text with a byte 0 in its first
     8 KiB is binary and left out, but for PDF."""
-    listed = spark.createDataFrame([*walk(root)], "path string, size long, changed double")
+    names = walk(root) if only is None else ((p, os.path.getsize(f"{root}/{p}"), os.path.getmtime(f"{root}/{p}")) for p in only if os.path.isfile(f"{root}/{p}"))
+    listed = spark.createDataFrame([*names], "path string, size long, changed double")
     files = listed.where(wanted(F.col("path"), F.col("size"))).repartition(max(1, spark.sparkContext.defaultParallelism), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

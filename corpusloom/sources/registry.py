@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,21 @@ def batches(rows: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
     return rows.crossJoin(F.broadcast(total.select(per.alias("per")))).withColumn("batch", F.floor(F.col("pos") / F.col("per")).cast("long")).drop("per")
 
 
+def pushes(rows: DataFrame, deleted: DataFrame, most_bytes: int = 10 << 20) -> Iterator[str]:
+    """The bodies of a client's pushes, one after the other; the first has the deletions. rows: source_type, source_name, source_path,
+    content, checksum, pos; deleted: source_type, source_name, path."""
+    gone = [r.asDict() for r in deleted.collect()]  # paths only
+    held, at = [], None
+    for r in batches(rows, most_bytes).orderBy("pos").toLocalIterator():
+        if at is not None and r["batch"] != at:
+            yield json.dumps({"fragments": held, "deleted": gone})
+            held, gone = [], []
+        held.append({k: v for k, v in r.asDict().items() if k not in ("pos", "batch")})
+        at = r["batch"]
+    if held or gone:
+        yield json.dumps({"fragments": held, "deleted": gone})
+
+
 def pushed(table: DataFrame, rows: DataFrame, deleted: DataFrame) -> DataFrame:
     """The table after a push: deletions by path, then fragments of documents whose checksum is new. rows: source_type,
     source_name, source_path, raw_content, checksum, pos; ids count the fragments of each document."""

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import models
 from ..operators import storage
+from ..plans import corpus
 from ..plans.store import Store
-from ..sources import chunking, files
+from ..sources import files
 
 
 def ingest(changes: DataFrame, store: Store, name: str, checkpoint: str, key: str = "id"):
@@ -47,10 +48,9 @@ def ingest_documents(documents: DataFrame, store: Store, embedder: models.Embedd
     """Chunk, embed and store a stream of documents batch by batch; returns the query. A document's fragments replace those it had."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = chunking.to_fragments(batch).drop("metadata", "idx")
-        rows = rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
+        rows = corpus.fragments_of(batch, embedder, as_of)
         if store.exists(name):
-            store.update(name, lambda t: storage.replace_paths(t.select(*rows.columns), rows))
+            store.update(name, lambda t: storage.replace_paths(corpus.fitted(t, rows), rows))
         else:
             store.write(name, rows)
 

@@ -307,6 +307,10 @@ def test_corpus_sources(spark, tmp_path):
     corpus.import_sources(store, path)
     assert corpus.source(store, "filesystem", "docs")["config"] == {}
     assert corpus.info(store, embedder)["fragments"] == 0
+    corpus.ingest(store, registry.Folder(str(tmp_path / "files"), "docs"), embedder, AS_OF)
+    assert corpus.enrich(store, lambda p: "zebra", "m", embedder) == 2 and corpus.enrich(store, lambda p: "never", "m", embedder) == 0
+    assert corpus.search(store, ["zebra"], embedder, 5, AS_OF).count() == 2 and {r["enriched_content"] for r in store.read(corpus.FRAGMENTS).collect()} == {"alpha words\n\nzebra", "beta words\n\nzebra"}
+    assert [r["source_path"] for r in files.scan(spark, str(tmp_path / "files"), only=["a.md", "none.md"]).collect()] == ["a.md"]
     rounds = iter([True, True, True, False])
     changes = iter([lambda: None, lambda: (tmp_path / "files" / "c.md").write_text("c"), lambda: (tmp_path / "files" / "a.md").unlink()])
 
@@ -316,7 +320,7 @@ def test_corpus_sources(spark, tmp_path):
             next(changes)()
         return go
 
-    assert corpus.watch(store, registry.Folder(str(tmp_path / "files"), "docs"), embedder, lambda: AS_OF, wait) == [(2, 0), (1, 0), (0, 1)]
+    assert corpus.watch(store, registry.Folder(str(tmp_path / "files"), "docs"), embedder, lambda: AS_OF, wait) == [(1, 0), (0, 1)]
 
 
 def test_units(spark, tmp_path):
@@ -353,6 +357,10 @@ def test_batches_of_pushes(spark):
     assert {r["batch"] for r in registry.batches(rows, 10_000).collect()} == {0}
     got = [r["batch"] for r in registry.batches(rows, 400).orderBy("pos").collect()]
     assert got == [k // 3 for k in range(10)]
+    gone = spark.createDataFrame([("t", "n", "p")], "source_type string, source_name string, path string")
+    bodies = [json.loads(b) for b in registry.pushes(rows, gone, 400)]
+    assert [len(b["fragments"]) for b in bodies] == [3, 3, 3, 1] and [len(b["deleted"]) for b in bodies] == [1, 0, 0, 0]
+    assert json.loads(next(registry.pushes(rows.limit(0), gone)))["deleted"][0]["path"] == "p"
 
 
 def test_serving(spark, tmp_path):
