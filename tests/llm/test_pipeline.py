@@ -146,6 +146,14 @@ def test_ids_repeat_and_lack(spark):
     assert len(left([(5, a), (5, " ".join(near)), (6, b)])) == 2
 
 
+def test_long_copies(spark):
+    long = " ".join(f"w{k % 7919}" for k in range(120_000))
+    docs = spark.createDataFrame([(i, t, "aa", "s", 1) for i, t in ((9, long), (4, long), (6, long + " more"), (7, "short text of its own words"))], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 7]
+    assert corpus_pipeline.cut_repeats(spark, docs.where("doc_id in (4, 6)"), "").where("doc_id = 6").first()["n_chars"] < 200
+
+
 def test_session_is_left_as_it_was(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the one", "aa", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long, root long")
     docs.withColumn("hash", docs["root"]).write.parquet(str(tmp_path / "documents.parquet"))
