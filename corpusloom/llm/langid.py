@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import lean, materialise, utf8
+from .shared import lean, made, materialise, remove_made, utf8
 
 SAMPLE = 600
 #: Landmarks of a language, and of all languages together.
@@ -146,6 +146,14 @@ def _landmarks(taken: DataFrame, n_languages: int, landmarks: int) -> np.ndarray
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Learn from docs, of each language at most ``sample`` documents."""
+    first = made()
+    try:
+        return _fit(docs, doc_id, text, lang, sample, landmarks, ridge)
+    finally:
+        remove_made(docs.sparkSession, first, made())
+
+
+def _fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int, landmarks: int, ridge: float) -> Model:
     taken = sampled(docs, doc_id=doc_id, text=text, lang=lang, sample=sample)
     counted = {r["lang"]: r["n"] for r in taken.groupBy("lang").agg(F.sum(_n_examples(F.col("text"))).alias("n")).collect()}
     languages = sorted(counted)
