@@ -11,6 +11,8 @@ holds one is not cut, since blanks before it are split in another way. With ``pl
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -119,6 +121,8 @@ class _Known:
 
 class Encoder:
     def __init__(self, path: str | None = None, name: str = "byte_bpe_50k.json", plain: bool = False):
+        # A task has one core; threads of the library would each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if path is None:
