@@ -724,12 +724,12 @@ def enrichment_run(spark, sf):
 
 @query("""WITH h AS (SELECT doc_id, sha256(text) || sha256(text || chr(0) || chr(0) || chr(0) || chr(1)) || sha256(text || chr(0) || chr(0) || chr(0) || chr(2)) || sha256(text || chr(0) || chr(0) || chr(0) || chr(3)) AS d FROM documents WHERE trim(text) <> ''),
   v AS (SELECT doc_id, list_transform(range(0, 64), lambda i: list_reduce(list_transform(range(1, 5), lambda k: strpos('0123456789abcdef', substr(d, i * 4 + k, 1)) - 1), lambda x, y: x * 16 + y) / 65536.0::DOUBLE) AS e FROM h)
-  SELECT doc_id, 64::BIGINT AS dim, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS first, round(e[64] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS last, round(list_sum(e) / sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS total FROM v""")
+  SELECT doc_id, 64::BIGINT AS dim, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 3) AS first, round(e[64] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 3) AS last, round(list_sum(e) / sqrt(list_sum(list_transform(e, lambda x: x * x))), 2) AS total FROM v""")
 def hash_embeddings(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", models.embed(F.col("text"), models.HashEmbedder(64)).alias("v")).where("v IS NOT NULL")
-    at = lambda i: F.round(F.element_at("v", i).cast("double"), 5)
+    at = lambda i: F.round(F.element_at("v", i).cast("double"), 3)
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return rows.select("doc_id", F.size("v").cast("long").alias("dim"), at(1).alias("first"), at(64).alias("last"), F.round(total, 4).alias("total"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("dim"), at(1).alias("first"), at(64).alias("last"), F.round(total, 2).alias("total"))
 
 
 # Clusters: labels of ``embeddings`` are clusters, ``documents`` of the same number their fragments.
