@@ -186,7 +186,7 @@ def _fit(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int, landma
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([name], pa.string()), pa.array([v.tobytes()], pa.binary())], ["block", "lang", "body"])
 
     schema = "block int, lang string, body binary"
-    found = taken.repartition(8, "lang", "k").mapInArrow(lean(sums), schema).repartition(8, "block", "lang").sortWithinPartitions("block", "lang", "body").mapInArrow(lean(add), schema).collect()
+    found = taken.repartition(8).mapInArrow(lean(sums), schema).repartition(8, "block", "lang").sortWithinPartitions("block", "lang", "body").mapInArrow(lean(add), schema).collect()
     left = np.concatenate([np.frombuffer(r["body"], float).reshape(-1, m) for r in sorted((r for r in found if r["lang"] is None), key=lambda r: r["block"])])
     of = {r["lang"]: np.frombuffer(r["body"], float) for r in found if r["lang"] is not None}
     own = np.array([of[name] for name in languages]).T
