@@ -155,7 +155,7 @@ def test_long_copies(spark):
 
 
 def test_session_is_left_as_it_was(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "the one", "aa", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long, root long")
+    docs = spark.createDataFrame([(1, "the one", "aa", "s", 5, 9)], "doc_id long, text string, lang string, source string, n_chars long, root long")
     docs.withColumn("hash", docs["root"]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

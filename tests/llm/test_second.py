@@ -222,7 +222,7 @@ def test_html_pairs_across_ranges(spark):
 
 def test_html_long_pages(spark):
     long = "word " * 200_000
-    rows = [(1, "http://h/1", f"<main><p>{long}</main>"), (2, "http://h/2", f"<div>{long}</div><div>Menu</div>"), (3, "http://h/3", "<div>Menu</div>" * 3000 + "<div>own</div>"), (None, "http://h/4", "<p>x")]
+    rows = [(1, "http://h/1", f"<main><p>{long}</main>"), (2, "http://h/x/2", f"<div>{long}</div><div>Menu</div>"), (3, "http://h/x/3", "<div>Menu</div>" * 3000 + "<div>own</div>"), (None, "http://h/4", "<p>x")]
     df = spark.createDataFrame([(*r, "a", 2) for r in rows], "page_id long, url string, html string, place string, part int")
     got = {r["page_id"]: (r["n_chars"], r["text"]) for r in html_extract.extract(df).collect()}
     assert got[1] == (len(long) - 1, long[:-1]) and got[2] == (len(long) - 1, long[:-1]) and got[3][1].endswith("own") and got[None] == (1, "x")
