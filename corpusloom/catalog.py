@@ -531,7 +531,9 @@ def cache_keys(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.cache_key(F.col("text"), F.col("item_id") % 2 == 0).alias("key"))
 
 
-@query("""SELECT d.item_id AS request, CASE WHEN d.item_id % 3 <> 0 AND d.item_id % 4 <> 0 THEN 'answer ' || d.item_id END AS answer FROM benchmark d""")
+@query("""WITH stored AS (SELECT substr(sha256(text || ':false'), 1, 32) AS k, CASE WHEN item_id % 4 = 0 THEN 'old' ELSE 'same' END AS sig, 'answer ' || item_id AS answer, TIMESTAMP '2024-02-01 00:00:00' - to_seconds(CASE WHEN item_id % 3 = 0 THEN 601 ELSE 600 END) AS created FROM benchmark),
+  live AS (SELECT k, sig, arg_max(answer, (created, answer)) AS answer FROM stored WHERE created >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 600 SECOND GROUP BY 1, 2)
+  SELECT item_id AS request, answer FROM benchmark LEFT JOIN live ON k = substr(sha256(text || ':false'), 1, 32) AND sig = 'same'""")
 def cache_lookup(spark, sf):
     rows = table(spark, sf, "benchmark")
     key = X.cache_key(F.col("text"), F.lit(False))
@@ -905,7 +907,10 @@ def split_values(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.split_csv(F.concat(F.lit("a, ,"), "source", F.lit(" ,"), "lang")), "|").alias("parts"))
 
 
-@query("SELECT source, 'data/' || source AS common FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("""WITH p AS (SELECT source, min(path) AS a, max(path) AS b, count(*) AS n FROM (SELECT source, 'data/' || source || '/' || doc_id || '/f.md' AS path FROM documents) GROUP BY 1),
+  s AS (SELECT source, string_split(a, '/') AS x, string_split(b, '/') AS y FROM p WHERE n > 1),
+  d AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(x), len(y))), lambda i: x[i] <> y[i])), least(len(x), len(y))) AS k FROM s)
+  SELECT source, array_to_string(x[1:k - 1], '/') AS common FROM d""")
 def common_directories(spark, sf):
     path = F.concat(F.lit("data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/f.md"))
     # What the least and the greatest path share is shared by all between.
@@ -913,16 +918,25 @@ def common_directories(spark, sf):
     return ends.select("source", F.when(F.col("source").isNotNull(), X.common_directory(F.array("least", "most"))).alias("common"))
 
 
-@query("""SELECT doc_id, NOT (doc_id % 6 IN (1, 2, 3, 4)) AS wanted FROM documents""")
+_FOLDERS = ("src", "node_modules", ".hidden", "lib", "img/deep", "a/build/b", "docs")
+_NAMES = ("a.py", "x.min.js", "LICENSE", "p.PNG", "_generated.go", "n.generated.ts", ".env", "README.md", "b.lock", "MAP.Map", "noext")
+_LISTED = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_LISTED(_FOLDERS)}[doc_id % {len(_FOLDERS)} + 1] || '/' || {_LISTED(_NAMES)}[doc_id % {len(_NAMES)} + 1] AS path, doc_id * 1500 AS size FROM documents),
+  p AS (SELECT *, string_split(path, '/') AS parts, parts[-1] AS name, lower(name) AS low FROM f)
+  SELECT doc_id, path, NOT (len(list_filter(parts[:-2], lambda d: list_contains({_LISTED(files.SKIPPED_FOLDERS)}, d) OR starts_with(d, '.'))) > 0 OR starts_with(name, '.') OR list_contains({_LISTED(files.SKIPPED_FILES)}, name)
+    OR len(list_filter({_LISTED(files.SKIPPED_ENDINGS)}, lambda e: ends_with(low, e))) > 0 OR contains(low, '.generated.') OR starts_with(low, '_generated') OR list_contains({_LISTED(files.BINARY)}, regexp_extract(low, '([.][^.]*)$', 1)) OR size > 1048576) AS wanted FROM p""")
 def scan_predicates(spark, sf):
-    name = F.element_at(F.array(F.lit("src/a.py"), F.lit("node_modules/x.js"), F.lit(".hidden/y.md"), F.lit("lib/z.min.js"), F.lit("img/p.PNG"), F.lit("docs/_idx.md")), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", files.wanted(name, F.lit(100)).alias("wanted"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(pick(_FOLDERS), F.lit("/"), pick(_NAMES)).alias("path"))
+    return rows.select("doc_id", "path", files.wanted(F.col("path"), F.col("doc_id") * 1500).alias("wanted"))
 
 
-@query("""SELECT source || '/' || doc_id || '.md' AS path, 'deleted' AS state FROM documents WHERE doc_id % 4 IN (2, 3) UNION ALL SELECT source || '/' || doc_id || '.md', 'changed' FROM documents WHERE doc_id % 4 IN (0, 1)
-  UNION ALL SELECT 'new/' || doc_id || '.md', 'changed' FROM documents WHERE doc_id % 4 = 3""")
+@query("""WITH r AS (SELECT ['A', 'M', 'D', 'R100', 'C75'][doc_id % 5 + 1] AS s, source || '/' || doc_id || '.md' AS p, 'new/' || doc_id || '.md' AS q FROM documents)
+  SELECT p AS path, CASE WHEN s[1] IN ('A', 'M') THEN 'changed' ELSE 'deleted' END AS state FROM r UNION SELECT q, 'changed' FROM r WHERE s[1] IN ('R', 'C')""")
 def git_name_status(spark, sf):
-    status = F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R100")), (F.col("doc_id") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("A", "M", "D", "R100", "C75"))), (F.col("doc_id") % 5 + 1).cast("int"))
     d = F.col("doc_id").cast("string")
     rows = table(spark, sf, "documents").select(status.alias("status"), F.concat("source", F.lit("/"), d, F.lit(".md")).alias("path"), F.concat(F.lit("new/"), d, F.lit(".md")).alias("new_path"))
     return files.name_status(rows)
