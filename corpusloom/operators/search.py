@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
 DIGITS = 6
-#: Query terms that are broadcast at most; beyond, postings are joined by a shuffle.
+#: Terms of all phrases of all queries that are broadcast at most; beyond, postings are joined by a shuffle.
 SENT_TERMS = 200_000
 
 
@@ -42,30 +42,52 @@ def source_filter(names: list[str] = (), types: list[str] = ()) -> Column:
 
 
 def _phrases(queries: DataFrame, query_id: str, query: str, tokenizer: Callable[[Column], Column]) -> DataFrame:
-    """query_id, p (the tokens of a query word), n_phrases: each different phrase of each query."""
+    """query_id, p (the tokens of a query word, joined by a space), n_phrases: each different phrase of each query."""
     words = queries.select(F.col(query_id).alias("query_id"), F.posexplode(query_words(F.col(query))).alias("n", "word"))
-    phrases = words.select("query_id", tokenizer(F.col("word")).alias("p")).where(F.size("p") > 0).distinct()
+    phrases = words.select("query_id", tokenizer(F.col("word")).alias("t")).where(F.size("t") > 0)
+    phrases = phrases.select("query_id", F.array_join("t", " ").alias("p")).distinct()
     return phrases.withColumn("n_phrases", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def _occurrences(held: DataFrame, each: DataFrame, few: bool) -> DataFrame:
+def _parts(phrases: DataFrame) -> DataFrame:
+    """p, n_terms, k, term: the terms of each different phrase by their places."""
+    each = phrases.select("p").distinct().withColumn("t", F.split("p", " "))
+    return each.select("p", F.size("t").alias("n_terms"), F.posexplode("t").alias("k", "term"))
+
+
+def _few(phrases: DataFrame) -> bool:
+    """Whether the phrases of all queries, and with them their terms and weights, may be broadcast."""
+    return (phrases.agg(F.sum(F.size(F.split("p", " ")))).first()[0] or 0) <= SENT_TERMS
+
+
+def _occurrences(held: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
     """The rows of held (doc_id, keep, dl, term, pos) by phrase p: doc_id, keep, dl, p, tf. A phrase begins where its first term stands and
-    each next term stands one further."""
-    parts = each.select("p", F.posexplode("p").alias("k", "term"))
-    starts = held.join(F.broadcast(parts) if few else parts, "term").select("doc_id", "keep", "dl", "p", (F.col("pos") - F.col("k")).alias("start"), "k")
-    whole = starts.groupBy("doc_id", "keep", "dl", "p", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size("p"))
-    return whole.groupBy("doc_id", "keep", "dl", "p").agg(F.count("*").alias("tf"))
+    each next term stands one further; a phrase of one term is counted by document where it is read."""
+    starts = held.join(F.broadcast(parts) if few else parts, "term")
+    starts = starts.select("doc_id", "keep", "dl", "p", "n_terms", F.when(F.col("n_terms") > 1, F.col("pos") - F.col("k")).alias("start"))
+    runs = starts.groupBy("doc_id", "keep", "dl", "p", "n_terms", "start").agg(F.count("*").alias("n"))
+    whole = F.when(F.col("n_terms") == 1, F.col("n")).when(F.col("n") == F.col("n_terms"), 1)
+    return runs.groupBy("doc_id", "keep", "dl", "p").agg(F.sum(whole).alias("tf")).where("tf is not null")
 
 
 def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bool) -> DataFrame:
-    """query_id, doc_id, score, rank from occurrences of phrases and total (one row: n_docs, avgdl)."""
+    """query_id, doc_id, score, rank from occurrences of phrases and total (one row: n_docs, avgdl).
+
+    A document must hold all phrases, so only documents with a query's rarest one are looked at: what is joined grows with the
+    rarest lists, not with queries times documents. Queries with a phrase that stands nowhere go at once."""
+    send = F.broadcast if few else (lambda df: df)
     df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = phrases.join(df, "p").crossJoin(F.broadcast(total)).select("query_id", "p", "n_phrases", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    hits = tf.where("keep").join(F.broadcast(weights) if few else weights, "p")
+    of_query = Window.partitionBy("query_id")
+    weights = phrases.join(df, "p").crossJoin(F.broadcast(total))
+    weights = weights.withColumn("n", F.count("*").over(of_query)).withColumn("nth", F.row_number().over(of_query.orderBy("df", "p"))).where("n = n_phrases")
+    weights = weights.select("query_id", "p", "n_phrases", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "nth")
+    by_doc = tf.where("keep").groupBy("doc_id", "dl").agg(F.collect_list(F.struct("p", "tf")).alias("held"))
+    led = by_doc.withColumn("p", F.explode("held.p")).join(send(weights.where("nth = 1").select("query_id", "p")), "p")
+    hits = led.select("query_id", "doc_id", "dl", F.inline("held")).join(send(weights), ["query_id", "p"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id", "n_phrases").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("n"))
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    by = of_query.orderBy(F.col("score").desc(), "doc_id")
     scored = scored.where(F.col("n") == F.col("n_phrases")).withColumn("rank", F.row_number().over(by).cast("long"))
     return scored.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
@@ -75,16 +97,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
 
     A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
     beside others. Only postings of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
-    those of all documents. ``tokenizer`` makes tokens of texts and query words (``stem.tokens`` for stems)."""
+    those of all documents. ``tokenizer`` makes tokens, without spaces, of texts and query words (``stem.tokens`` for stems)."""
     phrases = _phrases(queries, query_id, query, tokenizer)
-    each = phrases.select("p").distinct()
-    terms = each.select(F.explode("p").alias("term")).distinct()
-    few = terms.count() <= SENT_TERMS
+    few, parts = _few(phrases), _parts(phrases)
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
     total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
     placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    held = placed.join(F.broadcast(terms) if few else terms, "term")
-    return _ranked(_occurrences(held, each, few), phrases, total, k, few)
+    return _ranked(_occurrences(placed, parts, few), phrases, total, k, few)
 
 
 class Stored:
@@ -122,17 +141,16 @@ class Stored:
     def search(self, queries: DataFrame, k: int, *, query_id: str = "query_id", query: str = "query", keep: DataFrame | None = None) -> DataFrame:
         """As ``bm25`` over the indexed documents; keep: the doc_id of those that may be found."""
         phrases = _phrases(queries, query_id, query, self.tokenizer)
-        each = phrases.select("p").distinct()
-        terms = each.select(F.explode("p").alias("term")).distinct()
-        few = terms.count() <= SENT_TERMS
+        few, parts = _few(phrases), _parts(phrases)
+        terms = parts.select("term").distinct()
         wanted = terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
         held = self.store.read(self.postings).join(F.broadcast(wanted) if few else wanted, ["bucket", "term"])
         if keep is None:
             held = held.withColumn("keep", F.lit(True))
         else:
             held = held.join(keep.select("doc_id").distinct().withColumn("keep", F.lit(True)), "doc_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
-        one = each.where(F.size("p") == 1).select("p", F.col("p")[0].alias("term"))
-        more = each.where(F.size("p") > 1)
+        one = parts.where("n_terms = 1").select("p", "term")
+        more = parts.where("n_terms > 1")
         counted = held.join(F.broadcast(one) if few else one, "term").select("doc_id", "keep", "dl", "p", "tf")
         placed = held.select("doc_id", "keep", "dl", "term", F.explode("positions").alias("pos"))
         tf = counted.unionByName(_occurrences(placed, more, few))
