@@ -93,6 +93,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +113,7 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_suffix_array_dedup,
         op10_packing,
+        op12_byte_bpe,
     )
 }
 
