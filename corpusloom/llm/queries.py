@@ -93,6 +93,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), end_id=1)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+
+    chats = _table(spark, sf_dir, "conversations")
+    found = repair.digests(repair.repair(repair.damage(chats))).withColumnRenamed("conv_id", "c")
+    every = chats.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    columns = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    return every.select("conv_id", *(F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in columns))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -113,6 +124,7 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_suffix_array_dedup,
         op10_packing,
+        op11_conversation_repair,
         op12_byte_bpe,
     )
 }
@@ -161,6 +173,31 @@ links AS (SELECT a, b FROM pairs WHERE 100 * o >= 90 * (na + nb - o)),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
 SELECT doc_id, len(t) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id FROM s LEFT JOIN least ON doc_id = a""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind FROM k, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM f WHERE kind <> 0)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+x AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM r),
+follows(a, initial, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+inserted(a, b, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']),
+  (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+edit AS (SELECT conv_id, i, a, b, CASE WHEN fault IS NULL THEN 0 ELSE 3 END AS cost, 'K' AS letter, [role || ':' || text] AS lines FROM x JOIN follows ON initial = substr(role, 1, 1) WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv_id, i, a, b, CASE WHEN fault IS NULL THEN 3 ELSE 6 END, 'R', [CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text] FROM x JOIN follows ON initial <> 's' WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv_id, i, a, a, 4, 'D', [] FROM x, (SELECT unnest(range(4)) AS a)),
+best AS (SELECT conv_id, 0::BIGINT AS i, b AS state, struct_pack(cost := cost::BIGINT, audit := audit, lines := lines) AS e FROM (SELECT DISTINCT conv_id FROM x), inserted WHERE a = 0
+  UNION ALL SELECT conv_id, i, state, min(e) FROM (
+    SELECT best.conv_id, edit.i, inserted.b AS state, struct_pack(cost := best.e.cost + edit.cost + inserted.cost, audit := best.e.audit || letter || inserted.audit, lines := best.e.lines || edit.lines || inserted.lines) AS e
+    FROM best JOIN edit ON best.conv_id IS NOT DISTINCT FROM edit.conv_id AND edit.i = best.i + 1 AND edit.a = best.state JOIN inserted ON inserted.a = edit.b) GROUP BY ALL),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY 1),
+done AS (SELECT n.*, (SELECT min(e) FROM best WHERE best.conv_id IS NOT DISTINCT FROM n.conv_id AND best.i = n.n AND state IN (0, 3)) AS e FROM n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.cost, 0) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id""",
     "op7_html_extraction": r"""
 WITH m AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'),
   '</?(?:address|article|blockquote|dd|div|dl|dt|figcaption|figure|h1|h2|h3|h4|h5|h6|hr|li|main|ol|p|pre|section|table|td|th|tr|ul)(?:\s[^>]*)?>') AS b FROM pages),

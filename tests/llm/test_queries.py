@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_ngram_jaccard": "doc_id n_shingles component_id",
     "op9_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_packing": "doc_id source start length ids_crc32 doc_tokens sequence_id offset",
+    "op11_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op12_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 

@@ -1,13 +1,16 @@
 """Byte-level BPE and conversation repair against the library and brute force."""
 
 import hashlib
+import itertools
 import os
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import bpe, queries
+from corpusloom.llm import bpe, queries, repair
 
 DATA = "/root/testdata/sf0.001"
 
@@ -97,3 +100,165 @@ def test_op12_whole_table(spark, library):
         r = found[d["doc_id"]]
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+
+
+BLANK = " \t\n\x0b\f\r"
+
+
+def brute(rows):
+    """One conversation's report from rows (turn, role, text), by trying edits turn by turn over the roles said so far."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        end = text.rstrip(BLANK)
+        faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else "")
+        seen.add((role, text))
+    # What has been said decides what may follow: nothing, s, ..u or ..a.
+    says = lambda state, role: {"s": {"": "s"}, "u": {"": "u", "s": "u", "a": "u"}, "a": {"u": "a"}}.get(role, {}).get(state)
+
+    def inserted(states):
+        out = dict(states)
+        for _ in range(3):
+            for state, (cost, audit, said) in list(out.items()):
+                for role in ("user", "assistant"):
+                    then = says(state, role[0])
+                    if then is not None:
+                        new = (cost + 3, audit + "I", [*said, f"{role}:"])
+                        if then not in out or new[:2] < out[then][:2]:
+                            out[then] = new
+        return out
+
+    states = inserted({"": (0, "", [])})
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        out = {}
+        for state, (cost, audit, said) in states.items():
+            options = [(state, 4, "D", [])]
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                options.append((says(state, role[:1]), more, "K", [f"{role}:{text}"]))
+                options += [(says(state, r[0]), 3 + more, "R", [f"{r}:{text}"]) for r in ("user", "assistant")]
+            for then, c, letter, line in options:
+                new = (cost + c, audit + letter, said + line)
+                if then is not None and (then not in out or new[:2] < out[then][:2]):
+                    out[then] = new
+        states = inserted(out)
+    cost, audit, said = min((states[s] for s in ("", "a") if s in states), key=lambda x: x[:2])
+    turns = [t for t, *_ in rows if t is not None]
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
+def damaged(rows):
+    space = lambda x: " " if x is None else x
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = space(role), space(text)
+        kind = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        if kind:
+            row = (conv, turn, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+            out += [row] * (2 if kind == 3 else 1)
+    return out
+
+
+COLUMNS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def reports(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, audit string, c int")
+    out = repair.digests(repair.repair(frame)).collect()
+    return {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in out}
+
+
+def by_conversation(rows):
+    out = {}
+    for conv, *row in rows:
+        out.setdefault(conv, []).append(tuple(row))
+    return out
+
+
+def some_rows(seed, sizes):
+    rnd, rows = random.Random(seed), []
+    for conv, n in enumerate(sizes):
+        for k in range(n):
+            turn = None if rnd.random() < 0.1 else k if rnd.random() < 0.8 else rnd.randrange(n + 3)
+            role = rnd.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "unknown", "é"])
+            text = rnd.choice(["Yes.", "Yes.", "no", f"t{rnd.randrange(9)}!", f"long {k}? \n", " ", "", None, "\x0b.", "\u00a0", f"x{k}."])
+            rows.append((conv or None, turn, role, text))
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_every_edit_of_few_turns():
+    """The products against all audits of up to three turns."""
+    legal = re.compile("(s?(ua)+)?")
+    for n in range(4):
+        for symbols in itertools.product("suaoSUAOx", repeat=n):
+            best = None
+            choices = [["D"] if s == "x" else ["D", "Ru", "Ra"] + ([f"K{s.lower()}"] if s.lower() in "sua" else []) for s in symbols]
+            gaps = ["", "u", "a", "ua", "au"]
+            for edits in itertools.product(*choices):
+                for ins in itertools.product(gaps, repeat=n + 1):
+                    said = ins[0] + "".join(e[1:] + i for e, i in zip(edits, ins[1:], strict=True))
+                    if legal.fullmatch(said):
+                        cost = sum({"D": 4, "R": 3, "K": 0}[e[0]] + (3 if e != "D" and s.isupper() else 0) for e, s in zip(edits, symbols, strict=True)) + 3 * sum(map(len, ins))
+                        audit = "I" * len(ins[0]) + "".join(e[0] + "I" * len(i) for e, i in zip(edits, ins[1:], strict=True))
+                        best = min(best or (cost, audit), (cost, audit))
+            assert repair.cheapest(repair.fold("".join(symbols))) == best
+
+
+def test_products_do_not_depend_on_the_tree():
+    rnd = random.Random(3)
+    for _ in range(200):
+        symbols = "".join(rnd.choice("suaoSUAOx") for _ in range(rnd.randrange(1, 40)))
+        steps = [repair.turn_matrix(s) for s in symbols]
+        left = repair.ONE
+        for m in steps:
+            left = repair.times(left, m)
+        right = repair.ONE
+        for m in reversed(steps):
+            right = repair.times(m, right)
+        assert left == right == repair.fold(symbols) == repair.product(steps)
+
+
+def test_repair_against_brute_force(spark):
+    rows = some_rows(1, [random.Random(2).randrange(1, 14) for _ in range(150)])
+    wanted = {conv: brute(its) for conv, its in by_conversation(rows).items()}
+    assert reports(spark, rows) == wanted
+
+
+def test_repair_of_long_conversations(spark, monkeypatch):
+    """Small blocks, few to a product: many blocks and several rounds, over partitions too."""
+    monkeypatch.setattr(repair, "FAN", 2)
+    rows = some_rows(4, [600, 3, 90, 1, 250])
+    wanted = {conv: brute(its) for conv, its in by_conversation(rows).items()}
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        repaired = repair.repair(frame, most=7, size=200)
+        assert repaired.parts.count() > 30
+        found = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in repair.digests(repaired).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert found == wanted
+
+
+def test_repair_of_hot_and_odd_rows(spark):
+    rows = [(1, 5, "user", "Same.")] * 300 + [(1, k, "user", "Same.") for k in range(300)] + [(2, None, None, None)] * 3 + [(3, 2**40, "user", "x" * 3_000_000 + "."), (3, -(2**40), "assistant", "b.")]
+    wanted = {conv: brute(its) for conv, its in by_conversation(rows).items()}
+    assert reports(spark, rows) == wanted
+    assert reports(spark, []) == {}
+
+
+def test_damage_and_query(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice([None, *range(6)]), rnd.choice(["user", "assistant", "system", None]), rnd.choice(["A. b? c!", "d", None, ""])) for _ in range(600)] + [(77, 3, "user", "x.")]
+    gone = next(k for k in range(1000, 2000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
+    rows.append((gone, 0, "user", "dropped."))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in queries.QUERIES["op11_conversation_repair"](spark, str(tmp_path)).collect()}
+    its = by_conversation(damaged(rows))
+    wanted = {conv: brute(its[conv]) if conv in its else (0,) * 6 + ("", hashlib.sha256(b"").hexdigest()) for conv in by_conversation(rows)}
+    assert gone not in its and found == wanted
