@@ -41,12 +41,16 @@ def content(enriched: str = "enriched_content", raw: str = "raw_content") -> Col
 
 def fragments(spark: SparkSession, sf_dir: str, *, labels: bool = True) -> DataFrame:
     """``documents`` as fragments, one to a document; confidence_adj from ``labels``."""
-    docs = table(spark, sf_dir, "documents")
+    return fragments_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels") if labels else None)
+
+
+def fragments_of(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The same of given tables; without labels confidence_adj is 0."""
     ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ext)
     docs = docs.select("doc_id", "text", "lang", "source", ext.alias("file_type"), path.alias("source_path"))
-    if labels:
-        adj = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") * 0.1 - F.max("toxic") * 0.2).alias("adj"))
+    if labels is not None:
+        adj = labels.groupBy("doc_id").agg((F.max("quality") * 0.1 - F.max("toxic") * 0.2).alias("adj"))
         docs = docs.join(adj, "doc_id", "left")
     return docs.select(
         "doc_id",
@@ -59,7 +63,7 @@ def fragments(spark: SparkSession, sf_dir: str, *, labels: bool = True) -> DataF
         F.col("lang").alias("author"),
         "file_type",
         F.sha2("text", 256).alias("checksum"),
-        (F.coalesce("adj", F.lit(0.0)) if labels else F.lit(0.0)).alias("confidence_adj"),
+        (F.coalesce("adj", F.lit(0.0)) if labels is not None else F.lit(0.0)).alias("confidence_adj"),
     )
 
 

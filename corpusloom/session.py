@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -26,3 +28,21 @@ def ship(spark: SparkSession) -> SparkSession:
                         out.write(full, os.path.relpath(full, os.path.dirname(root)))
         spark.sparkContext.addPyFile(path)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset in a single process, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        found = _folders[app]
+    return found.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
