@@ -13,9 +13,11 @@ from .functions import text as X
 from .functions import trust
 from .operators import cluster, evaluate, fusion, search, storage, vector
 from .plans import cache as answers
-from .plans import enrichment, evaluation
+from .plans import corpus, enrichment, evaluation
 from .plans import query as plans
+from .plans.store import Store
 from .schema import FRAGMENTS_SQL, fragment_id, fragments, table
+from .session import fresh_folder
 from .sources import chunking, files, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -965,3 +967,40 @@ def debounced_changes(spark, sf):
     from .streaming import ingest as streams
 
     return streams.debounced(table(spark, sf, "events"), "user_id", "ts", quiet="1 hour")
+
+
+# Stored tables.
+
+
+@query("""SELECT doc_id, b AS version, n_chars FROM documents, range(12) AS t(b) WHERE (doc_id + 7 * b) % 5 = 0 OR (doc_id + 3 * b) % 11 = 0
+  QUALIFY b = max(b) OVER (PARTITION BY doc_id) AND (doc_id + 7 * b) % 5 = 0""")
+def stored_changes(spark, sf):
+    """Batches of upserts and deletions of documents in a stored table, compacted on the way: the last word on each document stands."""
+    store, docs = Store(spark, fresh_folder(spark, "stored")), table(spark, sf, "documents")
+    for b in range(12):
+        rows = docs.where((F.col("doc_id") + 7 * b) % 5 == 0).select("doc_id", F.lit(b).cast("long").alias("version"), "n_chars")
+        store.change("documents", rows, ["doc_id"], docs.where((F.col("doc_id") + 3 * b) % 11 == 0))
+        if b == 6:
+            store.compact("documents")
+    return store.read("documents")
+
+
+class _Scan:
+    """A source whose documents are given."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def scan(self, spark: SparkSession) -> DataFrame:
+        return self.rows
+
+
+@query(f"""WITH {FRAGMENTS_SQL} SELECT DISTINCT source_path, content_date, author, {trust.freshness_sql('content_date', 'file_type')} AS freshness, {trust.consistency_sql('confidence_adj')} AS consistency,
+  {trust.authority_sql('file_type')} AS authority FROM fragments WHERE source_path IS NOT NULL""")
+def stored_trust(spark, sf):
+    """Trust of documents by what a store has kept of them: their own dates, authors and adjustments."""
+    store = Store(spark, fresh_folder(spark, "corpus"))
+    corpus.ingest(store, _Scan(fragments(spark, sf).where("source_path IS NOT NULL")), models.HashEmbedder(8), trust.AS_OF)
+    rows = corpus.searchable(store).withColumn("freshness", trust.freshness(F.col("content_date"), F.col("ingested_at"), F.col("file_type")))
+    rows = rows.withColumn("consistency", trust.consistency(F.col("confidence_adj"))).withColumn("authority", trust.authority(F.col("file_type")))
+    return rows.select("source_path", "content_date", "author", "freshness", "consistency", "authority").distinct()

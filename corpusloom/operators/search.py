@@ -125,8 +125,8 @@ class Stored:
         if self.store.exists(self.lengths):
             return False
         rows, lengths = self._cut(docs, doc_id, text)
-        self.store.write(self.postings, rows.repartition("bucket").sortWithinPartitions("term", "doc_id"), by="bucket")
-        self.store.write(self.lengths, lengths)
+        self.store.write(self.postings, rows.repartition("bucket").sortWithinPartitions("term", "doc_id"), by="bucket", key=["doc_id"])
+        self.store.write(self.lengths, lengths, key=["doc_id"])
         return True
 
     def update(self, changed: DataFrame, deleted: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -134,9 +134,8 @@ class Stored:
         rows, lengths = self._cut(changed, doc_id, text)
         gone = changed.select(F.col(doc_id).alias("doc_id"))
         gone = (gone if deleted is None else gone.unionByName(deleted.select("doc_id"))).distinct()
-        left = self.store.read(self.postings).join(gone, "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
-        self.store.write(self.postings, left.repartition("bucket").sortWithinPartitions("term", "doc_id"), by="bucket")
-        self.store.write(self.lengths, self.store.read(self.lengths).join(gone, "doc_id", "left_anti").select("doc_id", "dl").unionByName(lengths))
+        self.store.change(self.postings, rows.repartition("bucket").sortWithinPartitions("term", "doc_id"), ["doc_id"], gone)
+        self.store.change(self.lengths, lengths, ["doc_id"], gone)
 
     def search(self, queries: DataFrame, k: int, *, query_id: str = "query_id", query: str = "query", keep: DataFrame | None = None) -> DataFrame:
         """As ``bm25`` over the indexed documents; keep: the doc_id of those that may be found."""

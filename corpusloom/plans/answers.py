@@ -49,11 +49,10 @@ class Cache:
         self.puts += 1
         new = self.store.spark.createDataFrame([(key, query, concise, sig, answer, int(now))], "cache_key string, query_text string, concise boolean, fragment_sigs string, answer_json string, at long")
         new = new.withColumn("created_at", F.timestamp_seconds("at")).drop("at")
-        if self.store.exists(TABLE):
-            old = self.store.read(TABLE).where(F.col("cache_key") != key)
-            old = old.where(F.unix_seconds("created_at") >= now - caches.PRUNE) if self.puts % 10 == 0 else old
-            new = old.select(*new.columns).unionByName(new)
-        self.store.write(TABLE, new)
+        old = None
+        if self.puts % 10 == 0 and self.store.exists(TABLE):
+            old = self.store.read(TABLE).where(F.unix_seconds("created_at") < now - caches.PRUNE).select("cache_key")
+        self.store.change(TABLE, new, ["cache_key"], old)
 
 
 class Engine:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import models, trust
 from ..functions.text import first_bytes
 from ..operators import storage
 from ..schema import content
-from ..sources import chunking, registry
+from ..sources import chunking, messages, pdf, registry
 from . import enrichment
 from . import query as plans
 from .store import Store
 
 FRAGMENTS, REGISTRY = "fragments", "sources"
 ENRICHED = ("enriched_content", "enrichment_model", "enrichment_version")
+#: A document: what a changed one replaces.
+DOCUMENT = ("source_type", "source_name", "source_path")
+#: What a fragment keeps of its document, where that has it.
+KEPT = {"content_date": "timestamp", "author": "string", "source_uri": "string", "confidence_adj": "double"}
 
 
 def ingest(store: Store, source: registry.Connector, embedder: models.Embedder, as_of: str) -> tuple[int, int]:
@@ -32,24 +38,52 @@ def ingest(store: Store, source: registry.Connector, embedder: models.Embedder,
     changed, deleted = registry.incremental(spark, source, known)
     rows = fragments_of(changed, embedder, as_of)
     n_changed, n_deleted = changed.count(), deleted.count()
-    if have and n_changed + n_deleted:
-        gone = stored.join(deleted, "source_path", "left_semi").select("source_type", "source_name", "source_path").distinct()
-        store.update(FRAGMENTS, lambda t: storage.replace_paths(fitted(storage.delete_paths(t, gone), rows), rows))
-    elif not have:
-        store.write(FRAGMENTS, rows)
+    if n_changed + n_deleted or not have:
+        # A changed document without a chunk left goes as one that is gone.
+        gone = changed.select(*DOCUMENT)
+        gone = gone.unionByName(stored.join(deleted, "source_path", "left_semi").select(*DOCUMENT)) if have else gone
+        store.change(FRAGMENTS, rows, DOCUMENT, gone)
     new = names.select("source_type", "source_name", F.lit("").alias("description"), F.create_map(F.lit("at"), F.lit(as_of)).alias("config"))
-    store.write(REGISTRY, storage.register(store.read(REGISTRY), new) if store.exists(REGISTRY) else new)
+    if store.exists(REGISTRY):
+        store.update(REGISTRY, lambda t: storage.register(t, new))
+    else:
+        store.write(REGISTRY, new)
     return n_changed, n_deleted
 
 
 def fragments_of(documents: DataFrame, embedder: models.Embedder, as_of: str) -> DataFrame:
-    """The stored fragments of documents: chunked and embedded, not enriched yet."""
-    rows = chunking.to_fragments(documents).drop("metadata").withColumn("idx", F.col("idx").cast("long"))
+    """The stored fragments of documents: chunked and embedded, not enriched yet. They keep their document's date, author, address and
+    adjustment (KEPT); a PDF file's own date goes before that of its source."""
+    for name, kind in KEPT.items():
+        documents = documents.withColumn(name, F.col(name).cast(kind) if name in documents.columns else F.lit(None).cast(kind))
+    rows = chunking.to_fragments(pdf_dated(documents), keep=(*KEPT,)).drop("metadata").withColumn("idx", F.col("idx").cast("long"))
     for name in ENRICHED:
         rows = rows.withColumn(name, F.lit(None).cast("string"))
     return rows.withColumn("embedding", models.embed(F.col("raw_content"), embedder)).withColumn("ingested_at", F.lit(as_of).cast("timestamp"))
 
 
+def pdf_dated(documents: DataFrame) -> DataFrame:
+    """documents with content_date as PDF files state it; others, and files that state none, keep theirs."""
+    is_pdf = F.lower("source_path").endswith(".pdf")
+    if "binary" not in documents.schema["raw_content"].dataType.simpleString():
+        return documents
+
+    def stamps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    found.append(pdf.stamp(data or b""))
+                except (ValueError, KeyError, TypeError, IndexError, AttributeError):  # no file that can be read
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["row", "stamp"])
+
+    files = documents.where(is_pdf).select(F.struct("*").alias("row"), F.col("raw_content").alias("data"))
+    stamped = files.mapInArrow(stamps, T.StructType([files.schema["row"], T.StructField("stamp", T.StringType())]))
+    dated = stamped.select("row.*", messages.pdf_time(F.col("stamp")).alias("own")).withColumn("content_date", F.coalesce("own", "content_date")).drop("own")
+    return documents.where(~F.coalesce(is_pdf, F.lit(False))).unionByName(dated)
+
+
 def fitted(table: DataFrame, like: DataFrame) -> DataFrame:
     """table with the columns of another; those that it lacks are null."""
     return table.select(*(F.col(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema))
@@ -60,7 +94,7 @@ def enrich(store: Store, model: Callable[[str], str | None], name: str, embedder
     table = store.read(FRAGMENTS)
     n = enrichment.stale(table, name, version).count()
     if n:
-        store.write(FRAGMENTS, enrichment.again(table, model, name, embedder, version=version))
+        store.update(FRAGMENTS, lambda t: enrichment.again(t, model, name, embedder, version=version))
     return n
 
 
@@ -77,7 +111,9 @@ def search(store: Store, texts: list[str], embedder: models.Embedder, limit: int
 def searchable(store: Store) -> DataFrame:
     """The stored fragments with the columns that retrieval and trust need."""
     rows = store.read(FRAGMENTS).withColumn("doc_id", F.xxhash64("id"))
-    return rows.withColumn("content_date", F.col("ingested_at")).withColumn("confidence_adj", F.lit(0.0))
+    for name, kind in KEPT.items():  # tables of before these were kept
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    return rows.withColumn("confidence_adj", F.coalesce("confidence_adj", F.lit(0.0)))
 
 
 def overview(store: Store) -> DataFrame:

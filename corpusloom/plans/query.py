@@ -83,10 +83,11 @@ def expanded(queries: DataFrame, hints: DataFrame, model: Callable[[str], str],
 def trusted(ranked: DataFrame, fragments: DataFrame, as_of: str = trust.AS_OF) -> DataFrame:
     """ranked with the fragment's columns and its trust; corroboration is shared by the results of a query."""
     keep = ["doc_id", "id", "source_name", "source_path", "file_type", "content_date", "confidence_adj", "raw_content"]
-    rows = ranked.join(fragments.select(*keep), "doc_id")
+    taken = F.col("ingested_at") if "ingested_at" in fragments.columns else F.lit(None).cast("timestamp")
+    rows = ranked.join(fragments.select(*keep, taken.alias("ingested_at")), "doc_id")
     rows = rows.withColumn("n_sources", F.size(F.collect_set("source_name").over(Window.partitionBy("query_id"))))
-    fresh = trust.freshness(F.col("content_date"), F.lit(None).cast("timestamp"), F.col("file_type"), as_of)
-    rows = rows.withColumn("freshness", fresh).withColumn("corroboration", trust.corroboration(F.col("n_sources")))
+    fresh = trust.freshness(F.col("content_date"), F.col("ingested_at"), F.col("file_type"), as_of)
+    rows = rows.withColumn("freshness", fresh).drop("ingested_at").withColumn("corroboration", trust.corroboration(F.col("n_sources")))
     rows = rows.withColumn("consistency", trust.consistency(F.col("confidence_adj"))).withColumn("authority", trust.authority(F.col("file_type")))
     return rows.withColumn("overall", trust.overall(*map(F.col, ("freshness", "corroboration", "consistency", "authority"))))
 

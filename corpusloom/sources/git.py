@@ -159,3 +159,14 @@ def log(spark: SparkSession, folder: str, run: Callable[..., str] = _git) -> Dat
             rows.append((line, when, who))
     parsed = spark.createDataFrame(rows, "path string, at string, author string").select("path", F.to_timestamp("at").alias("date"), "author")
     return files.git_log(parsed)
+
+
+def dated(spark: SparkSession, documents: DataFrame, folder: str, run: Callable[..., str] = _git) -> DataFrame:
+    """documents of a work tree with the date and author of each file's last change; files that no commit has keep their own date."""
+    try:
+        changes = log(spark, folder, run)
+    except subprocess.CalledProcessError:  # no commit yet
+        return documents.withColumn("author", F.lit(None).cast("string"))
+    changes = changes.select(F.col("path").alias("source_path"), "date", F.col("author").alias("by"))
+    out = documents.join(changes, "source_path", "left").withColumn("content_date", F.coalesce("date", "content_date"))
+    return out.withColumn("author", F.col("by")).drop("date", "by")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -26,7 +27,8 @@ class Folder:
         self.root, self.name = root, name
 
     def scan(self, spark: SparkSession) -> DataFrame:
-        return files.scan(spark, self.root, self.name)
+        rows = files.scan(spark, self.root, self.name)
+        return git.dated(spark, rows, self.root) if os.path.isdir(os.path.join(self.root, ".git")) else rows
 
 
 class Table:

@@ -22,10 +22,7 @@ def ingest(changes: DataFrame, store: Store, name: str, checkpoint: str, key: st
     def apply(batch: DataFrame, number: int) -> None:
         rows = batch.where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
         gone = batch.where(F.coalesce("deleted", F.lit(False))).select(key).distinct()
-        if store.exists(name):
-            store.update(name, lambda t: storage.upsert(t, rows.join(gone, key, "left_anti"), key).join(gone, key, "left_anti"))
-        else:
-            store.write(name, storage.upsert(rows.limit(0), rows.join(gone, key, "left_anti"), key))
+        store.change(name, storage.upsert(rows.limit(0), rows.join(gone, key, "left_anti"), key), [key], gone)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,10 +46,7 @@ def ingest_documents(documents: DataFrame, store: Store, embedder: models.Embedd
 
     def apply(batch: DataFrame, number: int) -> None:
         rows = corpus.fragments_of(batch, embedder, as_of)
-        if store.exists(name):
-            store.update(name, lambda t: storage.replace_paths(corpus.fitted(t, rows), rows))
-        else:
-            store.write(name, rows)
+        store.change(name, rows, corpus.DOCUMENT, batch.select(*corpus.DOCUMENT))
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -35,7 +35,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL = {
     "job1_refresh_fragments": rf"""
 WITH d AS (SELECT coalesce(doc_id::VARCHAR, 'sha256:' || sha256(coalesce(text, ''))) AS key, doc_id, source, sha256(coalesce(text, '')) AS checksum,
-    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents QUALIFY row_number() OVER (PARTITION BY key ORDER BY checksum DESC, doc_id DESC, source DESC) = 1),
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents QUALIFY row_number() OVER (PARTITION BY key ORDER BY checksum DESC, coalesce(source, '') DESC) = 1),
 p AS (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, ceil((len(w) - {_C1["overlap_words"]}) / {_STEP}))::BIGINT END)) AS passage_no FROM d)
 SELECT doc_id, source, passage_no, substr(sha256('documents:' || coalesce(source, '') || '/' || key || ':' || passage_no), 1, 16) AS fragment_id,
   array_to_string(w[passage_no * {_STEP} + 1:passage_no * {_STEP} + {_C1["passage_words"]}], ' ') AS content, len(w[passage_no * {_STEP} + 1:passage_no * {_STEP} + {_C1["passage_words"]}]) AS n_tokens, checksum FROM p""",

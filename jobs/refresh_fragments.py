@@ -12,7 +12,7 @@ written with Spark's overwrite to the folder of its number, and compared with ea
 again gives the same files. Output and checkpoint belong together: a new checkpoint needs a new output.
 
 Nulls: a document without doc_id is known by its text's checksum; a null text has no words; a null source is an empty one in paths.
-Rows of one doc_id in a batch: the one of the newest file, of the last path, of the largest checksum stays. Texts of any length are taken
+Rows of one doc_id in a batch: the one of the newest file, of the last path, of the largest checksum and source stays. Texts of any length are taken
 whole. Other columns are ignored. An empty folder gives no rows.
 """
 
@@ -71,16 +71,12 @@ def cut(documents: DataFrame, config: dict) -> DataFrame:
     return documents.withColumn("passages", whole)
 
 
-def newest(batch: DataFrame) -> DataFrame:
-    """key, doc_id, source, checksum, text of the last row of each document of a batch."""
+def keyed(batch: DataFrame) -> DataFrame:
+    """The rows of a batch with key, checksum and ``place``, by which one row of a document is newer than another."""
     text = F.coalesce("text", F.lit(""))
-    rows = batch.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("sha256:"), F.sha2(text, 256))).alias("key"),
-        F.struct(
-            F.col("file_time"), F.col("file_path"), F.sha2(text, 256).alias("checksum"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text")
-        ).alias("row"),
-    )
-    return rows.groupBy("key").agg(F.max("row").alias("row")).select("key", "row.doc_id", "row.source", "row.checksum", "row.text")
+    rows = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), F.sha2(text, 256).alias("checksum"), "file_time", "file_path")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("sha256:"), "checksum"))
+    return rows.withColumn("key", key).withColumn("place", F.struct("file_time", "file_path", "checksum", F.coalesce("source", F.lit("")).alias("source"))).drop("file_time", "file_path")
 
 
 def stored(spark: SparkSession, output: str) -> DataFrame:
@@ -109,16 +105,18 @@ def current(spark: SparkSession, output: str) -> DataFrame:
 def take(batch: DataFrame, number: int, output: str, config: dict) -> None:
     """Write what is new or changed in a batch, as batch ``number``."""
     spark = batch.sparkSession
-    rows = newest(batch)
-    # Of what is stored only the documents of this batch are looked at, and of those no texts.
+    rows = keyed(batch)
+    # What changed is found without texts; then those that changed are fetched, once for each document.
+    newest = rows.groupBy("key").agg(F.max("place").alias("place")).select("key", "place", "place.checksum")
     earlier = stored(spark, output).where(F.col("batch") < number).select("key", "batch", "checksum")
-    known = versions(earlier.join(rows.select("key"), "key", "left_semi")).select("key", "checksum")
-    changed = storage.changes(rows, known, path="key").where("state = 'changed'").select("key")
-    changed = cut(rows.join(changed, "key", "left_semi"), config).drop("text")
+    known = versions(earlier.join(newest, "key", "left_semi")).select("key", "checksum")
+    changed = newest.join(storage.changes(newest, known, path="key").where("state = 'changed'"), "key", "left_semi").select("key", "place")
+    changed = cut(rows.join(changed, ["key", "place"], "left_semi").dropDuplicates(["key", "place"]), config)
+    changed = changed.select("key", "doc_id", "source", "checksum", "passages")
     to = f"{output}/batch={number}"
     # Rebalancing keeps a source's rows together, and cuts a large source into several tasks.
-    keyed = changed.withColumn("source_key", F.coalesce("source", F.lit(""))).hint("rebalance", "source_key")
-    keyed.write.mode("overwrite").partitionBy("source_key").parquet(to)
+    changed = changed.withColumn("source_key", F.coalesce("source", F.lit(""))).hint("rebalance", "source_key")
+    changed.write.mode("overwrite").partitionBy("source_key").parquet(to)
     done = spark.read.schema(STORED).parquet(to).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("passages")), F.lit(0)).alias("passages")).first()
     log.info("batch %d: read %d rows, wrote %d documents of %d passages to %s", number, batch.count(), done["n"], done["passages"], to)
 
