@@ -5,7 +5,7 @@ letters to a space) and gives the set P(x) of its n-grams, each in a bucket of i
 fixed in size, so that a batch of texts is a matrix of zeros and ones); K(x, z) = |P(x) & P(z)| / sqrt(|P(x)| |P(z)|).
 
 Learner: one-versus-rest kernel ridge regression over Nystroem landmarks. At most SAMPLE documents of each language
-(those of least hash of their id) give examples: the whole text, and a span of each of SPANS bytes from its middle,
+(those of least hash of their id and text) give examples: the whole text, and a span of each of SPANS bytes from its middle,
 so that short texts are learnt too. LANDMARKS examples of each language, MOST_LANDMARKS of all, are the landmarks; the weights
 solve (Knm' W Knm + ridge n Kmm) a = Knm' W Y, where W gives all languages the same weight. Every language is learnt, however
 many there are: the sums Knm' W Knm and Knm' W Y are made in the tasks, block by block and language by language, so that the
@@ -113,16 +113,17 @@ def _n_examples(text: Column) -> Column:
 
 
 def sampled(docs: DataFrame, *, doc_id: str, text: str, lang: str, sample: int) -> DataFrame:
-    """A table of lang, text and k, the place among the language's documents by the hash of the id: at most ``sample`` of each language."""
-    rows = docs.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h"))
+    """A table of lang, text and k, the place among the language's documents by the hash of id and text: at most ``sample`` of each language.
+    Rows of one id and text count once."""
+    rows = docs.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
     # A language's least hashes are looked for below a bound that a few times ``sample`` of its documents pass, so that no task
     # gathers more of a common language however many documents there are.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * sample + 100) / F.col("n"))
     bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + share * 2.0**64).cast("long"))
     bounds = materialise(counts.select("lang", bound.alias("bound")), "langid-bounds")
     few = bounds.count() <= SENT_LANGUAGES  # beyond, rows are dealt by language
-    near = rows.join(F.broadcast(bounds) if few else bounds, "lang").where(F.col("h") <= F.col("bound")).select("lang", "text", "h")
+    near = rows.join(F.broadcast(bounds) if few else bounds, "lang").where(F.col("h") <= F.col("bound")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     return materialise(near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("h"), "langid")
 
