@@ -5,11 +5,11 @@ filled by rounds over the sources: a source's deficit grows by its target share
 ids while its deficit is at least ``least`` ids, and what is left of the deficit is carried to the next window. Room
 that then remains goes to the sources that are owed most. Only the last window of all is padded.
 
-Windows are dealt to partitions of equal numbers of windows. How many ids of each source stand before a partition is a
-function of its number and the targets alone (``Shares``: the exact shares, rounded on a binary tree of the sources so that
-they always add up and never fall), so its first deficits are carried from the partition before without running it, and
-any task computes the rounds of a partition by itself; the driver holds a few numbers a source, and none a partition. So ids
-are placed where they are, and never shuffled: the only exchange is that of the texts by ranges of doc_id.
+Windows are dealt to partitions of equal numbers of windows. How many ids of each source stand before a place is a
+function of the place and the targets alone (``Shares``: the exact shares, and whole numbers near them that always add up and never
+fall), so a partition's first deficits are carried from the one before without running it, and any task computes the rounds of a partition
+by itself, with each window's own shares: a source that runs out inside a partition changes the mixture there. Driver and
+tasks hold a few numbers a source, and none a partition. So ids are placed where they are, and never shuffled: the only exchange is that of the texts by ranges of doc_id.
 
 Targets: by default the sources' own shares of all ids, so that they end together; given ``targets`` (source to
 weight) hold until a source runs out, and the others' weights are scaled up from there. Sources of no weight come last, in
@@ -22,7 +22,7 @@ pieces. Other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -82,69 +82,96 @@ class Shares:
     The stream has phases: one ends where a source runs out. In a phase the sources that are left get whole numbers of ids
     (``amounts``), dealt evenly along it: the sources are the leaves of a binary tree (Huffman's, so that large ones are near the
     root), and of n ids at a node the lighter child gets its rounded share and the other the rest. Both grow with n, so
-    counts never fall, add up to the place, and are near the exact shares, whichever place is asked for."""
+    counts never fall, add up to the place, and are near the exact shares, whichever place is asked for. Sources of no weight are the last phase.
+    Phases are functions of the time when they end, so only a few numbers a source are held, and the tree of the phase that was asked for last."""
 
     def __init__(self, totals: np.ndarray, weights: np.ndarray):
-        self.totals, self.phases = totals, []  # (first id, ids of each source before it, amounts, tree)
-        heavy, done, first = weights > 0, np.zeros(len(totals), np.int64), 0
+        self.totals, self.heavy = totals, (weights > 0) & (totals > 0)
+        self.weights = np.where(self.heavy, weights, 0.0)
         # A source of weight w runs out at time total / w.
-        time = np.where(heavy, totals / np.where(heavy, weights, 1.0), np.inf)
-        for until in np.unique(time[heavy & (totals > 0)]):
-            then = np.where(heavy, np.where(time <= until, totals, np.minimum(totals, np.floor(weights * until))), 0).astype(np.int64)
-            first = self._phase(first, done, then)
-            done = then
-        self._phase(first, done, totals)
-
-    def _phase(self, first: int, done: np.ndarray, then: np.ndarray) -> int:
-        amounts = then - done
-        if amounts.any():
-            self.phases.append((first, done, amounts, _tree(amounts)))
-        return first + int(amounts.sum())
+        self.time = np.where(self.heavy, totals / np.where(self.heavy, weights, 1.0), np.inf)
+        self.times = np.unique(self.time[self.heavy])
+        self._phase: tuple = (0, 0, None, None)  # first place, last place, ids of each source before it, amounts
+        self._tree: tuple = (None, None)
+        self._kept: dict[int, np.ndarray] = {}
+
+    def _until(self, k: int) -> np.ndarray:
+        """Ids of each source up to the end of phase k."""
+        if k < 0:
+            return np.zeros(len(self.totals), np.int64)
+        if k >= len(self.times):
+            return self.totals
+        then = np.where(self.time <= self.times[k], self.totals, np.minimum(self.totals, np.floor(self.weights * self.times[k])))
+        return np.where(self.heavy, then, 0).astype(np.int64)
 
     def _at(self, place: int) -> tuple:
-        k = bisect_right(self.phases, place, key=lambda x: x[0]) - 1
-        return self.phases[max(k, 0)]
-
-    def before(self, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """(exact shares, whole ids) of all sources before the place."""
-        if not self.phases:
-            return np.zeros(len(self.totals)), np.zeros(len(self.totals), np.int64)
-        first, done, amounts, (steps, _) = self._at(place)
-        count = {len(steps): place - first}
-        out = done.copy()
+        """The phase of a place after 0."""
+        if not self._phase[0] < place <= self._phase[1]:
+            k = bisect_left(range(len(self.times)), place, key=lambda k: int(self._until(k).sum()))
+            done, then = self._until(k - 1), self._until(k)
+            self._phase = (int(done.sum()), int(then.sum()), done, then - done)
+        return self._phase
+
+    def exact(self, place: int) -> np.ndarray:
+        if not place:
+            return np.zeros(len(self.totals))
+        first, last, done, amounts = self._at(place)
+        return done + amounts * ((place - first) / (last - first))
+
+    def whole(self, place: int) -> np.ndarray:
+        if place not in self._kept:
+            if len(self._kept) >= 64:
+                self._kept.clear()
+            self._kept[place] = self._whole(place)
+        return self._kept[place]
+
+    def _whole(self, place: int) -> np.ndarray:
+        if not place:
+            return np.zeros(len(self.totals), np.int64)
+        first, _, done, amounts = self._at(place)
+        if self._tree[0] is not self._phase:
+            self._tree = (self._phase, _tree(amounts))
+        steps, out = self._tree[1], done.copy()
         if not steps:  # one source
             out[np.flatnonzero(amounts)] += place - first
+        count = {len(steps): place - first}
         for node in range(len(steps) - 1, -1, -1):
             light, heavy, share = steps[node]
             n = count.pop(node + 1)
-            part = _rounded(n, share)
+            part = int(n * share + 0.5)
             for child, k in ((light, part), (heavy, n - part)):
                 if child < 0:
                     out[~child] += k
                 else:
                     count[child + 1] = k
-        return done + amounts * ((place - first) / int(amounts.sum())), out
+        return out
+
+    def before(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(exact shares, whole ids) of all sources before the place."""
+        return self.exact(place), self.whole(place)
 
     def of(self, source: int, place: int) -> int:
         """Whole ids of a source before the place."""
-        if not self.phases:
-            return 0
-        first, done, amounts, (steps, paths) = self._at(place)
-        if not amounts[source]:
-            return int(done[source])
-        n = place - first
-        for node, is_light in paths[source]:
-            part = _rounded(n, steps[node][2])
-            n = part if is_light else n - part
-        return int(done[source]) + n
-
-
-def _rounded(n: int, share: float) -> int:
-    return int(n * share + 0.5)
-
+        return int(self.whole(place)[source])
 
-def _tree(amounts: np.ndarray) -> tuple[list[tuple[int, int, float]], dict[int, list[tuple[int, bool]]]]:
-    """(nodes, the root last: lighter child, other child, the lighter one's share; leaves are ~source), and the path to each source."""
+    def holding(self, source: int, k: int, per: int) -> int:
+        """Which run of ``per`` places has the source's id k (from 0)."""
+        total = int(self.totals.sum())
+        if self.heavy[source]:
+            near = np.minimum(self.totals, self.weights * (k / self.weights[source])).sum()
+        else:
+            rest = self.totals[~self.heavy].sum()
+            near = total - rest + rest * (k / self.totals[source])
+        p = max(0, min(int(near), total - 1)) // per
+        while p and self.of(source, p * per) > k:
+            p -= 1
+        while self.of(source, min((p + 1) * per, total)) <= k:
+            p += 1
+        return p
+
+
+def _tree(amounts: np.ndarray) -> list[tuple[int, int, float]]:
+    """Nodes, the root last: lighter child, other child, the lighter one's share; leaves are ~source."""
     heap = [(int(amounts[i]), ~i) for i in np.flatnonzero(amounts).tolist()]
     heapify(heap)
     nodes: list[tuple[int, int, float]] = []
@@ -152,16 +179,7 @@ def _tree(amounts: np.ndarray) -> tuple[list[tuple[int, int, float]], dict[int,
         (a, light), (b, heavy) = heappop(heap), heappop(heap)
         nodes.append((light, heavy, a / (a + b)))
         heappush(heap, (a + b, len(nodes) - 1))
-    paths: dict[int, list[tuple[int, bool]]] = {}
-    open_ = [(heap[0][1], [])] if heap else []
-    while open_:
-        node, path = open_.pop()
-        if node < 0:
-            paths[~node] = path
-        else:
-            light, heavy, _ = nodes[node]
-            open_ += [(light, [*path, (node, True)]), (heavy, [*path, (node, False)])]
-    return nodes, paths
+    return nodes
 
 
 def quotas(totals: np.ndarray, weights: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,44 +189,40 @@ def quotas(totals: np.ndarray, weights: np.ndarray, per: int) -> tuple[np.ndarra
     return np.array([x for x, _ in found]), np.array([x for _, x in found])
 
 
-def rounds(p: int, shares: Shares, windows: int, length: int, least: int) -> list[tuple[np.ndarray, ...]]:
-    """For each source: places in its queue, windows and offsets of the pieces that partition p serves."""
+def rounds(p: int, shares: Shares, windows: int, length: int, least: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """Of each source that partition p serves: places in its queue, windows and offsets of its pieces."""
     total, n = int(shares.totals.sum()), len(shares.totals)
-    (exact, whole), (exact_, whole_) = (shares.before(min(q * windows * length, total)) for q in (p, p + 1))
-    at, stop = whole.tolist(), whole_.tolist()
-    share = ((exact_ - exact) / max(1.0, (whole_ - whole).sum() / length)).tolist()
-    deficit = (exact - whole).tolist()
-    pieces: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    w, left = p * windows, sum(stop) - sum(at)
-    while left > 0:
-        room = min(length, left)
-        left -= room
-        offset = 0
-        for i in range(n):
-            deficit[i] += share[i]
+    first, end = p * windows * length, min((p + 1) * windows * length, total)
+    at, stop = shares.whole(first).copy(), shares.whole(end)
+    owed = shares.exact(first)
+    deficit = owed - at
+    small = min(least, length)
+    pieces: dict[int, list[tuple[int, int, int]]] = {}
+    for w, low in enumerate(range(first, end, length), p * windows):
+        room, offset = min(length, end - low), 0
+        then = shares.exact(low + room)
+        deficit += then - owed
+        owed = then
 
         def serve(i: int, k: int) -> None:
             nonlocal offset, room
-            have = pieces[i]
-            if have and have[-1][1] == w and have[-1][2] + at[i] - have[-1][0] == offset:
-                pass  # goes on where the last piece ends
-            else:
-                have.append((at[i], w, offset))
+            have, here = pieces.setdefault(i, []), int(at[i])
+            if not (have and have[-1][1] == w and have[-1][2] + here - have[-1][0] == offset):  # else it goes on where the last piece ends
+                have.append((here, w, offset))
             at[i] += k
             offset += k
             room -= k
             deficit[i] -= k
 
-        for j in range(n):
-            i = (w + j) % n
-            k = min(room, stop[i] - at[i], int(deficit[i]))
-            if k >= min(least, length):
+        ready = np.flatnonzero((deficit >= small) & (stop - at >= small))
+        for i in ready[np.argsort((ready - w) % n, kind="stable")].tolist():
+            k = min(room, int(stop[i] - at[i]), int(deficit[i]))
+            if k >= small:
                 serve(i, k)
         while room:
-            i = max((i for i in range(n) if at[i] < stop[i]), key=deficit.__getitem__)
-            serve(i, min(room, stop[i] - at[i], max(least, int(deficit[i]))))
-        w += 1
-    return [tuple(np.array([x[c] for x in have], np.int64) for c in range(3)) for have in pieces]
+            i = int(np.argmax(np.where(at < stop, deficit, -np.inf)))
+            serve(i, min(room, int(stop[i] - at[i]), max(least, int(deficit[i]))))
+    return {i: tuple(np.array([x[c] for x in have], np.int64) for c in range(3)) for i, have in pieces.items()}
 
 
 def pack(docs: DataFrame, *, length: int = LENGTH, least: int = LEAST, targets: dict[str, float] | None = None, end_id: int = 1, **options) -> DataFrame:
@@ -237,12 +251,10 @@ def pack(docs: DataFrame, *, length: int = LENGTH, least: int = LEAST, targets:
         def of(p: int):
             return rounds(p, shares, windows, length, least)
 
-        last = -(-int(shares.totals.sum()) // (windows * length))
-
         @lru_cache(maxsize=1024)
         def holding(s: int, place: int) -> int:
             """The partition in which a place of a source's queue is."""
-            return bisect_right(range(last), place, key=lambda p: shares.of(s, p * windows * length)) - 1
+            return shares.holding(s, place, windows * length)
 
         for batch in batches:
             low = 0
@@ -269,7 +281,7 @@ def _pieces(batch: pa.RecordBatch, place: dict, holding, of) -> Iterator[pa.Reco
     for s in np.unique(sources).tolist():
         rows = np.flatnonzero(sources == s)
         a, b = at[rows], at[rows] + n[rows]
-        parts = [of(q)[s] for q in range(holding(s, int(a.min())), holding(s, int(b.max()) - 1) + 1)]
+        parts = [x for x in (of(q).get(s) for q in range(holding(s, int(a.min())), holding(s, int(b.max()) - 1) + 1)) if x is not None]
         q, w, o = (np.concatenate([x[c] for x in parts]) for c in range(3))
         ends = np.append(q[1:], np.iinfo(np.int64).max)
         i = np.searchsorted(q, a, "right") - 1
