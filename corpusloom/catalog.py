@@ -18,7 +18,8 @@ from .plans import query as plans
 from .plans.store import Store
 from .schema import FRAGMENTS_SQL, fragment_id, fragments, table
 from .session import fresh_folder
-from .sources import chunking, files, messages
+from .sources import chunking, files, messages, tree
+from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1004,3 +1005,33 @@ def stored_trust(spark, sf):
     rows = corpus.searchable(store).withColumn("freshness", trust.freshness(F.col("content_date"), F.col("ingested_at"), F.col("file_type")))
     rows = rows.withColumn("consistency", trust.consistency(F.col("confidence_adj"))).withColumn("authority", trust.authority(F.col("file_type")))
     return rows.select("source_path", "content_date", "author", "freshness", "consistency", "authority").distinct()
+
+
+# Streams with state, and a tree of files as a stream.
+
+
+@query("""WITH e AS (SELECT DISTINCT event_id, user_id, ts FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL), l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e)
+  SELECT user_id AS key, event_id AS id, coalesce(ts - before <= INTERVAL 10 MINUTE, false) AS seen FROM l WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM e) - 3600000""")
+def seen_recently(spark, sf):
+    """Of each event that the watermark has passed: whether its user was seen in the ten minutes before."""
+    at, schema = fresh_folder(spark, "seen"), table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    state.run_to_files(state.seen_within(stream, "user_id", "event_id", "ts"), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("key long, id long, seen boolean").parquet(f"{at}/out")
+
+
+@query("""SELECT page_id || '.html' AS source_path, 'changed' AS state, sha256(coalesce(html, '')) AS checksum, 1 AS seq FROM pages
+  UNION ALL SELECT page_id || '.html', 'changed', sha256(coalesce(html, '') || '<!-- 2 -->'), 2 FROM pages WHERE page_id % 7 = 0 AND page_id % 10 <> 0
+  UNION ALL SELECT page_id || '.html', 'deleted', NULL, 2 FROM pages WHERE page_id % 10 = 0""")
+def tree_changes(spark, sf):
+    """Pages as a tree of files that is read as a stream, changed, and read on: every change once, deletions too."""
+    at, pages = fresh_folder(spark, "tree"), table(spark, sf, "pages")
+    rows = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"), F.lit(False).alias("gone"), "page_id")
+    spark.dataSource.register(tree.Tree)
+    for k in range(2):
+        tree.put(rows, f"{at}/tree")
+        stream = spark.readStream.format("corpus_tree").option("path", f"{at}/tree").option("journal", f"{at}/journal").load()
+        state.run_to_files(stream, f"{at}/out", f"{at}/checkpoint")
+        if k == 0:
+            rows = rows.where("page_id % 7 = 0 OR page_id % 10 = 0").withColumn("gone", F.col("page_id") % 10 == 0).withColumn("content", F.concat("content", F.lit("<!-- 2 -->")))
+    return spark.read.schema(tree.SCHEMA).parquet(f"{at}/out").select("source_path", "state", "checksum", F.col("seq").cast("int").alias("seq"))

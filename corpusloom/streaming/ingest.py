@@ -7,12 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import models
 from ..operators import storage
 from ..plans import corpus
 from ..plans.store import Store
-from ..sources import files
+from ..sources import files, tree
 
 
 def ingest(changes: DataFrame, store: Store, name: str, checkpoint: str, key: str = "id"):
@@ -42,15 +43,44 @@ def folder_stream(spark: SparkSession, root: str, name: str, source_type: str =
 
 
 def ingest_documents(documents: DataFrame, store: Store, embedder: models.Embedder, checkpoint: str, as_of: str, name: str = "fragments"):
-    """Chunk, embed and store a stream of documents batch by batch; returns the query. A document's fragments replace those it had."""
+    """Chunk, embed and store a stream of documents batch by batch; returns the query. A document's fragments replace those it had; one that
+    is ``deleted`` (where the stream says so) has none from then on."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        rows = corpus.fragments_of(batch, embedder, as_of)
-        store.change(name, rows, corpus.DOCUMENT, batch.select(*corpus.DOCUMENT))
+        there = batch.where(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in batch.columns else batch
+        store.change(name, corpus.fragments_of(there, embedder, as_of), corpus.DOCUMENT, batch.select(*corpus.DOCUMENT))
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def tree_stream(spark: SparkSession, root: str, journal: str, name: str, source_type: str = "filesystem") -> DataFrame:
+    """The changes of a tree as they come, deletions too, by the rules of ``files.wanted``: documents with ``deleted``. The journal folder goes with
+    the stream's checkpoint."""
+    spark.dataSource.register(tree.Tree)
+    rows = spark.readStream.format("corpus_tree").option("path", root).option("journal", journal).option("most_bytes", files.MOST_BYTES).load()
+    deleted = F.col("state") == "deleted"
+    text = files.wanted(F.col("source_path"), F.col("size")) & (F.lower("source_path").endswith(".pdf") | ~F.contains(F.substring("raw_content", 1, 8192), F.lit(b"\0")))
+    # A file that has become one that is not wanted goes, as one that was deleted does.
+    gone = deleted | ~F.coalesce(text, F.lit(False))
+    uri = F.concat(F.lit(f"{root if '://' in root else 'file://' + root}/"), "source_path")
+    return rows.select(
+        F.lit(source_type).alias("source_type"), F.lit(name).alias("source_name"), "source_path", "raw_content", "checksum", "content_date", uri.alias("source_uri"), gone.alias("deleted"), "seq",
+    )
+
+
+def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: models.Embedder, checkpoint: str, as_of: str, *, name: str, table: str = "fragments"):
+    """Bring a stored table up to date with a tree: what is new or changed is chunked and embedded, and what is gone goes. Returns the query."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = Window.partitionBy("source_path").orderBy(F.col("seq").desc())
+        now = batch.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "seq")
+        there = now.where("not deleted").drop("deleted")
+        store.change(table, corpus.fragments_of(there, embedder, as_of), corpus.DOCUMENT, now.select(*corpus.DOCUMENT))
+
+    rows = tree_stream(spark, root, f"{checkpoint}/journal", name)
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
