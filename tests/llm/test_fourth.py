@@ -144,7 +144,7 @@ def test_tags_that_are_not_ended():
     blocks = html_extract.blocks
     assert blocks("<p>one<a two</p>three") == [("open", "onethree")]  # ended by the next >
     assert blocks("x<b c='d>e") == [("open", "x<b c='d>e")]
-    assert blocks("x<b c='d>e<i>f</i> <u g=\"'\">h") == [("open", "xh")]
+    assert blocks("x<b c='d>e<i>f</i> <u g=\"'\">h") == [("open", "x<b c='d>ef h")]
     assert blocks("<div title=\"a>b\">x</div>y<") == [("open", "x"), ("open", "y<")]
 
 
