@@ -764,6 +764,24 @@ def kmeans_assign(spark, sf):
     return cluster.assign(rows, np.array([r["c"] for r in seeds], float))
 
 
+_SQUARED = "round(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+  s AS (SELECT label, arg_min(embedding::DOUBLE[], vec_id) AS c FROM embeddings GROUP BY 1),
+  r AS (SELECT 0 AS i, row_number() OVER (ORDER BY label) - 1 AS cluster, c FROM s
+    UNION ALL SELECT i + 1, k.cluster, coalesce(m, c) FROM r k LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS m FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM
+      (SELECT vec_id, any_value(v) AS v, arg_min(cluster, ({_SQUARED}, cluster)) AS cluster FROM e, r GROUP BY 1)) GROUP BY 1, 2) GROUP BY 1) n ON k.cluster = n.cluster WHERE i < 4)
+  SELECT vec_id, arg_min(cluster, ({_SQUARED}, cluster)) AS cluster FROM e, r WHERE i = 4 GROUP BY 1""")
+def kmeans_rounds(spark, sf):
+    """Five rounds from given seeds."""
+    import numpy as np
+
+    rows = table(spark, sf, "embeddings")
+    seeds = rows.where("embedding IS NOT NULL").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").collect()
+    return cluster.lloyd(rows, np.array([r["c"] for r in seeds], float), rounds=5)[0]
+
+
 @query()
 def kmeans_full(spark, sf):
     rows = table(spark, sf, "embeddings")

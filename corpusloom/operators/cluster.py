@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import trust
+from ..session import fresh_folder
 
 
 #: Tasks that sum the matrices of all tasks.
@@ -38,7 +39,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray, *, vec_id: str = "vec_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nearest(_matrix(batch.column(1)), sent.value).astype(np.int64))], ["vec_id", "cluster"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_gaps(_matrix(batch.column(1)), sent.value)[0])], ["vec_id", "cluster"])
 
     return vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), vector).mapInArrow(run, "vec_id long, cluster long")
 
@@ -103,41 +104,125 @@ def _seeds(vectors: DataFrame, k: int, vec_id: str, vector: str, seed: int, roun
     return np.array(out)
 
 
-def kmeans(vectors: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 42, rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id and cluster, centroids). Lloyd's rounds: each task sums its vectors by cluster, so a round brings k sums a task
-    to the driver. Ends when less than 0.1 % of the vectors move; an empty cluster keeps its centroid."""
+def two_nearest(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centroid, distance to it, distance to the nearest other one, infinite if there is none), in tiles of bounded size."""
+    c, own, other = np.zeros(len(points), np.int64), np.zeros(len(points)), np.full(len(points), np.inf)
+    step = max(1, (1 << 22) // len(centroids))
+    norms = (centroids**2).sum(1)[None]
+    for low in range(0, len(points), step):
+        x = points[low : low + step]
+        d = np.round((x**2).sum(1)[:, None] + norms - 2 * x @ centroids.T, 9)
+        at = np.arange(len(x))
+        c[low : low + step] = k = d.argmin(axis=1)
+        own[low : low + step] = np.sqrt(np.maximum(d[at, k], 0))
+        if len(centroids) > 1:
+            d[at, k] = np.inf
+            other[low : low + step] = np.sqrt(np.maximum(d.min(axis=1), 0))
+    return c, own, other
+
+
+#: What bounds must be apart to decide, so that distances that are equal to 9 digits are compared themselves.
+_APART = 1e-4
+
+
+def bounded(points: np.ndarray, c: np.ndarray, upper: np.ndarray, lower: np.ndarray, centroids: np.ndarray, drift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(cluster, upper, lower, which vectors had all their distances computed) after the centroids have moved by ``drift``.
+
+    upper bounds the distance to a vector's own centroid from above, lower that to all others from below; both move with the centroids. A
+    vector whose bounds do not meet keeps its cluster, as does one that is nearer to its centroid than half way to any other (Hamerly's bounds)."""
+    c, upper, order = c.copy(), upper + drift[c], np.argsort(drift)
+    most, second = drift[order[-1]], drift[order[-2]] if len(drift) > 1 else 0.0
+    lower = lower - np.where(c == order[-1], second, most)
+    half = two_nearest(centroids, centroids)[2] / 2
+    # A centroid's nearest other one: of equal centroids each has the other at distance 0.
+    bound = np.maximum(lower, half[c])
+    open_ = np.flatnonzero(upper + _APART >= bound)
+    upper[open_] = np.sqrt(((points[open_] - centroids[c[open_]]) ** 2).sum(1))
+    open_ = open_[upper[open_] + _APART >= bound[open_]]
+    c[open_], upper[open_], lower[open_] = two_nearest(points[open_], centroids)
+    return c, upper, lower, open_
+
+
+_STATE = "vec_id long, v array<double>, c long, upper double, lower double, moved boolean, computed boolean"
+
+
+def _state(batch: pa.RecordBatch, c, upper, lower, moved, computed) -> pa.RecordBatch:
+    v = batch.column(1).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(c), pa.array(upper), pa.array(lower), pa.array(moved), pa.array(computed)], [x.split()[0] for x in _STATE.split(", ")])
+
+
+def lloyd(vectors: DataFrame, seeds: np.ndarray, *, rounds: int, share: float | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
+    """(vec_id and cluster, the centroids that these are nearest to, (moved, computed) of each round) after at most ``rounds`` rounds from given
+    seeds; with ``share``, after one in which fewer than that share of the vectors moved.
+
+    A round assigns each vector once, and writes it with its cluster and bounds to a table in the shared folder, from which the next
+    round goes on; only vectors whose bounds meet are compared with all centroids. Tasks sum their vectors by cluster, and the driver gets
+    a sum for each cluster. An empty cluster keeps its centroid. Null vectors are left out."""
+    spark, centroids = vectors.sparkSession, np.asarray(seeds, float)
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    n = rows.count()
-    if n == 0:
-        return assign(vectors, np.zeros((1, 1)), vec_id=vec_id, vector=vector), np.zeros((0, 0))
-    k = min(k, n)
-    centroids = _seeds(rows, k, "vec_id", "v", seed)
-    before = None
+    table, drift, told, path = rows, None, [], fresh_folder(spark, "kmeans")
     for step in range(rounds):
-        sent = vectors.sparkSession.sparkContext.broadcast((centroids, before))
+        sent = spark.sparkContext.broadcast((centroids, drift))
 
-        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            now, old = sent.value
-            total, count, moved = np.zeros_like(now), np.zeros(len(now), np.int64), 0
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            now, drift = sent.value
             for batch in batches:
-                if batch.num_rows:
-                    points = _matrix(batch.column(1))
-                    c = nearest(points, now)
-                    np.add.at(total, c, points)
-                    count += np.bincount(c, minlength=len(now))
-                    moved += len(c) if old is None else int((c != nearest(points, old)).sum())
-            yield pa.RecordBatch.from_pydict({"c": pa.array(np.arange(len(now))), "total": pa.array(list(total), pa.list_(pa.float64())), "n": pa.array(count), "moved": pa.array([moved] + [0] * (len(now) - 1), pa.int64())})
-
-        parts = rows.mapInArrow(sums, "c long, total array<double>, n long, moved long")
-        dim = centroids.shape[1]
-        by = parts.groupBy("c").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved"))
-        got = sorted(by.collect())
-        moved = sum(r["moved"] for r in got)
-        before = centroids
-        centroids = np.array([np.array(r["total"]) / r["n"] if r["n"] else centroids[r["c"]] for r in got])
-        if moved == 0 or step and moved < 0.001 * n:
+                if not batch.num_rows:
+                    continue
+                points = _matrix(batch.column(1))
+                if drift is None:
+                    yes = np.ones(len(points), bool)
+                    yield _state(batch, *two_nearest(points, now), yes, yes)
+                    continue
+                old = batch.column(2).to_numpy()
+                c, upper, lower, computed = bounded(points, old, batch.column(3).to_numpy(), batch.column(4).to_numpy(), now, drift)
+                yield _state(batch, c, upper, lower, c != old, np.isin(np.arange(len(c)), computed))
+
+        columns = ["vec_id", "v"] if drift is None else ["vec_id", "v", "c", "upper", "lower"]
+        table.select(*columns).mapInArrow(run, _STATE).write.parquet(f"{path}/{step}")
+        table = spark.read.schema(_STATE).parquet(f"{path}/{step}")
+        total, count, moved, computed = _sums(table, centroids)
+        told.append((moved, computed))
+        used, centroids = centroids, np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centroids)
+        if moved == 0 or share is not None and step and moved < share * count.sum():
             break
-    return assign(vectors, before, vec_id=vec_id, vector=vector), before
+        drift = np.sqrt(((centroids - used) ** 2).sum(1))
+    return table.select("vec_id", F.col("c").alias("cluster")), used, told
+
+
+def _sums(table: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(sum of vectors and number of vectors of each cluster, vectors that moved, vectors that were compared with all centroids)."""
+    k, dim = centroids.shape
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, moved, computed = np.zeros((k, dim)), np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                points, c = _matrix(batch.column(0)), batch.column(1).to_numpy()
+                order = np.argsort(c, kind="stable")
+                first = np.flatnonzero(np.diff(c[order], prepend=-1))
+                total[c[order][first]] += np.add.reduceat(points[order], first)
+                for out, some in ((count, slice(None)), (moved, batch.column(2).to_numpy(zero_copy_only=False)), (computed, batch.column(3).to_numpy(zero_copy_only=False))):
+                    out += np.bincount(c[some], minlength=k)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64())), pa.array(count[some]), pa.array(moved[some]), pa.array(computed[some])], ["c", "total", "n", "moved", "computed"])
+
+    parts = table.select("v", "c", "moved", "computed").mapInArrow(sums, "c long, total array<double>, n long, moved long, computed long")
+    by = parts.groupBy("c").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.sum("computed").alias("computed"))
+    total, count, got = np.zeros((k, dim)), np.zeros(k, np.int64), by.collect()
+    for r in got:
+        total[r["c"]], count[r["c"]] = r["total"], r["n"]
+    return total, count, sum(r["moved"] for r in got), sum(r["computed"] for r in got)
+
+
+def kmeans(vectors: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 42, rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id and cluster, centroids): ``lloyd`` from seeds drawn over all vectors, until less than 0.1 % of the vectors move."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    n = rows.count()
+    if n == 0:
+        return assign(vectors, np.zeros((1, 1)), vec_id=vec_id, vector=vector), np.zeros((0, 0))
+    found, centroids, _ = lloyd(rows, _seeds(rows, min(k, n), "vec_id", "v", seed), rounds=rounds, share=0.001, vec_id="vec_id", vector="v")
+    return found, centroids
 
 
 def centroids_of(members: DataFrame, cluster: str, vector: str, digits: int = 6) -> DataFrame:
