@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import models
 from .functions import text as X
 from .functions import trust
-from .operators import cluster, evaluate, fusion, search, storage, vector
+from .operators import cluster, digests, evaluate, fusion, search, selection, storage, vector
 from .plans import cache as answers
 from .plans import corpus, enrichment, evaluation
 from .plans import query as plans
@@ -113,10 +113,10 @@ def upsert_merge(spark, sf):
     return storage.upsert(docs, new.unionByName(docs.where("id % 50 = 1").withColumn("id", F.col("id") + 100000000)))
 
 
-@query("""SELECT source || '/' || (doc_id // 4) AS source_path, doc_id AS version, n_chars FROM documents WHERE doc_id % 4 <> 3 AND (doc_id // 4) % 6 <> 0
-  UNION ALL SELECT DISTINCT source || '/' || (doc_id // 4), -1, 0 FROM documents WHERE doc_id % 4 <> 3 AND (doc_id // 4) % 6 = 0""")
+@query("""SELECT source || '/' || (doc_id // 4) AS source_path, doc_id AS version, n_chars FROM documents WHERE (doc_id // 4) % 6 <> 0
+  UNION ALL SELECT DISTINCT source || '/' || (doc_id // 4), -1, 0 FROM documents WHERE (doc_id // 4) % 6 = 0""")
 def replace_changed_paths(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 4 <> 3")
+    docs = table(spark, sf, "documents")
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 4).cast("string"))
     rows = docs.select(path.alias("source_path"), F.col("doc_id").alias("version"), "n_chars")
     new = docs.where(F.floor(F.col("doc_id") / 4) % 6 == 0).select(path.alias("source_path"), F.lit(-1).cast("long").alias("version"), F.lit(0).cast("long").alias("n_chars")).distinct()
@@ -320,6 +320,21 @@ def bm25_topk(spark, sf):
     return search.bm25(table(spark, sf, "documents"), _text_queries(spark, sf), 10)
 
 
+_PAIRS = f"SELECT item_id * 1000000 + i AS query_id, t[i:i + 1] AS t FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark))"
+
+
+def _pair_queries(spark, sf):
+    """Each two neighbouring words of each item."""
+    words = table(spark, sf, "benchmark").select("item_id", search.tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
+    each = words.select("item_id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i"))
+    return each.select((F.col("item_id") * 1000000 + F.col("i")).alias("query_id"), F.concat_ws(" ", F.element_at("t", F.col("i")), F.element_at("t", F.col("i") + 1)).alias("query"))
+
+
+@query(f"WITH {_bm25_sql('true', 10, asked=_PAIRS)} SELECT * FROM bm25")
+def bm25_pairs(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), _pair_queries(spark, sf), 10)
+
+
 _KEEP = "source IN ('src1', 'src2', 'src3')"
 
 
@@ -834,9 +849,8 @@ def knowledge_unit_ids(spark, sf):
   SELECT query_id, unit, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit) AS rank FROM d) WHERE rank <= 5""")
 def unit_search(spark, sf):
     means = centroids(spark, sf).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("centroid"))
-    out = vector.knn(means.withColumnRenamed("centroid", "embedding"), _vector_queries(spark, sf), 10, vec_id="label")
-    by = Window.partitionBy("query_id").orderBy(F.round("distance", 5), "vec_id")
-    return out.withColumn("rank", F.row_number().over(by).cast("long")).where("rank <= 5").select("query_id", F.col("vec_id").alias("unit"), "rank")
+    out = vector.knn(means.withColumnRenamed("centroid", "embedding"), _vector_queries(spark, sf), 5, vec_id="label", digits=5)
+    return out.select("query_id", F.col("vec_id").alias("unit"), "rank")
 
 
 # Evaluation: a result is relevant if its label is the query's.
@@ -928,15 +942,20 @@ def split_values(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.split_csv(F.concat(F.lit("a, ,"), "source", F.lit(" ,"), "lang")), "|").alias("parts"))
 
 
-@query("""WITH p AS (SELECT source, min(path) AS a, max(path) AS b, count(*) AS n FROM (SELECT source, 'data/' || source || '/' || doc_id || '/f.md' AS path FROM documents) GROUP BY 1),
-  s AS (SELECT source, string_split(a, '/') AS x, string_split(b, '/') AS y FROM p WHERE n > 1),
+@query("""WITH p AS (SELECT doc_id // 5 AS part, min(path) AS a, max(path) AS b, count(path) AS n FROM
+    (SELECT doc_id, coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || (coalesce(n_chars, 0) // 1000) || '/' || doc_id || '/f.md' AS path FROM documents) GROUP BY 1),
+  s AS (SELECT part, n, string_split(a, '/') AS x, string_split(b, '/') AS y FROM p WHERE n > 0),
   d AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(x), len(y))), lambda i: x[i] <> y[i])), least(len(x), len(y))) AS k FROM s)
-  SELECT source, array_to_string(x[1:k - 1], '/') AS common FROM d""")
+  SELECT part, n, array_to_string(x[1:k - 1], '/') AS common FROM d""")
 def common_directories(spark, sf):
-    path = F.concat(F.lit("data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/f.md"))
+    """What the paths of each five neighbouring documents share."""
+    docs = table(spark, sf, "documents")
+    named = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    thousands = F.floor(F.coalesce("n_chars", F.lit(0)) / 1000).cast("string")
+    path = F.concat(named("lang"), F.lit("/"), named("source"), F.lit("/"), thousands, F.lit("/"), F.col("doc_id").cast("string"), F.lit("/f.md"))
     # What the least and the greatest path share is shared by all between.
-    ends = table(spark, sf, "documents").groupBy("source").agg(F.min(path).alias("least"), F.max(path).alias("most"), F.count("*").alias("n")).where("n > 1")
-    return ends.select("source", F.when(F.col("source").isNotNull(), X.common_directory(F.array("least", "most"))).alias("common"))
+    ends = docs.groupBy(F.floor(F.col("doc_id") / 5).alias("part")).agg(F.min(path).alias("least"), F.max(path).alias("most"), F.count(path).alias("n")).where("n > 0")
+    return ends.select("part", "n", X.common_directory(F.array("least", "most")).alias("common"))
 
 
 _FOLDERS = ("src", "node_modules", ".hidden", "lib", "img/deep", "a/build/b", "docs")
@@ -977,7 +996,9 @@ def stream_daily(spark, sf):
     from .streaming import ingest as streams
 
     schema = table(spark, sf, "events").schema
-    return streams.run_to_memory(streams.daily_counts(streams.table_stream(spark, sf, "events", schema)), "stream_daily")
+    at = fresh_folder(spark, "daily")
+    state.run_to_files(streams.daily_counts(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema("day string, event_type string, n long, value double").parquet(f"{at}/out")
 
 
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -1053,3 +1074,29 @@ def tree_changes(spark, sf):
         if k == 0:
             rows = rows.where("page_id % 7 = 0 OR page_id % 10 = 0").withColumn("gone", F.col("page_id") % 10 == 0).withColumn("content", F.concat("content", F.lit("<!-- 2 -->")))
     return spark.read.schema(tree.SCHEMA).parquet(f"{at}/out").select("source_path", "state", "checksum", F.col("seq").cast("int").alias("seq"))
+
+
+# Exact selection, suffixes as keys, digests of buckets.
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.5) AS median, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1, 2""")
+def price_quantiles(spark, sf):
+    return selection.quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", cont={"median": 0.5}, disc={"p95": 0.95})
+
+
+@query(f"""WITH {FRAGMENTS_SQL}, x AS (SELECT item_id, item_id || '.md' AS expected FROM benchmark UNION ALL SELECT item_id, 'src' || (item_id % 20) || '/' || item_id || '.txt' FROM benchmark UNION ALL SELECT item_id, '7.yaml' FROM benchmark WHERE item_id = 7)
+  SELECT item_id, expected, source_path FROM fragments, x WHERE source_path = expected OR ends_with(source_path, '/' || expected) OR ends_with(source_path, chr(92) || expected)""")
+def sources_in_paths(spark, sf):
+    """Expected sources against all paths."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("item_id").cast("string").alias("i"))
+    expected = items.select("item_id", F.concat("i", F.lit(".md")).alias("expected"))
+    expected = expected.unionByName(items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("/"), "i", F.lit(".txt")).alias("expected")))
+    expected = expected.unionByName(items.where("item_id = 7").select("item_id", F.lit("7.yaml").alias("expected")))
+    return evaluate.found_in(fragments(spark, sf, labels=False).select("source_path"), expected)
+
+
+@query(SQL["changed_deleted_unchanged"])
+def changes_by_digest(spark, sf):
+    scanned, known = _scans(spark, sf)
+    tree_of = digests.write(known, fresh_folder(spark, "digests"))
+    return digests.changes(scanned, tree_of)

@@ -24,6 +24,22 @@ def relevance(results: DataFrame, expected: DataFrame, path: str = "source_path"
     return joined.agg(F.sort_array(F.collect_set("e.expected")).alias("matches"))
 
 
+def suffixes(path: Column) -> Column:
+    """A path and what follows each of its separators, each once."""
+    marks = F.filter(F.sequence(F.lit(1), F.char_length(path)), lambda i: F.substr(path, i, F.lit(1)).isin("/", "\\"))
+    after = F.transform(marks, lambda i: F.substr(path, i + 1))
+    return F.array_distinct(F.concat(F.array(path), F.when(F.char_length(path) > 0, after).otherwise(F.expr("cast(array() as array<string>)"))))
+
+
+def found_in(paths: DataFrame, expected: DataFrame, path: str = "source_path") -> DataFrame:
+    """The rows of expected (with ``expected``) with each row of paths that is their source (``is_source``). A path's suffixes are its keys, so
+    this is a join by equality that is dealt by key, whatever rows are to meet; null paths and expectations meet nothing. Columns of one name
+    in both are those of expected."""
+    keep = [c for c in paths.columns if c == path or c not in expected.columns]
+    keyed = paths.where(F.col(path).isNotNull()).select(*keep).withColumn("_key", F.explode(suffixes(F.col(path))))
+    return expected.join(keyed, expected["expected"] == keyed["_key"]).drop("_key")
+
+
 def per_query(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """Metrics of each query. ranked: query_id, rank, relevant, found (which expected item a row is, else null); queries:
     query_id, category, n_expected. Nothing expected: recall, reciprocal rank and hits are 1, precision 0 (1 without results)."""

@@ -37,8 +37,8 @@ def blend(a: Column, b: Column, weight: float = 0.3) -> Column:
     return normalise(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") + F.lit(weight) * y.cast("double")))
 
 
-def _best(held: list, worst: np.ndarray, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> None:
-    """Bring the k best (ids, distances) of each query up to date, by distance to DIGITS, then id. Only queries for which a row
+def _best(held: list, worst: np.ndarray, ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, digits: int) -> None:
+    """Bring the k best (ids, distances) of each query up to date, by distance to so many digits, then id. Only queries for which a row
     comes as near as their k-th best are looked at, so most batches cost one matrix product."""
     near = (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None] - 2 * queries @ vectors.T
     for q in np.flatnonzero(near.min(axis=1) <= worst + 1e-4).tolist():
@@ -47,14 +47,14 @@ def _best(held: list, worst: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q
         at = np.flatnonzero(row <= least + 1e-4)
         d = np.sqrt(((vectors[at] - queries[q]) ** 2).sum(1))
         i, d = np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], d])
-        order = np.lexsort((i, np.round(d, DIGITS)))[:k]
+        order = np.lexsort((i, np.round(d, digits)))[:k]
         held[q] = (i[order], d[order])
         if len(order) == k:
-            worst[q] = (d[order[-1]] + 10.0**-DIGITS) ** 2
+            worst[q] = (d[order[-1]] + 10.0**-digits) ** 2
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """query_id, vec_id, distance (rounded to DIGITS), rank of the k nearest vectors of each query. Rows of a null
+def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", block_bytes: int = BLOCK_BYTES, digits: int = DIGITS) -> DataFrame:
+    """query_id, vec_id, distance (rounded to ``digits``), rank of the k nearest vectors of each query. Rows of a null
     vector, or of another dimension than the query, are no neighbours."""
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
     size = asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
@@ -83,7 +83,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
                     step = max(64, TILE // max(1, len(q)))
                     for i in range(0, len(at), step):
                         part = at[i : i + step]
-                        _best(held[d], worst[d], ids[part], flat[starts[part][:, None] + np.arange(d)], q, k)
+                        _best(held[d], worst[d], ids[part], flat[starts[part][:, None] + np.arange(d)], q, k, digits)
             for d, (names, _) in asked.items():
                 for name, (i, dist) in zip(names.tolist(), held[d], strict=True):
                     if len(i):
@@ -91,7 +91,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, vec_id: str = "vec_id
 
         part = rows.mapInArrow(run, "query_id long, vec_id long, distance double")
         found = part if found is None else found.unionByName(part)
-    ranked = found.withColumn("distance", F.round("distance", DIGITS))
+    ranked = found.withColumn("distance", F.round("distance", digits))
     by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return ranked.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
