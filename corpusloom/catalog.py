@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions import models
 from .functions import text as X
 from .functions import trust
-from .operators import cluster, digests, evaluate, fusion, search, selection, storage, vector
+from .operators import cluster, digests, evaluate, fusion, pivots, search, selection, storage, vector
 from .plans import cache as answers
 from .plans import corpus, enrichment, evaluation
 from .plans import query as plans
@@ -261,6 +261,12 @@ def knn_topk(spark, sf):
     return vector.knn(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10)
 
 
+@query(f"WITH {_NEAR} SELECT query_id, vec_id, distance, rank FROM near WHERE rank <= 10")
+def knn_by_pivots(spark, sf):
+    index = pivots.build(table(spark, sf, "embeddings"), fresh_folder(spark, "pivots-index"))
+    return pivots.knn(index, _vector_queries(spark, sf), 10)
+
+
 @query(f"WITH {_NEAR}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM near WHERE rank <= 50 AND label IN (1, 2)) SELECT query_id, vec_id, distance, r AS rank FROM kept WHERE r <= 10")
 def knn_filtered_overfetch(spark, sf):
     return vector.knn_filtered(table(spark, sf, "embeddings"), _vector_queries(spark, sf), 10, F.col("label").isin(1, 2))

@@ -8,7 +8,7 @@ import struct
 import numpy as np
 import pytest
 
-from corpusloom.operators import digests, evaluate, selection, storage, vector
+from corpusloom.operators import digests, evaluate, pivots, selection, storage, vector
 
 
 def test_bits_have_the_order_of_numbers():
@@ -98,3 +98,26 @@ def test_neighbours_to_other_digits(spark):
         d = np.round(np.sqrt(((points - points[q]) ** 2).sum(1)), 1)
         want += [(q, int(i), float(d[i]), k + 1) for k, i in enumerate(np.lexsort((np.arange(80), d))[:7])]
     assert [(q, i, k) for q, i, _, k in got] == [(q, i, k) for q, i, _, k in want]
+
+
+@pytest.mark.parametrize("k,n_pivots", ((1, 1), (5, 8), (400, 8)))
+def test_pivots_lose_no_neighbour(spark, tmp_path, k, n_pivots):
+    rng = np.random.default_rng(k)
+    points = np.concatenate([rng.normal(m, 0.3, (60, 3)) for m in (-5, 0, 4, 9)] + [np.repeat([[1.0, 1.0, 1.0]], 80, 0)])
+    rows = [(int(i), p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [1.0]), (902, points[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = [(i, points[i].tolist()) for i in range(0, 300, 37)] + [(1000, [50.0, 0.0, 0.0]), (1001, None), (1002, [0.0])]
+    asked = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    index, told = pivots.build(df, f"{tmp_path}/index", pivots=n_pivots), {}
+    assert index.rows(spark).count() == len(points) + 1
+    rows_of = lambda d: sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "distance")) for r in d.collect())
+    wanted = rows_of(vector.knn(df.where("size(embedding) = 3"), asked.where("size(embedding) = 3"), k))
+    assert rows_of(pivots.knn(index, asked, k, told=told)) == wanted
+    assert rows_of(pivots.knn(index, asked, k, block_bytes=48)) == wanted
+    if k == 5:
+        assert told["rows"] < 2 * len(points)
+        near = {}
+        pivots.knn(index, asked.where("query_id = 37"), k, told=near)
+        assert near["rows"] < len(points) / 2
+    empty = pivots.build(df.limit(0), f"{tmp_path}/none")
+    assert pivots.knn(empty, asked, k).count() == 0 and pivots.knn(index, asked.limit(0), k).count() == 0
