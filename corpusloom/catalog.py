@@ -1106,3 +1106,20 @@ def changes_by_digest(spark, sf):
     scanned, known = _scans(spark, sf)
     tree_of = digests.write(known, fresh_folder(spark, "digests"))
     return digests.changes(scanned, tree_of)
+
+
+@query("""WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, ts, event_id, strftime(ts, '%H:%M:%S') || ' ' || coalesce(event_type, '') || ': ' || coalesce(props, '') || chr(10) AS line FROM events),
+  b AS (SELECT *, (sum(strlen(line)) OVER (PARTITION BY day ORDER BY ts, event_id, line ROWS UNBOUNDED PRECEDING) - strlen(line)) // 4096 AS part FROM l)
+  SELECT day, part::BIGINT AS part, string_agg(line, '' ORDER BY ts, event_id, line) AS content, count(*) AS n FROM b GROUP BY 1, 2""")
+def daily_digest_parts(spark, sf):
+    """Daily digests in parts of 4 KiB and a line."""
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return messages.daily_parts(rows, "ts", "event_type", "props", "event_id", size=4096)
+
+
+@query("""WITH l AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') || chr(10) AS line FROM conversations),
+  b AS (SELECT *, (sum(strlen(line)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, line ROWS UNBOUNDED PRECEDING) - strlen(line)) // 1000 AS part FROM l)
+  SELECT conv_id, part::BIGINT AS part, string_agg(line, '' ORDER BY turn NULLS FIRST, line) AS content, count(*) AS n FROM b GROUP BY 1, 2""")
+def thread_parts(spark, sf):
+    """Threads in parts of 1000 bytes and a line."""
+    return messages.thread_parts(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", size=1000)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import fresh_folder
+
 K1, B = 1.2, 0.75
 DIGITS = 6
 #: Terms of all phrases of all queries that are broadcast at most; beyond, postings are joined by a shuffle.
@@ -74,17 +76,28 @@ def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bo
     """query_id, doc_id, score, rank from occurrences of phrases and total (one row: n_docs, avgdl).
 
     A document must hold all phrases, so only documents with a query's rarest one are looked at: what is joined grows with the
-    rarest lists, not with queries times documents. Queries with a phrase that stands nowhere go at once."""
+    rarest lists, not with queries times documents. Queries with a phrase that stands nowhere go at once. Where weights are sent, a document's
+    phrases are gathered and matched where they are; else occurrences are written once, and only pairs of a query and a document with its
+    rarest phrase are joined with them."""
     send = F.broadcast if few else (lambda df: df)
+    if not few:
+        path = fresh_folder(tf.sparkSession, "occurrences")
+        tf.write.parquet(path)
+        tf = tf.sparkSession.read.parquet(path)
     df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     of_query = Window.partitionBy("query_id")
     weights = phrases.join(df, "p").crossJoin(F.broadcast(total))
     weights = weights.withColumn("n", F.count("*").over(of_query)).withColumn("nth", F.row_number().over(of_query.orderBy("df", "p"))).where("n = n_phrases")
     weights = weights.select("query_id", "p", "n_phrases", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "nth")
-    by_doc = tf.where("keep").groupBy("doc_id", "dl").agg(F.collect_list(F.struct("p", "tf")).alias("held"))
-    led = by_doc.withColumn("p", F.explode("held.p")).join(send(weights.where("nth = 1").select("query_id", "p")), "p")
-    hits = led.select("query_id", "doc_id", "dl", F.inline("held")).join(send(weights), ["query_id", "p"])
+    rarest = weights.where("nth = 1").select("query_id", "p")
+    if few:
+        by_doc = tf.where("keep").groupBy("doc_id", "dl").agg(F.collect_list(F.struct("p", "tf")).alias("held"))
+        led = by_doc.withColumn("p", F.explode("held.p")).join(send(rarest), "p")
+        hits = led.select("query_id", "doc_id", "dl", F.inline("held")).join(send(weights), ["query_id", "p"])
+    else:
+        led = tf.where("keep").join(rarest, "p").select("query_id", "doc_id")
+        hits = led.join(weights, "query_id").join(tf.select("doc_id", "dl", "p", "tf"), ["doc_id", "p"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id", "n_phrases").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("n"))
     by = of_query.orderBy(F.col("score").desc(), "doc_id")

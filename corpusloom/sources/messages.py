@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import fold
+
 LOOKBACK_DAYS, OVERLAP_DAYS = 90, 1
 
 
@@ -33,6 +35,18 @@ def daily(rows: DataFrame, ts: str, who: str, text: str, order: str) -> DataFram
     return out.select("day", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("content"), "n", "last")
 
 
+def thread_parts(rows: DataFrame, key: str, order: str, who: str, text: str, size: int = 1 << 20) -> DataFrame:
+    """key, part, content, n of each thread as ``threads`` writes it, in parts of bounded size, for threads that no row holds."""
+    line = F.concat(F.coalesce(F.col(who), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    return fold.documents(rows, key, [order], line, size)
+
+
+def daily_parts(rows: DataFrame, ts: str, who: str, text: str, order: str, size: int = 1 << 20) -> DataFrame:
+    """day, part, content, n of each UTC day as ``daily`` writes it, in parts of bounded size, for days that no row holds."""
+    line = F.concat(F.date_format(ts, "HH:mm:ss"), F.lit(" "), F.coalesce(F.col(who), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    return fold.documents(rows.withColumn("day", F.date_format(ts, "yyyy-MM-dd")), "day", [ts, order], line, size)
+
+
 def wiki_time(text: Column) -> Column:
     """A page's time in any of its three formats."""
     formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXX", "yyyy-MM-dd'T'HH:mm:ssXX")

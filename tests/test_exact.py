@@ -8,7 +8,7 @@ import struct
 import numpy as np
 import pytest
 
-from corpusloom.operators import digests, evaluate, pivots, selection, storage, vector
+from corpusloom.operators import digests, evaluate, fold, pivots, search, selection, storage, vector
 
 
 def test_bits_have_the_order_of_numbers():
@@ -121,3 +121,38 @@ def test_pivots_lose_no_neighbour(spark, tmp_path, k, n_pivots):
         assert near["rows"] < len(points) / 2
     empty = pivots.build(df.limit(0), f"{tmp_path}/none")
     assert pivots.knn(empty, asked, k).count() == 0 and pivots.knn(index, asked.limit(0), k).count() == 0
+
+
+def test_ranking_beyond_what_is_sent(spark, monkeypatch):
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(30))) if k % 11 else None) for k in range(120)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(rnd.choice(["a", "b", "c-d", "e", "h-a", "zz"]) for _ in range(rnd.randrange(1, 4)))) for k in range(30)], "query_id long, query string")
+    keep = docs["doc_id"] % 3 != 0
+    rows = lambda: sorted(tuple(r) for r in search.bm25(docs, asked, 5, keep=keep).collect())
+    sent = rows()
+    monkeypatch.setattr(search, "SENT_TERMS", 0)
+    assert sent and rows() == sent
+
+
+@pytest.mark.parametrize("parts", (1, 5, 30))
+def test_fold_over_ranges(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", "b", None]), rnd.choice([None, *range(200)]), rnd.choice(["x", "é" * rnd.randrange(20), None, ""])) for _ in range(700)] + [("big", 1, "y" * 5000)] + [("same", 1, "z")] * 40
+    df = spark.createDataFrame(rows, "k string, o long, t string").repartition(4)
+    got = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        for r in fold.documents(df, "k", ["o"], df["t"], 100, parts=parts).collect():
+            assert (r["k"], r["part"]) not in got and len(r["content"].encode()) < 100 + 5000
+            got[r["k"], r["part"]] = (r["content"], r["n"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {}
+    for k in {r[0] for r in rows}:
+        at = 0
+        for _, line in sorted(((o is not None, o or 0), t or "") for key, o, t in rows if key == k):
+            text, n = want.get((k, at // 100), ("", 0))
+            want[k, at // 100] = (text + line, n + 1)
+            at += len(line.encode())
+    assert got == want
+    assert fold.documents(df.limit(0), "k", ["o"], df["t"], 100).count() == 0
