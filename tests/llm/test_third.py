@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -38,6 +39,14 @@ def test_bpe_ids_are_the_library_s(library):
     assert [own.decode(np.array(x, np.int64)).decode() for x in wanted] == texts
 
 
+def test_bpe_splits_code_points_as_the_library(library):
+    """Every code point where the category changes, and every 64th."""
+    own, theirs = library
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 64 == 0 or unicodedata.category(chr(c)) != unicodedata.category(chr(c - 1)))]
+    texts = [f"ab{chr(c)}{chr(c)}b 1 {chr(c)}1" for c in points]
+    assert [ids_of(x) for x in own.encode(texts)] == theirs.encode_ordinary_batch(texts, num_threads=2)
+
+
 def test_bpe_stacked_trees_and_single_ones_agree(library):
     own, theirs = library
     rnd = random.Random(6)
