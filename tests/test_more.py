@@ -140,7 +140,14 @@ def test_files_hold_whole_texts(spark, tmp_path, name):
 
 
 def test_common_directories_of_all_rows(spark, tmp_path):
-    rows = [(1, "s")] * 5 + [(2, "s"), (3, "t"), (4, "u"), (5, "u"), (6, None), (7, None)]
-    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["source"]: r["common"] for r in catalog.QUERIES["common_directories"](spark, str(tmp_path)).collect()}
-    assert got == {"s": "data/s", "u": "data/u", None: None}
+    rows = [(1, "en", "s", 10)] * 5 + [(2, "en", "s", 900), (5, "en", "s", 10), (6, "en", "t", 10), (10, "fr", None, 2500), (11, None, "t", 5), (15, "de", "u", None), (None, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["part"]: (r["n"], r["common"]) for r in catalog.QUERIES["common_directories"](spark, str(tmp_path)).collect()}
+    want = {}
+    for part in (0, 1, 2, 3):
+        paths = [f"{lang or 'none'}/{source or 'none'}/{(n or 0) // 1000}/{i}".split("/") for i, lang, source, n in rows if i is not None and i // 5 == part]
+        k = 0
+        while k < 4 and len({tuple(p[: k + 1]) for p in paths}) == 1:
+            k += 1
+        want[part] = (len(paths), "/".join(paths[0][:k]))
+    assert got == want and want[0] == (6, "en/s/0") and want[1] == (2, "en") and want[2] == (2, "") and want[3] == (1, "de/u/0/15")
