@@ -1090,15 +1090,15 @@ def price_quantiles(spark, sf):
     return selection.quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", cont={"median": 0.5}, disc={"p95": 0.95})
 
 
-@query(f"""WITH {FRAGMENTS_SQL}, x AS (SELECT item_id, item_id || '.md' AS expected FROM benchmark UNION ALL SELECT item_id, 'src' || (item_id % 20) || '/' || item_id || '.txt' FROM benchmark UNION ALL SELECT item_id, '7.yaml' FROM benchmark WHERE item_id = 7)
-  SELECT item_id, expected, source_path FROM fragments, x WHERE source_path = expected OR ends_with(source_path, '/' || expected) OR ends_with(source_path, chr(92) || expected)""")
+@query(f"""WITH {FRAGMENTS_SQL}, i AS (SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IS NOT NULL), x AS (SELECT id, id || '.md' AS expected FROM i UNION ALL SELECT id, 'src' || (id % 20) || '/' || id || '.txt' FROM i)
+  SELECT x.id AS labelled, expected, source_path FROM fragments, x WHERE source_path = expected OR ends_with(source_path, '/' || expected) OR ends_with(source_path, chr(92) || expected)""")
 def sources_in_paths(spark, sf):
-    """Expected sources against all paths."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("item_id").cast("string").alias("i"))
-    expected = items.select("item_id", F.concat("i", F.lit(".md")).alias("expected"))
-    expected = expected.unionByName(items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"), F.lit("/"), "i", F.lit(".txt")).alias("expected")))
-    expected = expected.unionByName(items.where("item_id = 7").select("item_id", F.lit("7.yaml").alias("expected")))
-    return evaluate.found_in(fragments(spark, sf, labels=False).select("source_path"), expected)
+    """Expected sources, two for each labelled document, against all paths."""
+    ids = table(spark, sf, "labels").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    name = F.col("id").cast("string")
+    expected = ids.select("id", F.concat(name, F.lit(".md")).alias("expected"))
+    expected = expected.unionByName(ids.select("id", F.concat(F.lit("src"), (F.col("id") % 20).cast("string"), F.lit("/"), name, F.lit(".txt")).alias("expected")))
+    return evaluate.found_in(fragments(spark, sf, labels=False).select("source_path"), expected).withColumnRenamed("id", "labelled")
 
 
 @query(SQL["changed_deleted_unchanged"])
