@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import fresh_folder
@@ -14,6 +18,8 @@ K1, B = 1.2, 0.75
 DIGITS = 6
 #: Terms of all phrases of all queries that are broadcast at most; beyond, postings are joined by a shuffle.
 SENT_TERMS = 200_000
+#: Tokens of documents that a task looks at together.
+PIECE_TOKENS = 1 << 21
 
 
 def tokens(text: Column) -> Column:
@@ -105,15 +111,133 @@ def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bo
     return scored.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+class _Asked:
+    """The phrases of all queries as a task needs them: terms, the phrases of one term by it, longer ones, and the phrases of each query."""
+
+    def __init__(self, phrases: DataFrame):
+        got = phrases.select("query_id", "p").toArrow().combine_chunks()
+        queries, names = (got.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "p"))
+        of, self.ids, split = queries.indices.to_numpy(), queries.dictionary, [x.split(" ") for x in names.dictionary.to_pylist()]
+        self.phrases = names.indices.to_numpy()[np.argsort(of, kind="stable")].astype(np.int64)
+        self.starts = np.searchsorted(np.sort(of), np.arange(len(self.ids) + 1))
+        number = {t: i for i, t in enumerate(dict.fromkeys(t for x in split for t in x))}
+        self.n, self.terms, self.single = len(split), pa.array(list(number), pa.string()), np.full(len(number), -1)
+        self.longer = []
+        for i, x in enumerate(split):
+            if len(x) == 1:
+                self.single[number[x[0]]] = i
+            else:
+                self.longer.append((i, [number[t] for t in x]))
+
+    def found(self, tokens: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, row, how often it stands there), by phrase, then row, of the rows' tokens. A longer phrase is its terms next to each other."""
+        term = pc.index_in(tokens.flatten(), value_set=self.terms).fill_null(-1).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(term >= 0)
+        one = at[self.single[term[at]] >= 0]
+        keys = [self.single[term[one]] * len(sizes) + row[one]]
+        if self.longer:
+            at = at[np.argsort(term[at], kind="stable")]
+            bounds = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
+            for i, x in self.longer:
+                s = at[bounds[x[0]] : bounds[x[0] + 1]]
+                s = s[s + len(x) <= len(term)]
+                s = s[row[s + len(x) - 1] == row[s]]
+                for k, t in enumerate(x[1:], 1):
+                    s = s[term[s + k] == t]
+                keys.append(i * len(sizes) + row[s])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return key // len(sizes), key % len(sizes), n
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch with their numbers of tokens, at most PIECE_TOKENS at once, a longer row alone."""
+    sizes = pc.list_value_length(batch.column(column)).to_numpy().astype(np.int64)
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - sizes[low] + PIECE_TOKENS, "right")))
+        yield batch.slice(low, high - low), sizes[low:high]
+        low = high
+
+
+def _counted(rows: DataFrame, asked: _Asked) -> tuple[int, float, np.ndarray]:
+    """(number of documents, their mean length, number of documents with each phrase). Tasks count, so a row for each phrase and task is exchanged."""
+    sent = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        total = np.zeros(asked.n + 2, np.int64)
+        for batch in batches:
+            for piece, sizes in _pieces(batch, 0):
+                total += np.bincount(asked.found(piece.column(0), sizes)[0], minlength=asked.n + 2)
+                total[-2:] += len(sizes), sizes.sum()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["p", "n"])
+
+    total = np.zeros(asked.n + 2, np.int64)
+    for r in rows.select("t").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():  # a row a phrase
+        total[r["p"]] = r["n"]
+    return int(total[-2]), total[-1] / max(1, total[-2]), total[:-2]
+
+
+def _best(rows: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+    """As ``_ranked``, of documents with different ids and of queries that are sent: whatever a document holds stands in its own row, so
+    tasks match and score the rows that they read, from each query's rarest phrase on, and what is exchanged is the k best of a query and piece."""
+    asked = _Asked(phrases)
+    n_docs, avgdl, df = _counted(rows, asked)
+    idf = np.log((n_docs - df + 0.5) / (df + 0.5))
+    sent = rows.sparkSession.sparkContext.broadcast((asked, np.where(idf > 0, idf, 1e-6), avgdl or 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, idf, avgdl = sent.value
+        for batch in batches:
+            for piece, dl in _pieces(batch, 1):
+                p, d, tf = asked.found(piece.column(1), dl)
+                may = piece.column(2).fill_null(False).to_numpy(zero_copy_only=False)[d]
+                p, d, tf = p[may], d[may], tf[may]
+                part = idf[p] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[d] / avgdl))
+                bounds = np.searchsorted(p, np.arange(asked.n + 1))
+                n, place = np.diff(bounds), np.empty(len(dl), np.int64)
+                place[pc.sort_indices(piece.column(0), null_placement="at_start").to_numpy()] = np.arange(len(dl))
+                names, docs, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for q in np.flatnonzero(np.minimum.reduceat(n[asked.phrases], asked.starts[:-1])).tolist() if asked.n else ():
+                    mine = asked.phrases[asked.starts[q] : asked.starts[q + 1]]
+                    first, *rest = mine[np.argsort(n[mine], kind="stable")].tolist()
+                    at, score = d[bounds[first] : bounds[first + 1]], part[bounds[first] : bounds[first + 1]]
+                    for x in rest:
+                        held = d[bounds[x] : bounds[x + 1]]
+                        i = np.minimum(np.searchsorted(held, at), len(held) - 1)
+                        both = held[i] == at
+                        at, score = at[both], score[both] + part[bounds[x] + i[both]]
+                    if len(at) > k:
+                        near = np.round(score, DIGITS)
+                        some = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])
+                        some = some[np.lexsort((place[at[some]], -near[some]))[:k]]
+                        at, score = at[some], score[some]
+                    names.append(np.full(len(at), q))
+                    docs.append(at)
+                    scores.append(score)
+                names, docs, scores = map(np.concatenate, (names, docs, scores))
+                yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(names)), piece.column(0).take(pa.array(docs)), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+    schema = T.StructType([phrases.schema["query_id"], rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    found = rows.select("doc_id", "t", "keep").mapInArrow(run, schema).withColumn("score", F.round("score", DIGITS))
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """query_id, doc_id, score (rounded), rank of the k best documents that hold every phrase of the query.
 
     A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
-    beside others. Only postings of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
+    beside others. Queries are sent to the tasks and scored where the texts are read; only queries of more than SENT_TERMS terms, and rows that
+    share an id, are joined with postings, of which those of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
     those of all documents. ``tokenizer`` makes tokens, without spaces, of texts and query words (``stem.tokens`` for stems)."""
     phrases = _phrases(queries, query_id, query, tokenizer)
     few, parts = _few(phrases), _parts(phrases)
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    if few and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _best(rows, phrases, k)
     total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
     placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
     return _ranked(_occurrences(placed, parts, few), phrases, total, k, few)

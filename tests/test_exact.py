@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.operators import digests, evaluate, fold, pivots, search, selection, storage, vector
@@ -134,6 +135,31 @@ def test_ranking_beyond_what_is_sent(spark, monkeypatch):
     assert sent and rows() == sent
 
 
+def test_tasks_score_what_they_read(spark, monkeypatch):
+    """Sent queries exchange no occurrences: of a table with different ids only the k best of each piece; small pieces, ties and shared ids change no row."""
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(25))) if k % 9 else None) for k in range(150)] + [(1000 + k, "a b c-d a") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(rnd.choice(["a", "b", "c-d", "d-a-b", "a-a", "zz"]) for _ in range(rnd.randrange(4)))) for k in range(40)], "query_id int, query string")
+    found = search.bm25(docs, asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = lambda df: sorted(tuple(r) for r in search.bm25(df, asked, 5).collect())
+    twice = docs.unionByName(docs.where("doc_id % 4 = 0"))
+    sent, shared, before = got(docs), got(twice), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sent and got(docs) == sent
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got(docs.limit(0)) == []
+    monkeypatch.setattr(search, "SENT_TERMS", 0)
+    assert got(docs) == sent and got(twice) == shared
+    monkeypatch.setattr(search, "PIECE_TOKENS", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (2, 3, 9, 0, 4, 1)])], ["t"])
+    assert [sizes.tolist() for _, sizes in search._pieces(batch, 0)] == [[2, 3], [9], [0, 4, 1]]
+
+
 @pytest.mark.parametrize("parts", (1, 5, 30))
 def test_fold_over_ranges(spark, parts):
     rnd = random.Random(parts)
