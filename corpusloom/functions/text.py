@@ -39,6 +39,13 @@ def age(days: Column) -> Column:
     return F.when(days < 1, "today").when(days < 30, s(days, "day")).when(months < 12, s(months, "month")).otherwise(s(years, "year"))
 
 
+def decimals(x: Column, digits: int) -> Column:
+    """A number with so many digits after the point; of two that are equally near the even one, where format_string takes the larger.
+    What rounds to 0 keeps its sign; null has none."""
+    even = F.bround(x, digits)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.when(even == 0, x).otherwise(even)))
+
+
 def size(n: Column) -> Column:
     mb, kb = n / F.lit(1048576.0), n / F.lit(1024.0)
     return F.when(n >= 1048576, F.format_string("%.1f MB", mb)).when(n >= 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%d B", n))

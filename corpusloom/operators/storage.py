@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import decimals
+
 
 def changes(scanned: DataFrame, known: DataFrame, path: str = "source_path", checksum: str = "checksum") -> DataFrame:
     """path, state: changed (new or of another checksum), unchanged, or deleted (known, no longer there)."""
@@ -62,7 +64,7 @@ def latest(table: DataFrame, key: list[str], value: str, order: list[str | Colum
 
 def tsv_line(vector: Column) -> Column:
     """A vector as tab-separated decimals of six digits."""
-    return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), "\t")
+    return F.array_join(F.transform(vector, lambda x: decimals(x.cast("double"), 6)), "\t")
 
 
 def tsv_text(text: Column) -> Column:

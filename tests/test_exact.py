@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from corpusloom.functions import text
 from corpusloom.operators import digests, evaluate, fold, pivots, search, selection, storage, vector
 
 
@@ -182,3 +183,11 @@ def test_fold_over_ranges(spark, parts):
             at += len(line.encode())
     assert got == want
     assert fold.documents(df.limit(0), "k", ["o"], df["t"], 100).count() == 0
+
+
+def test_vectors_as_exact_decimals(spark):
+    """Of two equally near decimals the even one, as printf has it; the sign of what rounds to 0 stays."""
+    values = [k / 128 for k in range(-300, 300)] + [-0.0, -1e-9, 1e-9, 1e6, 123.4567895, *np.random.default_rng(1).normal(0, 0.1, 200).astype(np.float32).tolist()]
+    df = spark.createDataFrame([(0, values), (1, [0.5, None]), (2, []), (3, None)], "i int, v array<float>")
+    got = {r[0]: r[1] for r in df.select("i", storage.tsv_line(df["v"])).collect()}
+    assert got == {0: "\t".join(f"{float(np.float32(v)):.6f}" for v in values), 1: "0.500000", 2: "", 3: None}
