@@ -48,7 +48,7 @@ def decimals(x: Column, digits: int) -> Column:
 
 def size(n: Column) -> Column:
     mb, kb = n / F.lit(1048576.0), n / F.lit(1024.0)
-    return F.when(n >= 1048576, F.format_string("%.1f MB", mb)).when(n >= 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%d B", n))
+    return F.when(n >= 1048576, F.concat(decimals(mb, 1), F.lit(" MB"))).when(n >= 1024, F.concat(decimals(kb, 1), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def split_csv(x: Column) -> Column:

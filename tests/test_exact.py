@@ -191,3 +191,10 @@ def test_vectors_as_exact_decimals(spark):
     df = spark.createDataFrame([(0, values), (1, [0.5, None]), (2, []), (3, None)], "i int, v array<float>")
     got = {r[0]: r[1] for r in df.select("i", storage.tsv_line(df["v"])).collect()}
     assert got == {0: "\t".join(f"{float(np.float32(v)):.6f}" for v in values), 1: "0.500000", 2: "", 3: None}
+
+
+def test_sizes_as_exact_decimals(spark):
+    values = [0, 1023, 1024, 1280, 5376, 1048575, *(1024 * k + 256 for k in range(1, 60)), *(1048576 * k + 262144 * j for k in range(1, 9) for j in (1, 3)), None]
+    df = spark.createDataFrame([(v,) for v in values], "n long")
+    want = [None if n is None else f"{n / 1048576:.1f} MB" if n >= 1048576 else f"{n / 1024:.1f} KB" if n >= 1024 else f"{n} B" for n in values]
+    assert [r[0] for r in df.select(text.size(df["n"])).collect()] == want
