@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,15 @@ def test_stream_is_batch(spark, tmp_path):
             if not d and k not in gone:
                 want[k] = max(v, want[k]) if k in {p[0] for p in part[: part.index((k, v, d))]} and k in want else v
     assert dict(map(tuple, store.read("t").collect())) == want
+
+
+def test_chunks_are_held_for_few_documents():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(["a.txt"] * 150), pa.array([f"text {i}" for i in range(150)])], ["row", "p", "c"])
+    got = [*chunking._chunked(iter([batch]), 100)]
+    assert [b.num_rows for b in got] == [64, 64, 22] and [x for b in got for x in b.column(0).to_pylist()] == [*range(150)]
+    assert [c["content"] for b in got for x in b.column(1).to_pylist() for c in x] == [f"text {i}" for i in range(150)]
+
+
+def test_chunks_carry_only_what_stays(spark):
+    docs = spark.createDataFrame([(1, "a.txt", "one")], "doc_id long, source_path string, raw_content string")
+    assert chunking.chunks(docs, columns=["doc_id"]).columns == ["doc_id", "idx", "chunk"] and chunking.chunks(docs).columns == [*docs.columns, "idx", "chunk"]
