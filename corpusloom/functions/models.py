@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,18 +97,29 @@ def embedded(rows: DataFrame, text: str, embedder: Embedder, into: str = "embedd
     return rows.withColumn("_key", key).join(distinct, "_key", "left").drop("_key")
 
 
+def _vectors(s: pa.Array, embedder: Embedder, batch: int) -> pa.Array:
+    """The vectors of texts, equal ones embedded once; what was seen is known by its sha256, so that ``batch`` texts are held as Python strings."""
+    known: dict[bytes, int] = {}
+    at, found = [], [pa.array([], pa.list_(pa.float32()))]
+    for i in range(0, len(s), batch):
+        texts = s.slice(i, batch).fill_null("").to_pylist()
+        keys = [hashlib.sha256(t.encode()).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+        known |= {k: len(known) + n for n, k in enumerate(new)}
+        if new:
+            found.append(pa.array(embedder.embed([*new.values()]), pa.list_(pa.float32())))
+        at += [known[k] for k in keys]
+    return pa.concat_arrays(found).take(pa.array(at, pa.int64()))
+
+
 def embed(text: Column, embedder: Embedder, batch: int = 200) -> Column:
-    """A vector column. Equal texts of a batch are embedded once."""
+    """A vector column. Equal texts of a batch of rows are embedded once, and at most ``batch`` texts at once."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in parts:
-            distinct = [*dict.fromkeys(s.fillna(""))]
-            found: dict = {}
-            for i in range(0, len(distinct), batch):
-                found |= zip(distinct[i : i + batch], embedder.embed(distinct[i : i + batch]), strict=True)
-            yield s.fillna("").map(found)
+            yield _vectors(s, embedder, batch)
 
-    return F.pandas_udf(run, "array<float>")(text)
+    return F.arrow_udf(run, "array<float>")(text)
 
 
 #: What a model is told, by version; the chunk and what is around it stand at the brackets.

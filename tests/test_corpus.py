@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import models
 from corpusloom.operators import cluster, evaluate, storage
 from corpusloom.plans.store import Store
 from corpusloom.sources import chunking, files, messages
@@ -207,3 +208,18 @@ def test_chunks_are_held_for_few_documents():
 def test_chunks_carry_only_what_stays(spark):
     docs = spark.createDataFrame([(1, "a.txt", "one")], "doc_id long, source_path string, raw_content string")
     assert chunking.chunks(docs, columns=["doc_id"]).columns == ["doc_id", "idx", "chunk"] and chunking.chunks(docs).columns == [*docs.columns, "idx", "chunk"]
+
+
+def test_texts_are_embedded_once_and_few_at_a_time():
+    class Probe(models.HashEmbedder):
+        calls = []
+
+        def embed(self, texts):
+            self.calls.append(texts)
+            return super().embed(texts)
+
+    texts = [f"t{i % 5}" if i % 7 else None for i in range(23)] + [f"u{i}" for i in range(9)] + ["t1"]
+    probe = Probe(4)
+    got = models._vectors(pa.array(texts), probe, 3).to_pylist()
+    assert got == models.HashEmbedder(4).embed([t or "" for t in texts]) and max(map(len, probe.calls)) <= 3
+    assert sorted(t for c in probe.calls for t in c) == sorted({t or "" for t in texts}) and models._vectors(pa.array([], pa.string()), probe, 3).to_pylist() == []
