@@ -143,12 +143,11 @@ def bounded(points: np.ndarray, c: np.ndarray, upper: np.ndarray, lower: np.ndar
     return c, upper, lower, open_
 
 
-_STATE = "vec_id long, v array<double>, c long, upper double, lower double, moved boolean, computed boolean"
+_STATE = "vec_id long, v array<{}>, c long, upper double, lower double, moved boolean, computed boolean"
 
 
 def _state(batch: pa.RecordBatch, c, upper, lower, moved, computed) -> pa.RecordBatch:
-    v = batch.column(1).cast(pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(c), pa.array(upper), pa.array(lower), pa.array(moved), pa.array(computed)], [x.split()[0] for x in _STATE.split(", ")])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c), pa.array(upper), pa.array(lower), pa.array(moved), pa.array(computed)], [x.split()[0] for x in _STATE.split(", ")])
 
 
 def lloyd(vectors: DataFrame, seeds: np.ndarray, *, rounds: int, share: float | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
@@ -160,7 +159,10 @@ def lloyd(vectors: DataFrame, seeds: np.ndarray, *, rounds: int, share: float |
     a sum for each cluster. An empty cluster keeps its centroid. Null vectors are left out."""
     spark, centroids = vectors.sparkSession, np.asarray(seeds, float)
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    table, drift, told, path = rows, None, [], fresh_folder(spark, "kmeans")
+    kind = rows.schema["v"].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        kind, rows = "double", rows.withColumn("v", F.col("v").cast("array<double>"))
+    state, table, drift, told, path = _STATE.format(kind), rows, None, [], fresh_folder(spark, "kmeans")
     for step in range(rounds):
         sent = spark.sparkContext.broadcast((centroids, drift))
 
@@ -179,8 +181,8 @@ def lloyd(vectors: DataFrame, seeds: np.ndarray, *, rounds: int, share: float |
                 yield _state(batch, c, upper, lower, c != old, np.isin(np.arange(len(c)), computed))
 
         columns = ["vec_id", "v"] if drift is None else ["vec_id", "v", "c", "upper", "lower"]
-        table.select(*columns).mapInArrow(run, _STATE).write.parquet(f"{path}/{step}")
-        table = spark.read.schema(_STATE).parquet(f"{path}/{step}")
+        table.select(*columns).mapInArrow(run, state).write.parquet(f"{path}/{step}")
+        table = spark.read.schema(state).parquet(f"{path}/{step}")
         total, count, moved, computed = _sums(table, centroids)
         told.append((moved, computed))
         used, centroids = centroids, np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centroids)
@@ -207,8 +209,19 @@ def _sums(table: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarr
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64())), pa.array(count[some]), pa.array(moved[some]), pa.array(computed[some])], ["c", "total", "n", "moved", "computed"])
 
-    parts = table.select("v", "c", "moved", "computed").mapInArrow(sums, "c long, total array<double>, n long, moved long, computed long")
-    by = parts.groupBy("c").agg(F.array(*(F.sum(F.col("total")[i]) for i in range(dim))).alias("total"), F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.sum("computed").alias("computed"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]  # of each task a row for each cluster at most
+        if got:
+            rows = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
+            c, at = np.unique(rows.column(0).to_numpy(), return_inverse=True)
+            total, n = np.zeros((len(c), dim)), np.zeros((3, len(c)), np.int64)
+            np.add.at(total, at, _matrix(rows.column(1)))
+            for i in range(3):
+                np.add.at(n[i], at, rows.column(2 + i).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(list(total), pa.list_(pa.float64())), *map(pa.array, n)], ["c", "total", "n", "moved", "computed"])
+
+    schema = "c long, total array<double>, n long, moved long, computed long"
+    by = table.select("v", "c", "moved", "computed").mapInArrow(sums, schema).repartition(SUMMED, "c").mapInArrow(add, schema)
     total, count, got = np.zeros((k, dim)), np.zeros(k, np.int64), by.collect()
     for r in got:
         total[r["c"]], count[r["c"]] = r["total"], r["n"]

@@ -44,3 +44,17 @@ def test_rounds_from_seeds(spark):
     assert told[0] == (600, 600) and told[-1][1] < 300
     stopped = cluster.lloyd(df, seeds, rounds=50, share=0.5)[2]
     assert len(stopped) == 2 or stopped[-1][0] < 300
+
+
+def test_rounds_keep_the_type_of_vectors(spark, tmp_path, monkeypatch):
+    """Vectors are written as they are, and summed by tasks as brute force does."""
+    monkeypatch.setattr(cluster, "fresh_folder", lambda spark, name: f"{tmp_path}/{name}")
+    points = np.random.default_rng(3).normal(0, 1, (300, 4)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+    found, used, told = cluster.lloyd(df, points[:6], rounds=4)
+    c, centroids = plain(points, points[:6], 4)
+    assert {r["vec_id"]: r["cluster"] for r in found.collect()} == dict(enumerate(c.tolist())) and np.allclose(used, centroids)
+    table = spark.read.parquet(f"{tmp_path}/kmeans/3")
+    assert dict(table.dtypes)["v"] == "array<float>"
+    total, count, moved, computed = cluster._sums(table, used)
+    assert np.allclose(total, [points[c == k].sum(0) for k in range(6)]) and count.tolist() == np.bincount(c, minlength=6).tolist() and (moved, computed) == told[-1]
