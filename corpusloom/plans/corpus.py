@@ -13,6 +13,7 @@ from ..functions import models, trust
 from ..functions.text import first_bytes
 from ..operators import storage
 from ..schema import content
+from ..session import written
 from ..sources import chunking, messages, pdf, registry
 from . import enrichment
 from . import query as plans
@@ -104,7 +105,7 @@ def search(store: Store, texts: list[str], embedder: models.Embedder, limit: int
     asked = [(i, t, v) for i, (t, v) in enumerate(zip(texts, embedder.embed(texts), strict=True))]
     queries = store.spark.createDataFrame(asked, "query_id long, query string, embedding array<float>")
     vectors = rows.select(F.col("doc_id").alias("vec_id"), "embedding")
-    ranked = plans.hybrid(rows, queries, limit, vectors=vectors)
+    ranked = written(plans.hybrid(rows, queries, limit, vectors=vectors), "ranked")
     return plans.trusted(ranked, searchable(store), as_of)
 
 

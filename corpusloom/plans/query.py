@@ -80,9 +80,10 @@ def expanded(queries: DataFrame, hints: DataFrame, model: Callable[[str], str],
     return out.withColumn("embedding", models.embed(F.col("query"), embedder))
 
 
-def trusted(ranked: DataFrame, fragments: DataFrame, as_of: str = trust.AS_OF) -> DataFrame:
-    """ranked with the fragment's columns and its trust; corroboration is shared by the results of a query."""
-    keep = ["doc_id", "id", "source_name", "source_path", "file_type", "content_date", "confidence_adj", "raw_content"]
+def trusted(ranked: DataFrame, fragments: DataFrame, as_of: str = trust.AS_OF, more: list[str] = ()) -> DataFrame:
+    """ranked with the fragment's columns, those of ``more`` too, and its trust; corroboration is shared by the results of a query.
+    A ranked table that was written is known to be small, and is sent to the fragments, whose texts are not exchanged then."""
+    keep = ["doc_id", "id", "source_name", "source_path", "file_type", "content_date", "confidence_adj", "raw_content", *more]
     taken = F.col("ingested_at") if "ingested_at" in fragments.columns else F.lit(None).cast("timestamp")
     rows = ranked.join(fragments.select(*keep, taken.alias("ingested_at")), "doc_id")
     rows = rows.withColumn("n_sources", F.size(F.collect_set("source_name").over(Window.partitionBy("query_id"))))

@@ -9,11 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import models, trust
 from corpusloom.functions import text as X
 from corpusloom.operators import fusion, search, vector
 from corpusloom.plans import query as plans
 from corpusloom.plans.cache import MemoryCache
+from corpusloom.schema import fragments
 
 
 def test_knn(spark):
@@ -140,3 +142,40 @@ def test_memory_cache():
     for k in "bcd":
         c.put(k, "s", k, 0)
     assert c.get("b", 1) is None and c.get("d", 1) == "d"
+
+
+def _corpus(spark, tmp_path, n=3000):
+    """documents, labels, benchmark and embeddings of such sizes that only what is found is small enough to be sent."""
+    at = str(tmp_path)
+    texts = F.concat_ws(" ", F.lit("fox"), F.sha2(F.col("id").cast("string"), 256), F.sha2((F.col("id") + 7).cast("string"), 256))
+    ids = spark.range(n)
+    ids.select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), (F.col("id") % 4).cast("string")).alias("source")).write.parquet(f"{at}/documents.parquet")
+    ids.where("id % 3 > 0").select(F.col("id").alias("doc_id"), (F.col("id") % 5).cast("double").alias("quality"), (F.col("id") % 2).cast("double").alias("toxic")).write.parquet(f"{at}/labels.parquet")
+    ids.select(F.col("id").alias("vec_id"), F.array(*(F.rand(k).cast("float") for k in range(8))).alias("embedding")).write.parquet(f"{at}/embeddings.parquet")
+    spark.range(6).select((F.col("id") * 11).alias("item_id"), F.lit("fox").alias("text")).coalesce(1).write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+@pytest.fixture
+def large(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    yield _corpus(spark, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_take_no_other_texts_along(spark, large):
+    """Results are small, and are sent to the fragments: no texts are exchanged or hashed but theirs, and checksums are not read in a second pass."""
+    plan = _plan(catalog.QUERIES["result_signature"](spark, large))
+    assert "SortMergeJoin" not in plan and plan.count("text:string") == 1
+    assert plan.index("sha2") < plan.index("LeftSemi")
+    rows = catalog._trusted(spark, large, "checksum")
+    plan = _plan(rows.select("query_id", "raw_content"))
+    assert "SortMergeJoin" not in plan and "LeftSemi" in plan
+    got = {r["doc_id"]: (r["id"], r["checksum"], r["confidence_adj"], r["raw_content"]) for r in rows.collect()}
+    want = {r["doc_id"]: (r["id"], r["checksum"], r["confidence_adj"], r["raw_content"]) for r in fragments(spark, large).collect()}
+    assert len(got) >= 20 and all(want[k] == v for k, v in got.items())
