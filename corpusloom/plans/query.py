@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import models, trust
 from ..functions import text as text_functions
 from ..operators import fusion, search, vector
+from ..session import written
 
 
 #: Phrasings of a question at most: the question and its expansions. A list's id is LISTS * query_id + n.
@@ -57,7 +58,8 @@ def scouted(fragments: DataFrame, lists: DataFrame, most: int = 5) -> DataFrame:
     """query_id, rank, hint: the vocabulary shown to a model that rephrases a question: of its nearest and its best fragments (lists:
     query_id, doc_id, list_id, rank) the first ``most`` different ones, each as its path and the first 500 bytes of its text."""
     text = F.concat(F.lit("["), "source_path", F.lit("] "), text_functions.first_bytes(F.col("raw_content"), 500))
-    return fusion.distinct_in_order(lists, most).join(fragments.select("doc_id", text.alias("hint")), "doc_id").select("query_id", "rank", "hint")
+    first = written(fusion.distinct_in_order(lists, most), "scouted")
+    return first.join(fragments.select("doc_id", text.alias("hint")), "doc_id").select("query_id", "rank", "hint")
 
 
 def expanded(queries: DataFrame, hints: DataFrame, model: Callable[[str], str], embedder: models.Embedder) -> DataFrame:

@@ -179,3 +179,11 @@ def test_results_take_no_other_texts_along(spark, large):
     got = {r["doc_id"]: (r["id"], r["checksum"], r["confidence_adj"], r["raw_content"]) for r in rows.collect()}
     want = {r["doc_id"]: (r["id"], r["checksum"], r["confidence_adj"], r["raw_content"]) for r in fragments(spark, large).collect()}
     assert len(got) >= 20 and all(want[k] == v for k, v in got.items())
+
+
+def test_hints_take_no_other_texts_along(spark, large):
+    docs = spark.read.parquet(f"{large}/documents.parquet").select("doc_id", F.col("source").alias("source_path"), F.col("text").alias("raw_content"))
+    lists = spark.createDataFrame([(1, 5, 0, 1), (1, 9, 0, 2), (1, 5, 1, 1), (2, 7, 1, 1)], "query_id long, doc_id long, list_id int, rank long")
+    out = plans.scouted(docs, lists)
+    assert "SortMergeJoin" not in _plan(out) and "Exchange hashpartitioning(doc_id" not in _plan(out)
+    assert sorted((r["query_id"], r["rank"], r["hint"][:10]) for r in out.collect()) == [(1, 1, "[src1] fox"), (1, 2, "[src1] fox"), (2, 1, "[src3] fox")]
