@@ -187,3 +187,13 @@ def test_hints_take_no_other_texts_along(spark, large):
     out = plans.scouted(docs, lists)
     assert "SortMergeJoin" not in _plan(out) and "Exchange hashpartitioning(doc_id" not in _plan(out)
     assert sorted((r["query_id"], r["rank"], r["hint"][:10]) for r in out.collect()) == [(1, 1, "[src1] fox"), (1, 2, "[src1] fox"), (2, 1, "[src3] fox")]
+
+
+def test_questions_take_no_other_vectors_along(spark, large):
+    """Of all embeddings only those of the questions are exchanged; a question without one is still asked."""
+    vectors = spark.read.parquet(f"{large}/embeddings.parquet")
+    asked = spark.read.parquet(f"{large}/benchmark.parquet").select(F.when(F.col("item_id") == 0, -1).otherwise(F.col("item_id")).alias("query_id"), "text")
+    out = catalog._embedded(spark, large, asked)
+    assert "LeftSemi" in _plan(out)
+    held = {r["vec_id"]: r["embedding"] for r in vectors.collect()}
+    assert sorted((r["query_id"], r["embedding"]) for r in out.collect()) == [(-1, None)] + [(k, held[k]) for k in (11, 22, 33, 44, 55)]
