@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import fresh_folder
+from ..session import fresh_folder, written
 
 K1, B = 1.2, 0.75
 DIGITS = 6
 #: Terms of all phrases of all queries that are broadcast at most; beyond, postings are joined by a shuffle.
 SENT_TERMS = 200_000
+#: Ids of more than one row that are broadcast at most; beyond, the phrases of all rows are exchanged.
+SENT_IDS = 200_000
 #: Tokens of documents that a task looks at together.
 PIECE_TOKENS = 1 << 21
 
@@ -69,17 +71,23 @@ def _few(phrases: DataFrame) -> bool:
 
 
 def _occurrences(held: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
-    """The rows of held (doc_id, keep, dl, term, pos) by phrase p: doc_id, keep, dl, p, tf. A phrase begins where its first term stands and
-    each next term stands one further; a phrase of one term is counted by document where it is read."""
+    """The rows of held (row, doc_id, keep, dl, term, pos) by phrase p: doc_id, keep, dl, p, tf. A phrase begins where its first term stands and
+    each next term stands one further in the same row; a phrase of one term is counted by row where it is read."""
     starts = held.join(F.broadcast(parts) if few else parts, "term")
-    starts = starts.select("doc_id", "keep", "dl", "p", "n_terms", F.when(F.col("n_terms") > 1, F.col("pos") - F.col("k")).alias("start"))
-    runs = starts.groupBy("doc_id", "keep", "dl", "p", "n_terms", "start").agg(F.count("*").alias("n"))
+    starts = starts.select("row", "doc_id", "keep", "dl", "p", "n_terms", F.when(F.col("n_terms") > 1, F.col("pos") - F.col("k")).alias("start"))
+    runs = starts.groupBy("row", "doc_id", "keep", "dl", "p", "n_terms", "start").agg(F.count("*").alias("n"))
     whole = F.when(F.col("n_terms") == 1, F.col("n")).when(F.col("n") == F.col("n_terms"), 1)
     return runs.groupBy("doc_id", "keep", "dl", "p").agg(F.sum(whole).alias("tf")).where("tf is not null")
 
 
-def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bool) -> DataFrame:
-    """query_id, doc_id, score, rank from occurrences of phrases and total (one row: n_docs, avgdl).
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank of each query's k best."""
+    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return scored.select("query_id", "doc_id", "score", F.row_number().over(by).cast("long").alias("rank")).where(F.col("rank") <= k)
+
+
+def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bool, df: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank from occurrences of phrases, total (one row: n_docs, avgdl) and df (p, df: documents with p), by default those of tf.
 
     A document must hold all phrases, so only documents with a query's rarest one are looked at: what is joined grows with the
     rarest lists, not with queries times documents. Queries with a phrase that stands nowhere go at once. Where weights are sent, a document's
@@ -90,7 +98,8 @@ def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bo
         path = fresh_folder(tf.sparkSession, "occurrences")
         tf.write.parquet(path)
         tf = tf.sparkSession.read.parquet(path)
-    df = tf.groupBy("p").agg(F.count("*").alias("df"))
+    if df is None:
+        df = tf.groupBy("p").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     of_query = Window.partitionBy("query_id")
     weights = phrases.join(df, "p").crossJoin(F.broadcast(total))
@@ -98,17 +107,16 @@ def _ranked(tf: DataFrame, phrases: DataFrame, total: DataFrame, k: int, few: bo
     weights = weights.select("query_id", "p", "n_phrases", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "nth")
     rarest = weights.where("nth = 1").select("query_id", "p")
     if few:
-        by_doc = tf.where("keep").groupBy("doc_id", "dl").agg(F.collect_list(F.struct("p", "tf")).alias("held"))
-        led = by_doc.withColumn("p", F.explode("held.p")).join(send(rarest), "p")
-        hits = led.select("query_id", "doc_id", "dl", F.inline("held")).join(send(weights), ["query_id", "p"])
+        by_doc = tf.where("keep").groupBy("doc_id").agg(F.collect_list(F.struct("p", "dl", "tf")).alias("held"))
+        led = by_doc.withColumn("p", F.explode(F.array_distinct("held.p"))).join(send(rarest), "p")
+        hits = led.select("query_id", "doc_id", F.inline("held")).join(send(weights), ["query_id", "p"])
     else:
-        led = tf.where("keep").join(rarest, "p").select("query_id", "doc_id")
-        hits = led.join(weights, "query_id").join(tf.select("doc_id", "dl", "p", "tf"), ["doc_id", "p"])
+        tf = tf.where("keep").select(F.col("doc_id").alias("id"), "dl", "p", "tf")
+        led = tf.join(rarest, "p").select("query_id", F.col("id").alias("doc_id")).distinct()
+        hits = led.join(weights, "query_id").join(tf.withColumnRenamed("p", "held"), (F.col("p") == F.col("held")) & F.col("doc_id").eqNullSafe(F.col("id")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "doc_id", "n_phrases").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("n"))
-    by = of_query.orderBy(F.col("score").desc(), "doc_id")
-    scored = scored.where(F.col("n") == F.col("n_phrases")).withColumn("rank", F.row_number().over(by).cast("long"))
-    return scored.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    return _top(scored.where(F.col("n") == F.col("n_phrases")), k)
 
 
 class _Asked:
@@ -117,7 +125,8 @@ class _Asked:
     def __init__(self, phrases: DataFrame):
         got = phrases.select("query_id", "p").toArrow().combine_chunks()
         queries, names = (got.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "p"))
-        of, self.ids, split = queries.indices.to_numpy(), queries.dictionary, [x.split(" ") for x in names.dictionary.to_pylist()]
+        of, self.ids, self.names = queries.indices.to_numpy(), queries.dictionary, names.dictionary
+        split = [x.split(" ") for x in self.names.to_pylist()]
         self.phrases = names.indices.to_numpy()[np.argsort(of, kind="stable")].astype(np.int64)
         self.starts = np.searchsorted(np.sort(of), np.arange(len(self.ids) + 1))
         number = {t: i for i, t in enumerate(dict.fromkeys(t for x in split for t in x))}
@@ -161,7 +170,7 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 
 
 def _counted(rows: DataFrame, asked: _Asked) -> tuple[int, float, np.ndarray]:
-    """(number of documents, their mean length, number of documents with each phrase). Tasks count, so a row for each phrase and task is exchanged."""
+    """(number of rows, their mean length, number of rows with each phrase). Tasks count, so a row for each phrase and task is exchanged."""
     sent = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +189,28 @@ def _counted(rows: DataFrame, asked: _Asked) -> tuple[int, float, np.ndarray]:
     return int(total[-2]), total[-1] / max(1, total[-2]), total[:-2]
 
 
-def _best(rows: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
+def _stood(rows: DataFrame, asked: _Asked) -> DataFrame:
+    """doc_id, keep, dl, p, tf, n: the phrases of documents whose rows may share an id; the n rows of one id and length with p are one document. Tasks count
+    the phrases of the rows that they read, so a row for each phrase of a row is exchanged."""
+    sent = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        for batch in batches:
+            for piece, dl in _pieces(batch, 1):
+                p, d, tf = asked.found(piece.column(1), dl)
+                at = pa.array(d)
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(at), piece.column(2).take(at), pa.array(dl[d]), asked.names.take(pa.array(p)), pa.array(tf)], ["doc_id", "keep", "dl", "p", "tf"])
+
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("keep", T.BooleanType()), T.StructField("dl", T.LongType()), T.StructField("p", T.StringType()), T.StructField("tf", T.LongType())])
+    each = rows.select("doc_id", "t", "keep").mapInArrow(run, schema)
+    return each.groupBy("doc_id", "keep", "dl", "p").agg(F.sum("tf").alias("tf"), F.count("*").alias("n"))
+
+
+def _best(rows: DataFrame, phrases: DataFrame, asked: _Asked, total: tuple[int, float, np.ndarray], k: int) -> DataFrame:
     """As ``_ranked``, of documents with different ids and of queries that are sent: whatever a document holds stands in its own row, so
     tasks match and score the rows that they read, from each query's rarest phrase on, and what is exchanged is the k best of a query and piece."""
-    asked = _Asked(phrases)
-    n_docs, avgdl, df = _counted(rows, asked)
+    n_docs, avgdl, df = total
     idf = np.log((n_docs - df + 0.5) / (df + 0.5))
     sent = rows.sparkSession.sparkContext.broadcast((asked, np.where(idf > 0, idf, 1e-6), avgdl or 1.0))
 
@@ -221,9 +247,30 @@ def _best(rows: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(names)), piece.column(0).take(pa.array(docs)), pa.array(scores)], ["query_id", "doc_id", "score"])
 
     schema = T.StructType([phrases.schema["query_id"], rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    found = rows.select("doc_id", "t", "keep").mapInArrow(run, schema).withColumn("score", F.round("score", DIGITS))
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
+    return _top(rows.select("doc_id", "t", "keep").mapInArrow(run, schema).withColumn("score", F.round("score", DIGITS)), k)
+
+
+def _sent(texts: DataFrame, cut: Callable[[DataFrame], DataFrame], phrases: DataFrame, k: int) -> DataFrame:
+    """As ``_ranked``, of queries that are sent. Rows with an id of their own are scored where they are read; only of rows that share one, phrases are
+    exchanged. ``cut`` makes tokens of the texts that are picked."""
+    spark, rows, asked = texts.sparkSession, cut(texts), _Asked(phrases)
+    n_docs, avgdl, df = _counted(rows, asked)
+    ids = rows.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    if ids.isEmpty():
+        return _best(rows, phrases, asked, (n_docs, avgdl, df), k)
+    ids = written(ids, "shared-ids")
+    few, same = ids.count() <= SENT_IDS, F.col("doc_id").eqNullSafe(F.col("id"))
+    tf = written(_stood(cut(texts.join(F.broadcast(ids), same, "left_semi")) if few else rows, asked), "occurrences")
+    number = {p: i for i, p in enumerate(asked.names.to_pylist())}
+    for r in tf.groupBy("p").agg(F.sum(F.col("n") - 1).alias("n")).where("n > 0").collect():  # a row a phrase
+        df[number[r["p"]]] -= r["n"]
+    total = spark.range(1).select(F.lit(n_docs).alias("n_docs"), F.lit(avgdl).alias("avgdl"))
+    held = spark.createDataFrame(pa.table({"p": asked.names, "df": df})).where("df > 0")
+    shared = _ranked(tf, phrases, total, k, True, held)
+    if not few:
+        return shared
+    alone = _best(cut(texts.join(F.broadcast(ids), same, "left_anti")), phrases, asked, (n_docs, avgdl, df), k)
+    return _top(alone.unionByName(shared), k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", keep: Column | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -231,16 +278,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
 
     A phrase is the tokens of a query word, next to each other (``docker-compose``: two). Words without tokens are ignored
     beside others. Queries are sent to the tasks and scored where the texts are read; only queries of more than SENT_TERMS terms, and rows that
-    share an id, are joined with postings, of which those of query terms are exchanged. ``keep`` filters rows of docs before the limit; term statistics stay
-    those of all documents. ``tokenizer`` makes tokens, without spaces, of texts and query words (``stem.tokens`` for stems)."""
+    share an id (all rows, where more than SENT_IDS ids are shared), are joined with postings, of which those of query terms are exchanged.
+    ``keep`` filters rows of docs before the limit; term statistics stay those of all documents. ``tokenizer`` makes tokens, without spaces, of texts and query words (``stem.tokens`` for stems)."""
     phrases = _phrases(queries, query_id, query, tokenizer)
-    few, parts = _few(phrases), _parts(phrases)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("t"), (keep if keep is not None else F.lit(True)).alias("keep"))
-    if few and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return _best(rows, phrases, k)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (keep if keep is not None else F.lit(True)).alias("keep"))
+    cut = lambda some: some.select("doc_id", tokenizer(F.col("text")).alias("t"), "keep")
+    if _few(phrases):
+        return _sent(texts, cut, phrases, k)
+    rows = cut(texts)
     total = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
-    placed = rows.select("doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    return _ranked(_occurrences(placed, parts, few), phrases, total, k, few)
+    placed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "keep", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return _ranked(_occurrences(placed, _parts(phrases), False), phrases, total, k, False)
 
 
 class Stored:
@@ -288,7 +336,7 @@ class Stored:
         one = parts.where("n_terms = 1").select("p", "term")
         more = parts.where("n_terms > 1")
         counted = held.join(F.broadcast(one) if few else one, "term").select("doc_id", "keep", "dl", "p", "tf")
-        placed = held.select("doc_id", "keep", "dl", "term", F.explode("positions").alias("pos"))
+        placed = held.select(F.lit(0).alias("row"), "doc_id", "keep", "dl", "term", F.explode("positions").alias("pos"))
         tf = counted.unionByName(_occurrences(placed, more, few))
         total = self.store.read(self.lengths).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         return _ranked(tf, phrases, total, k, few)

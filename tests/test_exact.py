@@ -161,6 +161,40 @@ def test_tasks_score_what_they_read(spark, monkeypatch):
     assert [sizes.tolist() for _, sizes in search._pieces(batch, 0)] == [[2, 3], [9], [0, 4, 1]]
 
 
+def test_rows_that_share_an_id_take_no_others_along(spark, monkeypatch):
+    """Of rows that share an id phrases are exchanged, and of no other row; one phrase is found in one row, and rows of one id count together, whatever their length or id."""
+    rnd = random.Random(9)
+    rows = [(k, " ".join(rnd.choice("abcdef") for _ in range(1 + rnd.randrange(12)))) for k in range(120)]
+    rows += rows[:20:4] + [(4, "c"), (4, "x d"), (8, "a b"), (None, "a c d"), (None, "a c d"), (None, "b"), (200, "y c"), (200, "y d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = {0: ["a"], 1: ["c d"], 2: ["a", "b"], 3: ["c d", "a"], 4: ["y"], 5: ["zz", "a"], 6: ["d a b"]}
+    held = {}  # by id and length, as in the SQL
+    for i, t in rows:
+        for p in {p for ps in asked.values() for p in ps}:
+            if n := sum(t.split()[j : j + len(p.split())] == p.split() for j in range(len(t.split()))):
+                held[i, len(t.split()), p] = held.get((i, len(t.split()), p), 0) + n
+    df, mean = {p: sum(x[2] == p for x in held) for ps in asked.values() for p in ps}, sum(len(t.split()) for _, t in rows) / len(rows)
+    want = []
+    for q, ps in asked.items():
+        for i in {i for i, _ in rows}:
+            mine = [(dl, tf, df[p]) for (d, dl, p), tf in held.items() if d == i and p in ps]
+            if len(mine) == len(ps) == len({p for d, _, p in held if d == i and p in ps}):
+                parts = [max(math.log((len(rows) - n + 0.5) / (n + 0.5)), 1e-6 if n * 2 >= len(rows) else 0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) for dl, tf, n in mine]
+                want.append((q, i, pytest.approx(sum(parts), abs=2e-6)))
+    sent = spark.createDataFrame([(q, " ".join(p.replace(" ", "-") for p in ps)) for q, ps in asked.items()], "query_id int, query string")
+    kept, write = {}, search.written
+    monkeypatch.setattr(search, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    by = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    got = lambda: sorted((tuple(r)[:3] for r in search.bm25(docs, sent, 500).collect()), key=by)
+    assert got() == sorted(want, key=by)
+    twice = {i for i, _ in rows if [j for j, _ in rows].count(i) > 1}
+    assert {r["doc_id"] for r in kept["occurrences"].collect()} == twice & {x[0] for x in held}
+    for limit in ("SENT_IDS", "SENT_TERMS"):
+        monkeypatch.setattr(search, limit, 0)
+        kept.clear()
+        assert got() == sorted(want, key=by)
+
+
 @pytest.mark.parametrize("parts", (1, 5, 30))
 def test_fold_over_ranges(spark, parts):
     rnd = random.Random(parts)
