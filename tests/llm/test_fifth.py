@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corpusloom.llm import packing, tokens
+from corpusloom.llm import jaccard, packing, tokens
 
 PARTS = [" ", "  ", "\n", "\t", "\r", "a", "B", "word", "'s", "'ll", "'", "1", "é", "×", "÷", "ß", "ɏ", "ɐ", "Я", "ѿ", "҂", "҃", "\xa0", "　", "́", "​", "\x85", "!", ".", ",", "-", "日", "“", "\x1c", "\x0b", "\x7f", "\x00", "😀", "<|endoftext|>"]
 
@@ -87,3 +87,17 @@ def test_rounds_of_parts_that_a_task_reads_are_run_once(spark, monkeypatch, tmp_
     parts = -(-101 * len(rows) // (4 * 128))
     assert sum(r["length"] for r in out) == 101 * len(rows)
     assert parts <= len((tmp_path / "calls").read_text().split()) < parts + 8 * 16
+
+
+def test_words_are_hashed_as_they_are_split():
+    """Equal words, equal hashes, whatever their length or place; other words, other hashes."""
+    rng, seen = random.Random(11), {}
+    parts = ["a", "B", " ", "\n", "\x0b", "é", "abcdefgh", "x" * 17, "y" * 33, "1", "\x1c", "\x85"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))).encode() for _ in range(rng.randint(0, 20))]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        hashes, counts = jaccard.word_hashes(np.frombuffer(b"".join(texts), np.uint8), at)
+        words_ = [jaccard.words_of(x) for x in texts]
+        assert counts.tolist() == [len(x) for x in words_]
+        assert all(seen.setdefault(h, w) == w for h, w in zip(hashes.tolist(), [w for x in words_ for w in x], strict=True))
+    assert len({*seen.values()}) == len(seen)
